@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_rules, simhash
+from . import line_dedup, mixing, quality_neighbours, quality_rules, sentencepiece_viterbi, simhash, toxicity
 from .common import table
 
 QUERIES = {}
@@ -59,3 +59,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as pieces and back: their number, a digest of the ids, and whether the text came back."""
+    vocabulary = sentencepiece_viterbi.Vocabulary.read()
+    coded = sentencepiece_viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    back = sentencepiece_viterbi.decode(coded, vocabulary)
+    ids = F.array_join("ids", " ")
+    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_neighbours.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
