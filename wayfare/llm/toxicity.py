@@ -23,9 +23,10 @@ MAX_TOXIC, MAX_UNLABELLED = 4000, 12000
 
 
 def buckets_of(text: str | None) -> np.ndarray:
-    """Hash buckets of the distinct words of a text, in lower case and without punctuation around them."""
+    """Hash buckets of the distinct words of a text, in lower case and without punctuation around them, and of the first five letters of longer ones."""
     words = {w.strip(_STRIP) for w in set((text or "").lower().split())}
     words.discard("")
+    words |= {f"{w[:5]}~" for w in words if len(w) > 5}
     hash32 = xxhash.xxh32_intdigest
     return np.unique(np.fromiter((hash32(w) % BUCKETS for w in words), np.int32, len(words)))
 
