@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_neighbours, quality_rules, sentencepiece_viterbi, simhash, toxicity
+from . import chunk_dedup, line_dedup, mixing, quality_neighbours, quality_rules, sentencepiece_viterbi, simhash, toxicity, vector_search
 from .common import table
 
 QUERIES = {}
@@ -79,3 +79,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_neighbours.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = chunk_dedup.dedup_chunks(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
