@@ -113,13 +113,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_passe
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_passes: int = 3) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken; rows without words are not taken.
 
-    Ids need not be unique: rows that share one are taken as the rows of the mix with that id and size.
+    Rows that share an id are told apart by their size and source; of rows alike in all three, as many
+    are taken as the mix takes, those first by a hash of the text.
     """
-    size = word_count(F.col("text"))
-    passes = mix(docs, weights, max_passes).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source"), (F.col("taken") / F.col("size")).cast("int").alias("__passes"))
-    passes = passes.groupBy("__id", "__size", "__source").agg(F.collect_list("__passes").alias("__passes"))
-    each = Window.partitionBy("doc_id", "__n", "source").orderBy(F.xxhash64("text"))
-    rows = docs.withColumn("__n", size).withColumn("__at", F.row_number().over(each))
-    on = rows["doc_id"].eqNullSafe(passes["__id"]) & (rows["__n"] == passes["__size"]) & rows["source"].eqNullSafe(passes["__source"])
-    taken = rows.join(passes, on).withColumn("__times", F.try_element_at("__passes", F.col("__at").cast("int"))).where("__times > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    taken = mix(docs, weights, max_passes).where("taken > 0").select("doc_id", "size", "source", (F.col("taken") / F.col("size")).cast("int").alias("passes"))
+    taken = materialize(taken, "mix-taken")
+    ids = taken.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
+    if ids.n == ids.ids:
+        passes = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("passes").alias("__times"))
+        # without a sharing id the size only matters for rows of size 0 that share one
+        rows = docs.join(passes, F.col("doc_id") == F.col("__id")).where(word_count(F.col("text")) == F.col("__size"))
+    else:
+        passes = taken.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source")).agg(F.sort_array(F.collect_list("passes"), asc=False).alias("__passes"))
+        each = Window.partitionBy("doc_id", "__n", "source").orderBy(F.xxhash64("text"))
+        rows = docs.withColumn("__n", word_count(F.col("text"))).withColumn("__at", F.row_number().over(each).cast("int"))
+        rows = rows.join(passes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")) & F.col("source").eqNullSafe(F.col("__source")))
+        rows = rows.withColumn("__times", F.try_element_at("__passes", F.col("__at"))).where("__times > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, words_of
 
@@ -57,22 +58,20 @@ def traits_of(text: str | None) -> tuple[int, ...]:
     return (len(words), points, len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words), len(lines), letters, capitals, raw.count(b"!"), ends)
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without its text, with the TRAITS as longs; null and wordless texts measure zero throughout."""
+def measured(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs with the TRAITS as longs, and without its text unless keep_text; null and wordless texts measure zero throughout."""
     others = [c for c in docs.columns if c != text_col]
     names = [f"__k{i}" for i in range(len(others))]
     slim = docs.select(*(docs[c].alias(n) for c, n in zip(others, names, strict=True)), docs[text_col].alias("__text"))
-    keys = slim.schema[:-1]
+    kept = slim.schema.fields if keep_text else slim.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([traits_of(t.as_py()) for t in b.column(b.num_columns - 1)], np.int64).reshape(-1, len(TRAITS))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(got[:, i]) for i in range(len(TRAITS)))], names=[*names, *TRAITS])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *(pa.array(got[:, i]) for i in range(len(TRAITS)))], names=[*(f.name for f in kept), *TRAITS])
 
-    out = keys
-    for t in TRAITS:
-        out = out.add(t, "long")
-    return slim.mapInArrow(run, out).withColumnsRenamed(dict(zip(names, others, strict=True)))
+    out = T.StructType([*kept, *(T.StructField(t, T.LongType()) for t in TRAITS)])
+    return slim.mapInArrow(run, out).withColumnsRenamed(dict(zip([*names, "__text"], [*others, text_col], strict=True)))
 
 
 @dataclass(frozen=True)
@@ -143,22 +142,41 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: in
     return post
 
 
+def _p_good(rows: DataFrame) -> Column:
+    """The posterior of each row's pattern, fitted to the counts of patterns over all rows: at most 3 ** len(RULES) of them."""
+    found = rows.groupBy("pattern").count().orderBy("pattern").collect()
+    if not found:
+        return F.lit(None).cast("double")
+    post = fit_votes(np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64), len(RULES))
+    return F.create_map(*(F.lit(x) for r, p in zip(found, post, strict=True) for x in (r[0], float(p))))[F.col("pattern")]
+
+
+def _judged(rows: DataFrame, p_good: Column, threshold: float, min_words: int, max_repeat_share: int) -> DataFrame:
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
+    return rows.withColumn("p_good", p_good).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= threshold))
+
+
 def quality_verdicts(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, min_words: int = 50, max_repeat_share: int = 50) -> DataFrame:
     """docs without its text, with the traits, base_failed, p_good and kept.
 
     base_failed: fewer than min_words words, or over max_repeat_share percent of the words in repeated
-    3-word windows. kept: not base_failed and p_good >= threshold. Null and wordless texts fail. The
-    hidden-class model is fitted to the counts of vote patterns over all rows (at most 3 to the number
-    of rules, whatever the corpus) and is the same for every row, so repeated rows get equal verdicts.
+    3-word windows. kept: not base_failed and p_good >= threshold. Null and wordless texts fail. Columns
+    of docs that clash with these names go. The hidden-class model is the same for every row, so
+    repeated rows get equal verdicts; an empty table gives an empty result.
     """
-    clash = {c.lower() for c in docs.columns} & {*TRAITS, "pattern", "p_good", "base_failed", "kept"}
-    if clash:
-        docs = docs.drop(*clash)
-    rows = measured(docs, text_col).withColumn("pattern", vote_pattern())
-    rows = materialize(rows, "quality-traits")
-    found = rows.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** len(RULES) rows
-    post = fit_votes(np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64), len(RULES)) if found else []
-    good = F.create_map(*(F.lit(x) for r, p in zip(found, post, strict=True) for x in (r[0], float(p)))) if found else None
-    rows = rows.withColumn("p_good", good[F.col("pattern")] if found else F.lit(None).cast("double"))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("p_good") >= threshold))
+    clash = {*TRAITS, "pattern", "p_good", "base_failed", "kept"}
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in clash and c != text_col])
+    rows = materialize(measured(docs, text_col).withColumn("pattern", vote_pattern()), "quality-traits")
+    return _judged(rows, _p_good(rows), threshold, min_words, max_repeat_share)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, min_words: int = 50, max_repeat_share: int = 50) -> DataFrame:
+    """The rows of docs that quality_verdicts keeps, with all their columns.
+
+    The texts are read twice, to count patterns and to judge, which spares a shuffle of them.
+    """
+    inner = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__own"))
+    patterns = measured(docs.select(text_col), text_col).select(vote_pattern().alias("pattern"))
+    p_good = _p_good(patterns)
+    rows = measured(inner, "__own").withColumn("pattern", vote_pattern())
+    return _judged(rows, p_good, threshold, min_words, max_repeat_share).where("kept").select("__row.*")

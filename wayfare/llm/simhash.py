@@ -323,7 +323,11 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the least of its group of near copies; of rows with one id, one stays. Null ids stay."""
-    groups = near_duplicate_components(docs, id_col, text_col)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["__kept_id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    groups = materialize(near_duplicate_components(docs, id_col, text_col), "near-duplicates")
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
+    ids = keep.agg(F.count("*").alias("n"), F.countDistinct("__kept_id").alias("ids")).first()
+    kept = docs.join(keep.distinct() if ids.n > ids.ids else keep, F.col(id_col) == F.col("__kept_id"), "left_semi")
+    if ids.n > ids.ids:
+        kept = kept.dropDuplicates([id_col])
+    has_null = not groups.where("doc_id IS NULL").isEmpty()
+    return kept.unionByName(docs.where(F.col(id_col).isNull())) if has_null else kept
