@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, line_dedup, mixing, quality_neighbours, quality_rules, sentencepiece_viterbi, simhash, toxicity, vector_search
+from . import chunk_dedup, line_dedup, mixing, quality_neighbours, quality_rules, sentencepiece_viterbi, simhash, suffix_dedup, toxicity, vector_search
 from .common import table
 
 QUERIES = {}
@@ -90,3 +90,9 @@ def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
