@@ -1,6 +1,31 @@
-"""The library's queries by name, and their SQL."""
+"""The library's queries by name, and the SQL they are checked against."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL where SQL expresses it."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from .plans import airports, airways, exports, extensions, journeys, places, spatial, streams, texts  # noqa: F401
+
+
+load()
