@@ -23,7 +23,8 @@ def quantise(x: Column, digits: int) -> Column:
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), x))
+    """x within lo and hi; null stays null, which least() and greatest() would skip."""
+    return F.when(x < lo, float(lo)).when(x > hi, float(hi)).otherwise(x)
 
 
 def lerp(a: Column | float, b: Column | float, f: Column) -> Column:
@@ -46,7 +47,8 @@ def positive_modulo(x: Column, m: float) -> Column:
 
 def _half_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b = F.sin((F.radians(lat2) - F.radians(lat1)) / 2.0), F.sin((F.radians(lon2) - F.radians(lon1)) / 2.0)
-    return F.least(F.lit(1.0), a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b)
+    h = a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b
+    return F.when(h > 1.0, 1.0).otherwise(h)
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -55,7 +57,7 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 
 def haversine_nm(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    return 2.0 * EARTH_NM * F.asin(F.least(F.lit(1.0), F.sqrt(_half_chord(lat1, lon1, lat2, lon2))))
+    return 2.0 * EARTH_NM * F.asin(F.sqrt(_half_chord(lat1, lon1, lat2, lon2)))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -137,8 +139,12 @@ def window_direction(heading: Column, course: Column) -> Column:
     return reduce(lambda w, s: w.when(turn < s[0], s[1]), WINDOW_SECTORS[1:], F.when(turn < WINDOW_SECTORS[0][0], WINDOW_SECTORS[0][1])).otherwise("front")
 
 
+#: Most that a place of importance 1 gets as bonus.
+MOST_BONUS_M = 150_000.0 + 24_000.0
+
+
 def proximity_score(metres: Column, kind: Column, importance: Column) -> Column:
-    """Distance less a bonus by kind and importance; the least score is the place to name."""
+    """Distance less a bonus by kind and importance (0 to 1); the least score is the place to name."""
     bonus = F.when(kind == "airport", 60_000.0).when(kind == "majorCity", 0.0).otherwise(150_000.0)
     return metres - bonus - importance * 24_000.0
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .tables import materialize
 
 
 def distance_join(left: DataFrame, right: DataFrame, nm: float, lat: str = "lat", lon: str = "lon", how: str = "inner") -> DataFrame:
@@ -43,77 +44,75 @@ def distance_join(left: DataFrame, right: DataFrame, nm: float, lat: str = "lat"
     return joined.drop("__row", "__col", "__lat", "__lon")
 
 
-def nearest_scored(points: DataFrame, places: DataFrame, key: str, place_key: str, n: int = 1) -> DataFrame:
-    """The n places of least score for each point; places are few enough to be broadcast by size, else shuffled.
-
-    points: key, lat, lon, heading; places: place_key, plat, plon, kind, importance. Ties fall to the
-    smaller place key. Only the running best n of a point are kept while places stream by.
-    """
-    d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    b = geo.bearing(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    pairs = points.crossJoin(places).withColumn("dist_m", d).withColumn("score", geo.quantise(geo.proximity_score(F.col("dist_m"), F.col("kind"), F.col("importance")), 2))
-    best = F.min(F.struct("score", place_key, "dist_m", "plat", "plon", "kind"))
-    if n == 1:
-        found = pairs.groupBy(key).agg(best.alias("b"), F.first("heading").alias("heading"), F.first("lat").alias("lat"), F.first("lon").alias("lon"))
-        found = found.select(key, "heading", "lat", "lon", "b.*")
-        return found.withColumn("direction", geo.window_direction(F.col("heading"), geo.bearing(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))))
-    w = Window.partitionBy(key).orderBy("score", place_key)
-    return pairs.withColumn("direction", geo.window_direction(F.col("heading"), b)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
-def knn_grid(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, degrees: float = 5.0, rings: int = 2) -> DataFrame:
-    """The k nearest places of each point within so many rings of cells: (key, place_key, dist_m, rank).
-
-    Exact where the k-th place is nearer than the rings reach; knn_exact completes the others.
-    """
+def _in_rings(points: DataFrame, places: DataFrame, within: list[str], degrees: float, rings: int) -> DataFrame:
+    """Pairs of points and places (plat, plon) whose cells are at most so many rings apart, with dist_m; within: columns that both share and that must agree."""
     rows, cols = int(180 / degrees), int(360 / degrees)
     p = points.withColumn("__r", geo.cell_row(F.col("lat"), degrees)).withColumn("__c", geo.cell_col(F.col("lon"), degrees))
     span = F.sequence(F.lit(-rings), F.lit(rings))
     p = p.withColumn("__row", F.explode(F.transform(span, lambda x: F.col("__r") + x))).where(f"__row BETWEEN 0 AND {rows - 1}")
     p = p.withColumn("__col", F.explode(F.array_distinct(F.transform(span, lambda x: F.pmod(F.col("__c") + x, F.lit(cols))))))
     q = places.withColumn("__row", geo.cell_row(F.col("plat"), degrees)).withColumn("__col", geo.cell_col(F.col("plon"), degrees))
-    d = geo.quantise(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), 2)
-    near = p.join(q, ["__row", "__col"]).withColumn("dist_m", d)
-    w = Window.partitionBy(key).orderBy("dist_m", place_key)
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, place_key, "dist_m", "rank")
+    d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
+    return p.join(q, [*within, "__row", "__col"]).withColumn("dist_m", d).drop("__r", "__c", "__row", "__col")
 
 
-def knn_exact(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, degrees: float = 5.0) -> DataFrame:
-    """The k nearest places of each point by rings of cells that grow until no unseen cell can be nearer.
+def _by_rings(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, score: Column, slack: float, within: list[str], degrees: float) -> DataFrame:
+    """For each point the k places of least score (ties by place key), with rank and the columns of both sides.
 
-    A ring of r cells around a point reaches at least r * degrees in latitude, and in longitude so many
-    metres as that spans at the farthest latitude of the ring. Points whose k-th place lies beyond what
-    the ring proves go on to the next ring, so few are left after the first rounds.
+    A score must be at least the distance less slack. A ring of r cells around a point reaches r *
+    degrees in latitude at least, and in longitude so many metres as that spans at the farthest latitude
+    of the ring; points whose k-th score is not below what the ring proves go on to a larger one, so few
+    are left after the first rounds. Each round is written to the shared folder.
     """
     left, done, rings, most = points, None, 1, int(360 / degrees)
     metre = math.pi / 180 * geo.EARTH_M
     while True:
-        found = knn_grid(left, places, key, place_key, k, degrees, rings)
-        last = found.groupBy(key).agg(F.max("dist_m").alias("__far"), F.count("*").alias("__n"))
+        last_round = 2 * rings + 1 >= most
+        w = Window.partitionBy(key).orderBy("score", place_key)
+        found = _in_rings(left, places, within, degrees, rings).withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         edge = F.least(F.lit(90.0), F.abs(F.col("lat")) + (rings + 1) * degrees)
-        proof = F.least(F.lit(rings * degrees * metre), F.lit(rings * degrees * metre) * F.cos(F.radians(edge)) * 0.99)
-        state = left.join(last, key, "left")
-        enough = F.lit(True) if rings * 2 + 1 >= most else F.coalesce((F.col("__n") >= k) & (F.col("__far") <= proof), F.lit(False))
-        settled = found.join(state.where(enough).select(key), key, "left_semi")
+        proof = F.lit(rings * degrees * metre) * F.cos(F.radians(edge)) * 0.99 - slack
+        whole = Window.partitionBy(key)
+        enough = (F.count("*").over(whole) >= k) & (F.max("score").over(whole) <= proof)
+        found = found.withColumn("__done", F.lit(True) if last_round else enough)
+        found = materialize(found, "rings")
+        settled = found.where("__done").drop("__done")
         done = settled if done is None else done.unionByName(settled)
-        if rings * 2 + 1 >= most:
+        if last_round:
             return done
-        left = state.where(~enough).select(*points.columns)
+        left = materialize(left.join(settled.select(key).distinct(), key, "left_anti"), "left")
         if left.isEmpty():
             return done
         rings = min(rings * 3, most // 2)
 
 
-def route_places(samples: DataFrame, places: DataFrame, place_key: str, metres: float, degrees: float = 5.0) -> DataFrame:
-    """Places within so many metres of any sampled route point, among those in the 5 x 5 cells around it."""
-    s = samples.select("lat", "lon").distinct()
+def nearest_scored(points: DataFrame, places: DataFrame, key: str, place_key: str, n: int = 1, degrees: float = 5.0) -> DataFrame:
+    """The n places of least score for each point, with rank and the sector of the view in which each lies.
+
+    points: key, lat, lon, heading; places: place_key, plat, plon, kind, importance (0 to 1). The score is
+    the distance less a bonus by kind and importance, so no bonus is above the sum of the largest two.
+    """
+    score = geo.quantise(geo.proximity_score(F.col("dist_m"), F.col("kind"), F.col("importance")), 2)
+    found = _by_rings(points, places, key, place_key, n, score, geo.MOST_BONUS_M, [], degrees)
+    b = geo.bearing(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
+    return found.withColumn("direction", geo.window_direction(F.col("heading"), b))
+
+
+def knn_exact(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, within: list[str] | None = None, degrees: float = 5.0) -> DataFrame:
+    """The k nearest places of each point: (key, place_key, dist_m, rank), among those that share the columns of within."""
+    found = _by_rings(points, places, key, place_key, k, geo.quantise(F.col("dist_m"), 2), 0.0, within or [], degrees)
+    return found.select(*(within or []), key, place_key, F.col("score").alias("dist_m"), "rank")
+
+
+def route_places(samples: DataFrame, places: DataFrame, key: str, place_key: str, metres: float, degrees: float = 5.0) -> DataFrame:
+    """(key, place_key) of the places within so many metres of any sampled point of a route, among those in the 5 x 5 cells around it."""
+    s = samples.select(key, "lat", "lon").distinct()
     span = F.sequence(F.lit(-2), F.lit(2))
     s = s.withColumn("__row", F.explode(F.transform(span, lambda x: geo.cell_row(F.col("lat"), degrees) + x)))
-    s = s.withColumn("__col", F.explode(F.transform(span, lambda x: geo.cell_col(F.col("lon"), degrees) + x))).alias("s")
-    p = places.withColumn("__row", geo.cell_row(F.col("plat"), degrees)).withColumn("__col", geo.cell_col(F.col("plon"), degrees)).alias("p")
-    near = geo.haversine_m(F.col("s.lat"), F.col("s.lon"), F.col("p.plat"), F.col("p.plon")) <= metres
-    on = (F.col("s.__row") == F.col("p.__row")) & (F.col("s.__col") == F.col("p.__col")) & near
-    return p.join(s, on, "left_semi").drop("__row", "__col")
+    s = s.withColumn("__col", F.explode(F.transform(span, lambda x: geo.cell_col(F.col("lon"), degrees) + x)))
+    p = places.withColumn("__row", geo.cell_row(F.col("plat"), degrees)).withColumn("__col", geo.cell_col(F.col("plon"), degrees))
+    near = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= metres
+    return s.join(p, ["__row", "__col"]).where(near).select(key, place_key).distinct()
 
 
 def cells_of(features: DataFrame, feature_key: str, degrees: float = 5.0) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import materialize
 
-def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+
+def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    best = df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
+    return best.withColumnRenamed("__rn", rank) if rank else best.drop("__rn")
 
 
 def first_wins(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
@@ -21,9 +24,9 @@ def last_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return _ranked(df, keys, [F.col(o).desc() for o in order], 1)
 
 
-def top_per_key(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
-    """The first n rows of each key."""
-    return _ranked(df, keys, list(order), n)
+def top_per_key(df: DataFrame, keys: list[str], n: int, *order: Column, rank: str | None = None) -> DataFrame:
+    """The first n rows of each key, with their place as column rank if it is named."""
+    return _ranked(df, keys, list(order), n, rank)
 
 
 def drop_consecutive(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -74,8 +77,9 @@ def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame
     """Rows numbered from 0 in a total order, without gathering them in one task.
 
     Rows are range-partitioned by the order; a partition's offset is the number of rows in those before.
+    The partitions are written down, since ranges are sampled anew each time that they are computed.
     """
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    spread = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     sizes = spread.groupBy("__part").count()
     before = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
     within = Window.partitionBy("__part").orderBy(*order)

@@ -22,10 +22,10 @@ def in_order(*more: str) -> Window:
 
 
 def with_steps(points: DataFrame) -> DataFrame:
-    """Points with step_m, the distance from the point before, quantised to millimetres."""
+    """Points with step_mm and step_m, the distance from the point before in whole millimetres, so that sums are exact."""
     w = in_order()
     d = geo.haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    return points.withColumn("step_m", F.coalesce(geo.quantise(d, 3), F.lit(0.0)))
+    return points.withColumn("step_mm", F.coalesce(F.floor(d * 1e3 + 0.5), F.lit(0))).withColumn("step_m", F.col("step_mm") / 1e3)
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def bounds(points: DataFrame) -> DataFrame:
         F.min("ts").alias("start_ts"),
         F.max("ts").alias("end_ts"),
         F.greatest(F.lit(1.0), seconds(F.max("ts")) - seconds(F.min("ts"))).alias("duration_s"),
-        geo.quantise(F.sum("step_m"), 1).alias("length_m"),
+        geo.quantise(F.sum("step_mm") / 1e3, 1).alias("length_m"),
         F.min("lat").alias("south"),
         F.max("lat").alias("north"),
         F.min("lon").alias("west"),
@@ -48,8 +48,8 @@ def bounds(points: DataFrame) -> DataFrame:
 def flown(points: DataFrame) -> DataFrame:
     """Points with flown_m, remaining_m and the fraction of the length flown."""
     w = in_order()
-    run = with_steps(points).withColumn("flown_m", F.sum("step_m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.sum("step_m").over(Window.partitionBy("journey"))
+    run = with_steps(points).withColumn("flown_m", F.sum("step_mm").over(w.rowsBetween(Window.unboundedPreceding, 0)) / 1e3)
+    total = F.sum("step_mm").over(Window.partitionBy("journey")) / 1e3
     return run.withColumn("total_m", total).withColumn("remaining_m", F.greatest(F.lit(0.0), F.col("total_m") - F.col("flown_m"))).withColumn("fraction", F.least(F.lit(1.0), F.col("flown_m") / F.greatest(F.lit(1.0), F.col("total_m"))))
 
 
@@ -129,14 +129,14 @@ def flight_events(points: DataFrame, known: DataFrame | None = None) -> DataFram
 
 
 def phase_at(samples: DataFrame, events: DataFrame) -> DataFrame:
-    """samples (journey, tick_s, alt, flown_m) with the phase by the last event at or before them."""
-    own = events.select("journey", seconds("ts").alias("t"), F.lit(0).alias("is_tick"), F.col("rank").alias("r"), F.col("kind").alias("k"), F.lit(None).cast("struct<tick_s:double,alt:double,flown_m:double>").alias("s"))
-    asked = samples.select("journey", F.col("tick_s").alias("t"), F.lit(1).alias("is_tick"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("k"), F.struct(F.col("tick_s").cast("double").alias("tick_s"), F.col("alt").cast("double").alias("alt"), F.col("flown_m").cast("double").alias("flown_m")).alias("s"))
+    """samples (journey, ord, tick_s, alt, flown_m) with the phase by the last event at or before them."""
+    own = events.select("journey", seconds("ts").alias("t"), F.lit(0).alias("is_tick"), F.col("rank").alias("r"), F.col("kind").alias("k"), F.lit(None).cast("struct<ord:bigint,tick_s:double,alt:double,flown_m:double>").alias("s"))
+    asked = samples.select("journey", F.col("tick_s").alias("t"), F.lit(1).alias("is_tick"), F.lit(0).alias("r"), F.lit(None).cast("string").alias("k"), F.struct(F.col("ord").cast("long").alias("ord"), F.col("tick_s").cast("double").alias("tick_s"), F.col("alt").cast("double").alias("alt"), F.col("flown_m").cast("double").alias("flown_m")).alias("s"))
     w = Window.partitionBy("journey").orderBy("t", "is_tick", "r").rowsBetween(Window.unboundedPreceding, 0)
     rows = own.unionByName(asked).withColumn("last", F.last("k", ignorenulls=True).over(w)).where("is_tick = 1")
     titles = {"takeoff": "Takeoff", "landing": "Landing", "maxAltitude": "Max altitude", "maxSpeed": "Max speed"}
     named = reduce(lambda c, x: c.when(F.col("last") == x[0], x[1]), titles.items(), F.when(F.col("last").isin("topOfClimb", "cruise"), "Cruise").when(F.col("last") == "topOfDescent", "Descent").when((F.col("s.alt") < 900) & (F.col("s.flown_m") > 10_000), "Approach"))
-    return rows.select("journey", "s.tick_s", named.otherwise("Climb").alias("phase"))
+    return rows.select("journey", "s.ord", "s.tick_s", named.otherwise("Climb").alias("phase"))
 
 
 def vertical_speed(points: DataFrame) -> DataFrame:

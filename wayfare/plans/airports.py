@@ -49,13 +49,13 @@ def airport_suggest_ranked(spark: SparkSession, d: str) -> DataFrame:
     return search.search(D.airports(spark, d), _asked(spark), search.SUGGEST)
 
 
-@query(sql("""WITH codes AS (SELECT iata AS code FROM airports WHERE id % 3 = 0 UNION SELECT icao FROM airports WHERE id % 3 = 1 AND icao IS NOT NULL),
-keys AS (SELECT id, 0 AS by, icao AS code FROM airports WHERE icao IS NOT NULL UNION ALL SELECT id, 1, iata FROM airports),
-ranked AS (SELECT code, id, row_number() OVER (PARTITION BY code ORDER BY by, id) AS n FROM keys JOIN codes USING (code))
+@query(sql("""WITH codes AS (SELECT iata AS code FROM airports WHERE id % 3 <> 1 UNION SELECT icao FROM airports WHERE id % 3 = 1 AND icao IS NOT NULL),
+keys AS (SELECT id, 0 AS pref, icao AS code FROM airports WHERE icao IS NOT NULL UNION ALL SELECT id, 1, iata FROM airports),
+ranked AS (SELECT code, id, row_number() OVER (PARTITION BY code ORDER BY pref, id) AS n FROM keys JOIN codes USING (code))
 SELECT code, id FROM ranked WHERE n = 1""", "airports"))
 def airport_lookup_either_code(spark: SparkSession, d: str) -> DataFrame:
     a = D.airports(spark, d)
-    codes = a.where("id % 3 = 0").select(F.col("iata").alias("code")).union(a.where("id % 3 = 1 AND icao IS NOT NULL").select("icao")).distinct()
+    codes = a.where("id % 3 <> 1").select(F.col("iata").alias("code")).union(a.where("id % 3 = 1 AND icao IS NOT NULL").select("icao")).distinct()
     return search.by_any_code(a, codes)
 
 
@@ -92,7 +92,7 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ROUTES = """routes AS (SELECT a.country AS origin, b.country AS destination, o_orderpriority AS airline,
-  list_filter(string_split_regex(upper(trim(regexp_replace(p_type, '[^A-Z ]', '', 'g'))), '\\s+'), x -> regexp_matches(x, '^[A-Z0-9]{2,4}$')) AS equipment
+  list_filter(string_split_regex(upper(trim(regexp_replace(p_type, '[^A-Z ]', '', 'g'))), '\\s+'), lambda x: regexp_matches(x, '^[A-Z0-9]{2,4}$')) AS equipment
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
   JOIN nations a ON c_nationkey = a.n_nationkey JOIN nations b ON s_nationkey = b.n_nationkey)"""
 
@@ -158,7 +158,7 @@ def flight_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(f"""WITH pairs AS (SELECT a.id AS o, a.lat, a.lon, b.lat AS blat, b.lon AS blon FROM airports a JOIN airports b ON b.id = a.id + 1),
 fr AS (SELECT unnest([0.05e0, 0.5e0, 0.86e0, 1e0]) AS f, unnest(['flightTakeoff', 'flightCruise', 'flightTopOfDescent', 'flightLanding']) AS type),
-x AS (SELECT *, {D._chord('lat', 'lon', 'blat', 'blon')} AS h FROM pairs, fr), y AS (SELECT *, 2e0 * atan2(sqrt(h), sqrt(1e0 - h)) AS g FROM x),
+x AS (SELECT *, {D._chord('lat', 'lon', 'blat', 'blon')} AS h FROM pairs, fr), y AS (SELECT *, 2e0 * atan2(sqrt(h), sqrt(abs(1e0 - h))) AS g FROM x),
 z AS (SELECT *, sin((1e0 - f) * g) / sin(g) AS a, sin(f * g) / sin(g) AS b FROM y),
 v AS (SELECT o, type, f, lat, lon, g, a * (cos(radians(lat)) * cos(radians(lon))) + b * (cos(radians(blat)) * cos(radians(blon))) AS x, a * (cos(radians(lat)) * sin(radians(lon))) + b * (cos(radians(blat)) * sin(radians(blon))) AS y, a * sin(radians(lat)) + b * sin(radians(blat)) AS z FROM z)
 SELECT o AS origin, type, f AS fraction, {q('degrees(atan2(z, sqrt(x * x + y * y)))', 4)} AS lat, {q('degrees(atan2(y, x))', 4)} AS lon FROM v""", "airports"))

@@ -37,13 +37,13 @@ def pack_points(spark: SparkSession, d: str) -> DataFrame:
     return pack_vertices(spark, d).select("idx", "ident", geo.quantise(F.col("lat"), 6).alias("lat"), geo.quantise(F.col("lon"), 6).alias("lon"), "point_type")
 
 
-@query(sql(f"""WITH {_PACK}, s AS (SELECT * FROM segments WHERE airway % 20 = 0)
+@query(sql(f"""WITH {_PACK}, s AS (SELECT * FROM segments)
 SELECT s.airway, s.seq, a.idx AS from_idx, b.idx AS to_idx, {q(D.hav_nm('a.lat', 'a.lon', 'b.lat', 'b.lon'), 2)} AS nm FROM s JOIN pack a ON s.src = a.uid JOIN pack b ON s.dst = b.uid""", "nav_points", "segments"))
 def pack_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments whose ends are both in the pack, by the points' ids."""
     p = pack_vertices(spark, d).select("uid", "idx", "lat", "lon")
     a, b = p.toDF("src", "from_idx", "alat", "alon"), p.toDF("dst", "to_idx", "blat", "blon")
-    j = D.segments(spark, d, 20).join(a, "src").join(b, "dst")
+    j = D.segments(spark, d).join(a, "src").join(b, "dst")
     return j.select("airway", "seq", "from_idx", "to_idx", geo.quantise(geo.haversine_nm(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")), 2).alias("nm"))
 
 
@@ -85,14 +85,14 @@ def known_idents(spark: SparkSession, d: str) -> DataFrame:
 def defective(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Points, airways and segments with defects put in by arithmetic."""
     p = D.nav_points(spark, d).select("uid", F.when(F.col("uid") % 211 != 0, F.col("ident")).otherwise("  ").alias("ident"), F.when(F.col("uid") % 307 == 0, F.col("lat") + 200.0).otherwise(F.col("lat")).alias("lat"), "lon")
-    w = D.table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("uid"), F.when(F.col("o_orderkey") % 130 != 0, F.concat(F.lit("A"), F.col("o_orderkey").cast("string"))).alias("designator"))
-    s = D.segments(spark, d, 10).select(F.concat_ws("-", "airway", "seq").alias("uid"), F.col("airway").alias("airway_uid"), F.col("src").alias("from_uid"), F.when(F.col("airway") % 90 == 0, F.col("src")).when(F.col("airway") % 170 == 0, F.lit(-1)).otherwise(F.col("dst")).alias("to_uid"))
+    w = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), F.when(F.col("o_orderkey") % 130 != 0, F.concat(F.lit("A"), F.col("o_orderkey").cast("string"))).alias("designator"))
+    s = D.segments(spark, d).select(F.concat_ws("-", "airway", "seq").alias("uid"), F.col("airway").alias("airway_uid"), F.col("src").alias("from_uid"), F.when(F.col("airway") % 90 == 0, F.col("src")).when(F.col("airway") % 170 == 0, F.lit(-1)).otherwise(F.col("dst")).alias("to_uid"))
     return p, w, s
 
 
 _DEFECTS = f"""p AS (SELECT uid, CASE WHEN uid % 211 <> 0 THEN ident ELSE '  ' END AS ident, CASE WHEN uid % 307 = 0 THEN lat + 200e0 ELSE lat END AS lat, lon FROM nav_points),
-w AS (SELECT o_orderkey AS uid, CASE WHEN o_orderkey % 130 <> 0 THEN 'A' || CAST(o_orderkey AS VARCHAR) END AS designator FROM orders WHERE o_orderkey % 10 = 0),
-s AS (SELECT CAST(airway AS VARCHAR) || '-' || CAST(seq AS VARCHAR) AS uid, airway, src, CASE WHEN airway % 90 = 0 THEN src WHEN airway % 170 = 0 THEN -1 ELSE dst END AS dst FROM segments WHERE airway % 10 = 0),
+w AS (SELECT o_orderkey AS uid, CASE WHEN o_orderkey % 130 <> 0 THEN 'A' || CAST(o_orderkey AS VARCHAR) END AS designator FROM orders),
+s AS (SELECT CAST(airway AS VARCHAR) || '-' || CAST(seq AS VARCHAR) AS uid, airway, src, CASE WHEN airway % 90 = 0 THEN src WHEN airway % 170 = 0 THEN -1 ELSE dst END AS dst FROM segments),
 e AS (SELECT s.*, a.lat AS alat, b.lat AS blat, {D.hav_nm('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS nm FROM s LEFT JOIN p a ON s.src = a.uid LEFT JOIN p b ON s.dst = b.uid),
 issues AS (SELECT 'error' AS severity, 'point-empty-ident' AS code, CAST(uid AS VARCHAR) AS entity FROM p WHERE trim(ident) = ''
 UNION ALL SELECT 'error', 'point-coordinate-range', CAST(uid AS VARCHAR) FROM p WHERE NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180)
@@ -114,19 +114,19 @@ def quality_severity_counts(spark: SparkSession, d: str) -> DataFrame:
     return quality.severity_counts(quality.issues(*defective(spark, d)))
 
 
-def _ends(spark: SparkSession, d: str, every: int) -> DataFrame:
+def _ends(spark: SparkSession, d: str) -> DataFrame:
     p = D.nav_points(spark, d).select("uid", "lat", "lon")
-    return D.segments(spark, d, every).join(p.toDF("src", "alat", "alon"), "src").join(p.toDF("dst", "blat", "blon"), "dst")
+    return D.segments(spark, d).join(p.toDF("src", "alat", "alon"), "src").join(p.toDF("dst", "blat", "blon"), "dst")
 
 
 _E = "e AS (SELECT s.*, a.lat AS alat, a.lon AS alon, b.lat AS blat, b.lon AS blon FROM segments s JOIN nav_points a ON src = a.uid JOIN nav_points b ON dst = b.uid)"
 
 
-@query(sql(f"""WITH {_E}, c AS (SELECT *, {D.bearing('alat', 'alon', 'blat', 'blon')} AS course FROM e WHERE airway % 10 = 0)
+@query(sql(f"""WITH {_E}, c AS (SELECT *, {D.bearing('alat', 'alon', 'blat', 'blon')} AS course FROM e)
 SELECT airway, seq, src, dst, {q(D.hav_nm('alat', 'alon', 'blat', 'blon'), 2)} AS nm, {q('course', 3)} AS course, {q(D.mod('course + 180e0', '360e0'), 3)} AS reverse FROM c WHERE src <> dst""", "nav_points", "segments"))
 def segment_geometry(spark: SparkSession, d: str) -> DataFrame:
     """Length and both courses of each segment."""
-    e = _ends(spark, d, 10).where("src <> dst")
+    e = _ends(spark, d).where("src <> dst")
     c = geo.bearing(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
     return e.select("airway", "seq", "src", "dst", geo.quantise(geo.haversine_nm(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")), 2).alias("nm"), geo.quantise(c, 3).alias("course"), geo.quantise(geo.reverse_course(c), 3).alias("reverse"))
 
@@ -135,7 +135,7 @@ def segment_geometry(spark: SparkSession, d: str) -> DataFrame:
 def segments_long_rejected(spark: SparkSession, d: str) -> DataFrame:
     """Segments of each airway that are kept, and those rejected as a discontinuity over 700 NM."""
     ok = geo.haversine_nm(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")) <= quality.LONG_NM
-    return _ends(spark, d, 1).groupBy("airway").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("rejected"))
+    return _ends(spark, d).groupBy("airway").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("rejected"))
 
 
 @query(sql("""WITH v AS (SELECT airway, seq, point % 7 AS v, lag(point % 7) OVER (PARTITION BY airway ORDER BY seq) AS p, row_number() OVER (PARTITION BY airway ORDER BY seq) AS n FROM route_points)
@@ -196,46 +196,51 @@ def resolver_agreement(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "uid").select("uid", geo.quantise(nm, 3).alias("nm"), F.when(nm < 0.1, 10).otherwise(0).alias("score"), (nm > 50).alias("suspect"))
 
 
-@query(sql("""WITH known AS (SELECT ident, point_type, uid FROM nav_points), r AS (SELECT airway, seq, 'P' || lpad(CAST(point AS VARCHAR), 6, '0') AS ident, CASE WHEN point % 2 = 0 THEN p_type ELSE 'none' END AS area FROM route_points JOIN part ON p_partkey = point WHERE airway % 10 = 0),
+@query(sql("""WITH known AS (SELECT ident, point_type, uid FROM nav_points), r AS (SELECT airway, seq, 'P' || lpad(CAST(point AS VARCHAR), 6, '0') AS ident, CASE WHEN point % 2 = 0 THEN p_type ELSE 'none' END AS area FROM route_points JOIN part ON p_partkey = point),
 by_ident AS (SELECT ident, min(uid) AS uid FROM known GROUP BY 1)
 SELECT r.airway, r.seq, coalesce(k.uid, b.uid) AS uid, k.uid IS NOT NULL AS exact FROM r LEFT JOIN known k ON r.ident = k.ident AND r.area = k.point_type LEFT JOIN by_ident b ON r.ident = b.ident""", "nav_points", "route_points"))
 def route_point_two_step(spark: SparkSession, d: str) -> DataFrame:
     """Route points resolved by ident and area, else by ident."""
     known = D.nav_points(spark, d).select("ident", F.col("point_type").alias("area"), F.col("uid").alias("exact_uid"))
-    r = D.route_points(spark, d, 10).join(D.table(spark, d, "part").select("p_partkey", "p_type"), F.col("point") == F.col("p_partkey"))
+    r = D.route_points(spark, d).join(D.table(spark, d, "part").select("p_partkey", "p_type"), F.col("point") == F.col("p_partkey"))
     r = r.select("airway", "seq", F.concat(F.lit("P"), F.lpad(F.col("point").cast("string"), 6, "0")).alias("ident"), F.when(F.col("point") % 2 == 0, F.col("p_type")).otherwise("none").alias("area"))
     any_ = known.groupBy("ident").agg(F.min("exact_uid").alias("any_uid"))
     return r.join(known, ["ident", "area"], "left").join(any_, "ident", "left").select("airway", "seq", F.coalesce("exact_uid", "any_uid").alias("uid"), F.col("exact_uid").isNotNull().alias("exact"))
 
 
-@query(sql("""WITH e AS (SELECT DISTINCT src, dst FROM segments WHERE airway % 40 = 0 AND src <> dst), b AS (SELECT src AS u, dst AS v FROM e UNION SELECT dst, src FROM e),
-reach(u, v) AS (SELECT u, v FROM b UNION SELECT reach.u, b.v FROM reach JOIN b ON reach.v = b.u)
-SELECT u AS vertex, least(u, min(v)) AS component FROM reach GROUP BY u""", "segments", recursive=True))
+_REACH = f"""{_E}, kept AS (SELECT airway, seq, src, dst FROM e WHERE src <> dst AND {D.hav_nm('alat', 'alon', 'blat', 'blon')} <= 700),
+u AS (SELECT src AS u, dst AS v FROM kept UNION SELECT dst, src FROM kept), reach(u, v) AS (SELECT u, v FROM u UNION SELECT reach.u, u.v FROM reach JOIN u ON reach.v = u.u),
+members AS (SELECT u AS vertex, least(u, min(v)) AS component FROM reach GROUP BY u)"""
+
+
+def kept_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments between two points, without those that a discontinuity makes longer than 700 NM, with their length w."""
+    nm = geo.haversine_nm(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
+    return _ends(spark, d).where((F.col("src") != F.col("dst")) & (nm <= quality.LONG_NM)).select("airway", "seq", "src", "dst", geo.quantise(nm, 2).alias("w"))
+
+
+@query(sql(f"WITH {_REACH} SELECT vertex, component FROM members", "nav_points", "segments", recursive=True))
 def components(spark: SparkSession, d: str) -> DataFrame:
     """Connected components of the airway graph, isolated points left out."""
-    return graph.components(D.segments(spark, d, 40).select("src", "dst").distinct())
+    return graph.components(kept_segments(spark, d))
 
 
-@query()
+@query(sql(f"""WITH {_REACH}, top AS (SELECT component FROM members GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1), ids AS (SELECT vertex, row_number() OVER (ORDER BY vertex) - 1 AS idx FROM members JOIN top USING (component))
+SELECT airway, seq, a.idx AS src_idx, b.idx AS dst_idx FROM kept JOIN ids a ON src = a.vertex JOIN ids b ON dst = b.vertex""", "nav_points", "segments", recursive=True))
 def main_component_pack(spark: SparkSession, d: str) -> DataFrame:
     """Segments of the largest component by dense new ids."""
-    s = D.segments(spark, d, 40).where("src <> dst")
+    s = kept_segments(spark, d)
     main = graph.largest_component(graph.components(s))
-    p, e = graph.remap(D.nav_points(spark, d), s, main)
+    _, e = graph.remap(D.nav_points(spark, d), s, main)
     return e.select("airway", "seq", "src_idx", "dst_idx")
 
 
-def _weighted(spark: SparkSession, d: str, every: int) -> DataFrame:
-    e = _ends(spark, d, every).withColumn("w", geo.quantise(geo.haversine_nm(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")), 2))
-    return graph.undirected(e)
-
-
 def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Requests between airports, and their connectors: the nearest point in each component within 450 NM."""
-    edges = _weighted(spark, d, 40)
+    """A request from every airport to the third one after it, and connectors: the nearest point in each component within 450 NM."""
+    edges = graph.undirected(kept_segments(spark, d))
     members = graph.components(edges)
     a = D.airports(spark, d).select(F.col("id"), "lat", "lon")
-    req = a.where("id % 20 = 1").select(F.col("id").alias("query"), F.col("id").alias("origin"), (F.col("id") + 3).alias("goal"))
+    req = a.select(F.col("id").alias("query"), F.col("id").alias("origin"), (F.col("id") + 3).alias("goal"))
     p = D.nav_points(spark, d).select(F.col("uid").alias("vertex"), "lat", "lon")
     near = grid.distance_join(a, p, 450.0).select("id", "vertex", geo.quantise(F.col("dist_nm"), 2).alias("cost"))
     ends = [graph.nearest_per_component(req.join(near, F.col(c) == F.col("id")).select("query", "vertex", "cost"), members).select("query", "vertex", "cost") for c in ("origin", "goal")]

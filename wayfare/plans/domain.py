@@ -47,21 +47,20 @@ def airports(spark: SparkSession, d: str) -> DataFrame:
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
 
 
-def route_points(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
+def route_points(spark: SparkSession, d: str) -> DataFrame:
     """(airway, seq, point): the parts of an order as the points of an airway."""
     from pyspark.sql import Window
 
     x = table(spark, d, "lineitem")
-    x = x.where(F.col("l_orderkey") % every == 0) if every > 1 else x
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     return x.select(F.col("l_orderkey").alias("airway"), F.row_number().over(w).alias("seq"), F.col("l_partkey").alias("point"))
 
 
-def segments(spark: SparkSession, d: str, every: int = 1) -> DataFrame:
+def segments(spark: SparkSession, d: str) -> DataFrame:
     """(airway, seq, src, dst) of neighbouring points of an airway."""
     from ..operators.rows import with_next
 
-    return with_next(route_points(spark, d, every), ["airway"], ["seq"], ["point"]).where("next_point IS NOT NULL").select("airway", "seq", F.col("point").alias("src"), F.col("next_point").alias("dst"))
+    return with_next(route_points(spark, d), ["airway"], ["seq"], ["point"]).where("next_point IS NOT NULL").select("airway", "seq", F.col("point").alias("src"), F.col("next_point").alias("dst"))
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -96,8 +95,8 @@ SQL = {
   (user_id * 727 % 30000) / 100e0 - 150e0 + (event_id * 11 % 300) / 100e0 AS lon, CAST(event_id * 37 % 12000 AS DOUBLE) AS alt, value AS speed,
   CAST(event_id * 53 % 360 AS DOUBLE) AS course, CAST(event_id * 13 % 700 AS DOUBLE) AS accuracy,
   CASE event_type WHEN 'error' THEN 'estimated' WHEN 'signup' THEN 'interpolated' ELSE 'gps' END AS source, event_type, props FROM events""",
-    "steps": """SELECT *, coalesce({step}, 0e0) AS step_m FROM (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, row_number() OVER w AS n,
-  lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon, epoch_us(ts) / 1e6 AS t FROM points WINDOW w AS (PARTITION BY journey ORDER BY ts, ord))""",
+    "steps": """SELECT *, step_mm / 1e3 AS step_m FROM (SELECT *, coalesce(CAST({step} AS BIGINT), 0) AS step_mm FROM (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, row_number() OVER w AS n,
+  lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon, epoch_us(ts) / 1e6 AS t FROM points WINDOW w AS (PARTITION BY journey ORDER BY ts, ord)))""",
 }
 _NEEDS = {"nav_points": ["nations"], "airports": ["nations"], "segments": ["route_points"], "steps": ["points"]}
 
@@ -109,16 +108,17 @@ def q(x: str, digits: int) -> str:
 
 def _chord(a: str, b: str, c: str, d: str) -> str:
     lat, lon = f"sin((radians({c}) - radians({a})) / 2e0)", f"sin((radians({d}) - radians({b})) / 2e0)"
-    return f"least(1e0, {lat} * {lat} + cos(radians({a})) * cos(radians({c})) * {lon} * {lon})"
+    return f"({lat} * {lat} + cos(radians({a})) * cos(radians({c})) * {lon} * {lon})"
 
 
 def hav_m(a: str, b: str, c: str, d: str) -> str:
     h = _chord(a, b, c, d)
-    return f"(2e0 * 6371008.8e0 * atan2(sqrt({h}), sqrt(1e0 - {h})))"
+    return f"(2e0 * 6371008.8e0 * atan2(sqrt({h}), sqrt(abs(1e0 - {h}))))"
 
 
 def hav_nm(a: str, b: str, c: str, d: str) -> str:
-    return f"(2e0 * 3440.065e0 * asin(least(1e0, sqrt({_chord(a, b, c, d)}))))"
+    h = _chord(a, b, c, d)
+    return f"(2e0 * 3440.065e0 * atan2(sqrt({h}), sqrt(abs(1e0 - {h}))))"
 
 
 def mod(x: str, m: str) -> str:
@@ -134,7 +134,7 @@ def clamp(x: str, lo: str, hi: str) -> str:
     return f"least({hi}, greatest({lo}, {x}))"
 
 
-SQL["steps"] = SQL["steps"].replace("{step}", q(hav_m("plat", "plon", "lat", "lon"), 3))
+SQL["steps"] = SQL["steps"].replace("{step}", f"floor({hav_m('plat', 'plon', 'lat', 'lon')} * 1e3 + 0.5e0)")
 
 
 def sql(body: str, *names: str, recursive: bool = False) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -13,17 +13,17 @@ from . import domain as D
 from .domain import clamp, mod, q, sql
 
 
-@query(sql(f"SELECT journey, count(*) AS n_points, {q('sum(step_m)', 1)} AS length_m FROM steps GROUP BY journey", "steps"))
+@query(sql(f"SELECT journey, count(*) AS n_points, {q('CAST(sum(step_mm) AS DOUBLE) / 1e3', 1)} AS length_m FROM steps GROUP BY journey", "steps"))
 def trajectory_length(spark: SparkSession, d: str) -> DataFrame:
     return T.bounds(D.points(spark, d)).select("journey", "n_points", "length_m")
 
 
-@query(sql(f"SELECT journey, min(ts) AS start_ts, max(ts) AS end_ts, greatest(1e0, max(t) - min(t)) AS duration_s, {q('sum(step_m)', 1)} AS length_m, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east, max(coalesce(alt, 0)) AS max_alt, max(coalesce(speed, 0)) AS max_speed FROM steps GROUP BY journey", "steps"))
+@query(sql(f"SELECT journey, min(ts) AS start_ts, max(ts) AS end_ts, greatest(1e0, max(t) - min(t)) AS duration_s, {q('CAST(sum(step_mm) AS DOUBLE) / 1e3', 1)} AS length_m, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east, max(coalesce(alt, 0)) AS max_alt, max(coalesce(speed, 0)) AS max_speed FROM steps GROUP BY journey", "steps"))
 def route_bounds(spark: SparkSession, d: str) -> DataFrame:
     return T.bounds(D.points(spark, d)).drop("n_points")
 
 
-_FLOWN = "f AS (SELECT *, sum(step_m) OVER (PARTITION BY journey ORDER BY ts, ord ROWS UNBOUNDED PRECEDING) AS flown, sum(step_m) OVER (PARTITION BY journey) AS total FROM steps)"
+_FLOWN = "f AS (SELECT *, CAST(sum(step_mm) OVER (PARTITION BY journey ORDER BY ts, ord ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 1e3 AS flown, CAST(sum(step_mm) OVER (PARTITION BY journey) AS DOUBLE) / 1e3 AS total FROM steps)"
 
 
 @query(sql(f"WITH {_FLOWN} SELECT journey, ord, {q('flown', 1)} AS flown_m, {q('greatest(0e0, total - flown)', 1)} AS remaining_m FROM f", "steps"))
@@ -45,11 +45,11 @@ def timed_route_fraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql(f"""WITH j AS (SELECT journey, min(t) AS lo, max(t) AS hi FROM steps GROUP BY 1), k AS (SELECT journey, lo, hi, CAST(floor(lo) AS BIGINT) - 3600 + i * 86400 AS tick FROM j, (SELECT unnest(range(0, 32)) AS i)),
-c AS (SELECT journey, CAST(tick AS DOUBLE) AS tick_s, least(hi, greatest(lo, CAST(tick AS DOUBLE))) AS at FROM k),
-x AS (SELECT c.journey, c.tick_s, c.at, (SELECT max(t) FROM steps s WHERE s.journey = c.journey AND s.t <= c.at) AS ta, (SELECT min(t) FROM steps s WHERE s.journey = c.journey AND s.t > c.at) AS tb FROM c),
+c AS (SELECT journey, CAST(tick AS DOUBLE) AS tick_s, least(hi, greatest(lo, CAST(tick AS DOUBLE))) AS tm FROM k),
+x AS (SELECT c.journey, c.tick_s, c.tm, (SELECT max(t) FROM steps s WHERE s.journey = c.journey AND s.t <= c.tm) AS ta, (SELECT min(t) FROM steps s WHERE s.journey = c.journey AND s.t > c.tm) AS tb FROM c),
 pa AS (SELECT journey, t, max_by(struct_pack(lat := lat, lon := lon, alt := alt, speed := speed, source := source), ord) AS p FROM steps GROUP BY 1, 2),
 pb AS (SELECT journey, t, min_by(struct_pack(lat := lat, lon := lon, alt := alt, speed := speed, source := source), ord) AS p FROM steps GROUP BY 1, 2),
-y AS (SELECT x.journey, x.tick_s, pa.p AS a, coalesce(pb.p, pa.p) AS b, coalesce((at - ta) / nullif(tb - ta, 0e0), 0e0) AS f FROM x JOIN pa ON pa.journey = x.journey AND pa.t = x.ta LEFT JOIN pb ON pb.journey = x.journey AND pb.t = x.tb)
+y AS (SELECT x.journey, x.tick_s, pa.p AS a, coalesce(pb.p, pa.p) AS b, coalesce((tm - ta) / nullif(tb - ta, 0e0), 0e0) AS f FROM x JOIN pa ON pa.journey = x.journey AND pa.t = x.ta LEFT JOIN pb ON pb.journey = x.journey AND pb.t = x.tb)
 SELECT journey, tick_s, {q('a.alt + (b.alt - a.alt) * least(1e0, greatest(0e0, f))', 2)} AS alt, {q('a.speed + (b.speed - a.speed) * least(1e0, greatest(0e0, f))', 3)} AS speed, CASE WHEN a.source = 'gps' AND b.source = 'gps' THEN 'interpolated' ELSE a.source END AS source FROM y""", "steps"))
 def replay_sample_asof(spark: SparkSession, d: str) -> DataFrame:
     """Replay positions once a day, clamped to a journey's span."""
@@ -74,12 +74,12 @@ def flight_events(spark: SparkSession, d: str) -> DataFrame:
     return T.flight_events(p, known).select("journey", "kind", "ts", "ord")
 
 
-@query(sql(f"""WITH {_EVENTS}, {_FLOWN}, s AS (SELECT journey, ord, t, alt, flown FROM f WHERE ord % 25 = 0),
+@query(sql(f"""WITH {_EVENTS}, {_FLOWN}, s AS (SELECT journey, ord, t, alt, flown FROM f),
 l AS (SELECT s.*, (SELECT arg_max(kind, struct_pack(t := epoch_us(e.ts) / 1e6, r := e.rank)) FROM e WHERE e.journey = s.journey AND epoch_us(e.ts) / 1e6 <= s.t) AS last FROM s)
-SELECT journey, t AS tick_s, CASE WHEN last IN ('topOfClimb', 'cruise') THEN 'Cruise' WHEN last = 'topOfDescent' THEN 'Descent' WHEN alt < 900 AND flown > 10000 THEN 'Approach' WHEN last = 'takeoff' THEN 'Takeoff' WHEN last = 'landing' THEN 'Landing' WHEN last = 'maxAltitude' THEN 'Max altitude' WHEN last = 'maxSpeed' THEN 'Max speed' ELSE 'Climb' END AS phase FROM l""", "points", "steps"))
+SELECT journey, ord, t AS tick_s, CASE WHEN last IN ('topOfClimb', 'cruise') THEN 'Cruise' WHEN last = 'topOfDescent' THEN 'Descent' WHEN alt < 900 AND flown > 10000 THEN 'Approach' WHEN last = 'takeoff' THEN 'Takeoff' WHEN last = 'landing' THEN 'Landing' WHEN last = 'maxAltitude' THEN 'Max altitude' WHEN last = 'maxSpeed' THEN 'Max speed' ELSE 'Climb' END AS phase FROM l""", "points", "steps"))
 def flight_phase(spark: SparkSession, d: str) -> DataFrame:
     p = D.points(spark, d)
-    samples = T.flown(p).where("ord % 25 = 0").select("journey", T.seconds("ts").alias("tick_s"), "alt", "flown_m")
+    samples = T.flown(p).select("journey", "ord", T.seconds("ts").alias("tick_s"), "alt", "flown_m")
     return T.phase_at(samples, T.flight_events(p))
 
 
@@ -115,7 +115,7 @@ def pilot_attitude(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql(f"""WITH x AS (SELECT journey, list(CASE WHEN abs(coalesce(speed, 0e0)) < 0.8 THEN 0e0 ELSE speed END ORDER BY ts, ord) AS v, list(ord ORDER BY ts, ord) AS o FROM points GROUP BY 1),
-y AS (SELECT journey, o, list_reduce(v, (a, b) -> a + (b - a) * 0.12e0, 0e0) AS s FROM x) SELECT journey, o[len(o)] AS ord, {q('s', 4)} AS smooth FROM y""", "points"))
+y AS (SELECT journey, o, list_reduce(v, lambda a, b: a + (b - a) * 0.12e0, 0e0) AS s FROM x) SELECT journey, o[len(o)] AS ord, {q('s', 4)} AS smooth FROM y""", "points"))
 def smoothed_last(spark: SparkSession, d: str) -> DataFrame:
     """The last exponentially smoothed value of each journey."""
     s = T.smoothed(D.points(spark, d), "speed")
@@ -123,12 +123,12 @@ def smoothed_last(spark: SparkSession, d: str) -> DataFrame:
     return last.select("journey", "ord", geo.quantise(F.col("smooth"), 4).alias("smooth"))
 
 
-_SUMMARY = f"s AS (SELECT journey, count(*) AS n_points, {q('sum(step_m)', 1)} AS length_m, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS modes, year(min(ts)) AS year FROM steps GROUP BY journey), c AS (SELECT s.*, country FROM s JOIN nations ON n_nationkey = journey % 25)"
+_SUMMARY = f"s AS (SELECT journey, count(*) AS n_points, {q('CAST(sum(step_mm) AS DOUBLE) / 1e3', 1)} AS length_m, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS modes, year(min(ts)) AS year FROM steps GROUP BY journey), c AS (SELECT s.*, country FROM s JOIN nations ON n_nationkey = journey % 25)"
 
 
 def journey_table(spark: SparkSession, d: str) -> DataFrame:
     p = T.with_steps(D.points(spark, d))
-    s = p.groupBy("journey").agg(F.count("*").alias("n_points"), geo.quantise(F.sum("step_m"), 1).alias("length_m"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("modes"), F.year(F.min("ts")).cast("bigint").alias("year"))
+    s = p.groupBy("journey").agg(F.count("*").alias("n_points"), geo.quantise(F.sum("step_mm") / 1e3, 1).alias("length_m"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("modes"), F.year(F.min("ts")).cast("bigint").alias("year"))
     return s.withColumn("k", (F.col("journey") % 25).cast("int")).join(F.broadcast(D.nations(spark, d)), F.col("k") == F.col("n_nationkey")).drop("k", "n_nationkey", "region")
 
 
@@ -200,7 +200,7 @@ def event_upsert(spark: SparkSession, d: str) -> DataFrame:
     return rows.upsert(e, new, ["event_id"])
 
 
-_VISITS = "old AS (SELECT event_id AS id, user_id AS journey, CASE WHEN event_id % 4 <> 0 THEN event_id % 500 END AS source_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 500 ORDER BY event_id) AS n FROM events WHERE event_id < 3000) WHERE n = 1), new AS (SELECT event_id AS id, user_id AS journey, CASE WHEN event_id % 4 <> 0 THEN event_id % 500 END AS source_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 500 ORDER BY event_id) AS n FROM events WHERE event_id BETWEEN 3000 AND 5999) WHERE n = 1)"
+_VISITS = "old AS (SELECT event_id AS id, user_id AS journey, CASE WHEN event_id % 4 <> 0 THEN event_id % 500 END AS source_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 500 ORDER BY event_id) AS n FROM events WHERE event_id // 500 % 2 = 0) WHERE n = 1), new AS (SELECT event_id AS id, user_id AS journey, CASE WHEN event_id % 4 <> 0 THEN event_id % 500 END AS source_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 500 ORDER BY event_id) AS n FROM events WHERE event_id // 500 % 2 = 1) WHERE n = 1)"
 
 
 @query(f"WITH {_VISITS} SELECT coalesce(o.id, n.id) AS id, n.journey, n.source_id, n.value FROM new n LEFT JOIN old o ON n.journey = o.journey AND n.source_id = o.source_id WHERE n.source_id IS NOT NULL UNION ALL SELECT * FROM new WHERE source_id IS NULL UNION ALL SELECT * FROM old WHERE source_id IS NULL OR NOT EXISTS (SELECT 1 FROM new n WHERE n.journey = old.journey AND n.source_id = old.source_id)")
@@ -211,26 +211,27 @@ def visit_point_upsert(spark: SparkSession, d: str) -> DataFrame:
     def part(x: DataFrame) -> DataFrame:
         return rows.first_wins(x, ["user_id", "s"], "event_id").select(F.col("event_id").alias("id"), F.col("user_id").alias("journey"), F.when(F.col("event_id") % 4 != 0, F.col("s")).alias("source_id"), "value")
 
-    return rows.upsert_partial(part(e.where("event_id < 3000")), part(e.where("event_id BETWEEN 3000 AND 5999")), "source_id", ["journey", "source_id"], ["id"])
+    return rows.upsert_partial(part(e.where("event_id DIV 500 % 2 = 0")), part(e.where("event_id DIV 500 % 2 = 1")), "source_id", ["journey", "source_id"], ["id"])
 
 
-@query("""WITH j AS (SELECT o_orderkey AS journey, o_orderdate AS a, o_orderdate + INTERVAL 2 DAY AS b FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderkey % 50 = 0),
+@query("""WITH j AS (SELECT o_orderkey AS journey, o_orderdate AS a, o_orderdate + INTERVAL 2 DAY AS b FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'),
 x AS (SELECT journey, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity FROM j JOIN lineitem ON l_shipdate >= a AND l_shipdate <= b WHERE l_orderkey % 3 <> 0),
 y AS (SELECT *, row_number() OVER (PARTITION BY journey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS n FROM x) SELECT journey, l_orderkey, l_linenumber, n FROM y WHERE n <= 80""")
 def photo_interval_anti_limit(spark: SparkSession, d: str) -> DataFrame:
     """Photos within a journey's time that are not imported yet, the first 80 of each journey.
 
-    The interval join is an equi join on days: each journey lists the days that it touches.
+    The interval join is an equi join on days: each interval lists the days that it touches. Journeys
+    that span the same time see the same photos, so these are ranked once for each distinct interval.
     """
-    o = D.table(spark, d, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1995-01-01 00:00:00' AND o_orderkey % 50 = 0")
-    j = o.select(F.col("o_orderkey").alias("journey"), F.col("o_orderdate").alias("a"), F.expr("o_orderdate + INTERVAL 2 DAY").alias("b"))
-    j = j.withColumn("day", F.explode(F.sequence(F.to_date("a"), F.to_date("b"))))
+    o = D.table(spark, d, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1995-01-01 00:00:00'")
+    j = o.select(F.col("o_orderkey").alias("journey"), F.col("o_orderdate").alias("a"))
+    spans = j.select("a").distinct().withColumn("b", F.expr("a + INTERVAL 2 DAY")).withColumn("day", F.explode(F.sequence(F.to_date("a"), F.to_date("b"))))
     x = D.table(spark, d, "lineitem")
     imported = D.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    photos = x.where("l_orderkey % 3 <> 0").join(imported, "l_orderkey", "left_anti").withColumn("day", F.to_date("l_shipdate"))
-    hits = j.join(photos, "day").where("l_shipdate >= a AND l_shipdate <= b")
-    w = Window.partitionBy("journey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    return hits.withColumn("n", F.row_number().over(w)).where("n <= 80").select("journey", "l_orderkey", "l_linenumber", "n")
+    photos = x.join(imported, "l_orderkey", "left_anti").withColumn("day", F.to_date("l_shipdate"))
+    hits = spans.join(photos, "day").where("l_shipdate >= a AND l_shipdate <= b")
+    first = rows.top_per_key(hits, ["a"], 80, *map(F.col, ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")), rank="n")
+    return j.join(first, "a").select("journey", "l_orderkey", "l_linenumber", "n")
 
 
 @query(sql(f"SELECT journey, ord, replace(format('{{:,}}', CAST(floor(alt * 3.28084e0 + 0.5e0) AS BIGINT)), ' ', '') || ' ft' AS altitude, lpad(CAST(CAST(floor(course + 0.5e0) AS BIGINT) AS VARCHAR), 3, '0') || ' deg' AS heading, {q('speed * 3.6e0', 1)} AS speed_kmh FROM points", "points"))

@@ -41,20 +41,20 @@ def driver_sources(spark: SparkSession, d: str) -> list[DataFrame]:
     p, a, c = D.nav_points(spark, d), D.airports(spark, d), D.table(spark, d, "customer")
     none = F.lit(None).cast("string")
     pop = F.col("uid") * 7919 % 5_000_000
-    first = p.where("uid % 4 = 0").select(F.concat(F.lit("ne-"), F.col("uid").cast("string")).alias("id"), "name", none.alias("name_zh"), F.lit("majorCity").alias("type"), "lat", "lon", "country", pop.alias("population"), natural_earth_importance(F.col("uid") % 101 == 0, pop, F.col("size")).alias("importance"), F.lit(4).alias("min_zoom"), F.lit("ne").alias("source"))
-    second = p.where("uid % 6 = 0").select(F.concat(F.lit("gn-"), F.col("uid").cast("string")).alias("id"), F.upper("name").alias("name"), none.alias("name_zh"), F.lit("city").alias("type"), "lat", "lon", "country", pop.alias("population"), city_importance(pop, F.col("uid") % 103 == 0).alias("importance"), city_zoom(pop, F.col("uid") % 103 == 0).alias("min_zoom"), F.lit("gn").alias("source"))
+    first = p.where("uid % 2 = 0").select(F.concat(F.lit("ne-"), F.col("uid").cast("string")).alias("id"), "name", none.alias("name_zh"), F.lit("majorCity").alias("type"), "lat", "lon", "country", pop.alias("population"), natural_earth_importance(F.col("uid") % 101 == 0, pop, F.col("size")).alias("importance"), F.lit(4).alias("min_zoom"), F.lit("ne").alias("source"))
+    second = p.select(F.concat(F.lit("gn-"), F.col("uid").cast("string")).alias("id"), F.upper("name").alias("name"), none.alias("name_zh"), F.lit("city").alias("type"), "lat", "lon", "country", pop.alias("population"), city_importance(pop, F.col("uid") % 103 == 0).alias("importance"), city_zoom(pop, F.col("uid") % 103 == 0).alias("min_zoom"), F.lit("gn").alias("source"))
     third = a.select(F.concat(F.lit("ap-"), F.col("id").cast("string")).alias("id"), "name", none.alias("name_zh"), F.lit("airport").alias("type"), "lat", "lon", "country", F.lit(None).cast("bigint").alias("population"), F.lit(0.7).alias("importance"), F.lit(6).alias("min_zoom"), F.lit("ap").alias("source"))
-    fourth = c.where("c_custkey % 50 = 0").select(F.concat(F.lit("cu-"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("name_zh"), F.lit("region").alias("type"), (F.col("c_custkey") * 7 % 9000 / F.lit(100.0)).alias("lat"), (F.col("c_custkey") * 3 % 9000 / F.lit(100.0)).alias("lon"), none.alias("country"), F.lit(None).cast("bigint").alias("population"), F.lit(0.5).alias("importance"), F.lit(5).alias("min_zoom"), F.lit("cu").alias("source"))
+    fourth = c.select(F.concat(F.lit("cu-"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("name_zh"), F.lit("region").alias("type"), (F.col("c_custkey") * 7 % 9000 / F.lit(100.0)).alias("lat"), (F.col("c_custkey") * 3 % 9000 / F.lit(100.0)).alias("lon"), none.alias("country"), F.lit(None).cast("bigint").alias("population"), F.lit(0.5).alias("importance"), F.lit(5).alias("min_zoom"), F.lit("cu").alias("source"))
     return [first, second, third, fourth]
 
 
 _POP = "(uid * 7919 % 5000000)"
 
 
-@query(sql(f"""WITH s AS (SELECT 'ne-' || CAST(uid AS VARCHAR) AS id, name, NULL AS name_zh, lat, lon, country, {_POP} AS population, CASE WHEN uid % 101 = 0 THEN 0.96e0 WHEN {_POP} >= 3000000 THEN 0.92e0 WHEN size <= 3 THEN 0.88e0 ELSE 0.78e0 END AS importance, 0 AS rank FROM nav_points WHERE uid % 4 = 0
-UNION ALL SELECT 'gn-' || CAST(uid AS VARCHAR), upper(name), NULL, lat, lon, country, {_POP}, CASE WHEN uid % 103 = 0 THEN 0.94e0 WHEN {_POP} >= 3000000 THEN 0.9e0 WHEN {_POP} >= 1000000 THEN 0.86e0 WHEN {_POP} >= 250000 THEN 0.8e0 ELSE 0.72e0 END, 1 FROM nav_points WHERE uid % 6 = 0
+@query(sql(f"""WITH s AS (SELECT 'ne-' || CAST(uid AS VARCHAR) AS id, name, NULL AS name_zh, lat, lon, country, {_POP} AS population, CASE WHEN uid % 101 = 0 THEN 0.96e0 WHEN {_POP} >= 3000000 THEN 0.92e0 WHEN size <= 3 THEN 0.88e0 ELSE 0.78e0 END AS importance, 0 AS rank FROM nav_points WHERE uid % 2 = 0
+UNION ALL SELECT 'gn-' || CAST(uid AS VARCHAR), upper(name), NULL, lat, lon, country, {_POP}, CASE WHEN uid % 103 = 0 THEN 0.94e0 WHEN {_POP} >= 3000000 THEN 0.9e0 WHEN {_POP} >= 1000000 THEN 0.86e0 WHEN {_POP} >= 250000 THEN 0.8e0 ELSE 0.72e0 END, 1 FROM nav_points
 UNION ALL SELECT 'ap-' || CAST(id AS VARCHAR), name, NULL, lat, lon, country, NULL, 0.7e0, 2 FROM airports
-UNION ALL SELECT 'cu-' || CAST(c_custkey AS VARCHAR), c_name, c_mktsegment, (c_custkey * 7 % 9000) / 100e0, (c_custkey * 3 % 9000) / 100e0, NULL, NULL, 0.5e0, 3 FROM customer WHERE c_custkey % 50 = 0),
+UNION ALL SELECT 'cu-' || CAST(c_custkey AS VARCHAR), c_name, c_mktsegment, (c_custkey * 7 % 9000) / 100e0, (c_custkey * 3 % 9000) / 100e0, NULL, NULL, 0.5e0, 3 FROM customer),
 k AS (SELECT *, row_number() OVER (PARTITION BY coalesce(country, ''), lower(coalesce(name_zh, name)), {q('lat', 2)}, {q('lon', 2)} ORDER BY rank, id) AS n FROM s)
 SELECT id, name, importance, row_number() OVER (ORDER BY importance DESC, coalesce(population, 0) DESC, name, id) AS place FROM k WHERE n = 1""", "nav_points", "airports"))
 def place_merge_rank(spark: SparkSession, d: str) -> DataFrame:

@@ -20,39 +20,39 @@ def points_in_radius_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def places(spark: SparkSession, d: str) -> DataFrame:
-    """Places to name: every tenth point."""
+    """Places to name: all points."""
     kind = F.when(F.col("uid") % 3 == 0, "airport").when(F.col("uid") % 3 == 1, "majorCity").otherwise("landmark")
-    return D.nav_points(spark, d).where("uid % 10 = 0").select(F.col("uid").alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), kind.alias("kind"), (F.col("size") / F.lit(50.0)).alias("importance"))
+    return D.nav_points(spark, d).select(F.col("uid").alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), kind.alias("kind"), (F.col("size") / F.lit(50.0)).alias("importance"))
 
 
-_PLACES = "places AS (SELECT uid AS place, lat AS plat, lon AS plon, CASE uid % 3 WHEN 0 THEN 'airport' WHEN 1 THEN 'majorCity' ELSE 'landmark' END AS kind, size / 50e0 AS importance FROM nav_points WHERE uid % 10 = 0)"
+_PLACES = "places AS (SELECT uid AS place, lat AS plat, lon AS plon, CASE uid % 3 WHEN 0 THEN 'airport' WHEN 1 THEN 'majorCity' ELSE 'landmark' END AS kind, size / 50e0 AS importance FROM nav_points)"
 _SECTOR = "CASE WHEN t < 30 OR t >= 330 THEN 'front' WHEN t < 75 THEN 'right-front' WHEN t < 120 THEN 'right side' WHEN t < 180 THEN 'right-rear' WHEN t < 240 THEN 'left-rear' WHEN t < 285 THEN 'left side' ELSE 'left-front' END"
 
 
-@query(sql(f"""WITH {_PLACES}, x AS (SELECT ord, course AS heading, lat, lon, place, plat, plon, kind, importance, {D.hav_m('lat', 'lon', 'plat', 'plon')} AS m FROM points, places WHERE ord % 50 = 0),
+@query(sql(f"""WITH {_PLACES}, x AS (SELECT ord, course AS heading, lat, lon, place, plat, plon, kind, importance, {D.hav_m('lat', 'lon', 'plat', 'plon')} AS m FROM points, places),
 y AS (SELECT *, {q("m - (CASE kind WHEN 'airport' THEN 60000e0 WHEN 'majorCity' THEN 0e0 ELSE 150000e0 END) - importance * 24000e0", 2)} AS score FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY score, place) AS n, {D.mod(D.bearing('lat', 'lon', 'plat', 'plon') + ' - heading', '360e0')} AS t FROM y)
 SELECT ord, place, {q('m', 1)} AS dist_m, {_SECTOR} AS direction FROM z WHERE n = 1""", "points", "nav_points"))
 def nearest_landmark_scored(spark: SparkSession, d: str) -> DataFrame:
     """The place to name for a position, and in which sector of the view it is."""
-    p = D.points(spark, d).where("ord % 50 = 0").select("ord", "lat", "lon", F.col("course").alias("heading"))
+    p = D.points(spark, d).select("ord", "lat", "lon", F.col("course").alias("heading"))
     return grid.nearest_scored(p, places(spark, d), "ord", "place").select("ord", "place", geo.quantise(F.col("dist_m"), 1).alias("dist_m"), "direction")
 
 
-@query(sql(f"""WITH {_PLACES}, x AS (SELECT ord, place, {q(D.hav_m('lat', 'lon', 'plat', 'plon'), 2)} AS m FROM points, places WHERE ord % 50 = 0), y AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY m, place) AS rank FROM x)
+@query(sql(f"""WITH {_PLACES}, x AS (SELECT ord, place, {q(D.hav_m('lat', 'lon', 'plat', 'plon'), 2)} AS m FROM points, places), y AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY m, place) AS rank FROM x)
 SELECT ord, place, m AS dist_m, rank FROM y WHERE rank <= 4""", "points", "nav_points"))
 def knn4_features(spark: SparkSession, d: str) -> DataFrame:
     """The four nearest places of each position, by growing rings of cells."""
-    p = D.points(spark, d).where("ord % 50 = 0").select("ord", "lat", "lon")
+    p = D.points(spark, d).select("ord", "lat", "lon")
     return grid.knn_exact(p, places(spark, d).select("place", "plat", "plon"), "ord", "place", 4)
 
 
-@query(sql(f"""WITH {_PLACES}, c AS (SELECT ord, lat, lon, CAST(floor(lat / 5e0) AS BIGINT) AS r, CAST(floor(lon / 5e0) AS BIGINT) AS c FROM points WHERE ord % 50 = 0), p AS (SELECT *, CAST(floor(plat / 5e0) AS BIGINT) AS pr, CAST(floor(plon / 5e0) AS BIGINT) AS pc FROM places),
+@query(sql(f"""WITH {_PLACES}, c AS (SELECT ord, lat, lon, CAST(floor(lat / 5e0) AS BIGINT) AS r, CAST(floor(lon / 5e0) AS BIGINT) AS c FROM points), p AS (SELECT *, CAST(floor(plat / 5e0) AS BIGINT) AS pr, CAST(floor(plon / 5e0) AS BIGINT) AS pc FROM places),
 x AS (SELECT ord, place, greatest(abs(pr - r), abs(pc - c)) AS ring, {q(D.hav_m('lat', 'lon', 'plat', 'plon'), 2)} AS m FROM c JOIN p ON abs(pr - r) <= 2 AND abs(pc - c) <= 2),
 y AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY ring, m, place) AS n FROM x) SELECT ord, place, ring, m AS dist_m FROM y WHERE n = 1""", "points", "nav_points"))
 def ring_search_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The best place of the first ring of plain 5-degree cells that holds any, up to two rings; not always the nearest."""
-    p = D.points(spark, d).where("ord % 50 = 0").select("ord", "lat", "lon").withColumn("cell", geo.cell_open(F.col("lat"), F.col("lon")))
+    p = D.points(spark, d).select("ord", "lat", "lon").withColumn("cell", geo.cell_open(F.col("lat"), F.col("lon")))
     span = F.sequence(F.lit(-2), F.lit(2))
     p = p.withColumn("dr", F.explode(span)).withColumn("dc", F.explode(span)).select("ord", "lat", "lon", (F.col("cell.row") + F.col("dr")).alias("r"), (F.col("cell.col") + F.col("dc")).alias("c"), F.greatest(F.abs("dr"), F.abs("dc")).cast("bigint").alias("ring"))
     s = places(spark, d).withColumn("cell", geo.cell_open(F.col("plat"), F.col("plon"))).select("place", "plat", "plon", F.col("cell.row").alias("r"), F.col("cell.col").alias("c"))
@@ -61,13 +61,13 @@ def ring_search_nearest(spark: SparkSession, d: str) -> DataFrame:
     return best.select("ord", "s.place", "s.ring", "s.dist_m")
 
 
-@query(sql(f"""WITH {_PLACES}, r AS (SELECT lat, lon, row_number() OVER (ORDER BY ts, ord) - 1 AS at, count(*) OVER () AS n FROM points WHERE journey = 7),
-s AS (SELECT lat, lon, CAST(floor((lat + 90) / 5e0) AS INT) AS sr, CAST(floor((lon + 180) / 5e0) AS INT) AS sc FROM r WHERE at % greatest(1, CAST(ceil(n / 96e0) AS INT)) = 0 OR at = n - 1)
-SELECT DISTINCT place, kind FROM places p, s WHERE abs(CAST(floor((plat + 90) / 5e0) AS INT) - sr) <= 2 AND abs(CAST(floor((plon + 180) / 5e0) AS INT) - sc) <= 2 AND {D.hav_m('lat', 'lon', 'plat', 'plon')} <= 650000""", "points", "nav_points"))
+@query(sql(f"""WITH {_PLACES}, r AS (SELECT journey, lat, lon, row_number() OVER (PARTITION BY journey ORDER BY ts, ord) - 1 AS pos, count(*) OVER (PARTITION BY journey) AS n FROM points),
+s AS (SELECT journey, lat, lon, CAST(floor((lat + 90) / 5e0) AS INT) AS sr, CAST(floor((lon + 180) / 5e0) AS INT) AS sc FROM r WHERE pos % greatest(1, CAST(ceil(n / 96e0) AS INT)) = 0 OR pos = n - 1)
+SELECT DISTINCT journey, place FROM places p, s WHERE abs(CAST(floor((plat + 90) / 5e0) AS INT) - sr) <= 2 AND abs(CAST(floor((plon + 180) / 5e0) AS INT) - sc) <= 2 AND {D.hav_m('lat', 'lon', 'plat', 'plon')} <= 650000""", "points", "nav_points"))
 def landmarks_near_route(spark: SparkSession, d: str) -> DataFrame:
-    """Places within 650 km of a route's samples, at most about 96 of them and the last point."""
-    r = rows.every_kth(D.points(spark, d).where("journey = 7"), ["journey"], ["ts", "ord"], 96)
-    return grid.route_places(r, places(spark, d), "place", 650_000.0).select("place", "kind")
+    """Places within 650 km of each route's samples, at most about 96 of them and the last point."""
+    r = rows.every_kth(D.points(spark, d), ["journey"], ["ts", "ord"], 96)
+    return grid.route_places(r, places(spark, d), "journey", "place", 650_000.0)
 
 
 @query(sql(f"WITH {_PLACES} SELECT place, EXISTS (SELECT 1 FROM points WHERE {D.hav_m('lat', 'lon', 'plat', 'plon')} < 8000) AS matched FROM places", "points", "nav_points"))
@@ -87,13 +87,13 @@ def grid_cells(spark: SparkSession, d: str) -> DataFrame:
     return grid.cells_of(p, "uid").select("cell", F.array_join("ids", ",").alias("ids"))
 
 
-@query(sql(f"SELECT journey, {q('min(m)', 1)} AS deviation_m FROM (SELECT p.journey, {D.hav_m('p.lat', 'p.lon', 'r.lat', 'r.lon')} AS m FROM points p JOIN points r ON p.journey = r.journey AND p.ord % 20 = 0 AND r.ord % 20 = 10) GROUP BY 1", "points"))
+@query(sql(f"SELECT journey, {q('min(m)', 1)} AS deviation_m FROM (SELECT p.journey, {q(D.hav_m('p.lat', 'p.lon', 'r.lat', 'r.lon'), 2)} AS m FROM points p JOIN points r ON p.journey = r.journey AND p.ord % 2 = 0 AND r.ord % 2 = 1) GROUP BY 1", "points"))
 def route_deviation(spark: SparkSession, d: str) -> DataFrame:
-    """Least distance of a journey's sampled positions to its planned ones."""
+    """Least distance of a journey's positions (even ones) to its planned ones (odd ones)."""
     p = D.points(spark, d)
-    a = p.where("ord % 20 = 0").select("journey", "lat", "lon")
-    b = p.where("ord % 20 = 10").select("journey", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    return a.join(b, "journey").groupBy("journey").agg(geo.quantise(F.min(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))), 1).alias("deviation_m"))
+    a = p.where("ord % 2 = 0").select("journey", "ord", "lat", "lon")
+    b = p.where("ord % 2 = 1").select("journey", F.col("ord").alias("planned"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    return grid.knn_exact(a, b, "ord", "planned", 1, ["journey"]).groupBy("journey").agg(geo.quantise(F.min("dist_m"), 1).alias("deviation_m"))
 
 
 @query(sql(f"SELECT country, min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east, {q('sqrt(2e0 * 6371008.8e0 * max(size) * 100e0 + (max(size) * 100e0) * (max(size) * 100e0))', 1)} AS horizon_m FROM nav_points GROUP BY country", "nav_points"))

@@ -42,14 +42,14 @@ def accepted_points(spark: SparkSession, d: str) -> DataFrame:
     return live.accepted(D.points(spark, d)).select("journey", "ord")
 
 
-@query(sql(f"""WITH RECURSIVE_IN p AS (SELECT journey, ord, epoch_us(ts) / 1e6 AS t, lat, lon, alt, course, row_number() OVER (PARTITION BY journey ORDER BY ts, ord) AS n FROM points WHERE source = 'gps' AND journey < 12),
+@query(sql(f"""WITH RECURSIVE_IN p AS (SELECT journey, ord, epoch_us(ts) / 1e6 AS t, lat, lon, alt, course, row_number() OVER (PARTITION BY journey ORDER BY ts, ord) AS n FROM points WHERE source = 'gps'),
 w(journey, n, ord, keep, kt, klat, klon, kalt, kcourse) AS (SELECT journey, n, ord, true, t, lat, lon, alt, course FROM p WHERE n = 1 UNION ALL
 SELECT journey, n, ord, k, CASE WHEN k THEN t ELSE kt END, CASE WHEN k THEN lat ELSE klat END, CASE WHEN k THEN lon ELSE klon END, CASE WHEN k THEN alt ELSE kalt END, CASE WHEN k THEN course ELSE kcourse END FROM (
 SELECT p.*, kt, klat, klon, kalt, kcourse, t - kt >= 5e0 OR {D.hav_m('klat', 'klon', 'lat', 'lon')} >= 250e0 OR least(abs(kcourse - course) % 360, 360 - abs(kcourse - course) % 360) >= 12 OR abs(alt - kalt) >= 120 AS k FROM w JOIN p ON p.journey = w.journey AND p.n = w.n + 1))
 SELECT journey, ord FROM w WHERE keep""".replace("RECURSIVE_IN ", ""), "points", recursive=True))
 def gps_thinning(spark: SparkSession, d: str) -> DataFrame:
     """Points to save, each held against the last saved one."""
-    return live.thin(D.points(spark, d).where("journey < 12"))
+    return live.thin(D.points(spark, d))
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:

@@ -52,7 +52,7 @@ def aircraft_model_ready(spark: SparkSession, d: str) -> DataFrame:
     return p.where((F.col("p_size") >= 5) & (F.col("p_brand") != "Brand#55")).select("p_partkey", F.col("p_type").alias("family"), F.lit(True).alias("ready"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words, len(string_split(text, chr(10))) AS n_lines, upper(trim(regexp_replace(left(text, 40), '\s+', ' ', 'g'))) AS head FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words, len(string_split(text, chr(10))) AS n_lines, upper(replace(trim(regexp_replace(left(text, 40), '\s+', ' ', 'g')), 'ß', 'SS')) AS head FROM documents")
 def document_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = D.table(spark, d, "documents")
     return t.select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("n_words"), F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"), text.normalise_ident(F.left("text", F.lit(40))).alias("head"))
