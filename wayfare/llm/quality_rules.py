@@ -126,7 +126,8 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: in
     bad documents and at another on good ones; abstaining says nothing. Rates and the share of good
     documents are estimated in turn with the posterior, which starts from a bad vote weighing 30 to 1
     and a good vote 3 to 1. A vote never speaks for the other side, which keeps the classes from
-    changing places, and none weighs over 1000 to 1.
+    changing places, none weighs over 1000 to 1, and the share of good documents stays between a half
+    and 0.95, so that a document on which all rules abstain is not held to be bad.
     """
     votes = np.stack([patterns // 3**k % 3 for k in range(n_rules)][::-1], axis=1)
     weight = counts.astype(np.float64)
@@ -138,7 +139,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: in
         rate = lambda on, votes: (on @ votes + 0.1) / (on.sum() + 1)
         against = np.clip(np.log(rate(on_bad, bad) / rate(on_good, bad)), np.log(2), np.log(1000))
         favour = np.clip(np.log(rate(on_good, good) / rate(on_bad, good)), 0, np.log(1000))
-        share = float(np.clip((on_good.sum() + 9) / (weight.sum() + 10), 0.05, 0.95))
+        share = float(np.clip((on_good.sum() + 9) / (weight.sum() + 10), 0.5, 0.95))
     return post
 
 
