@@ -22,9 +22,11 @@ from .common import drop_table, materialize, words_of
 from .components import components
 
 #: Shards above this many distinct fingerprints are split by finer keys.
-HOT_SHARD = 2000
+HOT_SHARD = 4000
+#: Hot shards whose keys and first members are broadcast; more are joined by shuffle.
+HOT_BROADCAST = 10_000
 #: Pairs of query and node that are looked at together.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 19
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -271,63 +273,89 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # ---- near copies of whole documents, for the pipeline --------------------------------------------
 
-#: Bands of sampled bits, bits of a band, and bits that lengthen the band in a hot bucket.
-N_BANDS, BAND_BITS, MORE_BITS = 48, 16, 12
+#: Fingerprint words of a document, bands of sampled bits, bits of a band, and in a hot band the number of longer keys and the bits that each adds.
+NEAR_WORDS, N_BANDS, BAND_BITS, N_FINER, MORE_BITS = 4, 48, 13, 6, 10
+_MASKS = [f"m{w}" for w in range(NEAR_WORDS)]
+_NEAR = [f"fp{w}" for w in range(NEAR_WORDS)]
 
 
-def _band_keys(bits: int) -> list[Column]:
-    """Keys of fixed random choices of bits from a two-word fingerprint; a longer choice extends the shorter one."""
-    rng = np.random.default_rng(20)
-    keys = []
-    for band in range(N_BANDS):
-        chosen = rng.permutation(128)[: BAND_BITS + MORE_BITS][:bits]
-        masks = [int(np.bitwise_or.reduce(np.uint64(1) << (chosen[chosen // 64 == w] % 64).astype(np.uint64)).view(np.int64)) for w in range(2)]
-        keys.append(F.xxhash64(F.lit(band), *(F.col(f"fp{w}").bitwiseAND(F.lit(m)) for w, m in enumerate(masks))))
-    return keys
-
+def _bit_masks(bits: np.ndarray) -> list[int]:
+    """Masks of the words of a fingerprint that select the given bits, as signed longs."""
+    return [int(np.bitwise_or.reduce(np.uint64(1) << (bits[bits // 64 == w] % 64).astype(np.uint64), initial=np.uint64(0)).view(np.int64)) for w in range(NEAR_WORDS)]
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 22) -> DataFrame:
-    """(doc_id, component_id) for documents whose five-word shingles are alike by 0.8 or more.
 
-    Similarity is read from a 128-bit SimHash: sets of Jaccard similarity 0.8 differ in about 19 of
-    its 128 bits (standard deviation 4), unrelated ones in 64, so the radius of 22 takes in nearly
-    all pairs at 0.8 and none that are unrelated. Candidates meet in shards keyed by 48 choices of 16
-    bits, and BK-trees find the links within a shard. In a shard over HOT_SHARD, members within the
-    radius of its least fingerprint are linked to that one directly, and all are dealt anew by keys
-    longer by 12 bits. Documents without words have no shingles and link only to each other.
+def band_masks() -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """Rows (band, way, masks) of fixed random choices of bits: one for each band, and the longer ones of each band."""
+    rng = np.random.default_rng(20)
+    short, long = [], []
+    for band in range(N_BANDS):
+        order = rng.permutation(64 * NEAR_WORDS)
+        short.append((band, 0, *_bit_masks(order[:BAND_BITS])))
+        long += [(band, way, *_bit_masks(np.concatenate((order[:BAND_BITS], rng.permutation(order[BAND_BITS:])[:MORE_BITS])))) for way in range(1, N_FINER + 1)]
+    return short, long
+
+
+def _band_keys(rows: DataFrame, masks: list[tuple[int, ...]], per_band: bool) -> DataFrame:
+    """rows with a key for each of the masks, and its band; per_band: only for those of the row's own band."""
+    names = ["band", "way", *_MASKS]
+    if per_band:
+        table = rows.sparkSession.createDataFrame(masks, f"band int, way int, {', '.join(f'{m} long' for m in _MASKS)}")
+        each = rows.join(F.broadcast(table), "band")  # N_BANDS * N_FINER rows
+    else:
+        each = rows.withColumn("m", F.explode(F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for v, n in zip(m, names, strict=True))) for m in masks)))).select("*", "m.*")
+    return each.select(F.xxhash64(F.col("band").cast("int"), F.col("way").cast("int"), *(F.col(w).bitwiseAND(F.col(m)) for w, m in zip(_NEAR, _MASKS, strict=True))).alias("key"), F.col("band").cast("int").alias("band"), "id", *_NEAR)
+
+
+def near_duplicate_classes(fps: DataFrame, radius: int = 52) -> DataFrame:
+    """(fp0 .. fp3, id, component_id) of the distinct fingerprints of fps (id, fp0 .. fp3): their least id and that of their class.
+
+    Similarity is read from a 256-bit SimHash: sets of Jaccard similarity 0.8 differ in about 39 of its
+    bits (standard deviation 6), those of 0.5 in 69 and unrelated ones in 128, so the radius of 52 takes
+    in 99 % of pairs at 0.8, practically all above, and next to none below 0.55. Candidates meet in
+    shards keyed by 48 choices of 13 bits, and BK-trees find the links within a shard. In a shard over
+    HOT_SHARD, members within the radius of its least fingerprint are linked to that one directly, and
+    all are dealt anew by six longer keys each, so no shard grows with the corpus.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, width=5, n_words=2), "fingerprints")
-    distinct = fps.groupBy("fp0", "fp1").agg(F.min("id").alias("id"))
-    distinct = materialize(distinct.where("id IS NOT NULL"), "distinct-fps")
+    distinct = materialize(fps.groupBy(*_NEAR).agg(F.min("id").alias("id")).where("id IS NOT NULL"), "distinct-fps")
     # ids of documents stand for their fingerprints from here on
-    keyed = _keyed(distinct, _band_keys(BAND_BITS))
-    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp0", "fp1")).alias("pivot")).where("n > 1"), "shards")
-    run = _links_of_sorted(radius, 2)
+    short, long = band_masks()
+    keyed = _band_keys(distinct, short, False)
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", *_NEAR)).alias("pivot")).where("n > 1"), "shards")
+    run = _links_of_sorted(radius, NEAR_WORDS)
 
     def search(x: DataFrame) -> DataFrame:
-        return x.select("key", "id", "fp0", "fp1").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long")
+        return x.select("key", "id", *_NEAR).repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long")
 
     links = search(keyed.join(sizes.where(f"n <= {HOT_SHARD}").select("key"), "key", "left_semi"))
     hot = sizes.where(f"n > {HOT_SHARD}")
     if not hot.isEmpty():
-        members = keyed.join(hot.select("key", "pivot"), "key")
-        apart = F.bit_count(F.col("fp0").bitwiseXOR(F.col("pivot.fp0"))) + F.bit_count(F.col("fp1").bitwiseXOR(F.col("pivot.fp1")))
-        links = links.union(members.where(apart <= radius).select(F.col("id").alias("a"), F.col("pivot.id").alias("b")))
-        finer = _keyed(members.select("id", "fp0", "fp1").distinct(), _band_keys(BAND_BITS + MORE_BITS))
-        shared = finer.groupBy("key").count().where(f"count > 1").select("key")
+        members = keyed.join(F.broadcast(hot.select("key", "pivot")) if hot.count() <= HOT_BROADCAST else hot.select("key", "pivot"), "key")
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"pivot.{w}"))) for w in _NEAR), F.lit(0))
+        links = links.union(members.where((apart <= radius) & (F.col("id") != F.col("pivot.id"))).select(F.col("id").alias("a"), F.col("pivot.id").alias("b")))
+        finer = _band_keys(members.select("band", "id", *_NEAR), long, True)
+        shared = finer.groupBy("key").count().where("count > 1").select("key")
         links = links.union(search(finer.join(shared, "key", "left_semi")))
-    members = components(links.distinct()).withColumnRenamed("vertex", "id")
-    classes = distinct.join(members, "id", "left").select("fp0", "fp1", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(classes, ["fp0", "fp1"], "left").select(F.col("id").alias("doc_id"), "component_id")
+    linked = components(links.distinct()).withColumnRenamed("vertex", "id")
+    return distinct.join(linked, "id", "left").select(*_NEAR, "id", F.coalesce("component", "id").alias("component_id"))
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 52) -> DataFrame:
+    """(doc_id, component_id) for documents whose five-word shingles are alike by about 0.8 or more, and chains of them.
+
+    Documents without words have no shingles and link only to each other. A null id stays null and links
+    nothing, unless another document has the same fingerprint.
+    """
+    fps = materialize(fingerprints(docs, id_col, text_col, 5, NEAR_WORDS), "fingerprints")
+    return fps.join(near_duplicate_classes(fps, radius).drop("id"), _NEAR, "left").select(F.col("id").alias("doc_id"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 52) -> DataFrame:
     """The rows of docs whose id is the least of its group of near copies; of rows with one id, one stays. Null ids stay."""
-    groups = materialize(near_duplicate_components(docs, id_col, text_col), "near-duplicates")
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
-    ids = keep.agg(F.count("*").alias("n"), F.countDistinct("__kept_id").alias("ids")).first()
-    kept = docs.join(keep.distinct() if ids.n > ids.ids else keep, F.col(id_col) == F.col("__kept_id"), "left_semi")
-    if ids.n > ids.ids:
+    fps = materialize(fingerprints(docs, id_col, text_col, 5, NEAR_WORDS), "fingerprints")
+    classes = near_duplicate_classes(fps, radius)
+    keep = materialize(classes.where("id = component_id").select(F.col("id").alias("__kept_id")).distinct(), "kept-ids")
+    kept = docs.join(keep, F.col(id_col) == F.col("__kept_id"), "left_semi")
+    counts = fps.groupBy("id").count()
+    if not counts.where("id IS NOT NULL AND count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
-    has_null = not groups.where("doc_id IS NULL").isEmpty()
-    return kept.unionByName(docs.where(F.col(id_col).isNull())) if has_null else kept
+    return kept.unionByName(docs.where(F.col(id_col).isNull())) if not fps.where("id IS NULL").isEmpty() else kept
