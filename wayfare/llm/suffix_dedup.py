@@ -6,7 +6,9 @@ is a context. Contexts of anchors that occur once can't repeat and drop out; equ
 once, with their number; all others are dealt to tasks by anchor. There the suffixes of a group's
 contexts are sorted with the difference-cover algorithm: sampled triples get names, the string of names
 is sorted recursively, the other suffixes are merged in, and neighbours in the order compare their first
-200 bytes. Repeated windows then go back to all documents that hold the context.
+200 bytes. Repeated windows then go back to all documents that hold the context. A group too large for
+a task is cut into bands of windows at like distances from the anchor, which share a longer core and are
+dealt by that; the narrowest band is one window, so no group stays large.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .common import materialize
 
 #: Bytes of a repeated string and of an anchor.
 WINDOW, ANCHOR = 200, 32
-#: Contexts of one anchor that a task sorts; beyond, their windows are counted one by one.
-HOT_ANCHOR = 1000
+#: Different contexts of one anchor that a task sorts; beyond, they are cut into bands of so many windows, then narrower ones.
+HOT_ANCHOR, BANDS = 2500, (24, 3, 1)
 #: Symbols sorted at a time (three keys of 20 bits fit a word), and window starts looked at at a time.
 SORTED, BLOCK = 900_000, 1 << 22
 
@@ -47,8 +49,8 @@ def _run_hashes(raw: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window start, windows) of a text's contexts, by blocks of bounded size."""
+def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window start, windows, anchor's place behind that start) of a text's contexts, by blocks of bounded size."""
     found = []
     every = np.frombuffer(raw, np.uint8)
     for at in range(0, len(raw) - WINDOW + 1, BLOCK):
@@ -62,9 +64,9 @@ def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(part) - WINDOW + 1
         anchor = (np.minimum(least[:n], least[reach - width : reach - width + n]) & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        found.append((h[anchor[first]].view(np.int64), first + at, np.diff(first, append=n)))
+        found.append((h[anchor[first]].view(np.int64), first + at, np.diff(first, append=n), anchor[first] - first))
     if not found:
-        return tuple(np.empty(0, np.int64) for _ in range(3))
+        return tuple(np.empty(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -76,27 +78,28 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.int64) + 1
 
 
-def _between(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """How many sorted keys are below each key, plus how many are not above it."""
-    return np.searchsorted(sorted_keys, keys) + np.searchsorted(sorted_keys, keys, "right")
+def _between(among: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """How many of among are below each rank, plus how many are not above it; all are small whole numbers from 1."""
+    upto = np.cumsum(np.bincount(among, minlength=int(ranks.max(initial=0)) + 1))
+    return upto[ranks - 1] + upto[ranks]
 
 
-def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes of s (symbols from 1, fewer than 2**20, 0 ends a string).
+def suffix_keys(s: np.ndarray, depth: int) -> np.ndarray:
+    """Keys whose order is that of the suffixes of s (symbols from 1, fewer than 2**20, 0 ends a string).
 
-    Suffixes that differ in their first depth symbols are ranked in lexicographic order; those that agree
-    in them stand together.
+    Suffixes that differ in their first depth symbols are in lexicographic order; those that agree in
+    them stand together.
     """
     n = len(s)
     padded = np.concatenate((s, np.zeros(3, np.int64)))
     triple = lambda i: (padded[i] << 40) | (padded[i + 1] << 20) | padded[i + 2]
     if depth <= 3 or n < 3:
-        return _dense(triple(np.arange(n)))
+        return triple(np.arange(n))
     one, two, none = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     # names of the sampled triples, and the ranks of the sampled suffixes from the string of names
     names = _dense(triple(np.concatenate((one, two))))
     if names.max() < len(names):
-        deeper = suffix_ranks(np.concatenate((names[: len(one)], [0], names[len(one) :])), -(-depth // 3))
+        deeper = _dense(suffix_keys(np.concatenate((names[: len(one)], [0], names[len(one) :])), -(-depth // 3)))
         names = np.concatenate((deeper[: len(one)], deeper[len(one) + 1 :]))
     rank = np.zeros(n + 3, np.int64)
     rank[one], rank[two] = names[: len(one)], names[len(one) :]
@@ -108,15 +111,15 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     # ... and against those at 2 mod 3, by a symbol and the place of the suffix behind it
     wide = int(by_one.max()) + 1
     none_two, two_two = padded[none] * wide + place[none + 1], padded[two] * wide + place[two + 1]
-    ones, twos = np.sort(rank[one]), np.sort(rank[two])
+    by_two = _dense(np.concatenate((two_two, none_two)))
     among_one, among_two = np.empty(n, np.int64), np.empty(n, np.int64)
-    among_one[none], among_two[none] = _between(np.sort(place[one]), place[none]), _between(np.sort(two_two), none_two)
+    among_one[none], among_two[none] = _between(place[one], place[none]), _between(by_two[: len(two)], by_two[len(two) :])
     for x in (one, two):
-        among_one[x], among_two[x] = _between(ones, rank[x]), _between(twos, rank[x])
+        among_one[x], among_two[x] = _between(rank[one], rank[x]), _between(rank[two], rank[x])
     among_three = np.zeros(n, np.int64)
-    among_three[none] = _dense(place[none])
+    among_three[none] = place[none]
     merged = among_one * (2 * len(two) + 1) + among_two
-    return _dense(merged * (len(none) + 1) + among_three)
+    return merged * (int(among_three.max()) + 1) + among_three
 
 
 def repeated_windows(pieces: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
@@ -129,7 +132,7 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray) -> list[np.ndarray
     owner = np.repeat(np.arange(len(pieces)), lengths - WINDOW + 1)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(lengths - WINDOW + 1) - (lengths - WINDOW + 1), lengths - WINDOW + 1)
     where = starts[owner] + at
-    order = np.argsort(suffix_ranks(symbols, WINDOW)[where], kind="stable")
+    order = np.argsort(suffix_keys(symbols, WINDOW)[where], kind="stable")
     windows = np.lib.stride_tricks.sliding_window_view(text, WINDOW)
     same = np.zeros(len(order), bool)  # whether a suffix agrees with the one before
     for lo in range(1, len(order), 1 << 15):
@@ -165,28 +168,33 @@ def _anchors(rows: DataFrame) -> DataFrame:
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """(g, c1, c2, id, at, n): anchor, context digest, document, first window and number of windows."""
+    """(g, c1, c2, id, at, n, p): anchor, context digest, document, first window, number of windows and the anchor's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, columns = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = _bytes(text.as_py())
-                g, at, n = contexts(raw)
+                g, at, n, p = contexts(raw)
                 digests += [xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(at.tolist(), (at + n + WINDOW - 1).tolist(), strict=True)]
-                columns.append((g, np.full(len(g), i, np.int64), at.astype(np.int32), n.astype(np.int32)))
+                columns.append((g, np.full(len(g), i, np.int64), at.astype(np.int32), n.astype(np.int32), p.astype(np.int32)))
             if columns:
-                g, ids, at, n = (np.concatenate(x) for x in zip(*columns, strict=True))
+                g, ids, at, n, p = (np.concatenate(x) for x in zip(*columns, strict=True))
                 words = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, words[:, 0], words[:, 1], ids, at, n)], names=["g", "c1", "c2", "id", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, words[:, 0], words[:, 1], ids, at, n, p)], names=["g", "c1", "c2", "id", "at", "n", "p"])
 
-    return rows.mapInArrow(run, "g long, c1 long, c2 long, id long, at int, n int")
+    return rows.mapInArrow(run, "g long, c1 long, c2 long, id long, at int, n int, p int")
+
+
+def _with_texts(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """(text, want): the contexts of wanted, listed with the document that they are cut from."""
+    per_doc = wanted.groupBy(F.col("id").alias("from")).agg(F.collect_list(F.struct(*columns)).alias("want"))
+    return rows.join(per_doc, F.col("id") == F.col("from")).select("text", "want")
 
 
 def _context_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(g, c1, c2, times, piece) for the contexts of wanted, cut from one document that holds them."""
-    per_doc = wanted.groupBy(F.col("id").alias("from")).agg(F.collect_list(F.struct("g", "c1", "c2", "times", "at", "n")).alias("want"))
-    joined = rows.join(per_doc, F.col("id") == F.col("from")).select("text", "want")
+    joined = _with_texts(rows, wanted, ["g", "c1", "c2", "times", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,20 +234,48 @@ def _sorted_groups(pieces: DataFrame) -> DataFrame:
     return pieces.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, c1 long, c2 long, runs array<int>")
 
 
-def _counted_groups(pieces: DataFrame) -> DataFrame:
-    """As _sorted_groups for anchors with very many contexts: windows are counted by digest, in all tasks."""
+def band_pieces(raw: bytes, at: int, n: int, p: int, width: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """(band, core, first window, windows) of a context: windows whose starts are alike far before the anchor, to width bytes, and the bytes that all of them cover."""
+    anchor = at + p
+    while n > 0:
+        band = (anchor - at) // width
+        k = min(n, anchor - band * width - at + 1)
+        yield band, raw[anchor - band * width : anchor + WINDOW - (band + 1) * width + 1], at, k
+        at, n = at + k, n - k
+
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The contexts of wanted cut into bands: (pg, pc1, pc2, shift) of the context, and the band as a context (g, c1, c2, times, id, at, n, p) whose anchor is its core."""
+    joined = _with_texts(rows, wanted, ["g", "c1", "c2", "times", "id", "at", "n", "p"])
+    names = ["pg", "pc1", "pc2", "shift", "g", "c1", "c2", "times", "id", "at", "n", "p"]
+    kinds = [pa.int32() if x in ("shift", "at", "n", "p") else pa.int64() for x in names]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for g, c1, c2, times, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = len(piece) - WINDOW + 1
-                words = np.frombuffer(b"".join(xxhash.xxh3_128_digest(piece[i : i + WINDOW]) for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, x, np.int64)) for x in (g, c1, c2, times)), pa.array(np.arange(n, dtype=np.int32)), pa.array(words[:, 0]), pa.array(words[:, 1])], names=["g", "c1", "c2", "times", "at", "w1", "w2"])
+            for text, want in zip(b.column(0), b.column(1), strict=True):
+                raw, out = _bytes(text.as_py()), []
+                for w in want.values.to_pylist():
+                    for band, core, at, k in band_pieces(raw, w["at"], w["n"], w["p"], width):
+                        digest = np.frombuffer(xxhash.xxh3_128_digest(raw[at : at + k + WINDOW - 1]), np.int64)
+                        out.append((w["g"], w["c1"], w["c2"], at - w["at"], signed(xxhash.xxh3_64_intdigest(core, band)), int(digest[0]), int(digest[1]), w["times"], w["id"], at, k, w["at"] + w["p"] - at))
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return joined.mapInArrow(run, ", ".join(f"{x} {'int' if x in ('shift', 'at', 'n', 'p') else 'long'}" for x in names))
 
-    windows = pieces.mapInArrow(split, "g long, c1 long, c2 long, times long, at int, w1 long, w2 long")
-    often = windows.groupBy("w1", "w2").agg(F.sum("times").alias("all")).where("all > 1").select("w1", "w2")
-    starts = windows.join(often, ["w1", "w2"], "left_semi").groupBy("g", "c1", "c2").agg(F.collect_set("at").alias("starts"))
-    return starts.select("g", "c1", "c2", F.flatten(F.transform("starts", lambda x: F.array(x, x))).alias("runs"))
+
+def _repeated(rows: DataFrame, wanted: DataFrame, widths: tuple[int, ...] = BANDS) -> DataFrame:
+    """(g, c1, c2, runs) of the contexts of wanted (g, c1, c2, times, id, at, n, p) that have repeated windows."""
+    hot = materialize(wanted.groupBy("g").count().where(f"count > {HOT_ANCHOR}").select("g"), "hot-anchors")
+    if not widths or hot.isEmpty():  # bands of one window are alike if their cores are, so none of their groups is hot
+        return _sorted_groups(_context_bytes(rows, wanted))
+    parts = materialize(_bands(rows, wanted.join(hot, "g", "left_semi"), widths[0]), "bands")
+    inner = parts.groupBy("g", "c1", "c2").agg(F.sum("times").alias("times"), F.min(F.struct("id", "at", "n", "p")).alias("of")).select("g", "c1", "c2", "times", "of.*")
+    often = inner.groupBy("g").agg(F.sum("times").alias("all")).where("all > 1").select("g")
+    inner = materialize(inner.join(often, "g", "left_semi"), "band-contexts")
+    found = parts.join(_repeated(rows, inner, widths[1:]), ["g", "c1", "c2"])
+    found = found.groupBy("pg", "pc1", "pc2").agg(F.flatten(F.collect_list(F.transform("runs", lambda x: x + F.col("shift")))).alias("runs")).toDF("g", "c1", "c2", "runs")
+    return _sorted_groups(_context_bytes(rows, wanted.join(hot, "g", "left_anti"))).unionByName(found)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,12 +293,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     shared = _anchors(long_ones).groupBy("g").count().where("count > 1").select("g")
     found = materialize(_occurrences(long_ones).join(shared, "g", "left_semi"), "occurrences")
-    wanted = found.groupBy("g", "c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("id", "at", "n")).alias("of"))
-    wanted = materialize(wanted.select("g", "c1", "c2", "times", "of.id", "of.at", "of.n"), "contexts")
-    hot = materialize(wanted.groupBy("g").count().where(f"count > {HOT_ANCHOR}").select("g"), "hot-anchors")
-    flags = _sorted_groups(_context_bytes(long_ones, wanted.join(hot, "g", "left_anti")))
-    if not hot.isEmpty():
-        flags = flags.union(_counted_groups(_context_bytes(long_ones, wanted.join(hot, "g", "left_semi"))))
+    wanted = found.groupBy("g", "c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("id", "at", "n", "p")).alias("of"))
+    wanted = materialize(wanted.select("g", "c1", "c2", "times", "of.*"), "contexts")
+    flags = _repeated(long_ones, wanted)
     hits = found.join(flags, ["g", "c1", "c2"]).groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("at", "runs")).alias("hits"))
     joined = rows.join(hits, F.col("id") == F.col("of"), "left").select("doc_id", "text", "hits")
 
