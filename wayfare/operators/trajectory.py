@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -210,3 +211,41 @@ def smoothed(points: DataFrame, value: str, alpha: float = 0.12, dead: float = 0
         return F.struct(s.alias("s"), F.concat(acc.out, F.array(F.struct(x.ord.cast("bigint").alias("ord"), s.alias("smooth")))).alias("out"))
 
     return rows.select("journey", F.explode(F.aggregate("xs", start, step).out).alias("o")).select("journey", "o.ord", "o.smooth")
+
+
+def smoothed_line(points: DataFrame, metres_a_piece: float = 120_000.0) -> DataFrame:
+    """(journey, ord, piece, lat, lon, alt): each leg in 4 to 24 pieces on the great circle, and the last point.
+
+    Altitudes ease from point to point and bulge in climb and descent, the first and last 0.26 of the length.
+    """
+    w = in_order()
+    rows = flown(points).withColumns({f"n_{c}": F.lead(c).over(w) for c in ("lat", "lon", "alt", "step_m")})
+    rows = rows.withColumn("top", F.max(F.coalesce("alt", F.lit(0.0))).over(Window.partitionBy("journey")))
+    pieces = F.when(F.col("n_lat").isNull(), 1).otherwise(F.greatest(F.lit(4), F.least(F.lit(24), F.ceil(F.col("n_step_m") / metres_a_piece).cast("int"))))
+    cut = rows.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    t = F.col("piece") / F.col("pieces")
+    at = (F.col("flown_m") + F.coalesce("n_step_m", F.lit(0.0)) * t) / F.greatest(F.lit(1.0), F.col("total_m"))
+    phase = F.when(at < 0.26, at / 0.26).when(at > 0.74, (1.0 - at) / 0.26).otherwise(0.0)
+    here, there = F.coalesce("alt", F.lit(0.0)), F.coalesce("n_alt", F.lit(0.0))
+    lifted = here + (there - here) * geo.smootherstep(0, 1, t) + F.sin(F.lit(math.pi) * phase) * F.least(F.lit(4200.0), F.col("top") * 0.28)
+    lat, lon = geo.interpolate(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon"), t)
+    last = F.col("n_lat").isNull()
+    return cut.select("journey", "ord", "piece", F.when(last, F.col("lat")).otherwise(lat).alias("lat"), F.when(last, F.col("lon")).otherwise(lon).alias("lon"), F.when(last, here).otherwise(F.greatest(F.lit(0.0), lifted)).alias("alt"))
+
+
+def snaps(points: DataFrame, back_s: float = 1.0, jump_m: float = 15_000.0, order: list[str] | None = None) -> DataFrame:
+    """(journey, ord, snap): whether a view must jump here: at the first point, where time runs back by over a second, and over long steps."""
+    w = Window.partitionBy("journey").orderBy(*(order or ["ts", "ord"]))
+    t, before = seconds("ts"), seconds(F.lag("ts").over(w))
+    far = geo.haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")) > jump_m
+    return points.select("journey", "ord", (before.isNull() | (t < before - back_s) | far).alias("snap"))
+
+
+def airport_focus(points: DataFrame) -> DataFrame:
+    """points (lat, lon, alt and the ends olat, olon, dlat, dlon) with the nearer end's name and how much it draws the view: 1 at the ground there, 0 far off or high up."""
+    height = F.greatest(F.lit(0.0), F.coalesce("alt", F.lit(0.0)))
+    low = 1.0 - geo.smoothstep(1200, 9800, height)
+    draw = lambda a, b: (1.0 - geo.smoothstep(9000, 95_000, geo.haversine_m(F.col("lat"), F.col("lon"), F.col(a), F.col(b)))) * low
+    o, d = draw("olat", "olon"), draw("dlat", "dlon")
+    both = points.withColumns({"focus": F.when(d >= o, "destination").otherwise("origin"), "strength": F.greatest(o, d)})
+    return both.withColumn("ground_strength", F.col("strength") * (1.0 - geo.smoothstep(260, 6200, height)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -246,3 +246,54 @@ def hud_metrics(spark: SparkSession, d: str) -> DataFrame:
 def recent_points(spark: SparkSession, d: str) -> DataFrame:
     """The latest 20 points of each journey."""
     return rows.top_per_key(D.points(spark, d), ["journey"], 20, F.desc("ts"), F.desc("ord")).select("journey", "ord", "ts")
+
+
+@query(sql(f"""WITH {_FLOWN}, x AS (SELECT *, lead(alt) OVER w AS nalt, lead(step_m) OVER w AS nstep, max(coalesce(alt, 0e0)) OVER (PARTITION BY journey) AS top FROM f WINDOW w AS (PARTITION BY journey ORDER BY ts, ord)),
+k AS (SELECT *, CASE WHEN nlat IS NULL THEN 1 ELSE greatest(4, least(24, CAST(ceil(nstep / 120000e0) AS INT))) END AS pieces FROM x), e AS (SELECT k.*, i AS piece, CAST(i AS DOUBLE) / pieces AS u FROM k, (SELECT unnest(range(0, 24)) AS i) WHERE i < pieces),
+p AS (SELECT *, (flown + coalesce(nstep, 0e0) * u) / greatest(1e0, total) AS g FROM e), r AS (SELECT *, CASE WHEN g < 0.26 THEN g / 0.26e0 WHEN g > 0.74 THEN (1e0 - g) / 0.26e0 ELSE 0e0 END AS phase FROM p)
+SELECT journey, ord, piece, {q("CASE WHEN nlat IS NULL THEN coalesce(alt, 0e0) ELSE greatest(0e0, coalesce(alt, 0e0) + (coalesce(nalt, 0e0) - coalesce(alt, 0e0)) * (u * u * u * (u * (u * 6e0 - 15e0) + 10e0)) + sin(pi() * phase) * least(4200e0, top * 0.28e0)) END", 2)} AS alt FROM r""", "steps"))
+def visual_route(spark: SparkSession, d: str) -> DataFrame:
+    """Altitudes of routes cut into short pieces for drawing."""
+    return T.smoothed_line(D.points(spark, d)).select("journey", "ord", F.col("piece").cast("long").alias("piece"), geo.quantise(F.col("alt"), 2).alias("alt"))
+
+
+@query(sql(f"SELECT journey, ord, n = 1 OR t < lt - 1 OR {D.hav_m('plat', 'plon', 'lat', 'lon')} > 15000 AS snap FROM (SELECT journey, ord, lat, lon, epoch_us(ts) / 1e6 AS t, lag(epoch_us(ts) / 1e6) OVER w AS lt, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, row_number() OVER w AS n FROM points WINDOW w AS (PARTITION BY journey ORDER BY ord % 13, ord))", "points"))
+def camera_snaps(spark: SparkSession, d: str) -> DataFrame:
+    """Jumps of the view along points in an order of arrival of their own."""
+    p = D.points(spark, d).withColumn("arrival", F.col("ord") % 13)
+    return T.snaps(p, order=["arrival", "ord"])
+
+
+def _smooth_sql(lo: str, hi: str, x: str) -> str:
+    t = clamp(f"(({x}) - {lo}) / ({hi} - {lo})", "0e0", "1e0")
+    return f"({t} * {t} * (3e0 - 2e0 * {t}))"
+
+
+@query(sql(f"""WITH x AS (SELECT journey, ord, greatest(0e0, coalesce(alt, 0e0)) / 10e0 AS h, lat, lon, first_value(lat) OVER w AS olat, first_value(lon) OVER w AS olon, last_value(lat) OVER w AS dlat, last_value(lon) OVER w AS dlon FROM points WINDOW w AS (PARTITION BY journey ORDER BY ts, ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+y AS (SELECT *, (1e0 - {_smooth_sql('9000e0', '95000e0', D.hav_m('lat', 'lon', 'olat', 'olon'))}) * (1e0 - {_smooth_sql('1200e0', '9800e0', 'h')}) AS o, (1e0 - {_smooth_sql('9000e0', '95000e0', D.hav_m('lat', 'lon', 'dlat', 'dlon'))}) * (1e0 - {_smooth_sql('1200e0', '9800e0', 'h')}) AS dd FROM x)
+SELECT journey, ord, CASE WHEN dd >= o THEN 'destination' ELSE 'origin' END AS focus, {q('greatest(o, dd)', 5)} AS strength, {q(f"greatest(o, dd) * (1e0 - {_smooth_sql('260e0', '6200e0', 'h')})", 5)} AS ground FROM y""", "points"))
+def airport_focus(spark: SparkSession, d: str) -> DataFrame:
+    """How much the ends of a journey draw the view at each point, with altitudes of a tenth."""
+    w = T.in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = D.points(spark, d).withColumn("alt", F.greatest(F.lit(0.0), F.coalesce("alt", F.lit(0.0))) / 10.0)
+    p = p.withColumns({"olat": F.first("lat").over(w), "olon": F.first("lon").over(w), "dlat": F.last("lat").over(w), "dlon": F.last("lon").over(w)})
+    a = T.airport_focus(p)
+    return a.select("journey", "ord", "focus", geo.quantise(F.col("strength"), 5).alias("strength"), geo.quantise(F.col("ground_strength"), 5).alias("ground"))
+
+
+@query(sql("SELECT journey, event_type AS key, place FROM (SELECT journey, event_type, row_number() OVER (PARTITION BY journey ORDER BY max(ts) DESC, max(ord) DESC) AS place FROM points GROUP BY 1, 2) WHERE place <= 3", "points"))
+def recent_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The three kinds of events that each journey used last, latest first."""
+    last = D.points(spark, d).groupBy("journey", F.col("event_type").alias("key")).agg(F.max("ts").alias("ts"), F.max("ord").alias("o"))
+    return rows.top_per_key(last, ["journey"], 3, F.desc("ts"), F.desc("o"), rank="place").select("journey", "key", "place")
+
+
+@query(sql("""WITH m AS (SELECT o_orderkey AS pack, o_orderpriority AS revision, o_totalprice AS size FROM orders), have AS (SELECT o_orderkey AS pack, CASE WHEN o_orderkey % 4 = 0 THEN 'old' ELSE o_orderpriority END AS revision FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT pack, CASE WHEN have.pack IS NULL THEN 'missing' WHEN have.revision <> m.revision THEN 'outdated' ELSE 'ready' END AS status, size FROM m LEFT JOIN have USING (pack)"""))
+def pack_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """State of each pack of a manifest against what is there: missing, outdated or ready."""
+    o = D.table(spark, d, "orders")
+    manifest = o.select(F.col("o_orderkey").alias("pack"), F.col("o_orderpriority").alias("revision"), F.col("o_totalprice").alias("size"))
+    have = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("pack"), F.when(F.col("o_orderkey") % 4 == 0, "old").otherwise(F.col("o_orderpriority")).alias("held"))
+    status = F.when(F.col("held").isNull(), "missing").when(F.col("held") != F.col("revision"), "outdated").otherwise("ready")
+    return manifest.join(have, "pack", "left").select("pack", status.alias("status"), "size")
