@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, words_of
+from .common import materialize, words_of
 from .components import components
 
 #: Shards above this many distinct fingerprints are split by finer keys.
@@ -229,14 +229,13 @@ def _keyed(rows: DataFrame, keys: list[Column]) -> DataFrame:
 
 
 def link_within_two(distinct_fps: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints (column fp0) at 2 differing bits or fewer.
+    """Edges (a, b) between the ids of distinct fingerprints (id, fp0) at 2 differing bits or fewer.
 
     Every link within a shard is found through its BK-tree; of each class of linked fingerprints a
     spanning star is returned, so that no more rows than members leave a shard. Shards over HOT_SHARD
     fingerprints are dealt anew by finer keys, whose shards have a fixed bound.
     """
-    rows = distinct_fps.select(F.col("fp0").alias("id"), "fp0")
-    keyed = _keyed(rows, block_keys())
+    keyed = _keyed(distinct_fps.select("id", "fp0"), block_keys())
     sizes = keyed.groupBy("key").count().where("count > 1")
     sizes = materialize(sizes, "shards")
     run = _links_of_sorted(2, 1)
@@ -258,16 +257,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, fp0, component_id) for every row of docs: 3-word shingles, links at 2 differing bits or fewer.
 
     Null, empty and wordless texts have fingerprint zero and link like any other. Rows whose id is
-    repeated stay separate rows; a null id stays null and never names a component unless its
-    component has no other id. An empty table gives an empty result.
+    repeated stay separate rows; a null id stays null and links like any other, but never names a
+    component: one without any id is null. An empty table gives an empty result.
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(fps.groupBy("fp0").agg(F.min("id").alias("least")), "distinct-fps")
-    members = materialize(components(link_within_two(distinct)), "components")
-    named = members.withColumnRenamed("vertex", "fp0").join(distinct, "fp0")
-    least = named.groupBy("component").agg(F.min("least").alias("component_least"))
-    classes = distinct.join(members.withColumnRenamed("vertex", "fp0"), "fp0", "left").join(least, "component", "left")
-    classes = classes.select("fp0", F.coalesce("component_least", "least").alias("component_id"))
+    distinct = materialize(fps.groupBy("fp0").agg(F.min("id").alias("id")), "distinct-fps")
+    # a fingerprint goes by its least id, so that the least vertex of a component is its name
+    known = distinct.agg(F.max("id").alias("top"), F.count_if(F.col("id").isNull()).alias("nameless")).first()
+    if known.nameless:
+        above = F.lit(known.top or 0) + 1 + F.monotonically_increasing_id()
+        distinct = materialize(distinct.withColumn("id", F.coalesce("id", above)), "named-fps")
+    members = materialize(components(link_within_two(distinct)), "components").withColumnRenamed("vertex", "id")
+    classes = distinct.join(members, "id", "left").select("fp0", F.coalesce("component", "id").alias("component_id"))
+    if known.nameless:
+        classes = classes.withColumn("component_id", F.when(F.col("component_id") <= (known.top if known.top is not None else -1), F.col("component_id")))
     return fps.join(classes, "fp0").select(F.col("id").alias("doc_id"), "fp0", "component_id")
 
 
