@@ -58,18 +58,16 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rou
     used = np.flatnonzero((seen >= max(min(3, n_toxic), n_toxic / 200)) & (seen / n_toxic >= 2 * other / n_other))
     if not len(used):
         return Model(weights, base)
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
-    docs = [*toxic, *unlabelled]
-    row = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
-    column = place[np.concatenate(docs)]
-    row, column = row[column >= 0], column[column >= 0]
-    is_toxic = np.arange(len(docs)) < n_toxic
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    kept = [x[x >= 0] for x in (place[d] for d in (*toxic, *unlabelled))]
+    row, column = np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for x in kept]), np.concatenate(kept)
+    is_toxic = np.arange(len(kept)) < n_toxic
     share = np.where(is_toxic, 1 / n_toxic, 1 / n_other)
     x, bias = np.zeros(len(used)), base
     moment, spread = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, rounds + 1):
-        z = np.clip(np.bincount(row, x[column], len(docs)) + bias, -500, 500)
+        z = np.clip(np.bincount(row, x[column], len(kept)) + bias, -500, 500)
         p = 1 / (1 + np.exp(-z))
         as_clean = share * np.logaddexp(0, z)
         clean_slope = np.where(is_toxic, -prior, 1.0) * share * p
@@ -95,9 +93,9 @@ def held_out(id_col: Column, divisor: int, remainder: int) -> Column:
 def _bucket_sets(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([buckets_of(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))], names=["toxic", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([buckets_of(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["toxic", "buckets"])
 
-    return docs.select("toxic", F.col(text_col).alias("text")).mapInArrow(run, "toxic int, buckets array<int>")
+    return docs.select("toxic", F.col(text_col).alias("text")).mapInArrow(run, "toxic int, buckets binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Model:
@@ -115,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Model:
     others = docs.select("doc_id").where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"), 3, 1)).orderBy(order, "doc_id").limit(MAX_UNLABELLED).join(F.broadcast(positives), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("toxic"))
     chosen = F.broadcast(positives.union(others))
     sets = _bucket_sets(docs.select("doc_id", text_col).join(chosen, "doc_id"), text_col).collect()  # at most MAX_TOXIC + MAX_UNLABELLED
-    pick = lambda kind: sorted((np.array(r.buckets, np.int32) for r in sets if r.toxic == kind), key=lambda x: (len(x), x.tobytes()))
+    pick = lambda kind: [np.frombuffer(x, np.int32) for x in sorted((bytes(r.buckets) for r in sets if r.toxic == kind), key=lambda x: (len(x), x))]
     return fit(pick(1), pick(0), prior)
 
 
