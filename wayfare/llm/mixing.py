@@ -15,6 +15,8 @@ from .common import materialize, word_count
 
 #: Documents of a source are counted in so many hash buckets, so that no task holds a whole source.
 BUCKETS = 4096
+#: A table of at most so many sources is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
 #: Slices of the finish times in each of the two rounds that find where the budget ends.
 SLICES = 4096
 
@@ -53,6 +55,12 @@ def _slice_of(time: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), at)).cast("int")
 
 
+def _place(doc_id: Column, size: Column, seed: str) -> tuple[Column, Column]:
+    """Shuffle key and bucket of a row: its place in its source's queue."""
+    shuffled = F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), size)
+    return shuffled, F.pmod(F.shiftright(shuffled, 40), F.lit(BUCKETS)).cast("int")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_passes: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-1") -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) for every row of docs.
 
@@ -63,8 +71,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_passe
     run, whatever their partitions. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"))
-    rows = rows.withColumn("shuffled", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size"))
-    rows = materialize(rows.withColumn("bucket", F.pmod(F.shiftright("shuffled", 40), F.lit(BUCKETS)).cast("int")), "mix-rows")
+    shuffled, bucket = _place(F.col("doc_id"), F.col("size"), seed)
+    rows = materialize(rows.withColumns({"shuffled": shuffled, "bucket": bucket}), "mix-rows")
 
     # cumulative sizes in two steps: over the buckets of a source, then within a bucket
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -110,21 +118,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_passe
     return queued.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, passes * F.col("size")).otherwise(0).cast("long").alias("taken"), "source")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_passes: int = 3) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_passes: int = 3, seed: str = "mix-1") -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken; rows without words are not taken.
 
+    In a source's queue the mix takes every row so many times, and those up to a place once more. With
+    ids of their own, rows find that out from their own place and one row about their source, so texts
+    are not shuffled.
+
     Rows that share an id are told apart by their size and source; of rows alike in all three, as many
     are taken as the mix takes, those first by a hash of the text.
     """
-    taken = mix(docs, weights, max_passes).where("taken > 0").select("doc_id", "size", "source", (F.col("taken") / F.col("size")).cast("int").alias("passes"))
+    taken = mix(docs, weights, max_passes, seed=seed).where("size > 0").select("doc_id", "size", "source", (F.col("taken") / F.col("size")).cast("int").alias("passes"))
     taken = materialize(taken, "mix-taken")
     ids = taken.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
     if ids.n == ids.ids:
-        passes = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("passes").alias("__times"))
-        # without a sharing id the size only matters for rows of size 0 that share one
-        rows = docs.join(passes, F.col("doc_id") == F.col("__id")).where(word_count(F.col("text")) == F.col("__size"))
+        shuffled, bucket = _place(F.col("doc_id"), F.col("size"), seed)
+        per_source = taken.withColumn("at", F.struct(bucket.alias("b"), shuffled.alias("s"), F.col("doc_id").alias("i")))
+        per_source = per_source.groupBy(F.col("source").alias("__source")).agg(F.max("passes").alias("__most"), F.min("passes").alias("__least"), F.max_by("at", F.struct("passes", "at")).alias("__last"))
+        per_source = materialize(per_source, "mix-sources")
+        per_source = F.broadcast(per_source) if per_source.count() <= BROADCAST_ROWS else per_source
+        rows = docs.withColumn("__n", word_count(F.col("text"))).where("__n > 0").join(per_source, F.col("source").eqNullSafe(F.col("__source")))
+        shuffled, bucket = _place(F.col("doc_id"), F.col("__n"), seed)
+        here = F.struct(bucket.alias("b"), shuffled.alias("s"), F.col("doc_id").alias("i"))
+        rows = rows.withColumn("__times", F.when(here <= F.col("__last"), F.col("__most")).otherwise(F.col("__least"))).where("__times > 0")
     else:
-        passes = taken.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source")).agg(F.sort_array(F.collect_list("passes"), asc=False).alias("__passes"))
+        passes = taken.where("passes > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source")).agg(F.sort_array(F.collect_list("passes"), asc=False).alias("__passes"))
         each = Window.partitionBy("doc_id", "__n", "source").orderBy(F.xxhash64("text"))
         rows = docs.withColumn("__n", word_count(F.col("text"))).withColumn("__at", F.row_number().over(each).cast("int"))
         rows = rows.join(passes, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")) & F.col("source").eqNullSafe(F.col("__source")))

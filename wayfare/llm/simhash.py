@@ -323,16 +323,19 @@ def near_duplicate_classes(fps: DataFrame, radius: int = 52) -> DataFrame:
     # ids of documents stand for their fingerprints from here on
     short, long = band_masks()
     keyed = _band_keys(distinct, short, False)
-    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", *_NEAR)).alias("pivot")).where("n > 1"), "shards")
+    hot = materialize(keyed.groupBy("key").count().where(f"count > {HOT_SHARD}").select("key"), "hot-shards")
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot
     run = _links_of_sorted(radius, NEAR_WORDS)
 
     def search(x: DataFrame) -> DataFrame:
         return x.select("key", "id", *_NEAR).repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long")
 
-    links = search(keyed.join(sizes.where(f"n <= {HOT_SHARD}").select("key"), "key", "left_semi"))
-    hot = sizes.where(f"n > {HOT_SHARD}")
-    if not hot.isEmpty():
-        members = keyed.join(F.broadcast(hot.select("key", "pivot")) if hot.count() <= HOT_BROADCAST else hot.select("key", "pivot"), "key")
+    links = search(keyed.join(hot, "key", "left_anti") if n_hot else keyed)
+    if n_hot:
+        members = keyed.join(hot, "key")
+        pivots = members.groupBy("key").agg(F.min(F.struct("id", *_NEAR)).alias("pivot"))
+        members = members.join(F.broadcast(pivots) if n_hot <= HOT_BROADCAST else pivots, "key")
         apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"pivot.{w}"))) for w in _NEAR), F.lit(0))
         links = links.union(members.where((apart <= radius) & (F.col("id") != F.col("pivot.id"))).select(F.col("id").alias("a"), F.col("pivot.id").alias("b")))
         finer = _band_keys(members.select("band", "id", *_NEAR), long, True)
@@ -357,7 +360,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fps = materialize(fingerprints(docs, id_col, text_col, 5, NEAR_WORDS), "fingerprints")
     classes = near_duplicate_classes(fps, radius)
     keep = materialize(classes.where("id = component_id").select(F.col("id").alias("__kept_id")).distinct(), "kept-ids")
-    kept = docs.join(keep, F.col(id_col) == F.col("__kept_id"), "left_semi")
+    # kept ids grow with the corpus, so they are never broadcast; the same join serves every size
+    kept = docs.join(keep.hint("merge"), F.col(id_col) == F.col("__kept_id"), "left_semi")
     counts = fps.groupBy("id").count()
     if not counts.where("id IS NOT NULL AND count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
