@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, words_of
@@ -44,6 +44,16 @@ def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((hash64(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of the five-word shingles, sorted."""
+    return np.unique(shingle_hashes(text, 5))
+
+
+def set_digest(hashes: np.ndarray) -> np.ndarray:
+    """128 bits that stand for a sorted set of hashes, as two words."""
+    return np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.uint64)
+
+
 def fingerprint_of(hashes: np.ndarray) -> int:
     """A bit is 1 if it is set in over half of the hashes; no hashes: 0."""
     ones = np.zeros(64, np.int64)
@@ -60,6 +70,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def set_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp0 .. fp3, s0, s1, n) of each row: the fingerprint, the digest and the size of its set of five-word shingles."""
+    out = pa.schema([(name, pa.int64()) for name in ("id", *_NEAR, "s0", "s1", "n")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = np.zeros((NEAR_WORDS + 3, b.num_rows), np.uint64)
+            for i, text in enumerate(b.column(1)):
+                hashes = shingle_set(text.as_py())
+                got[NEAR_WORDS : NEAR_WORDS + 2, i] = set_digest(hashes)
+                got[NEAR_WORDS + 2, i] = len(hashes)
+                for k in range(NEAR_WORDS):
+                    hashes = _mix(hashes) if k else hashes
+                    got[k, i] = fingerprint_of(hashes)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.view(np.int64)) for x in got)], schema=out)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{f.name} long" for f in out))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, n_words: int = 1) -> DataFrame:
     """(id, fp0 .. fp{n_words-1}), the fingerprint words of each row as longs. Null and empty texts get zeros."""
     out = pa.schema([("id", pa.int64()), *((f"fp{i}", pa.int64()) for i in range(n_words))])
@@ -165,19 +194,16 @@ def shard_links(fps: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.nda
     return member, label[member]
 
 
-def _links_of_sorted(radius: int, n_words: int):
-    """A mapInArrow function over rows (key, id, fp0..) sorted by key: rows (a, b) of linked ids."""
+def _links_of_groups(links):
+    """A mapInArrow function over rows sorted by their first column, the key: rows (a, b) of what links(rows of whole keys) finds."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def links(rows: pa.Table) -> pa.RecordBatch:
-            key, ids, *words = (rows.column(i).to_numpy() for i in range(2 + n_words))
-            fps = np.column_stack([w.view(np.uint64) for w in words])
-            shard = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-            a, b = shard_links(fps, shard, radius)
-            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], schema=schema)
+        def found(rows: pa.Table) -> pa.RecordBatch:
+            a, b = links(rows)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -185,18 +211,31 @@ def _links_of_sorted(radius: int, n_words: int):
             key = batch.column(0).to_numpy()
             last = int(np.flatnonzero(key[1:] != key[:-1])[-1]) + 1 if (key[1:] != key[:-1]).any() else 0
             if held and held[-1].column(0)[-1].as_py() != key[0]:
-                yield links(pa.Table.from_batches(held))
+                yield found(pa.Table.from_batches(held))
                 held = []
             if last:
-                yield links(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                yield found(pa.Table.from_batches([*held, batch.slice(0, last)]))
                 held = []
             held.append(batch.slice(last))
         if held:
-            yield links(pa.Table.from_batches(held))
+            yield found(pa.Table.from_batches(held))
 
     return run
 
 
+def _links_of_sorted(radius: int, n_words: int):
+    """A mapInArrow function over rows (key, id, fp0..) sorted by key: rows (a, b) of linked ids."""
+
+    def links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        key, ids, *words = (rows.column(i).to_numpy() for i in range(2 + n_words))
+        fps = np.column_stack([w.view(np.uint64) for w in words])
+        shard = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        a, b = shard_links(fps, shard, radius)
+        return ids[a], ids[b]
+
+    return _links_of_groups(links)
+
+
 def _bits(word: str, lo: int, n: int) -> Column:
     return F.shiftrightunsigned(F.col(word), lo).bitwiseAND(F.lit((1 << n) - 1))
 
@@ -277,7 +316,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # ---- near copies of whole documents, for the pipeline --------------------------------------------
 
 #: Fingerprint words of a document, bands of sampled bits, bits of a band, and in a hot band the number of longer keys and the bits that each adds.
-NEAR_WORDS, N_BANDS, BAND_BITS, N_FINER, MORE_BITS = 4, 48, 13, 6, 10
+NEAR_WORDS, N_BANDS, BAND_BITS, N_FINER, MORE_BITS = 4, 128, 13, 6, 10
+#: Candidates differ in so many of the 256 bits at most.
+NEAR_RADIUS = 66
+#: Distinct sets and shingles of a block, the unit in which candidates are compared; sets that a candidate group of several blocks is first compared with.
+BLOCK_SETS, BLOCK_SHINGLES, PIVOTS = 512, 1 << 19, 16
 _MASKS = [f"m{w}" for w in range(NEAR_WORDS)]
 _NEAR = [f"fp{w}" for w in range(NEAR_WORDS)]
 
@@ -309,15 +352,14 @@ def _band_keys(rows: DataFrame, masks: list[tuple[int, ...]], per_band: bool) ->
     return each.select(F.xxhash64(F.col("band").cast("int"), F.col("way").cast("int"), *(F.col(w).bitwiseAND(F.col(m)) for w, m in zip(_NEAR, _MASKS, strict=True))).alias("key"), F.col("band").cast("int").alias("band"), "id", *_NEAR)
 
 
-def near_duplicate_classes(fps: DataFrame, radius: int = 52) -> DataFrame:
+def candidate_classes(fps: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
     """(fp0 .. fp3, id, component_id) of the distinct fingerprints of fps (id, fp0 .. fp3): their least id and that of their class.
 
-    Similarity is read from a 256-bit SimHash: sets of Jaccard similarity 0.8 differ in about 39 of its
-    bits (standard deviation 6), those of 0.5 in 69 and unrelated ones in 128, so the radius of 52 takes
-    in 99 % of pairs at 0.8, practically all above, and next to none below 0.55. Candidates meet in
-    shards keyed by 48 choices of 13 bits, and BK-trees find the links within a shard. In a shard over
-    HOT_SHARD, members within the radius of its least fingerprint are linked to that one directly, and
-    all are dealt anew by six longer keys each, so no shard grows with the corpus.
+    Classes of candidates, in which near copies are then looked for: sets of Jaccard similarity 0.8 differ
+    in about 39 of the 256 bits of a SimHash (standard deviation 6), so the radius of 66 takes in all but
+    some in a million of them. Candidates meet in shards keyed by 128 choices of 13 bits, and BK-trees
+    find the links within a shard. In a shard over HOT_SHARD, members within the radius of its least
+    fingerprint are linked to that one directly, and all are dealt anew by six longer keys each.
     """
     distinct = materialize(fps.groupBy(*_NEAR).agg(F.min("id").alias("id")).where("id IS NOT NULL"), "distinct-fps")
     # ids of documents stand for their fingerprints from here on
@@ -345,20 +387,142 @@ def near_duplicate_classes(fps: DataFrame, radius: int = 52) -> DataFrame:
     return distinct.join(linked, "id", "left").select(*_NEAR, "id", F.coalesce("component", "id").alias("component_id"))
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 52) -> DataFrame:
-    """(doc_id, component_id) for documents whose five-word shingles are alike by about 0.8 or more, and chains of them.
+def alike_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (larger, smaller) of all pairs of distinct sorted hashes with a Jaccard similarity of 0.8 or more."""
+    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    token, owner = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(n), size)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    shared = np.zeros(n * n, np.int32)
+    # at: places whose run of equal hashes goes on for another step
+    at = np.arange(len(token) - 1)
+    step = 1
+    while len(at):
+        at = at[at + step < len(token)]
+        at = at[token[at] == token[at + step]]
+        np.add.at(shared, owner[at + step] * n + owner[at], 1)
+        step += 1
+    found = np.flatnonzero(shared)
+    a, b = found // n, found % n
+    near = 9 * shared[found].astype(np.int64) >= 4 * (size[a] + size[b])  # shared >= 0.8 * (both - shared)
+    return a[near], b[near]
+
+
+def _alike_of_groups(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars of the near copies in each run of rows (key, id, hashes) of one key."""
+    key, ids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    hashes = rows.column(2)
+    cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for lo, hi in itertools.pairwise(cuts.tolist()):
+        label = np.arange(hi - lo)
+        join_labels(label, *alike_pairs([np.frombuffer(hashes[i].as_py(), np.uint64) for i in range(lo, hi)]))
+        label = _roots(label, label)
+        out.append((ids[lo:hi], ids[lo:hi][label]))
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    return a[a != b], b[a != b]
+
+
+def _alike(dealt: DataFrame) -> DataFrame:
+    """(a, b): links between ids of near copies that share a key of dealt (key, id, hashes)."""
+    return dealt.select("key", "id", "hashes").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_links_of_groups(_alike_of_groups), "a long, b long")
+
+
+def _blocks(n: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _to(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def block_pairs(rows: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+    """rows with a key for each pair of blocks in which they meet the others of their group.
+
+    rows: (group, id, main, ...); sizes: (group, n_rest, n_main), the numbers of blocks. Any two rows of
+    a group meet under a key unless both are main ones, which need not meet. No block grows with the group.
+    """
+    rows = rows.join(F.broadcast(sizes) if sizes.count() <= HOT_BROADCAST else sizes, group)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("n_main")).otherwise(F.greatest("n_rest", F.lit(1)))).cast("int"))
+    keep = [c for c in rows.columns if c not in ("n_rest", "n_main", "block")]
+    key = lambda kind, i, j: F.xxhash64(F.col(group), F.lit(kind), i, j).alias("key")
+    rest, main = rows.where("NOT main"), rows.where("main AND n_rest > 0")
+    own = rest.withColumn("other", _to(F.col("n_rest"))).select(key("rest", F.least("block", "other"), F.greatest("block", "other")), *keep)
+    cross = rest.where("n_main > 0").withColumn("other", _to(F.col("n_main"))).select(key("main", F.col("block"), F.col("other")), *keep)
+    return own.union(cross).union(main.withColumn("other", _to(F.col("n_rest"))).select(key("main", F.col("other"), F.col("block")), *keep))
+
+
+def near_duplicate_links(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, radius: int = NEAR_RADIUS) -> DataFrame:
+    """(a, b): links that connect all near copies among the distinct shingle sets of prints, each named by its least id.
+
+    Candidate groups come from SimHash; within a group every pair of sets is settled by its exact
+    Jaccard similarity, all in one block if the group is small. A larger group is first compared with
+    PIVOTS of its sets; then all pairs of its blocks meet, but for those within the class that came out
+    largest, which the pivots have linked already.
+    """
+    sets = materialize(prints.where("id IS NOT NULL").groupBy("s0", "s1").agg(F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in _NEAR)), "sets")
+    classes = candidate_classes(sets, radius)
+    grouped = sets.select("id", "s0", "s1", "n", *_NEAR).join(classes.select(*_NEAR, F.col("component_id").alias("group")), _NEAR)
+    grouped = materialize(grouped.select("group", "id", "s0", "s1", "n"), "candidates")
+    several = materialize(grouped.groupBy("group").agg(F.count("*").alias("count"), F.sum("n").alias("total")).where("count > 1").select("group", _blocks(F.col("count"), F.col("total")).alias("blocks")), "groups")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, text in enumerate(b.column(0)):
+                hashes = shingle_set(text.as_py())
+                # rows with one id may have several texts
+                if (set_digest(hashes).view(np.int64) == (b.column(3)[i].as_py(), b.column(4)[i].as_py())).all():
+                    rows.append((i, hashes.tobytes()))
+            at = pa.array([i for i, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), b.column(5).take(at), pa.array([h for _, h in rows], pa.binary()), b.column(6).take(at)], names=["group", "id", "n", "hashes", "blocks"])
+
+    wanted = grouped.join(several, "group")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    members = texts.join(wanted.hint("merge"), "id").select("text", "group", "id", "s0", "s1", "n", "blocks").mapInArrow(read, "group long, id long, n long, hashes binary, blocks int")
+    members = materialize(members, "candidate-sets")
+    links = _alike(members.where("blocks = 1").withColumnRenamed("group", "key"))
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("id"), "id"))
+    pivots = materialize(large.select("group", "id", "n", "blocks").withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("group", "id"), "pivots")
+    led = large.join(F.broadcast(pivots) if pivots.count() <= HOT_BROADCAST else pivots, ["group", "id"], "left_semi")
+    dealt = large.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).union(led.withColumn("block", _to(F.col("blocks"))))
+    first = materialize(_alike(dealt.withColumn("key", F.xxhash64("group", "block"))), "pivot-links")
+    labels = large.select("group", "id", "n").join(components(first).withColumnRenamed("vertex", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    labels = materialize(labels.select("group", "id", "n", "label"), "labels")
+    largest = labels.groupBy("group", "label").count().groupBy("group").agg(F.max(F.struct("count", F.col("label"))).getField("label").alias("largest"))
+    labels = labels.join(largest, "group").withColumn("main", F.col("label") == F.col("largest"))
+    labels = materialize(labels.select("group", "id", "n", "main"), "labels")
+    total = lambda main: [F.count_if(F.col("main") == main), F.coalesce(F.sum(F.when(F.col("main") == main, F.col("n"))), F.lit(0))]
+    blocks = lambda main: F.when(total(main)[0] == 0, 0).otherwise(_blocks(*total(main)))
+    sizes = materialize(labels.groupBy("group").agg(blocks(False).alias("n_rest"), blocks(True).alias("n_main")), "block-counts")
+    dealt = block_pairs(large.select("group", "id", "hashes").join(labels.select("group", "id", "main"), ["group", "id"]), "group", sizes)
+    return links.union(first).union(_alike(dealt))
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The prints of docs, and (s0, s1, id, component_id) of each distinct set that has an id."""
+    prints = materialize(set_prints(docs, id_col, text_col), "fingerprints")
+    linked = components(near_duplicate_links(docs, prints, id_col, text_col, radius)).withColumnRenamed("vertex", "id")
+    sets = prints.where("id IS NOT NULL").groupBy("s0", "s1").agg(F.min("id").alias("id"))
+    return prints, sets.join(linked, "id", "left").select("s0", "s1", "id", F.coalesce("component", "id").alias("component_id"))
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS) -> DataFrame:
+    """(doc_id, component_id) for documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and chains of them.
 
     Documents without words have no shingles and link only to each other. A null id stays null and links
-    nothing, unless another document has the same fingerprint.
+    nothing, unless another document has the same shingles.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, 5, NEAR_WORDS), "fingerprints")
-    return fps.join(near_duplicate_classes(fps, radius).drop("id"), _NEAR, "left").select(F.col("id").alias("doc_id"), "component_id")
+    prints, classes = _named(docs, id_col, text_col, radius)
+    return prints.join(classes.drop("id"), ["s0", "s1"], "left").select(F.col("id").alias("doc_id"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 52) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS) -> DataFrame:
     """The rows of docs whose id is the least of its group of near copies; of rows with one id, one stays. Null ids stay."""
-    fps = materialize(fingerprints(docs, id_col, text_col, 5, NEAR_WORDS), "fingerprints")
-    classes = near_duplicate_classes(fps, radius)
+    fps, classes = _named(docs, id_col, text_col, radius)
     keep = materialize(classes.where("id = component_id").select(F.col("id").alias("__kept_id")).distinct(), "kept-ids")
     # kept ids grow with the corpus, so they are never broadcast; the same join serves every size
     kept = docs.join(keep.hint("merge"), F.col(id_col) == F.col("__kept_id"), "left_semi")
