@@ -43,3 +43,22 @@ def test_repeated_passages_do_not_hide_a_copy(spark):
     text, loop = " ".join(f"w{x}" for x in rng.integers(0, 4000, 300)), " ".join(f"r{x}" for x in range(20))
     docs = spark.createDataFrame([(1, f"{text} {loop}"), (2, " ".join([text, *[loop] * 60]))], "doc_id long, text string")
     assert {r.component_id for r in simhash.near_duplicate_components(docs).collect()} == {1}
+
+
+@pytest.mark.parametrize("hot", [4000, 6])
+def test_hot_shards_link_the_same_pairs(spark, monkeypatch, hot):
+    """Fingerprints 45 to 66 bits apart that share one band's key are linked, however many others share it."""
+    monkeypatch.setattr(simhash, "HOT_SHARD", hot)
+    masks = simhash.band_masks()[:1]
+    monkeypatch.setattr(simhash, "band_masks", lambda: masks)
+    mask = np.array(masks[0][-4:], np.int64).view(np.uint64)
+    free = np.array([i for i in range(256) if not int(mask[i // 64]) >> (i % 64) & 1])
+    rng = np.random.default_rng(11)
+    flip = lambda x, bits: x ^ np.packbits(np.isin(np.arange(256), bits), bitorder="little").view(np.uint64)
+    fps = []
+    for k in range(20):
+        first = rng.integers(0, 1 << 63, 4).astype(np.uint64) & ~mask
+        fps += [first, flip(first, rng.choice(free, 45 + k, replace=False))]
+    docs = spark.createDataFrame([(i, *map(int, f.view(np.int64))) for i, f in enumerate(fps)], "id long, fp0 long, fp1 long, fp2 long, fp3 long")
+    got = {r.id: r.component_id for r in simhash.candidate_classes(docs).collect()}
+    assert got == {i: i // 2 * 2 for i in range(40)}

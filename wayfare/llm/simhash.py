@@ -141,15 +141,19 @@ class Forest:
         self.key = self.key[order]
         self.child = (np.concatenate(children) if children else np.empty(0, np.int64))[order]
 
-    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (larger, smaller index) within the radius and one shard, in blocks of bounded size."""
-        n = len(self.fps)
-        todo = [np.arange(i, min(n, i + 4096)) for i in range(0, n, 4096)][::-1]
+    def pairs(self, radius: int, rest: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (larger, smaller index) within the radius and one shard, in blocks of bounded size.
+
+        rest: only pairs of one of these (sorted indices) and any other, the one of rest first.
+        """
+        every = rest is None
+        rest = np.arange(len(self.fps)) if every else rest
+        todo = [rest[i : i + 4096] for i in range(0, len(rest), 4096)][::-1]
         stack = [(q, self.root[q]) for q in todo]
         while stack:
             query, node = stack.pop()
             d = distance(self.fps[query], self.fps[node])
-            hit = (d <= radius) & (node < query)
+            hit = (d <= radius) & ((node < query) if every else (node != query))
             if hit.any():
                 yield query[hit], node[hit]
             lo = np.searchsorted(self.key, node * self.bits + np.maximum(d - radius, 0))
@@ -187,7 +191,11 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def shard_links(fps: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star for each class of linked fingerprints of a shard: indices (member, least member)."""
     label = np.arange(len(fps))
-    for a, b in Forest(fps, shard).pairs(radius):
+    forest = Forest(fps, shard)
+    # those within the radius of their root need not be searched for each other
+    near = distance(fps, fps[forest.root]) <= radius
+    label[near] = forest.root[near]
+    for a, b in forest.pairs(radius, np.flatnonzero(~near)):
         join_labels(label, a, b)
     label = _roots(label, label)
     member = np.flatnonzero(label != np.arange(len(fps)))
@@ -315,8 +323,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # ---- near copies of whole documents, for the pipeline --------------------------------------------
 
-#: Fingerprint words of a document, bands of sampled bits, bits of a band, and in a hot band the number of longer keys and the bits that each adds.
-NEAR_WORDS, N_BANDS, BAND_BITS, N_FINER, MORE_BITS = 4, 128, 13, 6, 10
+#: Fingerprint words of a document, bands of sampled bits, and bits of a band.
+NEAR_WORDS, N_BANDS, BAND_BITS = 4, 128, 13
 #: Candidates differ in so many of the 256 bits at most.
 NEAR_RADIUS = 66
 #: Distinct sets and shingles of a block, the unit in which candidates are compared; sets that a candidate group of several blocks is first compared with.
@@ -330,26 +338,17 @@ def _bit_masks(bits: np.ndarray) -> list[int]:
     return [int(np.bitwise_or.reduce(np.uint64(1) << (bits[bits // 64 == w] % 64).astype(np.uint64), initial=np.uint64(0)).view(np.int64)) for w in range(NEAR_WORDS)]
 
 
-def band_masks() -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
-    """Rows (band, way, masks) of fixed random choices of bits: one for each band, and the longer ones of each band."""
+def band_masks() -> list[tuple[int, ...]]:
+    """Rows (band, masks) of fixed random choices of bits, one for each band."""
     rng = np.random.default_rng(20)
-    short, long = [], []
-    for band in range(N_BANDS):
-        order = rng.permutation(64 * NEAR_WORDS)
-        short.append((band, 0, *_bit_masks(order[:BAND_BITS])))
-        long += [(band, way, *_bit_masks(np.concatenate((order[:BAND_BITS], rng.permutation(order[BAND_BITS:])[:MORE_BITS])))) for way in range(1, N_FINER + 1)]
-    return short, long
+    return [(band, *_bit_masks(rng.permutation(64 * NEAR_WORDS)[:BAND_BITS])) for band in range(N_BANDS)]
 
 
-def _band_keys(rows: DataFrame, masks: list[tuple[int, ...]], per_band: bool) -> DataFrame:
-    """rows with a key for each of the masks, and its band; per_band: only for those of the row's own band."""
-    names = ["band", "way", *_MASKS]
-    if per_band:
-        table = rows.sparkSession.createDataFrame(masks, f"band int, way int, {', '.join(f'{m} long' for m in _MASKS)}")
-        each = rows.join(F.broadcast(table), "band")  # N_BANDS * N_FINER rows
-    else:
-        each = rows.withColumn("m", F.explode(F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for v, n in zip(m, names, strict=True))) for m in masks)))).select("*", "m.*")
-    return each.select(F.xxhash64(F.col("band").cast("int"), F.col("way").cast("int"), *(F.col(w).bitwiseAND(F.col(m)) for w, m in zip(_NEAR, _MASKS, strict=True))).alias("key"), F.col("band").cast("int").alias("band"), "id", *_NEAR)
+def _band_keys(rows: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """rows with a key for each of the masks."""
+    names = ["band", *_MASKS]
+    each = rows.withColumn("m", F.explode(F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for v, n in zip(m, names, strict=True))) for m in masks)))).select("*", "m.*")
+    return each.select(F.xxhash64(F.col("band").cast("int"), *(F.col(w).bitwiseAND(F.col(m)) for w, m in zip(_NEAR, _MASKS, strict=True))).alias("key"), "id", *_NEAR)
 
 
 def candidate_classes(fps: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
@@ -359,12 +358,12 @@ def candidate_classes(fps: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
     in about 39 of the 256 bits of a SimHash (standard deviation 6), so the radius of 66 takes in all but
     some in a million of them. Candidates meet in shards keyed by 128 choices of 13 bits, and BK-trees
     find the links within a shard. In a shard over HOT_SHARD, members within the radius of its least
-    fingerprint are linked to that one directly, and all are dealt anew by six longer keys each.
+    fingerprint are linked to that one directly; the others meet each other and those in blocks, so that
+    every pair within the radius is linked as in a smaller shard and no task holds more than two blocks.
     """
     distinct = materialize(fps.groupBy(*_NEAR).agg(F.min("id").alias("id")).where("id IS NOT NULL"), "distinct-fps")
     # ids of documents stand for their fingerprints from here on
-    short, long = band_masks()
-    keyed = _band_keys(distinct, short, False)
+    keyed = _band_keys(distinct, band_masks())
     hot = materialize(keyed.groupBy("key").count().where(f"count > {HOT_SHARD}").select("key"), "hot-shards")
     n_hot = hot.count()
     hot = F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot
@@ -379,10 +378,11 @@ def candidate_classes(fps: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
         pivots = members.groupBy("key").agg(F.min(F.struct("id", *_NEAR)).alias("pivot"))
         members = members.join(F.broadcast(pivots) if n_hot <= HOT_BROADCAST else pivots, "key")
         apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"pivot.{w}"))) for w in _NEAR), F.lit(0))
-        links = links.union(members.where((apart <= radius) & (F.col("id") != F.col("pivot.id"))).select(F.col("id").alias("a"), F.col("pivot.id").alias("b")))
-        finer = _band_keys(members.select("band", "id", *_NEAR), long, True)
-        shared = finer.groupBy("key").count().where("count > 1").select("key")
-        links = links.union(search(finer.join(shared, "key", "left_semi")))
+        members = materialize(members.select(F.col("key").alias("shard"), "id", *_NEAR, F.col("pivot.id").alias("pivot"), (apart <= radius).alias("main")), "hot-members")
+        links = links.union(members.where("main AND id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        blocks = lambda main: F.ceil(F.count_if(F.col("main") == main) / (HOT_SHARD / 2)).cast("int")
+        sizes = materialize(members.groupBy("shard").agg(blocks(False).alias("n_rest"), blocks(True).alias("n_main")), "hot-blocks")
+        links = links.union(search(block_pairs(members.drop("pivot"), "shard", sizes)))
     linked = components(links.distinct()).withColumnRenamed("vertex", "id")
     return distinct.join(linked, "id", "left").select(*_NEAR, "id", F.coalesce("component", "id").alias("component_id"))
 
