@@ -46,7 +46,7 @@ def term_counts(text: str | None) -> np.ndarray:
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     counts[TERMS - 1] = not words
     counts[TERMS - 2] = same
-    counts[TERMS - 3] = len(words) - len(set(words)) if len(words) < 2000 else 0
+    counts[TERMS - 3] = len(words) - len(set(words))
     counts[TERMS - 4] = len(words)
     return counts
 
