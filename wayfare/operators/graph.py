@@ -49,17 +49,18 @@ def largest_component(members: DataFrame) -> DataFrame:
     return members.join(F.broadcast(top), "component", "left_semi")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int = 500) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(query, dist, path, goal) of the lightest path of each query from any of its starts to any of its goals.
 
     edges: (src, dst, w); starts and goals: (query, vertex, cost), the cost of the connector to the graph.
     Frontiers of all queries are relaxed together: each round extends the vertices that got better, keeps
     the lightest way to a vertex (ties by path) and drops those no better than the goal's best so far,
-    until no vertex improves. Paths are carried along as arrays. Queries without a path are missing.
+    until no vertex improves, whatever the number of hops (weights are not negative). Paths are carried
+    along as arrays. Queries without a path are missing. max_hops: more rounds than that are an error.
     """
     best = materialize(starts.groupBy("query", "vertex").agg(F.min("cost").alias("dist")).withColumn("path", F.array("vertex")), "paths")
-    frontier = best
-    for _ in range(max_hops):
+    frontier, rounds = best, 0
+    while True:
         reached = best.join(goals, ["query", "vertex"]).groupBy("query").agg(F.min(F.col("dist") + F.col("cost")).alias("__bound"))
         step = frontier.join(edges, F.col("vertex") == F.col("src")).select("query", F.col("dst").alias("vertex"), (F.col("dist") + F.col("w")).alias("dist"), F.concat("path", F.array("dst")).alias("path"))
         step = step.join(reached, "query", "left").where("__bound IS NULL OR dist < __bound").groupBy("query", "vertex").agg(F.min(F.struct("dist", "path")).alias("s")).select("query", "vertex", "s.dist", "s.path")
@@ -67,6 +68,9 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_ho
         frontier = materialize(step.join(known, ["query", "vertex"], "left").where("__dist IS NULL OR dist < __dist").drop("__dist"), "frontier")
         if frontier.isEmpty():
             break
+        rounds += 1
+        if max_hops is not None and rounds > max_hops:
+            raise RuntimeError("shortest_paths did not settle")
         best = materialize(best.unionByName(frontier).groupBy("query", "vertex").agg(F.min(F.struct("dist", "path")).alias("s")).select("query", "vertex", "s.dist", "s.path"), "paths")
     done = best.join(goals, ["query", "vertex"]).select("query", F.struct((F.col("dist") + F.col("cost")).alias("dist"), "path", F.col("vertex").alias("goal")).alias("s"))
     return done.groupBy("query").agg(F.min("s").alias("s")).select("query", "s.dist", "s.path", "s.goal")
