@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
 _STRIP = ".,;:!?\"'()[]{}<>*_-#$%&|/\\~`+=¡¿«»"
-#: Training takes at most so many toxic and so many unlabelled documents, those least by a hash of their id.
+#: Gradient steps take at most so many toxic and so many unlabelled documents, those least by a hash of their id; word rates count all.
 MAX_TOXIC, MAX_UNLABELLED = 4000, 12000
 
 
@@ -40,22 +40,33 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights[buckets].sum() + self.bias, -500, 500))))
 
 
-def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.1, sparsity: float = 1e-4) -> Model:
+def common_buckets(toxic: list[np.ndarray]) -> np.ndarray:
+    """Buckets in at least 3 toxic documents and 1 in 200 of them, in order."""
+    if not toxic:
+        return np.empty(0, np.int64)
+    seen = np.bincount(np.concatenate(toxic), minlength=BUCKETS)
+    return np.flatnonzero(seen >= max(min(3, len(toxic)), len(toxic) / 200))
+
+
+def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rates: np.ndarray | None = None, rounds: int = 400, rate: float = 0.1, sparsity: float = 1e-4) -> Model:
     """Train on bucket sets with the logistic loss and Adam steps.
 
     The risk is prior * R(toxic as toxic) + max(0, R(unlabelled as clean) - prior * R(toxic as clean));
     where the second part falls below zero, its gradient is followed upwards instead. Only buckets that
-    speak for toxicity get a weight: those in at least 3 toxic documents (1 in 200 of them) and at twice
-    the rate there as in unlabelled text. Weights are kept from falling below zero and shrink a little
-    with each step, so that chance words of long texts don't add up.
+    speak for toxicity get a weight: the common ones of toxic documents that have twice the rate there
+    as in unlabelled text (rates: share of all unlabelled documents with the bucket; None: of those
+    given). Weights are kept from falling below zero and shrink a little with each step, so that chance
+    words of long texts don't add up.
     """
     weights = np.zeros(BUCKETS)
     base = float(np.log(prior / (1 - prior)))
     if not toxic or not unlabelled:
         return Model(weights, base)
     n_toxic, n_other = len(toxic), len(unlabelled)
-    seen, other = (np.bincount(np.concatenate(x), minlength=BUCKETS) for x in (toxic, unlabelled))
-    used = np.flatnonzero((seen >= max(min(3, n_toxic), n_toxic / 200)) & (seen / n_toxic >= 2 * other / n_other))
+    seen = np.bincount(np.concatenate(toxic), minlength=BUCKETS) / n_toxic
+    rates = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS) / n_other if rates is None else rates
+    used = common_buckets(toxic)
+    used = used[seen[used] >= 2 * rates[used]]
     if not len(used):
         return Model(weights, base)
     place = np.full(BUCKETS, -1, np.int32)
@@ -93,28 +104,56 @@ def held_out(id_col: Column, divisor: int, remainder: int) -> Column:
 def _bucket_sets(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([buckets_of(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["toxic", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([buckets_of(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["doc_id", "toxic", "buckets"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, toxic int, buckets binary")
+
+
+def bucket_rates(docs: DataFrame, wanted: np.ndarray, text_col: str = "text") -> np.ndarray:
+    """Share of all rows of docs whose text has each of the wanted buckets (zero for others); a task gives one row of sums for each bucket it met."""
+    rates = np.zeros(BUCKETS)
+    shared = docs.sparkSession.sparkContext.broadcast(np.append(wanted, BUCKETS))  # BUCKETS + 1 numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(BUCKETS + 1, -1, np.int64)
+        place[shared.value] = np.arange(len(shared.value))
+        seen = np.zeros(len(shared.value), np.int64)
+        for b in batches:
+            for text in b.column(0):
+                at = place[buckets_of(text.as_py())]
+                seen[at[at >= 0]] += 1
+            seen[-1] += b.num_rows
+        met = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(shared.value[met]), pa.array(seen[met])], names=["bucket", "n"])
 
-    return docs.select("toxic", F.col(text_col).alias("text")).mapInArrow(run, "toxic int, buckets binary")
+    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = {r.bucket: r.n for r in sums.collect()}  # one row a bucket
+    total = found.pop(BUCKETS, 0)
+    rates[list(found)] = np.array(list(found.values()), np.float64) / max(total, 1)
+    return rates
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Model:
     """Fit the model on documents outside the held-out third.
 
     labels: (doc_id, toxic); documents marked toxic are the positives, and all others, marked or not,
-    are unlabelled text. The prior is the toxic share of the marked documents. Samples are bounded by
-    MAX_TOXIC and MAX_UNLABELLED, so their ids can be broadcast and their word sets fetched.
+    are unlabelled text. The prior is the toxic share of the marked documents, and word rates of
+    unlabelled text count every row outside the held-out third. The documents of gradient steps are
+    bounded by MAX_TOXIC and MAX_UNLABELLED, so their ids can be broadcast and their word sets fetched;
+    of rows that share an id, the text with the least word set stands for them.
     """
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = marked.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = min(max(share or 0.0, 0.01), 0.9)
     positives = marked.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_TOXIC).select("doc_id", F.lit(1).alias("toxic"))
-    others = docs.select("doc_id").where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"), 3, 1)).orderBy(order, "doc_id").limit(MAX_UNLABELLED).join(F.broadcast(positives), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("toxic"))
+    others = docs.select("doc_id").where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"), 3, 1)).distinct().orderBy(order, "doc_id").limit(MAX_UNLABELLED).join(F.broadcast(positives), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("toxic"))
     chosen = F.broadcast(positives.union(others))
-    sets = _bucket_sets(docs.select("doc_id", text_col).join(chosen, "doc_id"), text_col).collect()  # at most MAX_TOXIC + MAX_UNLABELLED
+    sets = _bucket_sets(docs.select("doc_id", text_col).join(chosen, "doc_id"), text_col).groupBy("doc_id").agg(F.min(F.struct("toxic", "buckets")).alias("row")).select("row.*").collect()  # at most MAX_TOXIC + MAX_UNLABELLED
     pick = lambda kind: [np.frombuffer(x, np.int32) for x in sorted((bytes(r.buckets) for r in sets if r.toxic == kind), key=lambda x: (len(x), x))]
-    return fit(pick(1), pick(0), prior)
+    toxic, unlabelled = pick(1), pick(0)
+    rates = bucket_rates(docs.where(~held_out(F.col("doc_id"), 3, 1)), common_buckets(toxic), text_col)
+    return fit(toxic, unlabelled, prior, rates)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
