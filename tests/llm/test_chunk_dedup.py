@@ -1,6 +1,8 @@
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import brute
 from wayfare.llm import chunk_dedup as C
@@ -18,14 +20,14 @@ def slow_chunks(raw):
     return out
 
 
-def expected(rows):
-    """(kept, repeated, removed, spans) of each distinct (id, text) by a dictionary of chunks."""
+def expected(rows, order):
+    """(kept, repeated, removed, spans) of each distinct (id, text) by a dictionary of chunks; order: that of texts with one id."""
     docs = {(r.doc_id, r.text): slow_chunks(brute.raw(r.text)) for r in rows if r.doc_id is not None}
     counts = Counter(c for r in rows if r.doc_id is not None for c in docs[r.doc_id, r.text])
     first, out = {}, {}
-    for (i, _), chunks in sorted(docs.items(), key=lambda x: x[0][0]):
+    for (i, t), chunks in sorted(docs.items(), key=lambda x: (x[0][0], order.get(x[0], 0))):
         for at, c in enumerate(chunks):
-            first.setdefault(c, (i, at))
+            first.setdefault(c, (i, t, at))
 
     def runs(flags, chunks):
         keep, at = [False] * len(flags), 0
@@ -40,7 +42,7 @@ def expected(rows):
 
     for (i, t), chunks in docs.items():
         rep = runs([counts[c] > 1 for c in chunks], chunks)
-        later = runs([counts[c] > 1 and first[c] != (i, at) for at, c in enumerate(chunks)], chunks)
+        later = runs([counts[c] > 1 and first[c] != (i, t, at) for at, c in enumerate(chunks)], chunks)
         kept = b"".join(c for c, g in zip(chunks, later, strict=True) if not g)
         out[i, t] = (kept, sum(len(c) for c, g in zip(chunks, rep, strict=True) if g), sum(len(c) for c, g in zip(chunks, later, strict=True) if g), sum(g and not (k and later[k - 1]) for k, g in enumerate(later)))
     return out
@@ -48,7 +50,7 @@ def expected(rows):
 
 def check(docs):
     rows = docs.collect()
-    want = expected(rows)
+    want = expected(rows, {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()})
     got = {}
     for r in C.dedup_chunks(docs).collect():
         got.setdefault(r.doc_id, []).append((bytes(r.kept), r.n_repeated, r.n_removed, r.n_spans))
@@ -57,12 +59,21 @@ def check(docs):
     assert sum(map(len, got.values())) == len(rows)
 
 
-def test_equals_brute_force(documents, hard, empty):
-    check(documents)
+@pytest.mark.parametrize("held", [100_000, 3])
+def test_equals_brute_force(documents, hard, empty, monkeypatch, held):
+    monkeypatch.setattr(C, "HELD", held)
+    check(documents.repartition(3))
     check(hard)
     assert C.dedup_chunks(empty).collect() == []
 
 
+def test_shared_ids(spark, documents):
+    """Rows that share an id are told apart by their texts; very many rows may be alike in both."""
+    texts = [r.text for r in documents.where("length(text) > 2000").orderBy("doc_id").limit(12).collect()]
+    rows = [(k // 4, t) for k, t in enumerate(texts)] + [(1, texts[0]), (2, "short"), (2, None), (None, texts[1])] + [(7, texts[2][:700])] * 60
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+
+
 def test_chunks_resist_shifts():
     rng = np.random.default_rng(3)
     raw = rng.integers(32, 127, 20_000).astype(np.uint8).tobytes()
