@@ -16,7 +16,7 @@ def brute(ids, vectors, queries_, k=20):
     return out
 
 
-@pytest.mark.parametrize("block", [16384, 150])
+@pytest.mark.parametrize("block", [4096, 60])
 def test_recall_and_scores(spark, monkeypatch, block):
     monkeypatch.setattr(V, "CANDIDATE_BLOCK", block)
     d = "/root/testdata/sf0.01"
@@ -47,6 +47,29 @@ def test_bad_vectors_ties_and_few_candidates(spark):
     got = sorted(map(tuple, V.nearest(x, F.col("vec_id") % 20 == 0).collect()))
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 0.5), (0, 4, 20, -1.0), (20, 1, 3, -0.5), (20, 2, 0, -1.0), (20, 3, 1, -1.0), (20, 4, 2, -1.0)]
     assert V.nearest(x.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+    assert V.nearest(x, F.col("vec_id") < 0).collect() == []
+
+
+def test_repeated_vectors_spread_over_blocks(spark, monkeypatch):
+    """A third of all rows may be one vector: its cell is dealt in blocks, and nothing is lost."""
+    monkeypatch.setattr(V, "CANDIDATE_BLOCK", 20)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    vectors = np.concatenate([np.tile(rng.standard_normal(6), (100, 1)), rng.standard_normal((200, 6))])
+    x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in V.nearest(x, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute(np.arange(300), vectors, range(0, 300, 20))
+    assert set(got) == set(want)
+    assert sum(len({v for _, v in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_cells_cover_the_space():
+    points = np.random.default_rng(1).standard_normal((5000, 8))
+    cells = V.Cells(points[:1000], 13)
+    assert cells.n == 13 and np.bincount(cells.of(points), minlength=13).min() > 200
+    assert V.Cells(np.zeros((50, 8)), 5).of(points).max() == 0
 
 
 def test_chi_square():
