@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialize
+from .tables import drop_table, materialize
 
 
-def undirected(segments: DataFrame, src: str = "src", dst: str = "dst", weight: str = "w") -> DataFrame:
-    """Edges (src, dst, w) both ways, the lightest of parallel ones; a missing or zero weight counts as 1."""
-    w = F.coalesce(F.nullif(F.col(weight), F.lit(0.0)), F.lit(1.0)).alias("w")
+def undirected(segments: DataFrame, src: str = "src", dst: str = "dst", weight: str = "w", missing: float = 1.0) -> DataFrame:
+    """Edges (src, dst, w) both ways, the lightest of parallel ones; a missing or zero weight counts as 1 (or as missing says)."""
+    w = F.coalesce(F.nullif(F.col(weight), F.lit(0)), F.lit(missing)).alias("w")
     one = segments.select(F.col(src).alias("src"), F.col(dst).alias("dst"), w).where("src <> dst")
     both = one.unionAll(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return both.groupBy("src", "dst").agg(F.min("w").alias("w"))
@@ -35,7 +35,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        now = materialize(star(materialize(star(now, True), "edges"), False), "edges")
+        large = materialize(star(now, True), "edges")
+        before, now = now, materialize(star(large, False), "edges")
+        drop_table(large)
+        drop_table(before)
         got = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
         if got == mark:
             return now.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct())
@@ -52,27 +55,31 @@ def largest_component(members: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(query, dist, path, goal) of the lightest path of each query from any of its starts to any of its goals.
 
-    edges: (src, dst, w); starts and goals: (query, vertex, cost), the cost of the connector to the graph.
-    Frontiers of all queries are relaxed together: each round extends the vertices that got better, keeps
-    the lightest way to a vertex (ties by path) and drops those no better than the goal's best so far,
-    until no vertex improves, whatever the number of hops (weights are not negative). Paths are carried
-    along as arrays. Queries without a path are missing. max_hops: more rounds than that are an error.
+    edges: (src, dst, w); starts and goals: (query, vertex, cost), the cost of the connector to the graph;
+    they are read in each round, so they should be tables. Frontiers of all queries are relaxed together:
+    a round extends the vertices that got better in the last one, drops ways no better than the goal's
+    best so far, and keeps the lightest way to each vertex (of equal ones the first found, then the one
+    of the least path), until no vertex improves, whatever the number of hops (weights are not
+    negative). Paths are carried along as arrays; a round is one aggregation, written to the shared
+    folder. Queries without a path are missing. max_hops: more rounds than that are an error.
     """
-    best = materialize(starts.groupBy("query", "vertex").agg(F.min("cost").alias("dist")).withColumn("path", F.array("vertex")), "paths")
-    frontier, rounds = best, 0
-    while True:
-        reached = best.join(goals, ["query", "vertex"]).groupBy("query").agg(F.min(F.col("dist") + F.col("cost")).alias("__bound"))
-        step = frontier.join(edges, F.col("vertex") == F.col("src")).select("query", F.col("dst").alias("vertex"), (F.col("dist") + F.col("w")).alias("dist"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.join(reached, "query", "left").where("__bound IS NULL OR dist < __bound").groupBy("query", "vertex").agg(F.min(F.struct("dist", "path")).alias("s")).select("query", "vertex", "s.dist", "s.path")
-        known = best.select("query", "vertex", F.col("dist").alias("__dist"))
-        frontier = materialize(step.join(known, ["query", "vertex"], "left").where("__dist IS NULL OR dist < __dist").drop("__dist"), "frontier")
-        if frontier.isEmpty():
-            break
+    lightest = F.min(F.struct("dist", "fresh", "path")).alias("s")
+    best = starts.select("query", "vertex", F.col("cost").alias("dist"), F.lit(True).alias("fresh"), F.array("vertex").alias("path"))
+    best = materialize(best.groupBy("query", "vertex").agg(lightest).select("query", "vertex", "s.*"), "paths")
+    ends = goals.groupBy("query", "vertex").agg(F.min("cost").alias("cost"))
+    rounds = 0
+    while not best.where("fresh").isEmpty():
         rounds += 1
         if max_hops is not None and rounds > max_hops:
             raise RuntimeError("shortest_paths did not settle")
-        best = materialize(best.unionByName(frontier).groupBy("query", "vertex").agg(F.min(F.struct("dist", "path")).alias("s")).select("query", "vertex", "s.dist", "s.path"), "paths")
-    done = best.join(goals, ["query", "vertex"]).select("query", F.struct((F.col("dist") + F.col("cost")).alias("dist"), "path", F.col("vertex").alias("goal")).alias("s"))
+        bound = best.join(ends, ["query", "vertex"]).groupBy("query").agg(F.min(F.col("dist") + F.col("cost")).alias("bound"))
+        step = best.where("fresh").join(edges, F.col("vertex") == F.col("src")).join(bound, "query", "left").where("bound IS NULL OR dist + w < bound")
+        step = step.select("query", F.col("dst").alias("vertex"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(True).alias("fresh"), F.concat("path", F.array("dst")).alias("path"))
+        # of equal ways the old one stays: false comes before true
+        merged = best.withColumn("fresh", F.lit(False)).unionByName(step).groupBy("query", "vertex").agg(lightest).select("query", "vertex", "s.*")
+        before, best = best, materialize(merged, "paths")
+        drop_table(before)
+    done = best.join(ends, ["query", "vertex"]).select("query", F.struct((F.col("dist") + F.col("cost")).alias("dist"), "path", F.col("vertex").alias("goal")).alias("s"))
     return done.groupBy("query").agg(F.min("s").alias("s")).select("query", "s.dist", "s.path", "s.goal")
 
 

@@ -235,39 +235,6 @@ def main_component_pack(spark: SparkSession, d: str) -> DataFrame:
     return e.select("airway", "seq", "src_idx", "dst_idx")
 
 
-def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A request from every airport to the third one after it, and connectors: the nearest point in each component within 450 NM."""
-    edges = graph.undirected(kept_segments(spark, d))
-    members = graph.components(edges)
-    a = D.airports(spark, d).select(F.col("id"), "lat", "lon")
-    req = a.select(F.col("id").alias("query"), F.col("id").alias("origin"), (F.col("id") + 3).alias("goal"))
-    p = D.nav_points(spark, d).select(F.col("uid").alias("vertex"), "lat", "lon")
-    near = grid.distance_join(a, p, 450.0).select("id", "vertex", geo.quantise(F.col("dist_nm"), 2).alias("cost"))
-    ends = [graph.nearest_per_component(req.join(near, F.col(c) == F.col("id")).select("query", "vertex", "cost"), members).select("query", "vertex", "cost") for c in ("origin", "goal")]
-    return req, edges, ends
-
-
-@query()
-def shortest_path_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The lightest airway path of each request, with connectors at both ends."""
-    _, edges, (starts, goals) = _requests(spark, d)
-    found = graph.shortest_paths(edges, starts, goals)
-    return found.select("query", geo.quantise(F.col("dist"), 2).alias("nm"), F.size("path").alias("n_points"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
-
-
-@query()
-def route_with_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Airway route of each request, or the great circle with the reason for it."""
-    req, edges, (starts, goals) = _requests(spark, d)
-    found = graph.shortest_paths(edges, starts, goals).select("query", geo.quantise(F.col("dist"), 2).alias("route_nm"))
-    a = D.airports(spark, d).select("id", "lat", "lon")
-    j = req.join(a.toDF("origin", "alat", "alon"), "origin", "left").join(a.toDF("goal", "blat", "blon"), "goal", "left").join(found, "query", "left")
-    j = j.join(starts.select("query").distinct().withColumn("has_start", F.lit(True)), "query", "left").join(goals.select("query").distinct().withColumn("has_goal", F.lit(True)), "query", "left")
-    reason = F.when(F.col("route_nm").isNotNull(), F.lit(None).cast("string")).when(F.col("alat").isNull() | F.col("blat").isNull(), "airport_not_found").when(F.col("has_start").isNull() | F.col("has_goal").isNull(), "no_connector_points").otherwise("airway_path_not_found")
-    direct = geo.quantise(geo.haversine_nm(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")), 2)
-    return j.select("query", F.coalesce("route_nm", direct).alias("nm"), reason.alias("fallback_reason"))
-
-
 @query(sql("""SELECT uid, 'pt-' || left(sha256(upper(trim(regexp_replace(' ' || lower(ident) || '  x', '\\s+', ' ', 'g'))) || '|' || printf('%.6f', lat) || '|' || printf('%.6f', lon) || '||' || point_type || '|' || source_id), 16) AS point_uid FROM nav_points""", "nav_points"))
 def ident_normalise_uid(spark: SparkSession, d: str) -> DataFrame:
     """Content-addressed ids of points from untidy idents."""

@@ -152,5 +152,5 @@ def sql(body: str, *names: str, recursive: bool = False) -> str:
     head = ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
     text = body.strip()
     if text.upper().startswith("WITH "):
-        return f"WITH {'RECURSIVE ' if recursive else ''}{head},\n{text[5:]}" if order else text
+        return f"WITH {'RECURSIVE ' if recursive else ''}{head},\n{text[5:]}" if order else f"WITH {'RECURSIVE ' if recursive else ''}{text[5:]}"
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}\n{text}" if order else text
