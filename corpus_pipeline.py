@@ -32,10 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as piece ids, and whether decoding them gives the text again."""
-    vocabulary = sentencepiece_viterbi.Vocabulary.read()
-    coded = sentencepiece_viterbi.encode(docs, vocabulary)
-    back = sentencepiece_viterbi.decode(coded, vocabulary)
-    return back.select("doc_id", "lang", "source", "n_chars", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    coded = sentencepiece_viterbi.round_trip(docs, sentencepiece_viterbi.Vocabulary.read())
+    return coded.select("doc_id", "lang", "source", "n_chars", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES = [
