@@ -100,6 +100,13 @@ def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     return F.cos(p) * F.cos(q), F.sin(p), F.cos(p) * F.sin(q)
 
 
+def vector(lat: Column, lon: Column, alt_m: Column, radius: float = 2.0, scale_m: float = 900_000.0) -> tuple[Column, Column, Column]:
+    """A place on a globe of a radius, raised by its altitude over scale_m: east at zero longitude, up, and towards zero longitude."""
+    p, q = F.radians(lat), F.radians(lon)
+    r = radius + (F.coalesce(alt_m, F.lit(0.0)) / scale_m if scale_m else F.lit(0.0))
+    return r * F.cos(p) * F.sin(q), r * F.sin(p), r * F.cos(p) * F.cos(q)
+
+
 def interpolate(lat1: Column, lon1: Column, lat2: Column, lon2: Column, f: Column) -> tuple[Column, Column]:
     """Great-circle point at fraction f, clamped to 0..1; the start where both ends agree, null between antipodes."""
     f = clamp(f, 0, 1)
@@ -166,7 +173,7 @@ def region(lat: Column, lon: Column) -> Column:
 
 
 def below_label(lat: Column, lon: Column, admin1: Column) -> Column:
-    """What lies below a position on the northern Pacific rim."""
+    """What lies below a position on the northern Pacific rim (boxes and names are fixed values)."""
     return (
         F.when(admin1.isNotNull() & (lat > 30) & (lon > 130), admin1)
         .when((lat > 24) & (lat < 32) & (lon > 122) & (lon < 130), "East China Sea")
@@ -177,6 +184,7 @@ def below_label(lat: Column, lon: Column, admin1: Column) -> Column:
 
 
 def crossing_label(lat: Column, lon: Column) -> Column:
+    """What a route crosses there (boxes and names are fixed values)."""
     return F.when((lat > 32) & (lon > 135), "Japan FIR").when((lat > 24) & (lon > 122) & (lon < 134), "Pacific / East China Sea corridor").otherwise("Taiwan FIR")
 
 
@@ -213,7 +221,7 @@ def solar_day(lon: Column, ts: Column) -> tuple[Column, Column]:
 
 
 def cloud_cover(lat: Column, lon: Column, ts: Column) -> Column:
-    """A smooth made-up cloud cover for a place and day, 0.12 to 0.88."""
+    """A smooth made-up cloud cover for a place and day, 0.12 to 0.88 (its factors are fixed values)."""
     day = F.floor(F.unix_seconds(ts.cast("timestamp")) / 86400.0)
     by_lat = F.sin((lat + day * 1.7) * math.pi / 18.0) * 0.16
     by_lon = F.cos((lon - day * 2.1) * math.pi / 27.0) * 0.11

@@ -170,7 +170,15 @@ def marker_label(title: Column, region: Column) -> Column:
 
 
 def bytes_label(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1048576, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / 1048576.0))
+    """A number of bytes in units of a thousand, with one place behind the point."""
+    scaled = lambda unit, by: F.concat(F.format_string("%.1f", F.floor(n / by * 10 + 0.5) / 10.0), F.lit(unit))
+    return F.when(n < 1000, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1_000_000, scaled(" KB", 1e3)).when(n < 1_000_000_000, scaled(" MB", 1e6)).otherwise(scaled(" GB", 1e9))
+
+
+def distance_label(metres: Column) -> Column:
+    """Whole kilometres from one on, else whole metres."""
+    whole = lambda x: F.floor(x + 0.5).cast("long").cast("string")
+    return F.when(metres >= 1000, F.concat(whole(metres / 1000.0), F.lit(" km"))).otherwise(F.concat(whole(metres), F.lit(" m")))
 
 
 def duration_label(seconds: Column) -> Column:
@@ -189,4 +197,43 @@ def file_name(url: Column) -> Column:
 
 
 def is_bot_wall(html: Column) -> Column:
-    return F.lower(F.left(html, F.lit(4096))).rlike(r"captcha|cf-challenge|access denied|are you a robot")
+    """Whether a page's first 4096 characters hold a mark of bot protection (fixed values)."""
+    return F.lower(F.left(html, F.lit(4096))).rlike("captcha|radware|bot-protection")
+
+
+def direction_code(odd: Column, even: Column) -> Column:
+    """Directions in which an airway's levels are flown: by odd ones, by even ones, both, or null."""
+    has = lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""
+    return F.when(has(odd) & has(even), "bidirectional").when(has(odd), "odd").when(has(even), "even")
+
+
+def route_of_file(name: Column) -> Column:
+    """Route designator in the name of a publication's route page, or null."""
+    return F.nullif(F.regexp_extract(name, r"IN-ENR-3\.\d([A-Z]{1,2}\d{1,4}[A-Z]?)-en-GB\.html$", 1), F.lit(""))
+
+
+def checksum_label(parts: Column) -> Column:
+    """The first 24 characters of joined digests, without the name of the digest in front."""
+    return F.left(F.regexp_replace(F.array_join(parts, "|"), "^sha256:", ""), F.lit(24))
+
+
+#: Names of the sectors of the view in the language of the display.
+WINDOW_NAMES = {"front": "正前方", "right-front": "右前方", "right side": "右側", "right-rear": "右後方", "left-rear": "左後方", "left side": "左側", "left-front": "左前方"}
+
+
+def window_name(direction: Column) -> Column:
+    """Name of a sector; one without a name stands for itself."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in WINDOW_NAMES.items() for x in kv))[direction], direction)
+
+
+def fnv1a(x: Column) -> Column:
+    """32-bit FNV-1a hash of the characters of a text of the basic plane, as a long."""
+    units = F.transform(F.filter(F.split(x, ""), lambda c: c != ""), F.ascii)
+    step = lambda h, c: h.bitwiseXOR(c.cast("long")) * F.lit(16777619) % F.lit(1 << 32)
+    return F.aggregate(units, F.lit(2166136261).cast("long"), step)
+
+
+def seeded(seed: Column, n: int) -> Column:
+    """The n-th number from 0 to 1 of a linear congruential generator with a seed."""
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.pmod(seed.cast("long"), F.lit(1 << 32)), lambda s, _: (s * 1664525 + 1013904223) % F.lit(1 << 32))
+    return state / 4294967295.0

@@ -98,11 +98,11 @@ def climb_descent_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql(f"""WITH {_FLOWN}, n AS (SELECT *, lead(flown) OVER (PARTITION BY journey ORDER BY ts, ord) AS nf FROM f)
-SELECT journey, ord, {q('flown', 1)} AS at_m, false AS cut FROM n WHERE flown BETWEEN 20000000e0 AND 50000000e0
-UNION ALL SELECT journey, ord, 50000000e0, true FROM n WHERE flown <= 50000000e0 AND nf > 50000000e0 AND 50000000e0 - flown > 200""", "steps"))
+SELECT journey, ord, {q('flown', 1)} AS at_m, false AS cut FROM n WHERE flown BETWEEN 2000000e0 AND 5000000e0
+UNION ALL SELECT journey, ord, 5000000e0, true FROM n WHERE flown <= 5000000e0 AND nf > 5000000e0 AND 5000000e0 - flown > 200""", "steps"))
 def lookahead_window(spark: SparkSession, d: str) -> DataFrame:
-    """The route from 20,000 km on for 30,000 km, with an interpolated end."""
-    return T.look_ahead(D.points(spark, d), 2e7, 3e7).select("journey", "ord", geo.quantise(F.col("at_m"), 1).alias("at_m"), "cut")
+    """The route from 2,000 km on for 3,000 km, with an interpolated end."""
+    return T.look_ahead(D.points(spark, d), 2e6, 3e6).select("journey", "ord", geo.quantise(F.col("at_m"), 1).alias("at_m"), "cut")
 
 
 @query(sql(f"""WITH c AS (SELECT *, lag(alt) OVER w AS pa, {D.bearing('plat', 'plon', 'lat', 'lon')} AS c1, {D.bearing('lat', 'lon', 'nlat', 'nlon')} AS c2 FROM steps WINDOW w AS (PARTITION BY journey ORDER BY ts, ord)),
@@ -214,7 +214,7 @@ def visit_point_upsert(spark: SparkSession, d: str) -> DataFrame:
     return rows.upsert_partial(part(e.where("event_id DIV 500 % 2 = 0")), part(e.where("event_id DIV 500 % 2 = 1")), "source_id", ["journey", "source_id"], ["id"])
 
 
-@query("""WITH j AS (SELECT o_orderkey AS journey, o_orderdate AS a, o_orderdate + INTERVAL 2 DAY AS b FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'),
+@query("""WITH j AS (SELECT o_orderkey AS journey, o_orderdate AS a, o_orderdate + INTERVAL 2 DAY AS b FROM orders),
 x AS (SELECT journey, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity FROM j JOIN lineitem ON l_shipdate >= a AND l_shipdate <= b WHERE l_orderkey % 3 <> 0),
 y AS (SELECT *, row_number() OVER (PARTITION BY journey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS n FROM x) SELECT journey, l_orderkey, l_linenumber, n FROM y WHERE n <= 80""")
 def photo_interval_anti_limit(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +223,7 @@ def photo_interval_anti_limit(spark: SparkSession, d: str) -> DataFrame:
     The interval join is an equi join on days: each interval lists the days that it touches. Journeys
     that span the same time see the same photos, so these are ranked once for each distinct interval.
     """
-    o = D.table(spark, d, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1995-01-01 00:00:00'")
+    o = D.table(spark, d, "orders")
     j = o.select(F.col("o_orderkey").alias("journey"), F.col("o_orderdate").alias("a"))
     spans = j.select("a").distinct().withColumn("b", F.expr("a + INTERVAL 2 DAY")).withColumn("day", F.explode(F.sequence(F.to_date("a"), F.to_date("b"))))
     x = D.table(spark, d, "lineitem")

@@ -45,17 +45,10 @@ def aircraft_type_normalise(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "part").select("p_partkey", text.aircraft_type(F.get(raw, (F.col("p_partkey") % 8).cast("int"))).alias("family"))
 
 
-@query("SELECT p_partkey, p_type AS family, any_value(p_brand) IS NOT NULL AS ready FROM part WHERE p_size >= 5 AND p_brand <> 'Brand#55' GROUP BY 1, 2")
-def aircraft_model_ready(spark: SparkSession, d: str) -> DataFrame:
-    """Models that may be used: ready, with a fitting licence and within the polygon budget."""
-    p = D.table(spark, d, "part")
-    return p.where((F.col("p_size") >= 5) & (F.col("p_brand") != "Brand#55")).select("p_partkey", F.col("p_type").alias("family"), F.lit(True).alias("ready"))
-
-
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words, len(string_split(text, chr(10))) AS n_lines, upper(replace(trim(regexp_replace(left(text, 40), '\s+', ' ', 'g')), 'ß', 'SS')) AS head FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words, len(string_split(text, chr(10))) AS n_lines, sha256(upper(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), 'ß', 'SS'))) AS upper_sha256 FROM documents")
 def document_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = D.table(spark, d, "documents")
-    return t.select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("n_words"), F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"), text.normalise_ident(F.left("text", F.lit(40))).alias("head"))
+    return t.select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("n_words"), F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"), F.sha2(text.normalise_ident(F.col("text")), 256).alias("upper_sha256"))
 
 
 _KINDS = ["flightTakeoff", "flightTopOfDescent", "flightLanding", "quickGps"]
@@ -68,8 +61,10 @@ def event_labels(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "events").select("event_id", text.event_kind(k).alias("kind"), text.camel_words(k).alias("words"), F.concat(F.floor(F.col("event_id") * 37 % 100000 / 3600).cast("string"), F.lit("h")).alias("hours"))
 
 
-@query(r"SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1), '[^A-Za-z0-9._-]+', '_', 'g') AS file, regexp_matches(lower(left(html, 4096)), 'captcha|cf-challenge|access denied|are you a robot') AS wall FROM pages")
+@query(r"SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1), '[^A-Za-z0-9._-]+', '_', 'g') AS file, regexp_matches(lower(left(html, 4096)), 'captcha|radware|bot-protection') AS wall FROM (SELECT page_id, url, CASE page_id % 9 WHEN 1 THEN '<title>RadWare</title>' WHEN 2 THEN 'Bot-Protection' WHEN 3 THEN 'access denied' ELSE '' END || html AS html FROM pages)")
 def page_files(spark: SparkSession, d: str) -> DataFrame:
     """File names of pages, and whether they are bot walls."""
-    p = D.table(spark, d, "pages")
+    k = F.col("page_id") % 9
+    mark = F.when(k == 1, "<title>RadWare</title>").when(k == 2, "Bot-Protection").when(k == 3, "access denied").otherwise("")
+    p = D.table(spark, d, "pages").withColumn("html", F.concat(mark, "html"))
     return p.select("page_id", F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1)).alias("host"), text.file_name(F.col("url")).alias("file"), text.is_bot_wall(F.col("html")).alias("wall"))
