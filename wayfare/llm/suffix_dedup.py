@@ -27,6 +27,8 @@ from .common import materialize
 WINDOW, ANCHOR = 200, 32
 #: Different contexts of one anchor that a task sorts; beyond, they are cut into bands of so many windows, then narrower ones.
 HOT_ANCHOR, BANDS = 2500, (24, 3, 1)
+#: A key is hot if it holds over one in so many rows, so hot keys are fewer than that and are broadcast; parts into which other possibly large groups are dealt.
+HOT_SHARE, SALTS = 5000, 16
 #: Symbols sorted at a time (three keys of 20 bits fit a word), and window starts looked at at a time.
 SORTED, BLOCK = 900_000, 1 << 22
 
@@ -264,18 +266,41 @@ def _bands(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(run, ", ".join(f"{x} {'int' if x in ('shift', 'at', 'n', 'p') else 'long'}" for x in names))
 
 
+def _hot_bound(total: int) -> int:
+    return max(total // HOT_SHARE, 1000)
+
+
+def _join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows (id, at, ...) joined to keyed, whose column n says how many rows have the key; n goes.
+
+    Keys of over total / HOT_SHARE rows, of which there can be HOT_SHARE at most, are known to every
+    task and dealt to as many parts as they hold that number of rows, so no task gets all rows of one.
+    """
+    bound = _hot_bound(total)
+    parts = F.ceil(F.col(n) / bound).cast("int")
+    hot = keyed.where(F.col(n) > bound).select(*on, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "at"), "__parts")).cast("int")).drop("__parts")
+    return dealt.join(keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n), [*on, "__part"], how).drop("__part")
+
+
+def _salted(rows: DataFrame, keyed: DataFrame, how: str) -> DataFrame:
+    """rows semi- or anti-joined to keyed by g, each g dealt to SALTS parts by the context."""
+    keyed = keyed.select("g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod("c1", F.lit(SALTS)).cast("int")).join(keyed, ["g", "salt"], how).drop("salt")
+
+
 def _repeated(rows: DataFrame, wanted: DataFrame, widths: tuple[int, ...] = BANDS) -> DataFrame:
     """(g, c1, c2, runs) of the contexts of wanted (g, c1, c2, times, id, at, n, p) that have repeated windows."""
     hot = materialize(wanted.groupBy("g").count().where(f"count > {HOT_ANCHOR}").select("g"), "hot-anchors")
     if not widths or hot.isEmpty():  # bands of one window are alike if their cores are, so none of their groups is hot
         return _sorted_groups(_context_bytes(rows, wanted))
-    parts = materialize(_bands(rows, wanted.join(hot, "g", "left_semi"), widths[0]), "bands")
+    parts = materialize(_bands(rows, _salted(wanted, hot, "left_semi"), widths[0]), "bands")
     inner = parts.groupBy("g", "c1", "c2").agg(F.sum("times").alias("times"), F.min(F.struct("id", "at", "n", "p")).alias("of")).select("g", "c1", "c2", "times", "of.*")
     often = inner.groupBy("g").agg(F.sum("times").alias("all")).where("all > 1").select("g")
-    inner = materialize(inner.join(often, "g", "left_semi"), "band-contexts")
+    inner = materialize(_salted(inner, often, "left_semi"), "band-contexts")
     found = parts.join(_repeated(rows, inner, widths[1:]), ["g", "c1", "c2"])
     found = found.groupBy("pg", "pc1", "pc2").agg(F.flatten(F.collect_list(F.transform("runs", lambda x: x + F.col("shift")))).alias("runs")).toDF("g", "c1", "c2", "runs")
-    return _sorted_groups(_context_bytes(rows, wanted.join(hot, "g", "left_anti"))).unionByName(found)
+    return _sorted_groups(_context_bytes(rows, _salted(wanted, hot, "left_anti"))).unionByName(found)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,12 +316,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("id"), F.col(text_col).alias("text"))
     long_ones = rows.where(F.octet_length("text") >= WINDOW).select("id", "text")
 
-    shared = _anchors(long_ones).groupBy("g").count().where("count > 1").select("g")
-    found = materialize(_occurrences(long_ones).join(shared, "g", "left_semi"), "occurrences")
+    shared = materialize(_anchors(long_ones).groupBy("g").count().where("count > 1"), "shared-anchors")
+    total = shared.agg(F.sum("count")).first()[0] or 0
+    found = materialize(_join_counted(_occurrences(long_ones), shared, ["g"], "count", total, "left_semi"), "occurrences")
     wanted = found.groupBy("g", "c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("id", "at", "n", "p")).alias("of"))
     wanted = materialize(wanted.select("g", "c1", "c2", "times", "of.*"), "contexts")
-    flags = _repeated(long_ones, wanted)
-    hits = found.join(flags, ["g", "c1", "c2"]).groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("at", "runs")).alias("hits"))
+    often = wanted.where(F.col("times") > _hot_bound(total)).select("g", "c1", "c2", "times")  # HOT_SHARE rows at most
+    flags = _repeated(long_ones, wanted).join(F.broadcast(often), ["g", "c1", "c2"], "left").fillna(1, "times")
+    flags = materialize(flags, "flags")
+    hits = _join_counted(found, flags, ["g", "c1", "c2"], "times", total).groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("at", "runs")).alias("hits"))
     joined = rows.join(hits, F.col("id") == F.col("of"), "left").select("doc_id", "text", "hits")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
