@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,22 +30,30 @@ def segment_uid(airway: Column, sequence: Column, start: Column, end: Column) ->
     return uid("seg", airway, sequence, start, end)
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it; generated code holds one lambda in place of copies of x."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def coordinate(x: Column) -> Column:
     """Compact DMS with the hemisphere in front or behind (2 or 3 degree digits) as degrees; null if malformed or out of range."""
-    value = F.upper(F.regexp_replace(x, r"\s", ""))
     pattern = r"^([NSEW])?(\d+(?:\.\d+)?)([NSEW])?$"
-    ok = value.rlike(pattern)
-    side = F.coalesce(F.nullif(F.regexp_extract(value, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(value, pattern, 3), F.lit("")))
-    digits = F.regexp_extract(value, pattern, 2)
-    is_lon = side.isin("E", "W")
-    n = F.when(is_lon, 3).otherwise(2)
-    whole = F.length(F.regexp_extract(digits, r"^\d+", 0))
-    degrees = F.substring(digits, F.lit(1), n).try_cast("double")
-    minutes = F.substring(digits, n + 1, F.lit(2)).try_cast("double")
-    seconds = F.substring(digits, n + 3, F.length(digits)).try_cast("double")
-    total = (degrees + minutes / 60.0 + seconds / 3600.0) * F.when(side.isin("S", "W"), -1.0).otherwise(1.0)
-    fits = total.between(F.when(is_lon, -180.0).otherwise(-90.0), F.when(is_lon, 180.0).otherwise(90.0))
-    return F.when(ok & side.isNotNull() & (whole >= n + 4) & fits, total)
+
+    def parts(value: Column) -> Column:
+        side = F.coalesce(F.nullif(F.regexp_extract(value, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(value, pattern, 3), F.lit("")))
+        return F.when(value.rlike(pattern), F.struct(side.alias("side"), F.regexp_extract(value, pattern, 2).alias("digits")))
+
+    def degrees(p: Column) -> Column:
+        side, digits = p["side"], p["digits"]
+        is_lon = side.isin("E", "W")
+        n = F.when(is_lon, 3).otherwise(2)
+        part = lambda at, width: F.substring(digits, at, width).try_cast("double")
+        total = (part(F.lit(1), n) + part(n + 1, F.lit(2)) / 60.0 + part(n + 3, F.length(digits)) / 3600.0) * F.when(side.isin("S", "W"), -1.0).otherwise(1.0)
+        most = F.when(is_lon, 180.0).otherwise(90.0)
+        long_enough = F.length(F.regexp_extract(digits, r"^\d+", 0)) >= n + 4
+        return F.when(side.isNotNull() & long_enough & (F.abs(total) <= most), total)
+
+    return once(once(F.upper(F.regexp_replace(x, r"\s", "")), parts), degrees)
 
 
 _COMPACT = r"\d+(?:\.\d+)?\s*[NSEW]|[NS]\s*\d+(?:\.\d+)?|[EW]\s*\d+(?:\.\d+)?"
@@ -53,17 +62,23 @@ _SYMBOLS = r"(\d{1,3})[°\s]+(\d{1,2})['’′\s]+(\d{1,2}(?:\.\d+)?)[\"'’′
 
 def coordinate_pair(x: Column) -> tuple[Column, Column]:
     """Latitude and longitude of a text: its first two compact tokens, else its first two symbol DMS tokens."""
-    text = F.upper(x)
-    tokens = F.regexp_extract_all(text, F.lit(f"({_COMPACT})"), F.lit(1))
 
-    def symbol(at: int) -> Column:
-        part = [F.try_element_at(F.regexp_extract_all(text, F.lit(_SYMBOLS), F.lit(g)), F.lit(at)) for g in range(1, 5)]
-        value = (part[0].try_cast("double") + part[1].try_cast("double") / 60.0 + part[2].try_cast("double") / 3600.0) * F.when(part[3].isin("S", "W"), -1.0).otherwise(1.0)
-        limit = F.when(part[3].isin("E", "W"), 180.0).otherwise(90.0)
-        return F.when(F.abs(value) <= limit, value)
+    def symbol(text: Column, at: int) -> Column:
+        def value(p: Column) -> Column:
+            total = (p[0].try_cast("double") + p[1].try_cast("double") / 60.0 + p[2].try_cast("double") / 3600.0) * F.when(p[3].isin("S", "W"), -1.0).otherwise(1.0)
+            return F.when(F.abs(total) <= F.when(p[3].isin("E", "W"), 180.0).otherwise(90.0), total)
+
+        return once(F.array(*(F.try_element_at(F.regexp_extract_all(text, F.lit(_SYMBOLS), F.lit(g)), F.lit(at)) for g in range(1, 5))), value)
+
+    def pair(text: Column) -> Column:
+        def of(tokens: Column) -> Column:
+            two = F.size(tokens) >= 2
+            return F.struct(*(F.when(two, coordinate(F.try_element_at(tokens, F.lit(at)))).otherwise(symbol(text, at)).alias(n) for at, n in ((1, "lat"), (2, "lon"))))
 
-    two = F.size(tokens) >= 2
-    return tuple(F.when(two, coordinate(F.try_element_at(tokens, F.lit(at)))).otherwise(symbol(at)) for at in (1, 2))
+        return once(F.regexp_extract_all(text, F.lit(f"({_COMPACT})"), F.lit(1)), of)
+
+    found = once(F.upper(x), pair)
+    return found["lat"], found["lon"]
 
 
 def arinc_coordinate(x: Column, degree_digits: int) -> Column:
@@ -103,6 +118,23 @@ def is_navaid(x: Column) -> Column:
     return F.upper(x).rlike(r"\b(VOR|DME|NDB|TACAN|VORTAC|DVOR)\b")
 
 
+#: Marks of minutes and seconds of arc, as typed or typeset.
+_MINUTE, _SECOND = "['’′]", "[\"'’′″]{0,2}"
+#: A route designator: one or two letters, up to four digits, perhaps a letter.
+DESIGNATOR = r"[A-Z]{1,2}\d{1,4}[A-Z]?"
+
+
+def compact_angle(width: int, hemispheres: str, space: str = "") -> str:
+    """Pattern of an angle as digits: degrees of a width, minutes, seconds with a fraction, hemisphere; space may stand between the parts."""
+    part = rf"\d{{2}}{space}"
+    return rf"\d{{{width}}}{space}{part}\d{{2}}(?:\.\d+)?[{hemispheres}]"
+
+
+def marked_angle(width: int, hemispheres: str) -> str:
+    """Pattern of an angle with marks behind degrees, minutes and seconds."""
+    return rf"\d{{1,{width}}}°\s*\d{{1,2}}{_MINUTE}\s*\d{{1,2}}(?:\.\d+)?{_SECOND}\s*[{hemispheres}]"
+
+
 def strip_markers(x: Column) -> Column:
     """Template markers that some documents glue to values."""
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[▲△▼∆●○]", ""), r"\{[^{}]*\}|<!--.*?-->", ""))

@@ -23,11 +23,14 @@ def journal_lines(spark: SparkSession, d: str) -> DataFrame:
     return docs.journal(e).select("journey", F.md5("lines").alias("digest"), "n")
 
 
-@query(sql("SELECT source_id, count(*) AS n, sha256(string_agg(ident || ':' || CAST(size AS VARCHAR), '|' ORDER BY ident)) AS signature FROM nav_points GROUP BY 1", "nav_points"))
+@query(sql("""WITH b AS (SELECT source_id, uid // 1000 AS block, count(*) AS n, sha256(string_agg(ident || ':' || CAST(size AS VARCHAR), '|' ORDER BY ident)) AS d FROM nav_points GROUP BY 1, 2)
+SELECT source_id, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '|' ORDER BY block)) AS signature FROM b GROUP BY 1""", "nav_points"))
 def content_signature(spark: SparkSession, d: str) -> DataFrame:
-    """A signature of each source's files: its sorted names and sizes."""
-    p = D.nav_points(spark, d).select("source_id", "ident", F.concat_ws(":", "ident", "size").alias("part"))
-    return p.groupBy("source_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ident", "part"))), lambda s: s.part), "|"), 256).alias("signature"))
+    """A signature of each source's files: that of the signatures of blocks of sorted names and sizes."""
+    p = D.nav_points(spark, d).select("source_id", F.floor(F.col("uid") / 1000).alias("block"), "ident", F.concat_ws(":", "ident", "size").alias("part"))
+    listed = lambda key, x: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, x))), lambda s: s[x]), "|"), 256)
+    blocks = p.groupBy("source_id", "block").agg(F.count("*").alias("n"), listed("ident", "part").alias("d"))
+    return blocks.groupBy("source_id").agg(F.sum("n").alias("n"), listed("block", "d").alias("signature"))
 
 
 @query(sql("SELECT country, count(*) AS points, CAST(sum(size) AS BIGINT) AS bytes, bool_and(size > 0) AS complete FROM nav_points GROUP BY 1", "nav_points"))

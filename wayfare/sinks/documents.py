@@ -45,3 +45,20 @@ def kml(points: DataFrame, titles: DataFrame) -> DataFrame:
 def journal(events: DataFrame) -> DataFrame:
     """(journey, lines, n): a line for each titled event in order of time."""
     return _ordered(events, F.concat(F.lit("- "), iso("ts"), F.lit(": "), "title"), "lines", "\n")
+
+
+def portable(points: DataFrame, events: DataFrame) -> DataFrame:
+    """(journey, json): a journey as one portable JSON document with a segment whose three routes are its points, and its events.
+
+    points: (journey, ts, ord, lat, lon, alt, speed, course, source); events have a title and type too.
+    """
+    at = iso("ts")
+    point = F.struct(F.concat(F.lit("p"), F.col("ord").cast("string")).alias("id"), at.alias("timestamp"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("alt").alias("altitudeMeters"), F.col("speed").alias("speedMetersPerSecond"), F.col("course").alias("courseDegrees"), "source")
+    in_order = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("ts", "ord", x.alias("x")))), lambda s: s.x)
+    tracks = points.groupBy("journey").agg(in_order(point).alias("track"), iso(F.min("ts")).alias("start"), iso(F.max("ts")).alias("end"))
+    event = F.struct(F.concat(F.lit("e"), F.col("ord").cast("string")).alias("id"), at.alias("timestamp"), F.col("event_type").alias("type"), "title", F.array().cast("array<string>").alias("mediaIds"), F.lit(1.0).alias("importance"), "source")
+    j = tracks.join(events.groupBy("journey").agg(in_order(event).alias("events")), "journey", "left")
+    route = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("track").alias("points"))
+    segment = F.struct(F.concat(F.lit("segment-"), "journey").alias("id"), F.lit("flight").alias("type"), F.col("start").alias("startTime"), F.col("end").alias("endTime"), route("raw").alias("rawRoute"), route("processed").alias("processedRoute"), route("derivedReplay").alias("derivedReplayRoute"))
+    document = F.struct(F.lit("1.0.0").alias("schemaVersion"), F.col("journey").alias("id"), F.concat(F.lit("Journey "), "journey").alias("title"), F.col("start").alias("startTime"), F.col("end").alias("endTime"), F.lit("completed").alias("status"), F.array(segment).alias("segments"), F.coalesce("events", F.array()).alias("events"))
+    return j.select("journey", F.to_json(document).alias("json"))

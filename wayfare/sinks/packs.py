@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -120,3 +120,36 @@ def save_metadata(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def write_partitioned(rows: DataFrame, path: str, column: str) -> None:
     """Replace only the partitions of the keys in rows: a saved journey takes the place of its former version."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def delete_partitions(spark: SparkSession, path: str, column: str, keys: DataFrame) -> None:
+    """Delete the partitions of the keys in a table of one column: one folder a key, by name."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for row in keys.toLocalIterator():
+        folder = hadoop(f"{path}/{column}={row[0]}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+#: Fields of a line of each part of a pack.
+SHAPES = {"points": 5, "airways": 3, "segments": 5, "airports": 6}
+
+
+def read_pack(spark: SparkSession, path: str) -> DataFrame:
+    """(part, idx, fields) of a pack that write_pack has written, the fields as text; a line of another shape is an error.
+
+    Lines are in order of their ids within and across the files of a part, so their places are the ids.
+    """
+    lines = spark.read.schema("value string, part string").text(path)
+    fields = F.from_json("value", "array<string>")
+    size = F.create_map(*(F.lit(x) for kv in SHAPES.items() for x in kv))[F.col("part")]
+    checked = F.when(F.size(fields) == size, fields).otherwise(F.raise_error(F.concat(F.lit("no line of a pack: "), "value")))
+    rows = lines.select("part", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), checked.alias("fields"))
+    sizes = rows.groupBy("part", "file").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("part").orderBy("file")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("part", "file").orderBy("at")) - 1
+    return rows.withColumn("place", place).join(F.broadcast(before), ["part", "file"]).select("part", (F.col("before") + F.col("place")).alias("idx"), "fields")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Issues or coverage as JSON lines, in order of their columns."""
+    rows.repartitionByRange(*rows.columns).sortWithinPartitions(*rows.columns).write.option("ignoreNullFields", False).mode("overwrite").json(path)
