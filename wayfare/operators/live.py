@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .folds import fold
 from .trajectory import seconds
 
 
@@ -47,49 +48,63 @@ def recent(points: DataFrame, n: int = 5000) -> DataFrame:
 SAVE_S, SAVE_M, SAVE_TURN, SAVE_ALT = 5.0, 250.0, 12.0, 120.0
 
 
-def thin(points: DataFrame) -> DataFrame:
-    """(journey, ord) of the points to save: each is held against the last saved one, so a journey is folded in order."""
-    kind = "struct<t:double,ord:bigint,lat:double,lon:double,alt:double,course:double>"
-    rows = points.where("source = 'gps'").groupBy("journey").agg(F.array_sort(F.collect_list(F.struct(seconds("ts").alias("t"), F.col("ord").cast("bigint").alias("ord"), "lat", "lon", "alt", "course").cast(kind))).alias("xs"))
-    start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast("array<bigint>").alias("kept"))
+def _gone(x: float | None) -> bool:
+    return x is None or x != x
+
+
+def metres(a: float, b: float, c: float, d: float) -> float:
+    """Great-circle distance between two places, for code that folds rows."""
+    p, q = math.sin(math.radians(c - a) / 2), math.sin(math.radians(d - b) / 2)
+    h = min(1.0, p * p + math.cos(math.radians(a)) * math.cos(math.radians(c)) * q * q)
+    return 2 * geo.EARTH_M * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
+#: State before the first point is saved: (seen, t, lat, lon, alt, course), with NaN for what is missing.
+NOT_SAVED = (0, 0.0, 0.0, 0.0, math.nan, math.nan)
 
-    def step(acc: Column, x: Column) -> Column:
-        p = acc.last
-        climbed = F.abs(F.coalesce(x.alt, p.alt, F.lit(0.0)) - F.coalesce(p.alt, F.lit(0.0)))
-        far = geo.haversine_m(p.lat, p.lon, x.lat, x.lon) >= SAVE_M
-        save = p.isNull() | (x.t - p.t >= SAVE_S) | far | (geo.course_delta(p.course, x.course) >= SAVE_TURN) | (climbed >= SAVE_ALT)
-        return F.when(save, F.struct(x.alias("last"), F.concat(acc.kept, F.array(x.ord)).alias("kept"))).otherwise(acc)
 
-    return rows.select("journey", F.explode(F.aggregate("xs", start, step).kept).alias("ord"))
+def save_step(last: tuple, ord_: int, t: float, lat: float, lon: float, alt: float | None, course: float | None) -> tuple[tuple, list[tuple]]:
+    """Hold a point against the last saved one; a missing altitude is that of the saved one, and 0 if that has none either."""
+    seen, t0, lat0, lon0, alt0, course0 = last
+    base = 0.0 if _gone(alt0) else alt0
+    climbed = abs((base if _gone(alt) else alt) - base)
+    turn = 0.0 if _gone(course0) or _gone(course) else abs(course0 - course) % 360
+    save = not seen or t - t0 >= SAVE_S or metres(lat0, lon0, lat, lon) >= SAVE_M or min(turn, 360 - turn) >= SAVE_TURN or climbed >= SAVE_ALT
+    plain = lambda v: math.nan if _gone(v) else float(v)
+    return ((1, t, float(lat), float(lon), plain(alt), plain(course)), [(ord_,)]) if save else (last, [])
+
+
+def thin(points: DataFrame) -> DataFrame:
+    """(journey, ord) of the points to save: each is held against the last saved one."""
+    c = F.col
+    columns = {"ord": c("ord").cast("bigint"), "t": seconds("ts"), "lat": c("lat"), "lon": c("lon"), "alt": c("alt"), "course": c("course")}
+    return fold(points.where("source = 'gps'"), "journey", ["ts", "ord"], columns, "ord bigint", NOT_SAVED, save_step)
 
 
 #: Metres from home that make a possible journey, a journey, and an end; and the speed that is moving.
 LEAVE_M, RECORD_M, HOME_M, MOVING = 1200.0, 2500.0, 300.0, 2.0
 
 
-def next_state(state: Column, home_m: Column, speed: Column) -> Column:
+def recorder_step(state: str, ord_: int, home_m: float | None, speed: float | None) -> tuple[str, list[tuple]]:
     """State of the recorder after a signal; the first rule that fits counts."""
-    moving = F.coalesce(speed > MOVING, F.lit(False))
-    rules = [
-        ((state == "Idle") & (home_m > LEAVE_M) & moving, "PossibleJourney"),
-        ((state == "PossibleJourney") & (home_m > RECORD_M) & moving, "JourneyRecording"),
-        ((state == "JourneyRecording") & ~moving, "TemporarilyStationary"),
-        ((state == "TemporarilyStationary") & moving, "JourneyRecording"),
-        (state.isin("JourneyRecording", "TemporarilyStationary") & (home_m < HOME_M), "JourneyCompleted"),
-    ]
-    return reduce(lambda c, r: c.when(r[0], r[1]), rules[1:], F.when(*rules[0])).otherwise(state)
+    moving, m = not _gone(speed) and speed > MOVING, math.nan if _gone(home_m) else home_m
+    if state == "Idle" and m > LEAVE_M and moving:
+        state = "PossibleJourney"
+    elif state == "PossibleJourney" and m > RECORD_M and moving:
+        state = "JourneyRecording"
+    elif state == "JourneyRecording" and not moving:
+        state = "TemporarilyStationary"
+    elif state == "TemporarilyStationary" and moving:
+        state = "JourneyRecording"
+    elif state in ("JourneyRecording", "TemporarilyStationary") and m < HOME_M:
+        state = "JourneyCompleted"
+    return state, [(ord_, state)]
 
 
 def recorder_states(signals: DataFrame) -> DataFrame:
-    """(journey, ord, state) after each signal (journey, ts, ord, home_m, speed), from Idle on, folded in order."""
-    rows = signals.groupBy("journey").agg(F.array_sort(F.collect_list(F.struct("ts", F.col("ord").cast("bigint").alias("ord"), "home_m", "speed"))).alias("xs"))
-    start = F.struct(F.lit("Idle").alias("s"), F.array().cast("array<struct<ord:bigint,state:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = next_state(acc.s, x.home_m, x.speed)
-        return F.struct(s.alias("s"), F.concat(acc.out, F.array(F.struct(x.ord.alias("ord"), s.alias("state")))).alias("out"))
-
-    return rows.select("journey", F.explode(F.aggregate("xs", start, step).out).alias("o")).select("journey", "o.ord", "o.state")
+    """(journey, ord, state) after each signal (journey, ts, ord, home_m, speed), from Idle on."""
+    columns = {"ord": F.col("ord").cast("bigint"), "home_m": F.col("home_m").cast("double"), "speed": F.col("speed").cast("double")}
+    return fold(signals, "journey", ["ts", "ord"], columns, "ord bigint, state string", "Idle", recorder_step)
 
 
 #: Fixed value: bytes under which storage is low.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .folds import fold
 from .rows import first_wins
 
 
@@ -79,9 +80,11 @@ def sample_at(points: DataFrame, ticks: DataFrame) -> DataFrame:
     own = points.select("journey", seconds("ts").alias("t"), F.struct(seconds("ts").alias("t"), "lat", "lon", "alt", "speed", "source").alias("p"), F.lit(0).alias("is_tick"), "ord", F.lit(None).cast("double").alias("tick_s"))
     span = own.groupBy("journey").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     asked = ticks.join(span, "journey").select("journey", F.least("hi", F.greatest("lo", F.col("tick_s").cast("double"))).alias("t"), F.lit(None).cast(own.schema["p"].dataType).alias("p"), F.lit(1).alias("is_tick"), F.lit(0).cast(own.schema["ord"].dataType).alias("ord"), F.col("tick_s").cast("double").alias("tick_s"))
-    w = Window.partitionBy("journey").orderBy("t", "is_tick", "ord")
+    # both neighbours by running frames, one in each direction, so that a long journey costs a sort and no more
+    running = lambda *order: Window.partitionBy("journey").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("p", ignorenulls=True)
     both = own.unionByName(asked)
-    both = both.withColumn("a", F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    both = both.withColumn("a", last.over(running("t", "is_tick", "ord"))).withColumn("b", last.over(running(F.desc("t"), F.desc("is_tick"), F.desc("ord"))))
     rows = both.where("is_tick = 1").withColumn("b", F.coalesce("b", "a"))
     f = F.coalesce((F.col("t") - F.col("a.t")) / F.nullif(F.col("b.t") - F.col("a.t"), F.lit(0.0)), F.lit(0.0))
     lat, lon = geo.interpolate(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"), f)
@@ -198,19 +201,14 @@ def attitude(points: DataFrame) -> DataFrame:
 
 
 def smoothed(points: DataFrame, value: str, alpha: float = 0.12, dead: float = 0.8) -> DataFrame:
-    """(journey, ord, smooth): exponential smoothing along each journey, changes under the dead zone left out.
+    """(journey, ord, smooth): exponential smoothing along each journey, changes under the dead zone left out; each value rests on the one before."""
 
-    Each value rests on the one before, so a journey is folded in order; its points are one array.
-    """
-    rows = points.groupBy("journey").agg(F.array_sort(F.collect_list(F.struct("ts", "ord", F.col(value).cast("double").alias("v")))).alias("xs"))
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<struct<ord:bigint,smooth:double>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        target = F.when(F.abs(F.coalesce(x.v, F.lit(0.0))) < dead, 0.0).otherwise(F.coalesce(x.v, F.lit(0.0)))
-        s = acc.s + (target - acc.s) * alpha
-        return F.struct(s.alias("s"), F.concat(acc.out, F.array(F.struct(x.ord.cast("bigint").alias("ord"), s.alias("smooth")))).alias("out"))
+    def step(s: float, ord_: int, v: float | None) -> tuple[float, list[tuple]]:
+        v = v or 0.0
+        s += ((0.0 if abs(v) < dead else v) - s) * alpha
+        return s, [(ord_, s)]
 
-    return rows.select("journey", F.explode(F.aggregate("xs", start, step).out).alias("o")).select("journey", "o.ord", "o.smooth")
+    return fold(points, "journey", ["ts", "ord"], {"ord": F.col("ord").cast("bigint"), "v": F.col(value).cast("double")}, "ord bigint, smooth double", 0.0, step)
 
 
 def smoothed_line(points: DataFrame, metres_a_piece: float = 120_000.0) -> DataFrame:

@@ -6,7 +6,6 @@ journey; the rules are those of wayfare.operators.live, so a stream and a batch
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import geo
 from ..operators import live, rows
 from ..sources import messages
 
@@ -60,47 +58,18 @@ def drop_late(stream: DataFrame) -> DataFrame:
     return _stateful(stream.select("journey", "ord", "ts"), "journey string, ord long, ts timestamp", "top long", (-(1 << 62),), step)
 
 
-def _metres(a: float, b: float, c: float, d: float) -> float:
-    p, q = math.sin(math.radians(c - a) / 2), math.sin(math.radians(d - b) / 2)
-    h = min(1.0, p * p + math.cos(math.radians(a)) * math.cos(math.radians(c)) * q * q)
-    return 2 * geo.EARTH_M * math.atan2(math.sqrt(h), math.sqrt(1 - h))
-
-
 def thin(stream: DataFrame) -> DataFrame:
     """(journey, ord) of the measured points to save, each held against the last saved one of its journey."""
-
-    def step(last: tuple, x: Any) -> tuple[tuple, list[tuple]]:
-        seen, t0, lat, lon, alt0, course0 = last
-        t = _micros(x.ts) / 1e6
-        # a missing altitude is that of the last saved point, and 0 if that has none either
-        base = 0.0 if math.isnan(alt0) else alt0
-        climbed = abs((base if pd.isna(x.alt) else x.alt) - base)
-        turn = 0.0 if math.isnan(course0) or pd.isna(x.course) else abs(course0 - x.course) % 360
-        save = not seen or t - t0 >= live.SAVE_S or _metres(lat, lon, x.lat, x.lon) >= live.SAVE_M or min(turn, 360 - turn) >= live.SAVE_TURN or climbed >= live.SAVE_ALT
-        plain = lambda v: math.nan if pd.isna(v) else float(v)
-        return ((1, t, float(x.lat), float(x.lon), plain(x.alt), plain(x.course)), [(x.ord,)]) if save else (last, [])
-
     gps = stream.where("source = 'gps'").select("journey", "ord", "ts", "lat", "lon", "alt", "course")
-    return _stateful(gps, "journey string, ord long", "seen int, t double, lat double, lon double, alt double, course double", (0, 0.0, 0.0, 0.0, math.nan, math.nan), step)
+    return _stateful(gps, "journey string, ord long", "seen int, t double, lat double, lon double, alt double, course double", live.NOT_SAVED, lambda last, x: live.save_step(last, x.ord, _micros(x.ts) / 1e6, x.lat, x.lon, x.alt, x.course))
 
 
 def recorder_states(stream: DataFrame) -> DataFrame:
     """(journey, ord, state) after each signal (journey, ord, home_m, speed), from Idle on; the first rule that fits counts."""
 
     def step(state: tuple, x: Any) -> tuple[tuple, list[tuple]]:
-        s, moving = state[0], not pd.isna(x.speed) and x.speed > live.MOVING
-        m = math.nan if pd.isna(x.home_m) else x.home_m
-        if s == "Idle" and m > live.LEAVE_M and moving:
-            s = "PossibleJourney"
-        elif s == "PossibleJourney" and m > live.RECORD_M and moving:
-            s = "JourneyRecording"
-        elif s == "JourneyRecording" and not moving:
-            s = "TemporarilyStationary"
-        elif s == "TemporarilyStationary" and moving:
-            s = "JourneyRecording"
-        elif s in ("JourneyRecording", "TemporarilyStationary") and m < live.HOME_M:
-            s = "JourneyCompleted"
-        return (s,), [(x.ord, s)]
+        now, out = live.recorder_step(state[0], x.ord, x.home_m, x.speed)
+        return (now,), out
 
     return _stateful(stream.select("journey", "ord", "home_m", "speed"), "journey string, ord long, state string", "state string", ("Idle",), step)
 
