@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -60,3 +61,113 @@ def test_risk_learns_from_unlabelled_text():
     model = toxicity.fit([doc(True) for _ in range(300)], [doc(k % 5 == 0) for k in range(1000)], 0.2)
     scores = np.array([model.score(doc(k % 2 == 0)) for k in range(400)])
     assert auc(np.arange(400) % 2 == 0, scores) > 0.95
+
+
+def plain_terms(text):
+    """Term counts of a text by dictionaries: classes of bytes in runs of three, and four counts of words."""
+    kind = lambda b: ord("a") if 97 <= b <= 122 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else min(b, 128)
+    c = [kind(b) for b in (text or "").encode("utf-8", "surrogatepass")]
+    counts = {}
+    for a, b, d in zip(c, c[1:], c[2:], strict=False):
+        t = ((a * 131 + b) * 131 + d) * 2654435761 % 2**32 // 2**11 % (quality_neighbours.TERMS - 8)
+        counts[t] = counts.get(t, 0) + 1
+    words = (text or "").split()
+    last = quality_neighbours.TERMS - 1
+    for at, n in ((last, int(not words)), (last - 1, sum(a == b for a, b in zip(words, words[1:], strict=False))), (last - 2, len(words) - len(set(words))), (last - 3, len(words))):
+        if n:
+            counts[at] = n
+    return counts
+
+
+def test_quality_query_equals_brute_force(spark):
+    """Every score of the query by sorting all exact cosines of plain whole numbers."""
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    counts = {i: plain_terms(t) for i, t in docs.items()}
+    seen = np.zeros(quality_neighbours.TERMS)
+    for c in counts.values():
+        for t in c:
+            seen[t] += 1
+    idf = np.log((1 + len(docs)) / (1 + seen)) + 1
+    known = sorted(i for i in marks if i in docs and zlib.crc32(str(i).encode()) % 5 != 0)
+    dense = np.zeros((len(known), quality_neighbours.TERMS))
+    for k, i in enumerate(known):
+        for t, n in counts[i].items():
+            dense[k, t] = n
+    basis = quality_neighbours.fit(dense, np.array([float(marks[i]) for i in known]), idf).basis.astype(int).tolist()
+
+    def scaled(x, length):
+        norm = math.sqrt(sum(v * v for v in x)) or 1.0
+        return [round(v * (length / max(norm, 1))) for v in x]
+
+    def vector(c):
+        terms = sorted(c)
+        x = scaled([round(math.log1p(c[t]) * idf[t] * 1024) for t in terms], 1 << 18)
+        return scaled([round(sum(v * basis[t][j] for v, t in zip(x, terms, strict=True)) / (1 << 16)) for j in range(len(basis[0]))], 1 << 20)
+
+    vectors = [(vector(counts[i]), marks[i]) for i in known]
+    for r in queries.op9_quality_classifier(spark, d).collect():
+        v = vector(counts[r.doc_id])
+        near = sorted(((-(sum(a * b for a, b in zip(v, w, strict=True)) >> 1), k, mark) for k, (w, mark) in enumerate(vectors)))[: quality_neighbours.NEIGHBOURS]
+        weights = [math.exp(20 * (-s / 2**39 - 1)) for s, _, _ in near]
+        want = sum(w * mark for w, (_, _, mark) in zip(weights, near, strict=True)) / sum(weights)
+        assert abs(r.score - want) < 1e-6 and r.predicted == (r.score >= 0.3)
+
+
+def plain_buckets(text):
+    import xxhash
+
+    words = {w.strip(toxicity._STRIP) for w in (text or "").lower().split()} - {""}
+    return {xxhash.xxh32_intdigest(w) % toxicity.BUCKETS for w in words | {w[:5] + "~" for w in words if len(w) > 5}}
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    """Every score of the query from the model's weights by hand, and word rates counted by hand over all rows that may be learned from."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    sets = {r.doc_id: plain_buckets(r.text) for r in docs.collect()}
+    for r in queries.op6_toxicity(spark, d).collect():
+        z = sum(model.weights[b] for b in sets[r.doc_id]) + model.bias
+        assert abs(r.score - 1 / (1 + math.exp(-max(-500, min(500, z))))) < 1e-9 and r.predicted == (r.score >= 0.7)
+    mine = [s for i, s in sets.items() if zlib.crc32(str(i).encode()) % 3 != 1]
+    wanted = np.array(sorted(set.union(*mine)))[:500]
+    rates = toxicity.bucket_rates(docs.where(~toxicity.held_out(F.col("doc_id"), 3, 1)), wanted)
+    assert all(abs(rates[b] - sum(b in s for s in mine) / len(mine)) < 1e-12 for b in wanted) and np.count_nonzero(rates) == len(wanted)
+
+
+def test_toxicity_training_minimises_the_risk():
+    """The non-negative risk of plain sums, with the shrinking of weights, does not fall when any weight or the bias moves a little."""
+    rng = np.random.default_rng(4)
+    doc = lambda toxic: np.unique(np.concatenate([rng.integers(1000, 1400, 30), rng.integers(0, 12, 2) if toxic else []])).astype(np.int32)
+    toxic, other, prior = [doc(True) for _ in range(120)], [doc(k % 6 == 0) for k in range(500)], 0.17
+    model = toxicity.fit(toxic, other, prior, rounds=1500, rate=0.05)
+
+    def risk(weights, bias):
+        z = lambda x: sum(weights[b] for b in x) + bias
+        clean = lambda x: math.log1p(math.exp(z(x)))
+        first = prior * sum(math.log1p(math.exp(-z(x))) for x in toxic) / len(toxic)
+        return first + max(0.0, sum(map(clean, other)) / len(other) - prior * sum(map(clean, toxic)) / len(toxic)) + 1e-4 * weights.sum()
+
+    base = risk(model.weights, model.bias)
+    used = np.flatnonzero(model.weights)
+    assert len(used) >= 10 and base < risk(np.zeros_like(model.weights), math.log(prior / (1 - prior)))
+    for b in used[:12]:
+        for move in (-0.1, 0.1):
+            moved = model.weights.copy()
+            moved[b] = max(0, moved[b] + move)
+            assert risk(moved, model.bias) > base - 1e-4
+    assert min(risk(model.weights, model.bias + m) for m in (-0.1, 0.1)) > base - 1e-4
+
+
+@pytest.mark.parametrize(("f", "column"), [(toxicity.toxicity, "toxic"), (quality_neighbours.quality, "quality")])
+def test_very_many_rows_of_one_id(spark, monkeypatch, f, column):
+    """Rows that share a labelled id are one document in training, so bounds hold; each row has its own score."""
+    monkeypatch.setattr(quality_neighbours, "MAX_LABELLED", 5)
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 3)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 5)
+    docs = spark.createDataFrame([(2 if k % 3 else k, f"some words about thing {k % 7}") for k in range(300)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(0, 300, 3)] + [(2, 1)], f"doc_id long, {column} int")
+    got = f(docs, marks).collect()
+    assert len(got) == 300 and all(0 <= r.score <= 1 for r in got)
