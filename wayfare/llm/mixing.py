@@ -2,8 +2,9 @@
 
 Every document waits in its source's queue, in an order shuffled by a hash. Its virtual finish time is
 the source's cumulative size up to and with it, divided by the source's target weight; a source that is
-short of its target queues up again, up to a maximal number of passes. All queued entries are ranked by
-finish time over range-partitioned tables and taken until the total budget is spent.
+short of its target queues up again, up to a maximal number of passes. All queued entries are sorted by
+finish time over range partitions, whose sums tell in which one the total budget is spent; entries up to
+there are taken.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from .common import materialize, word_count
 BUCKETS = 4096
 #: A table of at most so many sources is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
-#: Slices of the finish times in each of the two rounds that find where the budget ends.
-SLICES = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_passes: int = 3) -> DataFrame:
@@ -50,11 +49,6 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _slice_of(time: Column, lo: float, hi: float) -> Column:
-    at = F.floor((time - F.lit(lo)) / F.lit((hi - lo) / SLICES))
-    return F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), at)).cast("int")
-
-
 def _place(doc_id: Column, size: Column, seed: str) -> tuple[Column, Column]:
     """Shuffle key and bucket of a row: its place in its source's queue."""
     shuffled = F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), size)
@@ -86,34 +80,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_passe
     queued = queued.select("doc_id", "size", "q.source", "source_size", "target", "weight", "shuffled", (F.col("upto") + F.col("ahead")).alias("upto"))
     queued = materialize(queued, "mix-queue")
 
-    # virtual finish time of each pass; then the time at which the budget is spent
+    # virtual finish time of each pass; a global range sort by it, cut off where the budget is spent
     finish = [(F.col("upto") + k * F.col("source_size")) / F.col("weight") for k in range(max_passes)]
     entries = queued.where("size > 0").select("size", "shuffled", "doc_id", F.explode(F.array(*finish)).alias("time"))
-    whole = queued.agg(F.sum("size").alias("budget")).first()
-    budget = whole.budget or 0
-    top = entries.agg(F.max("time")).first()[0] or 1.0
-    spent, lo, hi = 0, 0.0, top
-    for _ in range(2):
-        if not hi > lo:
-            break
-        slices = entries.where((F.col("time") > lo) & (F.col("time") <= hi) if lo else F.col("time") <= hi)
-        sums = slices.groupBy(_slice_of(F.col("time"), lo, hi).alias("slice")).agg(F.sum("size").alias("n"), F.min("time").alias("lo"), F.max("time").alias("hi")).orderBy("slice").collect()  # at most SLICES rows
-        for at, r in enumerate(sums):
-            if spent + r.n > budget:
-                lo, hi = (sums[at - 1].hi if at else lo), r.hi
-                break
-            spent += r.n
-        else:
-            lo = hi
-    # entries up to lo are within the budget; those of the last thin slice are ranked one by one
-    last = entries.where((F.col("time") > lo) & (F.col("time") <= hi))
-    ranked = last.withColumn("sum", F.sum("size").over(Window.orderBy("time", "shuffled", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = ranked.where(F.col("sum") + F.lit(spent) <= F.lit(budget)).agg(F.max(F.struct("time", "shuffled", "doc_id")).alias("cut")).first().cut
+    order = ["time", "shuffled", "doc_id", "size"]
+    spread = materialize(entries.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-order")
+    budget = queued.agg(F.sum("size").alias("budget")).first().budget or 0
+    parts = spread.groupBy("part").agg(F.sum("size").alias("n"))  # one row a partition
+    ahead = parts.withColumn("ahead", F.sum("n").over(Window.orderBy("part")) - F.col("n")).where(F.col("ahead") <= budget)
+    last = ahead.agg(F.max(F.struct("part", "ahead")).alias("last")).first().last
+    cut = None
+    if last is not None:
+        # partitions before the last one are within the budget; of that one, the entries up to the cut
+        running = F.sum("size").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(last.ahead)
+        inside = spread.where(F.col("part") <= last.part)
+        here = inside.where(F.col("part") == last.part).withColumn("sum", running).where(F.col("sum") <= budget)
+        cut = here.agg(F.max(F.struct("time", "shuffled", "doc_id")).alias("cut")).first().cut
+        if cut is None:
+            cut = inside.where(F.col("part") < last.part).agg(F.max(F.struct("time", "shuffled", "doc_id")).alias("cut")).first().cut
     if cut is None:
-        taken = [F.when(t <= F.lit(lo), 1).otherwise(0) for t in finish]
+        taken = [F.lit(0) for _ in finish]
     else:
         end = F.struct(F.lit(cut.time), F.lit(cut.shuffled), F.lit(cut.doc_id).cast(docs.schema[id_col].dataType))
-        taken = [F.when((t <= F.lit(lo)) | (F.struct(t, F.col("shuffled"), F.col("doc_id")) <= end), 1).otherwise(0) for t in finish]
+        taken = [F.when(F.struct(t, F.col("shuffled"), F.col("doc_id")) <= end, 1).otherwise(0) for t in finish]
     passes = sum(taken[1:], taken[0])
     return queued.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, passes * F.col("size")).otherwise(0).cast("long").alias("taken"), "source")
 
