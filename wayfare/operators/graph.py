@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .tables import drop_table, materialize
 
+#: Edges by which a round of a path search extends its frontier.
+HOPS = 4
+
 
 def undirected(segments: DataFrame, src: str = "src", dst: str = "dst", weight: str = "w", missing: float = 1.0) -> DataFrame:
     """Edges (src, dst, w) both ways, the lightest of parallel ones; a missing or zero weight counts as 1 (or as missing says)."""
@@ -57,27 +60,29 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_ho
 
     edges: (src, dst, w); starts and goals: (query, vertex, cost), the cost of the connector to the graph;
     they are read in each round, so they should be tables. Frontiers of all queries are relaxed together:
-    a round extends the vertices that got better in the last one, drops ways no better than the goal's
-    best so far, and keeps the lightest way to each vertex (of equal ones the first found, then the one
-    of the least path), until no vertex improves, whatever the number of hops (weights are not
-    negative). Paths are carried along as arrays; a round is one aggregation, written to the shared
-    folder. Queries without a path are missing. max_hops: more rounds than that are an error.
+    a round extends the vertices that got better in the last one by HOPS edges, drops ways no better than
+    the goal's best so far, and keeps the lightest way to each vertex (of equal ones the first found, then
+    the one of the least path), until no vertex improves, whatever the number of hops (weights are not
+    negative). Paths are carried along as arrays; each round is written to the shared folder. Queries
+    without a path are missing. max_hops: more hops than that are an error.
     """
     lightest = F.min(F.struct("dist", "fresh", "path")).alias("s")
     best = starts.select("query", "vertex", F.col("cost").alias("dist"), F.lit(True).alias("fresh"), F.array("vertex").alias("path"))
     best = materialize(best.groupBy("query", "vertex").agg(lightest).select("query", "vertex", "s.*"), "paths")
     ends = goals.groupBy("query", "vertex").agg(F.min("cost").alias("cost"))
-    rounds = 0
     while not best.where("fresh").isEmpty():
-        rounds += 1
-        if max_hops is not None and rounds > max_hops:
+        if max_hops is not None and not best.where(F.col("fresh") & (F.size("path") > max_hops + 1)).isEmpty():
             raise RuntimeError("shortest_paths did not settle")
         bound = best.join(ends, ["query", "vertex"]).groupBy("query").agg(F.min(F.col("dist") + F.col("cost")).alias("bound"))
-        step = best.where("fresh").join(edges, F.col("vertex") == F.col("src")).join(bound, "query", "left").where("bound IS NULL OR dist + w < bound")
-        step = step.select("query", F.col("dst").alias("vertex"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(True).alias("fresh"), F.concat("path", F.array("dst")).alias("path"))
         # of equal ways the old one stays: false comes before true
-        merged = best.withColumn("fresh", F.lit(False)).unionByName(step).groupBy("query", "vertex").agg(lightest).select("query", "vertex", "s.*")
-        before, best = best, materialize(merged, "paths")
+        merged, step = best.withColumn("fresh", F.lit(False)), best.where("fresh").join(bound, "query", "left")
+        for hop in range(HOPS):
+            step = step.join(edges, F.col("vertex") == F.col("src")).where("bound IS NULL OR dist + w < bound")
+            # only the last hop's vertices have ways out that this round doesn't try
+            step = step.select("query", F.col("dst").alias("vertex"), "bound", (F.col("dist") + F.col("w")).alias("dist"), F.lit(hop == HOPS - 1).alias("fresh"), F.concat("path", F.array("dst")).alias("path"))
+            step = step.groupBy("query", "vertex").agg(lightest, F.first("bound").alias("bound")).select("query", "vertex", "bound", "s.*")
+            merged = merged.unionByName(step.drop("bound"))
+        before, best = best, materialize(merged.groupBy("query", "vertex").agg(lightest).select("query", "vertex", "s.*"), "paths")
         drop_table(before)
     done = best.join(ends, ["query", "vertex"]).select("query", F.struct((F.col("dist") + F.col("cost")).alias("dist"), "path", F.col("vertex").alias("goal")).alias("s"))
     return done.groupBy("query").agg(F.min("s").alias("s")).select("query", "s.dist", "s.path", "s.goal")

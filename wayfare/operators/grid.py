@@ -44,9 +44,19 @@ def distance_join(left: DataFrame, right: DataFrame, nm: float, lat: str = "lat"
     return joined.drop("__row", "__col", "__lat", "__lon")
 
 
+def cell_size(places: DataFrame, k: int) -> float:
+    """Height in degrees of cells that hold about k places on average over the box of all places, a whole part of 180."""
+    box = places.agg(F.count("*").alias("n"), F.min("plat").alias("s"), F.max("plat").alias("n_"), F.min("plon").alias("w"), F.max("plon").alias("e")).first()
+    area = max((box.n_ or 0) - (box.s or 0), 1.0) * max((box.e or 0) - (box.w or 0), 1.0)
+    rows = math.ceil(180.0 / min(15.0, max(0.02, math.sqrt(k * area / max(box.n, 1)))))
+    while 180.0 / (180.0 / rows) != rows or 360.0 / (180.0 / rows) != 2 * rows:  # the cells' numbers must come out whole
+        rows += 1
+    return 180.0 / rows
+
+
 def _in_rings(points: DataFrame, places: DataFrame, within: list[str], degrees: float, rings: int) -> DataFrame:
     """Pairs of points and places (plat, plon) whose cells are at most so many rings apart, with dist_m; within: columns that both share and that must agree."""
-    rows, cols = int(180 / degrees), int(360 / degrees)
+    rows, cols = round(180 / degrees), round(360 / degrees)
     p = points.withColumn("__r", geo.cell_row(F.col("lat"), degrees)).withColumn("__c", geo.cell_col(F.col("lon"), degrees))
     span = F.sequence(F.lit(-rings), F.lit(rings))
     p = p.withColumn("__row", F.explode(F.transform(span, lambda x: F.col("__r") + x))).where(f"__row BETWEEN 0 AND {rows - 1}")
@@ -56,7 +66,7 @@ def _in_rings(points: DataFrame, places: DataFrame, within: list[str], degrees:
     return p.join(q, [*within, "__row", "__col"]).withColumn("dist_m", d).drop("__r", "__c", "__row", "__col")
 
 
-def _by_rings(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, score: Column, slack: float, within: list[str], degrees: float) -> DataFrame:
+def _by_rings(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, score: Column, slack: float, within: list[str], degrees: float | None) -> DataFrame:
     """For each point the k places of least score (ties by place key), with rank and the columns of both sides.
 
     A score must be at least the distance less slack. A ring of r cells around a point reaches r *
@@ -64,7 +74,8 @@ def _by_rings(points: DataFrame, places: DataFrame, key: str, place_key: str, k:
     of the ring; points whose k-th score is not below what the ring proves go on to a larger one, so few
     are left after the first rounds. Each round is written to the shared folder.
     """
-    left, done, rings, most = points, None, 1, int(360 / degrees)
+    degrees = degrees or (5.0 if within else cell_size(places, k))
+    left, done, rings, most = points, None, 1, round(360 / degrees)
     metre = math.pi / 180 * geo.EARTH_M
     while True:
         last_round = 2 * rings + 1 >= most
@@ -86,7 +97,7 @@ def _by_rings(points: DataFrame, places: DataFrame, key: str, place_key: str, k:
         rings = min(rings * 3, most // 2)
 
 
-def nearest_scored(points: DataFrame, places: DataFrame, key: str, place_key: str, n: int = 1, degrees: float = 5.0) -> DataFrame:
+def nearest_scored(points: DataFrame, places: DataFrame, key: str, place_key: str, n: int = 1, degrees: float | None = None) -> DataFrame:
     """The n places of least score for each point, with rank and the sector of the view in which each lies.
 
     points: key, lat, lon, heading; places: place_key, plat, plon, kind, importance (0 to 1). The score is
@@ -98,7 +109,7 @@ def nearest_scored(points: DataFrame, places: DataFrame, key: str, place_key: st
     return found.withColumn("direction", geo.window_direction(F.col("heading"), b))
 
 
-def knn_exact(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, within: list[str] | None = None, degrees: float = 5.0) -> DataFrame:
+def knn_exact(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, within: list[str] | None = None, degrees: float | None = None) -> DataFrame:
     """The k nearest places of each point: (key, place_key, dist_m, rank), among those that share the columns of within."""
     found = _by_rings(points, places, key, place_key, k, geo.quantise(F.col("dist_m"), 2), 0.0, within or [], degrees)
     return found.select(*(within or []), key, place_key, F.col("score").alias("dist_m"), "rank")
