@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, line_dedup, mixing, quality_neighbours, quality_rules, sentencepiece_viterbi, simhash, suffix_dedup, toxicity, vector_search
+from . import chunk_dedup, filter_audit, lexical_search, line_dedup, mixing, packing, quality_neighbours, quality_rules, sentencepiece_viterbi, simhash, suffix_dedup, toxicity, vector_search
 from .common import table
 
 QUERIES = {}
@@ -95,3 +95,75 @@ def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op11_filter_audit"] = r"""
+WITH RECURSIVE traits AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), failed AS (
+  SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e
+  FROM traits
+), flags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), docs AS (
+  SELECT part, [a, b, c, d, e] AS f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM failed LEFT JOIN flags USING (doc_id) GROUP BY ALL
+), letters(x, i) AS (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)
+), orders(o) AS (
+  SELECT '' UNION ALL SELECT o || x FROM orders, letters WHERE position(x IN o) = 0
+), steps AS (
+  SELECT o AS filter_order, s AS step, position(substr(o, s, 1) IN 'ABCDE') AS i, [position(y IN 'ABCDE') FOR y IN string_split(left(o, s - 1), '') IF y <> ''] AS earlier
+  FROM orders, range(1, 6) r(s) WHERE length(o) = 5
+), hit AS (
+  SELECT part, filter_order, step, i, n, good, toxic, f[i] AS fails, len([y FOR y IN earlier IF f[y]]) > 0 AS gone, len([y FOR y IN f IF y]) AS fail_count
+  FROM docs, steps
+), done AS (
+  SELECT part, filter_order, step, i, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails AND fail_count = 1), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (WHERE fails AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (WHERE fails AND NOT gone AND toxic), 0) AS toxic_lost
+  FROM hit GROUP BY part, filter_order, step, i
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley
+FROM done
+"""
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = packing.pack(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op13_lexical_search"] = r"""
+WITH held AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), asked AS (
+  SELECT item_id, term, count(*) AS repeats
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term
+), sizes AS (SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id
+), total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id
+), best AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 20
+"""
