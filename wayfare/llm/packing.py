@@ -12,6 +12,7 @@ piece looks its own place up.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from .common import materialize
 
 CAPACITY = 2048
 #: A worker remembers the ids of so many words of at most so many bytes, and forgets all of them when it has more.
-MEMO_WORDS, MEMO_BYTES = 300_000, 64
+MEMO_WORDS, MEMO_BYTES = 500_000, 64
 #: Long texts are tokenised in stretches of about so many bytes, cut at white space.
 STRETCH = 1 << 20
 _SPACE = re.compile(rb"[\x09-\x0D\x20]")
@@ -42,6 +43,10 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _numbers(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Words:
     """Token ids of texts, word by word: no token of this vocabulary crosses white space, which it drops."""
 
@@ -53,7 +58,7 @@ class Words:
         self.all = Tokenizer.from_file(path)
         self.model = self.all.model
         self.memo: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -62,28 +67,34 @@ class Words:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def _run(self, run: str) -> bytes:
-        """Ids of a lower-case run of letters or of punctuation."""
+    def _run(self, run: bytes, shown: str) -> bytes:
+        """Ids of a lower-case run of letters or of punctuation; shown: the run in the byte-level alphabet."""
         if (found := self.runs.get(run)) is None:
-            shown = run.encode().decode("latin-1").translate(_ALPHABET)
-            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            found = _numbers([t.id for t in self.model.tokenize(shown)])
             if len(self.runs) >= MEMO_WORDS:
                 self.runs.clear()
-            if len(run) <= MEMO_BYTES:
-                self.runs[run] = found
+            self.runs[run] = found
         return found
 
+    def _word(self, raw: bytes) -> bytes | None:
+        """Ids of a word of plain runs; None: it takes the whole tokenizer."""
+        if len(raw) > MEMO_BYTES:
+            return None
+        if raw.isalpha():  # ASCII letters alone
+            run = raw.lower()
+            return self._run(run, run.decode())
+        plain = _PLAIN.fullmatch(raw.decode("utf-8", "replace"))
+        if not plain or b"<|" in raw:
+            return None
+        runs = [x.lower().encode() for x in plain.groups() if x]
+        return b"".join([self._run(x, x.decode("latin-1").translate(_ALPHABET)) for x in runs])
+
     def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
-        found, rest = {}, []
-        for raw in words:
-            word = raw.decode("utf-8", "replace")
-            plain = _PLAIN.fullmatch(word)
-            if plain and "<|" not in word and len(raw) <= MEMO_BYTES:
-                found[raw] = b"".join([self._run(x.lower()) for x in plain.groups() if x])
-            else:
-                rest.append((raw, word))
-        for (raw, _), coded in zip(rest, self.all.encode_batch_fast([w for _, w in rest], add_special_tokens=False) if rest else (), strict=True):
-            found[raw] = np.array(coded.ids, "<u4").tobytes()
+        found = {w: self._word(w) for w in words}
+        rest = [w for w, x in found.items() if x is None]
+        if rest:
+            coded = self.all.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+            found.update((w, _numbers(x.ids)) for w, x in zip(rest, coded, strict=True))
         return found
 
     def stretches(self, text: str | None) -> Iterator[bytes]:
@@ -93,7 +104,7 @@ class Words:
             cut = _SPACE.search(raw, at + STRETCH) if len(raw) - at > STRETCH else None
             words = raw[at : cut.start()].split() if cut else (raw[at:] if at else raw).split()
             at = cut.end() if cut else len(raw)
-            ids = [self.memo.get(w) for w in words]
+            ids = list(map(self.memo.get, words))
             if None in ids:
                 new = self._new({w for w, x in zip(words, ids, strict=True) if x is None})
                 ids = [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
