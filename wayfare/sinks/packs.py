@@ -17,6 +17,10 @@ from ..operators.rows import dense_index, last_wins, upsert
 from ..sources.canonical import Tables
 
 
+def sha256_hex(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def _array(*columns: Column) -> Column:
     """A JSON array of columns of different types, in order, nulls included."""
     parts = [F.substring(F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}), F.lit(6), F.length(F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"})) - 6) for c in columns]
@@ -52,15 +56,20 @@ def pack_rows(tables: Tables, sources: DataFrame, countries: list[str] | None, p
     return out
 
 
+def part_digests(lines: DataFrame) -> DataFrame:
+    """(part, n, bytes, sha256) of pack_rows lines: the digest of a part is that of its blocks' digests in order."""
+    block = F.floor(F.col("idx") / 4096)
+    blocks = lines.groupBy("part", block.alias("block")).agg(F.count("*").alias("n"), F.sum(F.octet_length("json") + 1).alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.sha2("json", 256).alias("d")))), lambda s: s.d), ""), 256).alias("d"))
+    return blocks.groupBy("part").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda s: s.d), ""), 256).alias("sha256"))
+
+
 def write_pack(lines: DataFrame, path: str) -> DataFrame:
     """Write pack_rows as gzipped JSON lines, a folder for each part in order of ids; returns the manifest (part, n, bytes, sha256).
 
     The digest of a part is that of its lines' digests in order, so it is found without gathering the lines.
     """
     lines.repartitionByRange("part", "idx").sortWithinPartitions("part", "idx").select("part", F.col("json").alias("value")).write.partitionBy("part").option("compression", "gzip").mode("overwrite").text(path)
-    block = F.floor(F.col("idx") / 4096)
-    blocks = lines.groupBy("part", block.alias("block")).agg(F.count("*").alias("n"), F.sum(F.octet_length("json") + 1).alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.sha2("json", 256).alias("d")))), lambda s: s.d), ""), 256).alias("d"))
-    manifest = blocks.groupBy("part").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda s: s.d), ""), 256).alias("sha256"))
+    manifest = part_digests(lines)
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}-manifest")
     return manifest
 
