@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .plans import airports, airways, assembly, deliveries, exports, extensions, files, journeys, places, routes, spatial, streams, texts  # noqa: F401
+    from .plans import airports, airways, assembly, deliveries, exports, extensions, files, journeys, places, publishers, routes, spatial, streams, texts  # noqa: F401
 
 
 load()

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from . import archives, charts, fixed_width, navdata, publications
+from ..operators.tables import materialize
+from . import archives, charts, fixed_width, header_tables, navdata, pdf, publications
 from . import canonical as C
 
 Config = dict[str, object]
@@ -49,8 +51,28 @@ def _web(spark: SparkSession, source: str, files: dict[str, str]) -> C.Tables:
     return publications.tables(documents(spark, files).withColumnRenamed("text", "html"), source)
 
 
+def _headed(spark: SparkSession, source: str, files: dict[str, str]) -> C.Tables:
+    return header_tables.tables(documents(spark, files).withColumnRenamed("text", "html"), source)
+
+
+def _pdf_files(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """(path, content) of PDF files, the path led by the document's key."""
+    found = [pdf.read(spark, path).withColumn("path", F.concat(F.lit(f"{name}:"), "path")) for name, path in sorted(files.items())]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _chart(spark: SparkSession, source: str, files: dict[str, str]) -> C.Tables:
-    return charts.tables(documents(spark, files), source)
+    """Charts as PDF files, or as text that was taken from them before."""
+    printed = {k: v for k, v in files.items() if v.lower().endswith(".pdf")}
+    plain = {k: v for k, v in files.items() if k not in printed}
+    texts = [charts.pdf_text(_pdf_files(spark, printed)).withColumnRenamed("path", "document")] if printed else []
+    return charts.tables(reduce(DataFrame.unionByName, texts + ([documents(spark, plain)] if plain else [])), source)
+
+
+def _blocks(spark: SparkSession, source: str, files: dict[str, str]) -> C.Tables:
+    """Charts whose rows follow from where their blocks of text stand."""
+    blocks = pdf.blocks(_pdf_files(spark, files)).withColumnRenamed("path", "document")
+    return charts.block_tables(materialize(blocks, "pdf-blocks"), source, *charts.BLOCK_PUBLISHERS[source])
 
 
 def _records(spark: SparkSession, source: str, files: dict[str, str]) -> C.Tables:
@@ -62,7 +84,7 @@ def _navdata(spark: SparkSession, source: str, files: dict[str, str]) -> C.Table
 
 
 #: The reader of each source.
-READERS: dict[str, Callable[[SparkSession, str, dict[str, str]], C.Tables]] = {**dict.fromkeys(publications.DIALECTS, _web), **dict.fromkeys(charts.DIALECTS, _chart), "faa": _records, "flightgear": _navdata}
+READERS: dict[str, Callable[[SparkSession, str, dict[str, str]], C.Tables]] = {**dict.fromkeys(publications.DIALECTS, _web), **dict.fromkeys(charts.DIALECTS, _chart), **dict.fromkeys(charts.BLOCK_PUBLISHERS, _blocks), "taiwan": _headed, "faa": _records, "flightgear": _navdata}
 
 
 def build(spark: SparkSession, config: Config) -> C.Tables:
