@@ -161,12 +161,45 @@ def test_toxicity_training_minimises_the_risk():
     assert min(risk(model.weights, model.bias + m) for m in (-0.1, 0.1)) > base - 1e-4
 
 
+@pytest.mark.parametrize("start", [12_000, 10])
+def test_toxicity_risk_covers_all_rows(spark, monkeypatch, start):
+    """A training of its own, by plain projected gradient steps over every unlabelled row, finds no lower risk, however few rows the first weights came from."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    mine = [(i, plain_buckets(t)) for i, t in docs.select("doc_id", "text").collect() if zlib.crc32(str(i).encode()) % 3 != 1]
+    marks = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    toxic, other = [s for i, s in mine if marks.get(i) == 1], [s for i, s in mine if marks.get(i) != 1]
+    prior = sum(marks.values()) / len(marks)
+    often = lambda sets, b: sum(b in s for s in sets) / len(sets)
+    counts = {b: sum(b in s for s in toxic) for b in set.union(*toxic)}
+    used = sorted(b for b, n in counts.items() if n >= max(min(3, len(toxic)), len(toxic) / 200) and n / len(toxic) >= 2 * often([s for _, s in mine], b))
+    dense = lambda sets: np.array([[b in s for b in used] for s in sets], float)
+    a, u = dense(toxic), dense(other)
+
+    def risk(x, bias):
+        za, zu = a @ x + bias, u @ x + bias
+        clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, za).mean()
+        return prior * np.logaddexp(0, -za).mean() + max(clean, 0) + 1e-4 * x.sum(), clean
+
+    x, bias = np.zeros(len(used)), math.log(prior / (1 - prior))
+    best = risk(x, bias)[0]
+    for k in range(3000):
+        pa, pu = 1 / (1 + np.exp(-(a @ x + bias))), 1 / (1 + np.exp(-(u @ x + bias)))
+        sa, su = (prior * (pa - 1) - prior * pa, pu) if risk(x, bias)[1] >= 0 else (prior * pa, -pu)
+        x, bias = np.maximum(x - 5 / (1 + k) ** 0.3 * (a.T @ sa / len(a) + u.T @ su / len(u) + 1e-4), 0), bias - 0.5 / (1 + k) ** 0.3 * (sa.mean() + su.mean())
+        best = min(best, risk(x, bias)[0])
+    monkeypatch.setattr(toxicity, "START_UNLABELLED", start)
+    model = toxicity.train(docs, labels)
+    assert set(np.flatnonzero(model.weights)) <= set(used)
+    assert risk(model.weights[used], model.bias)[0] < best + (0.003 if start > 10 else 0.03)
+
+
 @pytest.mark.parametrize(("f", "column"), [(toxicity.toxicity, "toxic"), (quality_neighbours.quality, "quality")])
 def test_very_many_rows_of_one_id(spark, monkeypatch, f, column):
     """Rows that share a labelled id are one document in training, so bounds hold; each row has its own score."""
     monkeypatch.setattr(quality_neighbours, "MAX_LABELLED", 5)
     monkeypatch.setattr(toxicity, "MAX_TOXIC", 3)
-    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 5)
+    monkeypatch.setattr(toxicity, "START_UNLABELLED", 5)
     docs = spark.createDataFrame([(2 if k % 3 else k, f"some words about thing {k % 7}") for k in range(300)], "doc_id long, text string")
     marks = spark.createDataFrame([(k, k % 2) for k in range(0, 300, 3)] + [(2, 1)], f"doc_id long, {column} int")
     got = f(docs, marks).collect()
