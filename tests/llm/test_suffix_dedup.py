@@ -30,6 +30,14 @@ def test_hard_rows_and_empty_table(spark, hard, empty):
     assert S.remove_repeats(empty).collect() == []
 
 
+def test_many_equal_rows(spark):
+    """Hundreds of equal rows of one id, and of ids of their own, beside texts that share a passage with them or an id."""
+    rng = np.random.default_rng(7)
+    text, other = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 300)) for _ in range(2))
+    rows = [(1, text)] * 500 + [(k, other) for k in range(10, 60)] + [(1, other[:900]), (2, f"lead {text[300:700]} tail"), (2, "short"), (None, text), (None, text)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+
+
 @pytest.mark.parametrize("letters", [1, 2, 4, 200])
 def test_suffix_order(letters):
     rng = np.random.default_rng(letters)

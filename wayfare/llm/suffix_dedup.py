@@ -161,31 +161,34 @@ def runs_of(starts: np.ndarray) -> np.ndarray:
 
 
 def _anchors(rows: DataFrame) -> DataFrame:
+    """(g, copies): the anchors of each text, and how many rows have it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [contexts(_bytes(t.as_py()))[0] for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got or [np.empty(0, np.int64)]))], names=["g"])
+            copies = np.repeat(b.column(1).to_numpy(), [len(g) for g in got])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got or [np.empty(0, np.int64)])), pa.array(copies)], names=["g", "copies"])
 
-    return rows.select("text").mapInArrow(run, "g long")
+    return rows.select("text", "copies").mapInArrow(run, "g long, copies long")
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """(g, c1, c2, id, at, n, p): anchor, context digest, document, first window, number of windows and the anchor's place."""
+    """(g, c1, c2, id, at, n, p, copies): anchor, context digest, document, first window, number of windows, the anchor's place and the rows that have the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, columns = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, text, copies in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 raw = _bytes(text.as_py())
                 g, at, n, p = contexts(raw)
                 digests += [xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(at.tolist(), (at + n + WINDOW - 1).tolist(), strict=True)]
-                columns.append((g, np.full(len(g), i, np.int64), at.astype(np.int32), n.astype(np.int32), p.astype(np.int32)))
+                columns.append((g, np.full(len(g), i, np.int64), at.astype(np.int32), n.astype(np.int32), p.astype(np.int32), np.full(len(g), copies, np.int64)))
             if columns:
-                g, ids, at, n, p = (np.concatenate(x) for x in zip(*columns, strict=True))
+                g, ids, at, n, p, k = (np.concatenate(x) for x in zip(*columns, strict=True))
                 words = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, words[:, 0], words[:, 1], ids, at, n, p)], names=["g", "c1", "c2", "id", "at", "n", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, words[:, 0], words[:, 1], ids, at, n, p, k)], names=["g", "c1", "c2", "id", "at", "n", "p", "copies"])
 
-    return rows.mapInArrow(run, "g long, c1 long, c2 long, id long, at int, n int, p int")
+    return rows.select("id", "text", "copies").mapInArrow(run, "g long, c1 long, c2 long, id long, at int, n int, p int, copies long")
 
 
 def _with_texts(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
@@ -303,6 +306,13 @@ def _repeated(rows: DataFrame, wanted: DataFrame, widths: tuple[int, ...] = BAND
     return _sorted_groups(_context_bytes(rows, _salted(wanted, hot, "left_anti"))).unionByName(found)
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """texts (id, text, copies) with one row for each id, which here stands for one text; copies: the rows that have it."""
+    often = materialize(texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "repeated-rows")
+    several = texts.join(often, "id").groupBy("id").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    return materialize(texts.join(often, "id", "left_anti").unionByName(several), "distinct-texts")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans) for every row of docs.
 
@@ -314,12 +324,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = docs.agg(F.count("*").alias("n"), F.countDistinct(id_col).alias("ids")).first()
     key = F.col(id_col).cast("long") if ids.n == ids.ids else F.xxhash64(F.lit(1), id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("id"), F.col(text_col).alias("text"))
-    long_ones = rows.where(F.octet_length("text") >= WINDOW).select("id", "text")
+    texts = rows.select("id", "text").withColumn("copies", F.lit(1).cast("long"))
+    if ids.n != ids.ids:
+        texts = _once(texts)
+    long_ones = texts.where(F.octet_length("text") >= WINDOW)
 
-    shared = materialize(_anchors(long_ones).groupBy("g").count().where("count > 1"), "shared-anchors")
+    shared = materialize(_anchors(long_ones).groupBy("g").agg(F.sum("copies").alias("count")).where("count > 1"), "shared-anchors")
     total = shared.agg(F.sum("count")).first()[0] or 0
     found = materialize(_join_counted(_occurrences(long_ones), shared, ["g"], "count", total, "left_semi"), "occurrences")
-    wanted = found.groupBy("g", "c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("id", "at", "n", "p")).alias("of"))
+    wanted = found.groupBy("g", "c1", "c2").agg(F.sum("copies").alias("times"), F.min(F.struct("id", "at", "n", "p")).alias("of"))
     wanted = materialize(wanted.select("g", "c1", "c2", "times", "of.*"), "contexts")
     often = wanted.where(F.col("times") > _hot_bound(total)).select("g", "c1", "c2", "times")  # HOT_SHARE rows at most
     flags = _repeated(long_ones, wanted).join(F.broadcast(often), ["g", "c1", "c2"], "left").fillna(1, "times")
