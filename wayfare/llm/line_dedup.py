@@ -43,7 +43,7 @@ def boilerplate_lines(pages: DataFrame, host: str, lines: str, ratio: float, min
     return joined.where(F.col("n_pages") > F.lit(ratio) * F.col("host_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = 0.1, min_pages: int = 10) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = 0.1, min_pages: int = 2) -> DataFrame:
     """docs with boilerplate lines cut from its text, and the columns n_lines and n_dropped.
 
     Lines end at \\n and are compared without surrounding white space. A line is boilerplate of its host

@@ -38,7 +38,7 @@ WITH lines AS (
 ), per_host AS (SELECT source, count(*) AS pages FROM documents GROUP BY source
 ), bad AS (
   SELECT l.source, l.k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM lines WHERE k <> '' GROUP BY source, k) l
-  JOIN per_host h ON l.source IS NOT DISTINCT FROM h.source WHERE n >= 10 AND n > 0.1 * pages
+  JOIN per_host h ON l.source IS NOT DISTINCT FROM h.source WHERE n >= 2 AND n > 0.1 * pages
 ), kept AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE b.k IS NOT NULL) AS n_dropped,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.k IS NULL), '') AS text
