@@ -62,3 +62,26 @@ def test_hot_shards_link_the_same_pairs(spark, monkeypatch, hot):
     docs = spark.createDataFrame([(i, *map(int, f.view(np.int64))) for i, f in enumerate(fps)], "id long, fp0 long, fp1 long, fp2 long, fp3 long")
     got = {r.id: r.component_id for r in simhash.candidate_classes(docs).collect()}
     assert got == {i: i // 2 * 2 for i in range(40)}
+
+
+def test_shared_ids_lose_no_text(spark):
+    """Unrelated texts of one id all stay; of rows that share id and words one stays, and which one does not change."""
+    rows = variants(1, 10, 1, 12)
+    shared = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven"), (1, "quite another text with words of its own"), (2, "ONE two three four five  six seven"), (1, "one  two three four five six seven")]
+    alike = [(5, rows[0][1]), (5, "nothing like it at all in this one"), (5, "nothing like it at all in this one")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate([*rows, *shared, *alike, (None, "one two three four five six seven")])], "doc_id long, text string, n int")
+    sets = {}
+    for r in docs.where("doc_id IS NOT NULL").collect():
+        key = frozenset(brute.shingles(r.text))
+        sets[key] = min(sets.get(key, r.doc_id), r.doc_id)
+    keys = sorted(sets, key=lambda k: (sets[k], len(k)))
+    group = brute.classes(range(len(keys)), lambda a, b: 10 * len(keys[a] & keys[b]) >= 8 * len(keys[a] | keys[b]))
+    want = {}
+    for k, g in group.items():
+        want.setdefault(g, []).append(sets[keys[k]])
+    kept = sorted((r.doc_id, frozenset(brute.shingles(r.text))) for r in simhash.drop_near_duplicates(docs).where("doc_id IS NOT NULL").collect())
+    assert [i for i, _ in kept] == sorted(min(ids) for ids in want.values()) and len({k for _, k in kept}) == len(kept)
+    again = {tuple(r) for r in simhash.drop_near_duplicates(docs.repartition(6)).collect()}
+    assert again == {tuple(r) for r in simhash.drop_near_duplicates(docs).collect()} and any(r[0] is None for r in again)
+    named = {(r.doc_id, r.component_id) for r in simhash.near_duplicate_components(docs).collect()}
+    assert (2, 1) in named and (1, 1) in named and (5, 5) in named

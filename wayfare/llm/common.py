@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +38,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wayfare-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int, kept: DataFrame) -> None:
+    """Delete the materialised tables written since a count of tables_written, but for the one that kept is read from."""
+    stay = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in kept.inputFiles()}
+    gone = [p for p in _written[since:] if p.rsplit("/", 1)[1] not in stay]
+    _written[since:] = [p for p in _written[since:] if p not in gone]
+    jvm = spark.sparkContext._jvm
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     spark = df.sparkSession

@@ -452,34 +452,54 @@ def block_pairs(rows: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
     return own.union(cross).union(main.withColumn("other", _to(F.col("n_rest"))).select(key("main", F.col("other"), F.col("block")), *keep))
 
 
-def near_duplicate_links(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, radius: int = NEAR_RADIUS) -> DataFrame:
-    """(a, b): links that connect all near copies among the distinct shingle sets of prints, each named by its least id.
+def distinct_sets(prints: DataFrame) -> tuple[DataFrame, bool]:
+    """(vertex, id, s0, s1, n, fp0 .. fp3): each distinct shingle set by its least id, and whether different sets share ids.
+
+    vertex names a set in graphs: the id, or a number of its own where ids are shared.
+    """
+    sets = materialize(prints.where("id IS NOT NULL").groupBy("s0", "s1").agg(F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in _NEAR)), "sets")
+    ids = sets.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).first()
+    if ids.n == ids.ids:
+        return sets.withColumn("vertex", F.col("id")), False
+    return materialize(sets.withColumn("vertex", F.monotonically_increasing_id()), "numbered-sets"), True
+
+
+def _hashed(texts: DataFrame, keep: list[str]) -> DataFrame:
+    """texts (text, ...) as the columns to keep, the digest s0, s1 and the sorted hashes of each text's shingle set."""
+    own = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py()) for t in b.column(0)]
+            digests = np.array([set_digest(h) for h in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([h.tobytes() for h in sets], pa.binary())], names=[*keep, "t0", "t1", "hashes"])
+
+    return texts.select("text", *keep).mapInArrow(run, f"{own + ', ' if own else ''}t0 long, t1 long, hashes binary")
+
+
+def near_duplicate_links(docs: DataFrame, sets: DataFrame, shared: bool, id_col: str, text_col: str, radius: int = NEAR_RADIUS) -> DataFrame:
+    """(a, b): links that connect all near copies among the distinct_sets, by vertex.
 
     Candidate groups come from SimHash; within a group every pair of sets is settled by its exact
     Jaccard similarity, all in one block if the group is small. A larger group is first compared with
     PIVOTS of its sets; then all pairs of its blocks meet, but for those within the class that came out
     largest, which the pivots have linked already.
     """
-    sets = materialize(prints.where("id IS NOT NULL").groupBy("s0", "s1").agg(F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in _NEAR)), "sets")
+    sets = sets.select(F.col("id").alias("doc"), F.col("vertex").alias("id"), "s0", "s1", "n", *_NEAR)
     classes = candidate_classes(sets, radius)
-    grouped = sets.select("id", "s0", "s1", "n", *_NEAR).join(classes.select(*_NEAR, F.col("component_id").alias("group")), _NEAR)
-    grouped = materialize(grouped.select("group", "id", "s0", "s1", "n"), "candidates")
+    grouped = sets.join(classes.select(*_NEAR, F.col("component_id").alias("group")), _NEAR)
+    grouped = materialize(grouped.select("group", "doc", "id", "s0", "s1", "n"), "candidates")
     several = materialize(grouped.groupBy("group").agg(F.count("*").alias("count"), F.sum("n").alias("total")).where("count > 1").select("group", _blocks(F.col("count"), F.col("total")).alias("blocks")), "groups")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, text in enumerate(b.column(0)):
-                hashes = shingle_set(text.as_py())
-                # rows with one id may have several texts
-                if (set_digest(hashes).view(np.int64) == (b.column(3)[i].as_py(), b.column(4)[i].as_py())).all():
-                    rows.append((i, hashes.tobytes()))
-            at = pa.array([i for i, _ in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), b.column(5).take(at), pa.array([h for _, h in rows], pa.binary()), b.column(6).take(at)], names=["group", "id", "n", "hashes", "blocks"])
-
     wanted = grouped.join(several, "group")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    members = texts.join(wanted.hint("merge"), "id").select("text", "group", "id", "s0", "s1", "n", "blocks").mapInArrow(read, "group long, id long, n long, hashes binary, blocks int")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    columns = ["group", "id", "n", "hashes", "blocks"]
+    if shared:  # an id does not tell which text it is, but the digest does
+        found = _hashed(texts.where("doc IS NOT NULL"), []).groupBy("t0", "t1").agg(F.min("hashes").alias("hashes"))
+        members = wanted.join(found, (F.col("s0") == F.col("t0")) & (F.col("s1") == F.col("t1"))).select(*columns)
+    else:
+        keep = ["group", "id", "s0", "s1", "n", "blocks"]
+        found = _hashed(texts.join(wanted.hint("merge"), "doc").select("text", *keep), keep)
+        members = found.where("s0 = t0 AND s1 = t1").select(*columns)
     members = materialize(members, "candidate-sets")
     links = _alike(members.where("blocks = 1").withColumnRenamed("group", "key"))
     large = members.where("blocks > 1")
@@ -502,31 +522,50 @@ def near_duplicate_links(docs: DataFrame, prints: DataFrame, id_col: str, text_c
     return links.union(first).union(_alike(dealt))
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
-    """The prints of docs, and (s0, s1, id, component_id) of each distinct set that has an id."""
+def _named(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame, bool]:
+    """The prints of docs; (s0, s1, id, component_id, leads) of each distinct set that has an id; whether sets share ids.
+
+    component_id is the least id of a class, leads tells the one set that stands for it.
+    """
     prints = materialize(set_prints(docs, id_col, text_col), "fingerprints")
-    linked = components(near_duplicate_links(docs, prints, id_col, text_col, radius)).withColumnRenamed("vertex", "id")
-    sets = prints.where("id IS NOT NULL").groupBy("s0", "s1").agg(F.min("id").alias("id"))
-    return prints, sets.join(linked, "id", "left").select("s0", "s1", "id", F.coalesce("component", "id").alias("component_id"))
+    sets, shared = distinct_sets(prints)
+    linked = components(near_duplicate_links(docs, sets, shared, id_col, text_col, radius)).withColumnRenamed("vertex", "v")
+    classes = sets.join(linked, F.col("vertex") == F.col("v"), "left").select("s0", "s1", "id", F.coalesce("component", "vertex").alias("component_id"))
+    if not shared:
+        return prints, classes.withColumn("leads", F.col("id") == F.col("component_id")), False
+    classes = materialize(classes, "classes")
+    first = classes.groupBy("component_id").agg(F.min(F.struct("id", "s0", "s1")).alias("first"))
+    classes = classes.join(first, "component_id").select("s0", "s1", "id", F.col("first.id").alias("component_id"), (F.struct("id", "s0", "s1") == F.col("first")).alias("leads"))
+    return prints, materialize(classes, "named-classes"), True
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS) -> DataFrame:
     """(doc_id, component_id) for documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and chains of them.
 
-    Documents without words have no shingles and link only to each other. A null id stays null and links
+    Documents without words have no shingles and link only to each other. Rows that share an id are told
+    apart by their shingles; a component is named by the least id in it. A null id stays null and links
     nothing, unless another document has the same shingles.
     """
-    prints, classes = _named(docs, id_col, text_col, radius)
-    return prints.join(classes.drop("id"), ["s0", "s1"], "left").select(F.col("id").alias("doc_id"), "component_id")
+    prints, classes, _ = _named(docs, id_col, text_col, radius)
+    return prints.join(classes.drop("id", "leads"), ["s0", "s1"], "left").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = NEAR_RADIUS) -> DataFrame:
-    """The rows of docs whose id is the least of its group of near copies; of rows with one id, one stays. Null ids stay."""
-    fps, classes = _named(docs, id_col, text_col, radius)
-    keep = materialize(classes.where("id = component_id").select(F.col("id").alias("__kept_id")).distinct(), "kept-ids")
-    # kept ids grow with the corpus, so they are never broadcast; the same join serves every size
-    kept = docs.join(keep.hint("merge"), F.col(id_col) == F.col("__kept_id"), "left_semi")
-    counts = fps.groupBy("id").count()
-    if not counts.where("id IS NOT NULL AND count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())) if not fps.where("id IS NULL").isEmpty() else kept
+    """One row of docs for each group of near copies: that of the least id. Null ids stay.
+
+    Rows that share an id are told apart by their shingles, so unrelated texts of one id all stay; of rows
+    that share both, the one whose text, then whose other columns have the least hash stays.
+    """
+    prints, classes, shared = _named(docs, id_col, text_col, radius)
+    keep = materialize(classes.where("leads").select(F.col("id").alias("__kept_id"), F.col("s0").alias("__s0"), F.col("s1").alias("__s1")), "kept-ids")
+    nameless = docs.where(F.col(id_col).isNull())
+    if shared or not prints.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
+        row = F.struct(*(F.col(c) for c in docs.columns))
+        rows = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("__id"), F.struct(F.xxhash64(text_col), F.xxhash64(*docs.columns)).alias("__order"), row.alias("__row"))
+        rows = _hashed(rows, ["__id", "__order", "__row"]).drop("hashes")
+        same = (F.col("__id") == F.col("__kept_id")) & (F.col("t0") == F.col("__s0")) & (F.col("t1") == F.col("__s1"))
+        kept = rows.join(keep.hint("merge"), same, "left_semi").groupBy("__id", "t0", "t1").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*")
+    else:
+        # kept ids grow with the corpus, so they are never broadcast; the same join serves every size
+        kept = docs.join(keep.hint("merge"), F.col(id_col) == F.col("__kept_id"), "left_semi")
+    return kept.unionByName(nameless) if not prints.where("id IS NULL").isEmpty() else kept
