@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import line_dedup, mixing, quality_rules, sentencepiece_viterbi, simhash
-from wayfare.llm.common import materialize, table
+from wayfare.llm.common import drop_written, materialize, table, tables_written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; what a stage wrote is deleted once the next one's table stands."""
+    docs, since = table(spark, sf_dir, "documents"), tables_written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(spark, since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
