@@ -29,8 +29,8 @@ WINDOW, ANCHOR = 200, 32
 HOT_ANCHOR, BANDS = 2500, (24, 3, 1)
 #: A key is hot if it holds over one in so many rows, so hot keys are fewer than that and are broadcast; parts into which other possibly large groups are dealt.
 HOT_SHARE, SALTS = 5000, 16
-#: Symbols sorted at a time (three keys of 20 bits fit a word), and window starts looked at at a time.
-SORTED, BLOCK = 900_000, 1 << 22
+#: Symbols sorted at a time, few enough for a processor's cache (three keys of 20 bits fit a word), and window starts looked at at a time.
+SORTED, BLOCK = 120_000, 1 << 22
 
 _TABLE = np.random.default_rng(200).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
