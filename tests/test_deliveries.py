@@ -6,7 +6,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.sinks import public_pack, versions
+from wayfare.sinks import lifecycle, public_pack, versions
 from wayfare.streaming import outbox
 
 
@@ -135,3 +135,34 @@ def test_killed_and_started_again(spark, tmp_path):
     assert sorted((r.session, r.id, r.tries) for r in got) == [("a", 1, 1), ("a", 2, 2), ("a", 3, 5), ("b", 7, 3), ("b", 8, 5), ("c", 4, 1)]
     assert all(r.payload == f"p{r.id}" for r in got)
     assert outbox.ledger_rows(spark, f"{path}/none").count() == 0
+
+
+def test_lifecycle(spark, tmp_path):
+    """Old rows are read in the new shape, and rows go with all that refers to them, children first."""
+    path = f"file://{tmp_path}/t"
+    added = [lifecycle.Added(2, "b", "int", F.col("a") * 10), lifecycle.Added(3, "c", "string")]
+    assert lifecycle.read(spark, path, "a int", added).collect() == []
+    lifecycle.append(spark.createDataFrame([(1,)], "a int"), path, 1)
+    lifecycle.append(spark.createDataFrame([(3, None, "x")], "a int, b int, c string"), path, 3)
+    lifecycle.append(spark.createDataFrame([(2,)], "a int"), path, 1)
+    assert sorted(map(tuple, lifecycle.read(spark, path, "a int", added).collect())) == [(1, 10, None), (2, 20, None), (3, None, "x")]
+    tables = {
+        "journey": spark.createDataFrame([(1,), (2,), (3,)], "id int"),
+        "segment": spark.createDataFrame([(10, 1), (20, 2), (30, None), (20, 2)], "id int, journey int"),
+        "point": spark.createDataFrame([("p", 10), ("q", 20), ("r", None)], "name string, segment int"),
+        "photo": spark.createDataFrame([(7, 1, 20), (8, 3, 20), (9, 3, None)], "id int, journey int, segment int"),
+        "source": spark.createDataFrame([(0,)], "id int"),
+    }
+    refs = [lifecycle.Reference("segment", "journey", "journey", "id"), lifecycle.Reference("point", "segment", "segment", "id"), lifecycle.Reference("photo", "journey", "journey", "id"), lifecycle.Reference("photo", "segment", "segment", "id")]
+    steps = [(n, sorted(map(str, map(tuple, df.collect())))) for n, df in lifecycle.cascade(tables, refs, "journey", F.col("id") == 2)]
+    assert [n for n, _ in steps][-2:] == ["segment", "journey"] and {n for n, _ in steps[:2]} == {"point", "photo"}
+    assert dict(steps) == {"point": ["('p', 10)", "('r', None)"], "photo": ["(7, 1, 20)", "(8, 3, 20)", "(9, 3, None)"][2:], "segment": ["(10, 1)", "(30, None)"], "journey": ["(1,)", "(3,)"]}
+    held = dict(tables)
+    for name, rows in lifecycle.cascade(tables, refs, "journey", F.lit(True)):
+        held[name] = rows
+        for r in refs:
+            parents = [x[0] for x in held[r.parent].select(r.key).collect()]
+            assert all(x[0] in parents for x in held[r.child].where(F.col(r.column).isNotNull()).select(r.column).collect())
+    assert held["journey"].count() == 0
+    with pytest.raises(ValueError):
+        lifecycle.deletion_order(["a", "b"], [lifecycle.Reference("a", "x", "b", "id"), lifecycle.Reference("b", "x", "a", "id")])

@@ -134,16 +134,18 @@ def aircraft_precedence(spark: SparkSession, d: str) -> DataFrame:
     return a.join(p, a.id == p.p_partkey, "left").select("id", "name", by.alias("resolved_by"), F.coalesce(*(v for _, v in ways)).alias("aircraft"))
 
 
-_FLIGHTS = ((1, " ci 100 ", "ABA", "ABD"), (2, "CI-100", "ABB", "ABC"), (3, "br189", "AAB", "AAC"), (4, "zz 1", "AAD", "AAE"))
-
-
-@query(sql("""WITH asked AS (SELECT * FROM (VALUES (1, ' ci 100 '), (2, 'CI-100'), (3, 'br189'), (4, 'zz 1')) t(id, flight)),
-schedule AS (SELECT * FROM (VALUES ('CI100', 'TPE', 'NRT', 205), ('BR189', 'TSA', 'HND', 190)) t(number, origin, destination, minutes))
-SELECT id, regexp_replace(upper(trim(flight)), '[\\s-]+', '', 'g') AS number, origin, destination, minutes FROM asked LEFT JOIN schedule ON number = regexp_replace(upper(trim(flight)), '[\\s-]+', '', 'g')"""))
+@query(sql("""WITH asked AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN ' ci ' || o_custkey % 3000 || ' ' WHEN 1 THEN 'CI-' || o_custkey % 3000 ELSE 'ci' || o_custkey % 3000 END AS flight FROM orders),
+schedule AS (SELECT 'CI' || a.id AS number, a.iata AS origin, b.iata AS destination, 60 + a.id % 600 AS minutes FROM airports a JOIN airports b ON b.id = a.id + 1)
+SELECT id, regexp_replace(upper(trim(flight)), '[\\s-]+', '', 'g') AS number, origin, destination, minutes FROM asked LEFT JOIN schedule ON number = regexp_replace(upper(trim(flight)), '[\\s-]+', '', 'g')""", "airports"))
 def flight_schedule_lookup(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([x[:2] for x in _FLIGHTS], "id int, flight string")
-    schedule = spark.createDataFrame([("CI100", "TPE", "NRT", 205), ("BR189", "TSA", "HND", 190)], "number string, origin string, destination string, minutes int")
-    return asked.withColumn("number", text.normalise_flight_number(F.col("flight"))).join(F.broadcast(schedule), "number", "left").select("id", "number", "origin", "destination", "minutes")
+    """Flights as travellers write them, with the schedule's row of that number; the schedule flies from each airport to the next."""
+    k, c = F.col("o_orderkey"), (F.col("o_custkey") % 3000).cast("string")
+    written = F.when(k % 3 == 0, F.concat(F.lit(" ci "), c, F.lit(" "))).when(k % 3 == 1, F.concat(F.lit("CI-"), c)).otherwise(F.concat(F.lit("ci"), c))
+    asked = D.table(spark, d, "orders").select(k.alias("id"), text.normalise_flight_number(written).alias("number"))
+    a = D.airports(spark, d)
+    there = a.select((F.col("id") - 1).alias("before"), F.col("iata").alias("destination"))
+    schedule = a.join(there, a.id == there.before).select(F.concat(F.lit("CI"), F.col("id").cast("string")).alias("number"), F.col("iata").alias("origin"), "destination", (60 + F.col("id") % 600).alias("minutes"))
+    return asked.join(schedule, "number", "left").select("id", "number", "origin", "destination", "minutes")
 
 
 @query(sql(f"""WITH pairs AS (SELECT a.id AS o, b.id AS dd, {q(D.hav_m('a.lat', 'a.lon', 'b.lat', 'b.lon'), 1)} AS m FROM airports a JOIN airports b ON b.id = a.id + 1)

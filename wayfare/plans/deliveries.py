@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators.tables import materialize
-from ..sinks import packs, public_pack, versions
+from ..sinks import lifecycle, packs, public_pack, versions
 from ..streaming import outbox
 from . import domain as D
 from .domain import sql
@@ -94,3 +94,28 @@ def outbox_attempts(spark: SparkSession, d: str) -> DataFrame:
 def outbox_delivered(spark: SparkSession, d: str) -> DataFrame:
     """Each message of a stream once."""
     return outbox.delivered(spark, _outbox(spark, d))
+
+
+@query("""SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 3 = 2 THEN CAST(s_nationkey AS VARCHAR) ELSE 'unknown' END AS note, CASE WHEN s_suppkey % 3 = 0 THEN length(s_name) ELSE CAST(floor(s_acctbal) AS BIGINT) END AS size FROM supplier""")
+def migrated_table(spark: SparkSession, d: str) -> DataFrame:
+    """A table of three versions, each with a column more, read as the newest; a row of the first gets its size from its name."""
+    path = scratch(spark, "versions")
+    added = [lifecycle.Added(2, "size", "long", F.length("name")), lifecycle.Added(3, "note", "string", F.lit("unknown"))]
+    s = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.floor("s_acctbal").cast("long").alias("size"), F.col("s_nationkey").cast("string").alias("note"))
+    for version, columns in ((1, ["k", "name"]), (2, ["k", "name", "size"]), (3, ["k", "name", "size", "note"])):
+        lifecycle.append(s.where(F.col("k") % 3 == version - 1).select(*columns), path, version)
+    return lifecycle.read(spark, path, "k long, name string", added).select("k", "name", "note", "size")
+
+
+@query("""WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 0), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+SELECT 1 AS step, 'lineitem' AS name, count(*) AS stay FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o) UNION ALL SELECT 2, 'orders', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o) UNION ALL SELECT 3, 'customer', count(*) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM c)""")
+def cascaded_delete(spark: SparkSession, d: str) -> DataFrame:
+    """What stays in each table, in the order of deletion, as some customers go with all that belongs to them."""
+    columns = {"customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_linenumber"], "nation": ["n_nationkey"]}
+    tables = {n: D.table(spark, d, n).select(*c) for n, c in columns.items()}
+    references = [lifecycle.Reference("orders", "o_custkey", "customer", "c_custkey"), lifecycle.Reference("lineitem", "l_orderkey", "orders", "o_orderkey"), lifecycle.Reference("customer", "c_nationkey", "nation", "n_nationkey")]
+    out = None
+    for step, (name, rows) in enumerate(lifecycle.cascade(tables, references, "customer", F.col("c_nationkey") % 5 == 0), 1):
+        n = rows.agg(F.count("*").alias("stay")).select(F.lit(step).alias("step"), F.lit(name).alias("name"), "stay")
+        out = n if out is None else out.unionByName(n)
+    return out
