@@ -222,3 +222,15 @@ def test_union(spark):
     t = fixed_width.piped(spark.createDataFrame([(1, "FIX|A1|A|400000N 1000000W|US|F")], "ord int, line string"), "a")
     assert canonical.union(t, t).points.count() == 2
     assert io is not None
+
+
+def test_features_of_several_roots(spark, tmp_path):
+    """The first country and feature that names an ident gives its place; small files and other files don't count."""
+    f = lambda kind, name, pos, point="Point": f"<aixm:{kind}><aixm:timeSlice><aixm:{kind}TimeSlice><aixm:designator>{name}</aixm:designator><aixm:location><aixm:{point}><gml:pos>{pos}</gml:pos></aixm:{point}></aixm:location></aixm:{kind}TimeSlice></aixm:timeSlice></aixm:{kind}>"
+    pad = f"<!-- {'x' * 10_000} -->"
+    for at, body in {"b/x/one.xml": f("DesignatedPoint", "AAA", "1 1") + f("DesignatedPoint", "BBB", "1 2") + pad, "b/two.xml": f("Navaid", "CCC", "2 1", "ElevatedPoint") + f("Navaid", "AAA", "2 2") + pad, "a/n.xml": f("Navaid", "BBB", "3 1") + f("Navaid", "AAA", "91") + pad, "a/small.xml": f("DesignatedPoint", "DDD", "4 1"), "a/other.txt": f("DesignatedPoint", "EEE", "4 1") + pad}.items():
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text(f"<m xmlns:aixm='http://www.aixm.aero/schema/5.1.1' xmlns:gml='http://www.opengis.net/gml/3.2'>{body}</m>")
+    points, countries = features.merged(spark, {"b": f"{tmp_path}/b", "a": f"{tmp_path}/a"})
+    assert rows(points, "ident", "lat", "lon", "country", "feature") == [("AAA", 1.0, 1.0, "b", "DesignatedPoint"), ("BBB", 3.0, 1.0, "a", "Navaid"), ("CCC", 2.0, 1.0, "b", "Navaid")]
+    assert rows(countries, "country", "feature", "n") == [("a", "Navaid", 1), ("b", "DesignatedPoint", 2), ("b", "Navaid", 2)]

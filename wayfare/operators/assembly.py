@@ -83,6 +83,16 @@ def recording_title(flight_number: Column, origin: Column, destination: Column,
     return F.coalesce(named, F.concat(F.lit("GPS Recording "), F.date_format(start, "yyyy-MM-dd")))
 
 
+def route_point(ident: Column, lat: Column, lon: Column, kind: Column) -> Column:
+    """A point of a route, from the row of a pack."""
+    return F.struct(ident.alias("ident"), lat.alias("lat"), lon.alias("lon"), kind.alias("point_type"))
+
+
+def place_route_point(iata: Column, place: Column, lat: Column, lon: Column) -> Column:
+    """A place as a point of a route: an airport, named by its IATA code or else by its id."""
+    return route_point(F.coalesce(iata, place.cast("string")), lat, lon, F.lit("AIRPORT"))
+
+
 def flight_record(flights: DataFrame) -> DataFrame:
     """(flight_number, origin, destination, departure_time, minutes) of flights of an API (flight_number, origin, destination, scheduled, arrival as ISO text); those without two airports are left out."""
     iata = lambda c: F.when(F.upper(F.trim(c)).rlike("^[A-Z]{3}$"), F.upper(F.trim(c)))

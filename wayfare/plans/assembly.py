@@ -422,3 +422,12 @@ def scalar_value(spark: SparkSession, d: str) -> DataFrame:
     D.table(spark, d, "supplier").createOrReplaceTempView("wayfare_supplier")
     D.table(spark, d, "nation").createOrReplaceTempView("wayfare_nation")
     return spark.sql("SELECT n_name AS nation, (SELECT max(s_acctbal) FROM wayfare_supplier) AS top FROM wayfare_nation")
+
+
+@query(sql("SELECT ident, lat, lon, point_type FROM nav_points UNION ALL SELECT CASE WHEN id % 4 = 0 THEN CAST(id AS VARCHAR) ELSE iata END, lat, lon, 'AIRPORT' FROM airports", "nav_points", "airports"))
+def route_points_of_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Points of packs and airports as points of a route; every fourth airport has no code here."""
+    p, a = D.nav_points(spark, d), D.airports(spark, d)
+    rows_ = p.select(assembly.route_point(F.col("ident"), F.col("lat"), F.col("lon"), F.col("point_type")).alias("r"))
+    places = a.select(assembly.place_route_point(F.when(F.col("id") % 4 != 0, F.col("iata")), F.col("id"), F.col("lat"), F.col("lon")).alias("r"))
+    return rows_.unionByName(places).select("r.*")

@@ -116,11 +116,11 @@ def summary(tables: C.Tables) -> DataFrame:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """(n, sha256) of files (path, content): a digest of their digests in order of path, taken in blocks by the first digits of a path's hash.
+    """(n, sha256) of files (path, content): a digest of their digests in order of path, taken in blocks by the first three digits of a path's digest.
 
     No task reads more than its own files, so the digest is not that of the files end to end.
     """
-    each = files.select("path", F.sha2("content", 256).alias("d"), F.pmod(F.xxhash64("path"), F.lit(4096)).alias("block"))
+    each = files.select("path", F.sha2("content", 256).alias("d"), F.left(F.sha2("path", 256), F.lit(3)).alias("block"))
     listed = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "d"))), lambda s: s.d), ""), 256)
     blocks = each.groupBy("block").agg(F.count("*").alias("n"), listed("path").alias("d"))
     return blocks.agg(F.sum("n").alias("n"), listed("block").alias("sha256"))
