@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 SEARCH = {"empty": (50, 70, 90, 90), "iata": 0, "icao": 2, "ident": 2, "iata~": 10, "icao~": 10, "ident~": 10, "name~": 20, "inside": 40, "limit": 40}
 SUGGEST = {"empty": (60, 70, 80, 95), "iata": 0, "icao": 1, "ident": 2, "iata~": 10, "icao~": 12, "ident~": 14, "name~": 20, "inside": 30, "limit": 12}
 
+#: Query texts that are searched in one pass.
+QUERY_BLOCK = 500
+
 
 def rank(query: Column, tiers: dict) -> Column:
     """Tier of an airport row (iata, icao, ident, name, municipality, country, type, scheduled) for a query; null: no match."""
@@ -24,12 +27,22 @@ def rank(query: Column, tiers: dict) -> Column:
 
 
 def search(airports: DataFrame, queries: DataFrame, tiers: dict = SEARCH) -> DataFrame:
-    """(q, place, id, rank): the best airports of each query text; queries are a stated, short list and are broadcast."""
+    """(q, place, id, rank): the best airports of each distinct query text.
+
+    Queries are taken in blocks of QUERY_BLOCK texts, each in one pass over the airports, so what a task
+    holds has a bound; a text may match anywhere in a name, so no key could join them. A null text has
+    no rows.
+    """
+    texts = [r.q for r in queries.select("q").where("q IS NOT NULL").distinct().orderBy("q").toLocalIterator()]
     kind = F.when(F.col("type") == "large_airport", "0").when(F.col("type") == "medium_airport", "1").otherwise("2")
     key = F.concat_ws("-", F.when(F.col("scheduled"), "0").otherwise("1"), kind, F.coalesce("iata", "icao", "ident", F.lit("")), "name")
-    hits = airports.crossJoin(F.broadcast(queries)).withColumn("rank", rank(F.col("q"), tiers)).where("rank IS NOT NULL")
     w = Window.partitionBy("q").orderBy("rank", key, "id")
-    return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= tiers["limit"]).select("q", "place", "id", "rank")
+    found = []
+    for at in range(0, max(len(texts), 1), QUERY_BLOCK):
+        block = F.array(*map(F.lit, texts[at : at + QUERY_BLOCK])).cast("array<string>")
+        hits = airports.withColumn("q", F.explode(block)).withColumn("rank", rank(F.col("q"), tiers)).where("rank IS NOT NULL")
+        found.append(hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= tiers["limit"]).select("q", "place", "id", "rank"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def by_any_code(airports: DataFrame, codes: DataFrame) -> DataFrame:
