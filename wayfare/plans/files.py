@@ -112,16 +112,16 @@ def _place(k: Column) -> tuple[Column, Column]:
 
 
 def _publication(spark: SparkSession, d: str, classes: bool) -> DataFrame:
-    """(document, html): a page for each of 25 groups of airways; each airway has a head and a row for each point."""
+    """(document, html): a page for each 2,000 numbers of airways; each airway has a head and a row for each point."""
     lat, lon = _place(F.col("point"))
     css = (lambda n: F.lit(f"<tr class='table-row-type-{n}'>")) if classes else (lambda n: F.lit("<tr>"))
     name = F.concat(F.char((65 + F.floor(F.col("airway") / 10000) % 26).cast("int")), F.lit("Z"), (F.col("airway") % 10000).cast("string"))
     ident = F.concat(F.lit("P"), F.lpad(F.col("point").cast("string"), 6, "0"))
     row = F.concat(css(2), F.lit("<td>"), ident, F.lit("</td><td>"), lat, F.lit(" "), lon, F.lit("</td></tr>"))
-    parts = D.route_points(spark, d).groupBy("airway").agg(_joined("seq", row).alias("rows")).withColumn("group", F.col("airway") % 25)
+    parts = D.route_points(spark, d).groupBy("airway").agg(_joined("seq", row).alias("rows")).withColumn("group", F.floor(F.col("airway") / 2000))
     one = F.concat(css(1), F.lit("<td>"), name, F.lit("</td></tr>"), "rows")
     pages = parts.groupBy("group").agg(F.concat(F.lit("<table>"), _joined("airway", one), F.lit("</table>")).alias("html"))
-    return pages.select(F.concat(F.lit("enr_3_"), F.lpad(F.col("group").cast("string"), 2, "0")).alias("document"), "html")
+    return pages.select(F.concat(F.lit("enr_3_"), F.lpad(F.col("group").cast("string"), 8, "0")).alias("document"), "html")
 
 
 _LEGS = f"""{_PLACES}, st AS (SELECT airway, seq, point, lag(point) OVER (PARTITION BY airway ORDER BY seq) AS before FROM route_points), kept AS (SELECT airway, row_number() OVER (PARTITION BY airway ORDER BY seq) AS n, point FROM st WHERE before IS DISTINCT FROM point),
