@@ -79,3 +79,8 @@ def destinations(routes: DataFrame, n: int | None = 12, kinds: int = 8) -> DataF
     types = ranked(routes.select(F.col("origin").alias("code"), "destination", F.explode("equipment").alias("x")).groupBy("code", "destination", "x").count(), ["code", "destination"], "x", kinds)
     lists = types.groupBy("code", "destination").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s.x).alias("aircraft"))
     return counts.join(lists, ["code", "destination"], "left")
+
+
+def locale_key(name: Column) -> Column:
+    """A sort key for names as people order them: letters before accents before case, punctuation counted, by the root collation of Unicode."""
+    return F.collate(name, "UNICODE")

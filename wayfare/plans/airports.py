@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -174,3 +174,15 @@ def planned_milestones(spark: SparkSession, d: str) -> DataFrame:
     return rows_.select(F.col("id").alias("origin"), "type", "fraction", geo.quantise(lat, 4).alias("lat"), geo.quantise(lon, 4).alias("lon"))
 
 
+_LETTERS = ["é", "E", "z", "ä", "a", "Z", "ö", "A", "o", "ñ", "n", "Å"]
+
+
+@query(sql(f"""WITH n AS (SELECT id, country, ([{', '.join(f"'{x}'" for x in _LETTERS)}])[1 + CAST(id % {len(_LETTERS)} AS INT)] || CASE WHEN id % 2 = 0 THEN 'b' ELSE 'B' END || CAST(id % 5 AS VARCHAR) AS name FROM airports)
+SELECT country, CAST(row_number() OVER (PARTITION BY country ORDER BY icu_sort_key(name, 'en'), id) AS INT) AS place, name, id FROM n""", "airports"))
+def airports_in_locale_order(spark: SparkSession, d: str) -> DataFrame:
+    """Airports of each country in the order in which people list names, accents and case counting last."""
+    k = F.col("id")
+    name = F.concat(F.element_at(F.array(*map(F.lit, _LETTERS)), (1 + k % len(_LETTERS)).cast("int")), F.when(k % 2 == 0, "b").otherwise("B"), (k % 5).cast("string"))
+    a = D.airports(spark, d).select("id", "country", name.alias("name"))
+    w = Window.partitionBy("country").orderBy(search.locale_key(F.col("name")), "id")
+    return a.select("country", F.row_number().over(w).alias("place"), "name", "id")
