@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import geo, text
+from ..functions import angles, geo, text
 from . import domain as D
 from .domain import q, sql
 
@@ -25,6 +27,65 @@ def dms_parse_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return t.select("uid", geo.quantise(lat, 6).alias("lat"), geo.quantise(lon, 6).alias("lon"))
 
 
+#: Ways to write a place, by name: how an angle looks, whether hemispheres stand in front, what is between the two, and the parts of a degree that it can hold.
+_WAYS = {
+    "packed": ("{d}{m}{s}", False, " ", 3600),
+    "packed-line": ("{d}{m}{s}", False, "\n", 3600),
+    "packed-close": ("{d}{m}{s}", False, "", 3600),
+    "packed-front": ("{d}{m}{s}", True, " ", 3600),
+    "packed-fraction": ("{d}{m}{s}.{f}", False, " ", 360000),
+    "packed-hundredths": ("{d}{m}{s}{f}", True, "", 360000),
+    "packed-minutes": ("{d}{m}", False, " ", 60),
+    "marked": ("{d}°{m}'{s}.{f}\"", False, " ", 360000),
+    "marked-typeset": ("{d}° {m}’ {s}” ", False, " / ", 3600),
+    "marked-doubled": ("{d}°{m}'{s}''", False, " ", 3600),
+    "marked-front": ("{d}°{m}′{s}″", True, ", ", 3600),
+    "marked-minutes": ("{d}º{m}'", False, " ", 60),
+    "apart": ("{d} {m} {s}", False, " ", 3600),
+    "apart-comma": ("{d} {m} {s},{f} ", False, "; ", 360000),
+    "dashes": ("{d}-{m}-{s}", False, " ", 3600),
+    "colons-front": ("{d}:{m}:{s}", True, " ", 3600),
+    "decimal": ("{d}.{h}", False, ", ", 100),
+    "decimal-marked": ("{d}.{h}°", False, " ", 100),
+}
+
+
+def _written(units: Column, digits: int, sides: str) -> Column:
+    """An angle, given in parts of a degree, as text that looks as a row's way says."""
+    parts, size = F.col("parts"), F.abs(units)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    minute = F.greatest(F.floor(parts / 60), F.lit(1))
+    second = F.greatest(F.floor(parts / 3600), F.lit(1))
+    values = {
+        "{d}": F.lpad(F.floor(size / parts).cast("string"), digits, "0"),
+        "{m}": two(F.floor(size % parts / minute)),
+        "{s}": two(F.floor(size % minute / second)),
+        "{f}": two(size % second),
+        "{h}": two(size % 100),
+    }
+    body = reduce(lambda c, v: F.replace(c, F.lit(v[0]), v[1]), values.items(), F.col("look"))
+    side = F.when(units < 0, sides[1]).otherwise(sides[0])
+    return F.when(F.col("front"), F.concat(side, body)).otherwise(F.concat(body, side))
+
+
+def _units(axis: int, parts: int | str) -> str:
+    """SQL of a part's latitude (90) or longitude (180) in parts of a degree, from arithmetic on its key."""
+    step = 7919 if axis == 90 else 104729
+    return f"CAST((p_partkey * {step} + 13) % (2 * {axis} * {parts} + 1) - {axis} * {parts} AS BIGINT)"
+
+
+@query(" UNION ALL ".join(f"SELECT p_partkey, '{w}' AS way, CAST(i AS INT) AS pos, {q(f'(CASE WHEN i = 0 THEN 1 ELSE -1 END * {_units(90, v[3])}) / {v[3]}e0', 6)} AS lat, {q(f'{_units(180, v[3])} / {v[3]}e0', 6)} AS lon FROM part, (VALUES (0), (1)) t(i)" for w, v in _WAYS.items()))
+def coordinate_dialects(spark: SparkSession, d: str) -> DataFrame:
+    """Two places a text, written in every way among levels, routes and distances, and found again."""
+    p = D.table(spark, d, "part")
+    ways = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("way", "look", "front", "between", "parts"), (w, *v), strict=True))) for w, v in _WAYS.items()))
+    rows = p.select("p_partkey", F.inline(ways)).withColumns({"lat": F.expr(_units(90, "parts")), "lon": F.expr(_units(180, "parts"))})
+    rows = rows.withColumns({"n": _written(F.col("lat"), 2, "NS"), "s": _written(-F.col("lat"), 2, "NS"), "e": _written(F.col("lon"), 3, "EW")})
+    rows = rows.withColumn("t", F.concat(F.lit("UN123 FL 245 WEST 12 NM (TOR) "), "n", "between", "e", F.lit("\nR7 12.5 NM 090°/270° SOUTHERN "), "s", "between", "e", F.lit(" 5000 FT, B12")))
+    found = rows.select("p_partkey", "way", F.posexplode(angles.pairs(F.col("t"))).alias("pos", "place"))
+    return found.select("p_partkey", "way", "pos", geo.quantise(F.col("place.lat"), 6).alias("lat"), geo.quantise(F.col("place.lon"), 6).alias("lon"))
+
+
 @query("SELECT page_id, i AS pos, regexp_extract(a, '<a href=\"([^\"]*)\"', 1) AS href, regexp_replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&', 'g') AS label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>'), 1) AS i FROM pages)")
 def html_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Anchors of pages with their text, by pattern; wayfare.sources.html parses nested ones."""
