@@ -30,34 +30,49 @@ def _route_type(designator: Column) -> Column:
     return F.when(designator.startswith("J"), "JET").when(designator.rlike("^[QT]"), "RNAV").when(designator.startswith("V"), "VICTOR").otherwise("ENROUTE")
 
 
+def fated(lines: DataFrame) -> DataFrame:
+    """lines with key, area, country, lat, lon, ident and what becomes of them (fate).
+
+    Every line has one fate: blank, header, record-short-line, airport, point or stop, record-parse (a
+    record of these kinds without a usable ident, place or number) or other-record.
+    """
+    place = r"([NS]\d{8})([EW]\d{9})"
+    r = lines.withColumns({"key": _cut(4, 6), "area": _cut(1, 4), "lat_": F.regexp_extract("line", place, 1), "lon_": F.regexp_extract("line", place, 2)})
+    r = r.withColumns({"lat": F.when(F.col("lat_") != "", text.arinc_coordinate(F.col("lat_"), 2)), "lon": F.when(F.col("lon_") != "", text.arinc_coordinate(F.col("lon_"), 3)), "country": _country(F.col("area"))})
+    ident = F.when(F.col("key") == "P ", _cut(6, 10)).when(F.col("key") == "ER", _cut(29, 34)).otherwise(_cut(13, 18))
+    r = r.withColumn("ident", text.normalise_ident(ident))
+    kind = F.when((F.col("key") == "P ") & (_cut(12, 13) == "A"), "airport").when(F.col("key").isin("EA", "D ", "DB"), "point").when(F.col("key") == "ER", "stop")
+    numbered = F.trim(_cut(25, 29)).rlike(r"^\d+$") & (F.trim(_cut(13, 18)) != "") & (F.col("ident") != "")
+    sound = F.when(kind == "airport", F.col("ident").rlike("^[A-Z]{4}$") & F.col("lat").isNotNull()).when(kind == "point", (F.col("ident") != "") & geo.in_range(F.col("lat"), F.col("lon"))).otherwise(numbered)
+    fate = F.when(F.coalesce("line", F.lit("")) == "", "blank").when(F.col("line").startswith("HDR"), "header").when(F.length("line") < 132, "record-short-line")
+    return r.withColumn("fate", fate.when(kind.isNull(), "other-record").when(F.coalesce(sound, F.lit(False)), kind).otherwise("record-parse")).drop("lat_", "lon_")
+
+
 def records(lines: DataFrame, source: str) -> C.Tables:
     """Canonical tables from (ord, line) records: waypoints EA, airports P, navaids D and DB, airway points ER.
 
     A point is known by its ident and area (its region, or its customer area), else by ident; the first
     record of an ident is the point. Airways are told apart by designator, type and customer area.
     """
-    r = lines.where("line <> '' AND line NOT LIKE 'HDR%'")
-    whole = r.where("length(line) >= 132").withColumns({"key": _cut(4, 6), "area": _cut(1, 4), "lat_": F.regexp_extract("line", r"([NS]\d{8})([EW]\d{9})", 1), "lon_": F.regexp_extract("line", r"([NS]\d{8})([EW]\d{9})", 2)})
-    whole = whole.withColumns({"lat": F.when(F.col("lat_") != "", text.arinc_coordinate(F.col("lat_"), 2)), "lon": F.when(F.col("lon_") != "", text.arinc_coordinate(F.col("lon_"), 3)), "country": _country(F.col("area"))})
-    short = C.issue(r.where("length(line) < 132"), "warning", "record-short-line", F.concat(F.lit("Line "), F.col("ord").cast("string")), source)
-
-    a = whole.where((F.col("key") == "P ") & (_cut(12, 13) == "A")).select("ord", "country", "lat", "lon", text.normalise_ident(_cut(6, 10)).alias("icao"), text.normalise_ident(_cut(13, 16)).alias("code"), text.normalise_ident(_cut(93, 123)).alias("label"))
-    a = a.where(F.col("icao").rlike("^[A-Z]{4}$") & F.col("lat").isNotNull()).select("country", "lat", "lon", "icao", F.when(F.col("code").rlike("^[A-Z]{3}$"), F.col("code")).alias("iata"), F.coalesce(F.nullif("label", F.lit("")), "icao").alias("name"), text.uid("apt", F.col("icao"), F.lit(source)).alias("uid"), F.lit(source).alias("source_id"))
+    r = fated(lines)
+    fault = C.issue(r.where("fate = 'record-short-line'"), "warning", "record-short-line", F.concat(F.lit("Line "), F.col("ord").cast("string")), source)
+    fault = fault.unionByName(C.issue(r.where("fate = 'record-parse'"), "warning", "record-parse", F.concat(F.lit("Line "), F.col("ord").cast("string"), F.lit(": "), "key"), source))
+    a = r.where("fate = 'airport'").select("country", "lat", "lon", F.col("ident").alias("icao"), text.normalise_ident(_cut(13, 16)).alias("code"), text.normalise_ident(_cut(93, 123)).alias("label"))
+    a = a.select("country", "lat", "lon", "icao", F.when(F.col("code").rlike("^[A-Z]{3}$"), F.col("code")).alias("iata"), F.coalesce(F.nullif("label", F.lit("")), "icao").alias("name"), text.uid("apt", F.col("icao"), F.lit(source)).alias("uid"), F.lit(source).alias("source_id"))
 
-    p = whole.where("key IN ('EA', 'D ', 'DB')").select("ord", "area", "country", "lat", "lon", text.normalise_ident(_cut(13, 18)).alias("ident"), F.trim(_cut(19, 21)).alias("region_area"), F.when(F.col("key") == "EA", "SIGNIFICANT_POINT").otherwise("NAVAID").alias("point_type"), F.nullif(text.normalise_ident(F.when(F.col("key") == "EA", _cut(95, 123)).otherwise(_cut(93, 123))), F.lit("")).alias("name"))
-    p = p.where("ident <> '' AND lat IS NOT NULL")
+    p = r.where("fate = 'point'").select("ord", "area", "country", "lat", "lon", "ident", F.trim(_cut(19, 21)).alias("region_area"), F.when(F.col("key") == "EA", "SIGNIFICANT_POINT").otherwise("NAVAID").alias("point_type"), F.nullif(text.normalise_ident(F.when(F.col("key") == "EA", _cut(95, 123)).otherwise(_cut(93, 123))), F.lit("")).alias("name"))
     points = C.points_table(p, ["ord"], source, None, None, "north-america")
     keys = p.select("ident", F.explode(F.array("region_area", F.trim("area"))).alias("area")).distinct().withColumn("exact", F.lit(True))
 
-    e = whole.where((F.col("key") == "ER") & F.trim(_cut(25, 29)).rlike(r"^\d+$")).select("ord", "country", F.trim("area").alias("customer"), text.normalise_ident(_cut(13, 18)).alias("designator"), F.trim(_cut(25, 29)).cast("int").alias("seq"), text.normalise_ident(_cut(29, 34)).alias("ident"), F.trim(_cut(34, 36)).alias("area"))
-    e = e.where("designator <> '' AND ident <> ''").withColumn("route_type", _route_type(F.col("designator")))
+    e = r.where("fate = 'stop'").select("ord", "country", F.trim("area").alias("customer"), text.normalise_ident(_cut(13, 18)).alias("designator"), F.trim(_cut(25, 29)).cast("int").alias("seq"), "ident", F.trim(_cut(34, 36)).alias("area"))
+    e = e.withColumn("route_type", _route_type(F.col("designator")))
     e = e.withColumn("airway_uid", text.airway_uid(F.col("designator"), F.lit(source), F.concat_ws(":", "route_type", "customer")))
     routes = e.select("airway_uid", "designator", "route_type", "country", F.lit(None).cast("string").alias("fir")).distinct()
     # one point stands for an ident in every area, so a point known by area is the one known by ident
     stops = e.join(keys, ["ident", "area"], "left").join(points.select("ident", "uid", "lat", "lon"), "ident", "left").withColumn("leg_nm", F.lit(None).cast("double"))
     missing = C.issue(stops.where("uid IS NULL"), "warning", "airway-point-missing", F.format_string("%s: %s/%s", "designator", "ident", "area"), source)
     segments, gaps = C.segments_table(stops.where("uid IS NOT NULL"), ["seq", "ord"], source, longest=LONGEST_NM, code="airway")
-    return C.Tables(C.shaped(a, C.AIRPORT), points, C.airways_table(routes, source), segments, short.unionByName(missing).unionByName(gaps))
+    return C.Tables(C.shaped(a, C.AIRPORT), points, C.airways_table(routes, source), segments, fault.unionByName(missing).unionByName(gaps))
 
 
 def read(spark, path: str, source: str) -> C.Tables:
