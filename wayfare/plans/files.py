@@ -11,7 +11,7 @@ from ..catalog import query
 from ..functions import geo
 from ..operators import quality
 from ..operators import trajectory as T
-from ..operators.tables import shared_dir
+from ..operators.tables import materialize, shared_dir
 from ..sinks import documents as docs
 from ..sinks import packs
 from ..sources import archives, build, fixed_width, html, journeys, navdata, publications, tabular
@@ -174,7 +174,7 @@ def fixed_width_points(spark: SparkSession, d: str) -> DataFrame:
     place = F.concat(F.lit("N"), F.left(lat, F.lit(6)), F.lit("00E"), F.left(lon, F.lit(7)), F.lit("00"))
     line = F.concat(F.lit("SUSAEA       "), _code(k), F.lit(" K1"), F.lit(" " * 11), place, F.lit(" " * 44), F.rpad("p_name", 28, " "), F.lit(" " * 9))
     lines = D.table(spark, d, "part").select(k.alias("ord"), line.alias("line"))
-    t = fixed_width.records(lines, "faa")
+    t = fixed_width.records(materialize(lines, "records"), "faa")
     return t.points.select("ident", geo.quantise(F.col("lat"), 6).alias("lat"), geo.quantise(F.col("lon"), 6).alias("lon"), "name")
 
 
