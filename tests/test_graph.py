@@ -1,10 +1,28 @@
+import heapq
 import inspect
+import random
 
 import pytest
 
 from wayfare.operators import graph
 
 
+def _ends(spark, rows):
+    return spark.createDataFrame(rows, "query long, vertex long, cost long")
+
+
+def lengths(out, start):
+    """Distances from a vertex by a heap."""
+    best, heap = {}, [(0, start)]
+    while heap:
+        d, v = heapq.heappop(heap)
+        if v not in best:
+            best[v] = d
+            for u, w in out.get(v, {}).items():
+                heapq.heappush(heap, (d + w, u))
+    return best
+
+
 def test_paths_end_by_settling_or_by_an_error(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(4)], "src long, dst long, w double")
     end = lambda v: spark.createDataFrame([(1, v, 0.0)], "query long, vertex long, cost double")
@@ -13,3 +31,42 @@ def test_paths_end_by_settling_or_by_an_error(spark):
     assert graph.shortest_paths(edges, end(0), end(4), max_hops=4).count() == 1
     with pytest.raises(RuntimeError):
         graph.shortest_paths(edges, end(0), end(4), max_hops=2)
+
+
+def test_paths_equal_a_heap_search(spark):
+    """One way, weights of zero and ties, several starts and goals, queries of one start, goals out of reach."""
+    rnd = random.Random(1)
+    out = {}
+    for _ in range(150):
+        a, b = rnd.randrange(70), rnd.randrange(70)
+        if a != b:
+            out.setdefault(a, {})[b] = rnd.choice([0, 0, 1, 1, 2, 3, 20])
+    for a in range(100, 124):  # a chain longer than several rounds, with a heavy short cut
+        out.setdefault(a, {})[a + 1] = 1
+    out[100][124] = 30
+    starts, goals = [], []
+    for q in range(60):
+        starts += [(q, rnd.choice([3, 5, rnd.randrange(70)]), rnd.randrange(4)) for _ in range(rnd.randint(1, 3))]
+        goals += [(q, rnd.randrange(75), rnd.randrange(4)) for _ in range(rnd.randint(1, 3))]
+    starts += [(60, 100, 0), (61, 100, 0), (62, 7, 1), (63, 200, 0)]
+    goals += [(60, 124, 0), (61, 101, 5), (62, 7, 2), (64, 3, 0)]
+    edges = spark.createDataFrame([(a, b, w) for a, m in out.items() for b, w in m.items()], "src long, dst long, w long")
+    want = {}
+    for q, v, c in starts:
+        d = lengths(out, v)
+        for p, g, k in goals:
+            if p == q and g in d:
+                want[q] = min(want.get(q, 10**9), c + d[g] + k)
+    cost = lambda rows, q, v: min(c for p, u, c in rows if (p, u) == (q, v))
+    got = graph.shortest_paths(edges, _ends(spark, starts), _ends(spark, goals)).collect()
+    assert {r["query"]: r.dist for r in got} == want and len(got) == len(want)
+    for r in got:
+        walked = sum(out[a][b] for a, b in zip(r.path, r.path[1:]))
+        assert r.path[-1] == r.goal and r.dist == cost(starts, r["query"], r.path[0]) + walked + cost(goals, r["query"], r.goal)
+    bare = graph.shortest_paths(edges, _ends(spark, starts), _ends(spark, goals), paths=False)
+    assert {r["query"]: r.dist for r in bare.collect()} == want and bare.columns == ["query", "dist", "goal"]
+
+
+def test_paths_of_no_queries(spark):
+    edges = spark.createDataFrame([(1, 2, 1)], "src long, dst long, w long")
+    assert graph.shortest_paths(edges, _ends(spark, []), _ends(spark, [])).collect() == []

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import drop_table, materialize
 
 #: Edges by which a round of a path search extends its frontier.
-HOPS = 4
+HOPS = 6
+
+#: A graph of at most so many edges and vertices is broadcast to the searches; they then need one shuffle a round.
+LOCAL_WAYS = 1_000_000
 
 
 def undirected(segments: DataFrame, src: str = "src", dst: str = "dst", weight: str = "w", missing: float = 1.0) -> DataFrame:
@@ -55,37 +60,82 @@ def largest_component(members: DataFrame) -> DataFrame:
     return members.join(F.broadcast(top), "component", "left_semi")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int | None = None, paths: bool = True) -> DataFrame:
     """(query, dist, path, goal) of the lightest path of each query from any of its starts to any of its goals.
 
-    edges: (src, dst, w); starts and goals: (query, vertex, cost), the cost of the connector to the graph;
-    they are read in each round, so they should be tables. Frontiers of all queries are relaxed together:
-    a round extends the vertices that got better in the last one by HOPS edges, drops ways no better than
-    the goal's best so far, and keeps the lightest way to each vertex (of equal ones the first found, then
-    the one of the least path), until no vertex improves, whatever the number of hops (weights are not
-    negative). Paths are carried along as arrays; each round is written to the shared folder. Queries
+    edges: (src, dst, w), weights not negative; starts and goals: (query, vertex, cost), the cost of the
+    connector to the graph; they are read in each round, so they should be tables. Queries that start at
+    one vertex share its search, so there are never more searches than vertices, and all of them are
+    relaxed together: a round extends the vertices that got better in the last one by HOPS edges, drops
+    ways no better than what any query of the search still needs, and writes only vertices that got
+    better, whatever the number of hops. A vertex holds its weight, its number of hops (of equal ways the
+    one of fewer hops, then the old one) and the stretch from the vertex that its round began at; paths
+    are put together from stretches at the end, or not at all (paths=False: no column path). Queries
     without a path are missing. max_hops: more hops than that are an error.
     """
-    lightest = F.min(F.struct("dist", "fresh", "path")).alias("s")
-    best = starts.select("query", "vertex", F.col("cost").alias("dist"), F.lit(True).alias("fresh"), F.array("vertex").alias("path"))
-    best = materialize(best.groupBy("query", "vertex").agg(lightest).select("query", "vertex", "s.*"), "paths")
-    ends = goals.groupBy("query", "vertex").agg(F.min("cost").alias("cost"))
-    while not best.where("fresh").isEmpty():
-        if max_hops is not None and not best.where(F.col("fresh") & (F.size("path") > max_hops + 1)).isEmpty():
-            raise RuntimeError("shortest_paths did not settle")
-        bound = best.join(ends, ["query", "vertex"]).groupBy("query").agg(F.min(F.col("dist") + F.col("cost")).alias("bound"))
-        # of equal ways the old one stays: false comes before true
-        merged, step = best.withColumn("fresh", F.lit(False)), best.where("fresh").join(bound, "query", "left")
+    key, state = ["source", "vertex"], ["dist", "hops", "new", "fresh", "anchor", "stretch"]
+    lightest = F.min(F.struct(*state)).alias("s")
+    first = starts.groupBy("query", F.col("vertex").alias("source")).agg(F.min("cost").alias("first"))
+    ends = goals.groupBy("query", F.col("vertex").alias("goal")).agg(F.min("cost").alias("last"))
+    asked = materialize(first.join(ends, "query").withColumn("least", F.min("last").over(Window.partitionBy("query"))), "asked")
+    begin = asked.select("source").distinct().select("source", F.col("source").alias("vertex"), F.lit(0).cast(edges.schema["w"].dataType).alias("dist"), F.lit(0).alias("hops"))
+    begin = begin.select("*", F.lit(True).alias("new"), F.lit(True).alias("fresh"), F.col("source").alias("anchor"), F.slice(F.array("source"), 1, 0).alias("stretch"))
+    written = [materialize(begin, "paths")]
+
+    def reached() -> DataFrame:
+        known = reduce(DataFrame.unionAll, written).select("source", F.col("vertex").alias("goal"), "dist")
+        return asked.join(known, ["source", "goal"]).withColumn("dist", F.col("dist") + F.col("first") + F.col("last"))
+
+    # a loop at each vertex keeps what was reached while the rest is extended
+    ways = edges.select("src", "dst", "w", F.lit(False).alias("loop"))
+    ways = ways.unionAll(edges.select("src").union(edges.select("dst")).union(asked.select("source")).distinct().select("src", F.col("src").alias("dst"), F.lit(0).cast(edges.schema["w"].dataType).alias("w"), F.lit(True).alias("loop")))
+    ways = materialize(ways, "ways")
+    small = ways.limit(LOCAL_WAYS + 1).count() <= LOCAL_WAYS
+    kept = F.col("loop")
+    while not written[-1].where("fresh").isEmpty():
+        best = reached().groupBy("query").agg(F.min("dist").alias("best"))
+        need = asked.join(best, "query", "left").groupBy("source").agg(F.when(F.count("*") == F.count("best"), F.max(F.col("best") - F.col("first") - F.col("least"))).alias("bound"))
+        step = reduce(DataFrame.unionAll, [*(x.withColumn("fresh", F.lit(False)) for x in written[:-1]), written[-1]]).withColumn("new", F.lit(False))
+        step = step.join(need, "source").withColumn("fresh", F.col("fresh") & (F.col("bound").isNull() | (F.col("dist") < F.col("bound"))))
+        # the searches of a small graph stay where they are for all hops of a round
+        step = step.repartition("source") if small else step
+        step = step.withColumn("going", F.max("fresh").over(Window.partitionBy("source"))).where("going")
         for hop in range(HOPS):
-            step = step.join(edges, F.col("vertex") == F.col("src")).where("bound IS NULL OR dist + w < bound")
-            # only the last hop's vertices have ways out that this round doesn't try
-            step = step.select("query", F.col("dst").alias("vertex"), "bound", (F.col("dist") + F.col("w")).alias("dist"), F.lit(hop == HOPS - 1).alias("fresh"), F.concat("path", F.array("dst")).alias("path"))
-            step = step.groupBy("query", "vertex").agg(lightest, F.first("bound").alias("bound")).select("query", "vertex", "bound", "s.*")
-            merged = merged.unionByName(step.drop("bound"))
-        before, best = best, materialize(merged.groupBy("query", "vertex").agg(lightest).select("query", "vertex", "s.*"), "paths")
-        drop_table(before)
-    done = best.join(ends, ["query", "vertex"]).select("query", F.struct((F.col("dist") + F.col("cost")).alias("dist"), "path", F.col("vertex").alias("goal")).alias("s"))
-    return done.groupBy("query").agg(F.min("s").alias("s")).select("query", "s.dist", "s.path", "s.goal")
+            # whatever a hop made better goes on; of a round's ways only those that its last hop made remain fresh
+            step = step.join(F.broadcast(ways) if small else ways, (F.col("vertex") == F.col("src")) & (kept | F.col("fresh"))).where("loop OR bound IS NULL OR dist + w < bound")
+            anchor, stretch = (F.col("anchor"), F.concat("stretch", F.array("dst"))) if hop else (F.col("vertex"), F.array("dst"))
+            step = step.select(
+                "source", F.col("dst").alias("vertex"), "bound", (F.col("dist") + F.col("w")).alias("dist"), F.when(kept, F.col("hops")).otherwise(F.col("hops") + 1).alias("hops"), (~kept | F.col("new")).alias("new"), (~kept).alias("fresh"),
+                F.when(kept, F.col("anchor")).otherwise(anchor).alias("anchor"), F.when(kept, F.col("stretch")).otherwise(stretch).alias("stretch"),
+            )
+            step = step.groupBy(*key).agg(lightest, F.first("bound").alias("bound")).select(*key, "bound", "s.*")
+        written.append(materialize(step.where("new").select(*key, *state), "paths"))
+        if max_hops is not None and not written[-1].where(F.col("hops") > max_hops).isEmpty():
+            raise RuntimeError("shortest_paths did not settle")
+    done = materialize(reached().groupBy("query").agg(F.min(F.struct("dist", "source", "goal")).alias("s")).select("query", "s.*"), "reached")
+    if paths:
+        tree = materialize(reduce(DataFrame.unionAll, written).groupBy(*key).agg(lightest).select(*key, "s.anchor", "s.stretch"), "tree")
+    for old in (asked, ways, *written):
+        drop_table(old)
+    if not paths:
+        return done.select("query", "dist", "goal")
+    return done.join(_walked(tree, done.select("source", "goal").distinct()), ["source", "goal"]).select("query", "dist", "path", "goal")
+
+
+def _walked(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(source, goal, path) of the wanted (source, goal), put together backwards from the stretches of the tree (source, vertex, anchor, stretch)."""
+    back = tree.withColumnsRenamed({"vertex": "at", "anchor": "before", "stretch": "part"})
+    left = wanted.select("source", "goal", F.col("goal").alias("at"), F.slice(F.array("goal"), 1, 0).alias("path"))
+    done = None
+    while True:
+        for _ in range(HOPS):
+            left = left.join(back, ["source", "at"]).select("source", "goal", F.col("before").alias("at"), F.concat("part", "path").alias("path"))
+        left = materialize(left, "walked")
+        ended = left.where("at = source").select("source", "goal", F.concat(F.array("source"), "path").alias("path"))
+        done = ended if done is None else done.unionAll(ended)
+        left = left.where("at <> source")
+        if left.isEmpty():
+            return done
 
 
 def nearest_per_component(candidates: DataFrame, members: DataFrame) -> DataFrame:

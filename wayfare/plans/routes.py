@@ -82,12 +82,12 @@ def connectors(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     return graph.nearest_per_component(near, graph.components(edges)).withColumnRenamed("query", "airport")
 
 
-def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _search(spark: SparkSession, d: str, paths: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     edges = materialize(graph.undirected(segments(spark, d), missing=100), "edges")
     near = materialize(connectors(spark, d, edges), "connectors").select("airport", "vertex", "cost")
     asked = requests(spark, d).where("region <> 'nowhere'")
     starts, goals = (materialize(asked.join(near, F.col(c) == F.col("airport")).select("query", "vertex", "cost"), c) for c in ("origin", "goal"))
-    return edges, starts, goals, graph.shortest_paths(edges, starts, goals)
+    return edges, starts, goals, graph.shortest_paths(edges, starts, goals, paths=paths)
 
 
 @query(sql(f"WITH {_SQL}, {_COMPONENTS} SELECT airport, vertex, cost FROM conn", recursive=True))
@@ -99,7 +99,7 @@ def airport_connectors(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(f"WITH {_SQL}, {_COMPONENTS}, {_PATHS} SELECT query, hundredths / 100e0 AS nm, hundredths / 100e0 AS walked_nm FROM found", recursive=True))
 def shortest_path_batch(spark: SparkSession, d: str) -> DataFrame:
     """The lightest airway path of each request, and the length of walking it from point to point, connectors included."""
-    edges, starts, goals, found = _search(spark, d)
+    edges, starts, goals, found = _search(spark, d, True)
     found = materialize(found, "found")
     step = found.select("query", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("src"), F.slice("path", 2, F.size("path")).alias("dst"))).alias("s")).select("query", "s.*")
     walked = step.join(edges, ["src", "dst"]).groupBy("query").agg(F.sum("w").alias("walked"))
@@ -116,7 +116,7 @@ SELECT query, CASE WHEN hundredths IS NULL THEN 'great_circle_fallback' ELSE 'ai
   CASE WHEN hundredths IS NOT NULL THEN NULL WHEN alat IS NULL OR blat IS NULL THEN 'airport_not_found' WHEN region = 'nowhere' THEN 'airway_graph_empty' WHEN NOT linked THEN 'no_connector_points' ELSE 'airway_path_not_found' END AS fallback_reason FROM j""", recursive=True))
 def route_with_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Airway route of each request, or the great circle with the reason for it; an unknown airport has no length."""
-    _, starts, goals, found = _search(spark, d)
+    _, starts, goals, found = _search(spark, d, False)
     a = airports(spark, d)
     j = requests(spark, d).join(a.toDF("origin", "alat", "alon"), "origin", "left").join(a.toDF("goal", "blat", "blon"), "goal", "left")
     j = j.join(found.select("query", "dist"), "query", "left")
@@ -158,7 +158,7 @@ def route_single_connector(spark: SparkSession, d: str) -> DataFrame:
     near = materialize(ring_connectors(spark, d, edges), "connectors")
     asked = requests(spark, d)
     starts, goals = (materialize(asked.join(near, F.col(c) == F.col("airport")).select("query", "vertex", F.lit(0).cast("long").alias("cost")), c) for c in ("origin", "goal"))
-    found = graph.shortest_paths(edges, starts, goals).select("query", F.col("dist").alias("hundredths"))
+    found = graph.shortest_paths(edges, starts, goals, paths=False).select("query", F.col("dist").alias("hundredths"))
     ends = starts.select("query").join(goals.select("query"), "query").withColumn("both", F.lit(True))
     j = asked.select("query").join(ends, "query", "left").join(found, "query", "left")
     return j.select("query", "hundredths", F.when(F.col("both").isNull(), "airgraph connector missing").when(F.col("hundredths").isNull(), "airgraph path missing").alias("warning"))
