@@ -116,11 +116,25 @@ def knn_exact(points: DataFrame, places: DataFrame, key: str, place_key: str, k:
 
 
 def route_places(samples: DataFrame, places: DataFrame, key: str, place_key: str, metres: float, degrees: float = 5.0) -> DataFrame:
-    """(key, place_key) of the places within so many metres of any sampled point of a route, among those in the 5 x 5 cells around it."""
+    """(key, place_key) of the places within so many metres of any sampled point of a route, among those in the 5 x 5 cells around it.
+
+    A sample meets only those of the cells that its radius reaches.
+    """
     s = samples.select(key, "lat", "lon").distinct()
     span = F.sequence(F.lit(-2), F.lit(2))
+    reach = metres / geo.EARTH_M * 1.001
+
+    def gap(at: Column, number: Column, least: float) -> Column:
+        """Degrees from a coordinate to a row or column of cells."""
+        low = number * degrees + least
+        return F.greatest(F.lit(0.0), low - at, at - low - degrees)
+
     s = s.withColumn("__row", F.explode(F.transform(span, lambda x: geo.cell_row(F.col("lat"), degrees) + x)))
+    s = s.where(F.radians(gap(F.col("lat"), F.col("__row"), -90.0)) <= reach)
     s = s.withColumn("__col", F.explode(F.transform(span, lambda x: geo.cell_col(F.col("lon"), degrees) + x)))
+    # the nearest point of a meridian that lies so many degrees off
+    aside = F.least(F.lit(90.0), gap(F.col("lon"), F.col("__col"), -180.0))
+    s = s.where(F.asin(F.sin(F.radians(aside)) * F.cos(F.radians("lat"))) <= reach)
     p = places.withColumn("__row", geo.cell_row(F.col("plat"), degrees)).withColumn("__col", geo.cell_col(F.col("plon"), degrees))
     near = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= metres
     return s.join(p, ["__row", "__col"]).where(near).select(key, place_key).distinct()
