@@ -23,7 +23,7 @@ def journal_lines(spark: SparkSession, d: str) -> DataFrame:
     return docs.journal(e).select("journey", F.md5("lines").alias("digest"), "n")
 
 
-@query(sql("""WITH b AS (SELECT source_id, uid // 1000 AS block, count(*) AS n, sha256(string_agg(ident || ':' || CAST(size AS VARCHAR), '|' ORDER BY ident)) AS d FROM nav_points GROUP BY 1, 2)
+@query(sql("""WITH b AS (SELECT source_id, uid // 1000 AS block, count(*) AS n, sha256(string_agg(ident || ':' || CAST(size AS VARCHAR), '|' ORDER BY ident, CAST(size AS VARCHAR))) AS d FROM nav_points GROUP BY 1, 2)
 SELECT source_id, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '|' ORDER BY block)) AS signature FROM b GROUP BY 1""", "nav_points"))
 def content_signature(spark: SparkSession, d: str) -> DataFrame:
     """A signature of each source's files: that of the signatures of blocks of sorted names and sizes."""
