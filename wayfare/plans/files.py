@@ -176,11 +176,12 @@ def built_source(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- fixed columns, pipes, navigation data --------------------------------------------------------------
 
-_CODE = "chr(CAST(65 + {0} // 10000 % 26 AS INT)) || lpad(CAST({0} % 10000 AS VARCHAR), 4, '0')"
+_CODE = "chr(CAST(65 + {0} // 1679616 % 26 AS INT)) || to_base({0} % 1679616, 36, 4)"
 
 
 def _code(k: Column) -> Column:
-    return F.concat(F.char((65 + F.floor(k / 10000) % 26).cast("int")), F.lpad((k % 10000).cast("string"), 4, "0"))
+    """A point's ident in a field of five columns: a letter and four digits to base 36, so that 43 million points have idents of their own."""
+    return F.concat(F.char((65 + F.floor(k / 1_679_616) % 26).cast("int")), F.lpad(F.conv((k % 1_679_616).cast("string"), 10, 36), 4, "0"))
 
 
 @query(sql(f"WITH {_PLACES} SELECT {_CODE.format('point')} AS ident, floor(lat * 1e6 + 0.5e0) / 1e6 AS lat, floor(lon * 1e6 + 0.5e0) / 1e6 AS lon, upper(p_name) AS name FROM pl JOIN part ON p_partkey = point"))
@@ -195,23 +196,23 @@ def fixed_width_points(spark: SparkSession, d: str) -> DataFrame:
     return t.points.select("ident", geo.quantise(F.col("lat"), 6).alias("lat"), geo.quantise(F.col("lon"), 6).alias("lon"), "name")
 
 
-@query(sql(f"WITH {_PLACES} SELECT 'P' || lpad(CAST(point AS VARCHAR), 6, '0') AS ident, floor(lat * 1e6 + 0.5e0) / 1e6 AS lat, CASE WHEN point % 3 = 0 THEN 'NAVAID' ELSE 'FIX' END AS kind FROM pl"))
+@query(sql(f"WITH {_PLACES} SELECT ident, floor(lat * 1e6 + 0.5e0) / 1e6 AS lat, CASE WHEN point % 3 = 0 THEN 'NAVAID' ELSE 'FIX' END AS kind FROM pl"))
 def piped_points(spark: SparkSession, d: str) -> DataFrame:
     """Points through pipe-delimited records with comments."""
     k = F.col("p_partkey")
     lat, lon = _place(k)
-    line = F.concat_ws("|", F.when(k % 3 == 0, "NAVAID").otherwise("FIX"), F.concat(F.lit("P"), F.lpad(k.cast("string"), 6, "0")), "p_name", F.concat(lat, F.lit(" "), lon), F.lit("XX"), F.lit("F"))
+    line = F.concat_ws("|", F.when(k % 3 == 0, "NAVAID").otherwise("FIX"), _ident(k), "p_name", F.concat(lat, F.lit(" "), lon), F.lit("XX"), F.lit("F"))
     lines = D.table(spark, d, "part").select(k.alias("ord"), F.when(k % 50 == 0, F.concat(line, F.lit(" "))).otherwise(line).alias("line"))
     t = fixed_width.piped(lines.unionByName(spark.createDataFrame([(-1, "# points")], "ord long, line string")), "fixture")
     return t.points.select("ident", geo.quantise(F.col("lat"), 6).alias("lat"), F.col("point_type").alias("kind"))
 
 
-@query(sql("SELECT 'X' || lpad(CAST(uid AS VARCHAR), 5, '0') AS ident, 'R' || CAST(uid % 7 AS VARCHAR) AS region, floor(lat * 100 + 0.5e0) / 100e0 AS lat, floor(lon * 100 + 0.5e0) / 100e0 AS lon, 'SIGNIFICANT_POINT' AS kind FROM nav_points WHERE uid % 4 <> 0 UNION ALL SELECT 'X' || lpad(CAST(uid AS VARCHAR), 5, '0'), 'R' || CAST(uid % 7 AS VARCHAR), floor(lat * 100 + 0.5e0) / 100e0, floor(lon * 100 + 0.5e0) / 100e0, CASE uid % 3 WHEN 0 THEN 'NDB' WHEN 1 THEN 'VOR' ELSE 'DME' END FROM nav_points WHERE uid % 4 = 0", "nav_points"))
+@query(sql("SELECT 'X' || lpad(CAST(uid AS VARCHAR), CAST(greatest(5, length(CAST(uid AS VARCHAR))) AS INT), '0') AS ident, 'R' || CAST(uid % 7 AS VARCHAR) AS region, floor(lat * 100 + 0.5e0) / 100e0 AS lat, floor(lon * 100 + 0.5e0) / 100e0 AS lon, 'SIGNIFICANT_POINT' AS kind FROM nav_points WHERE uid % 4 <> 0 UNION ALL SELECT 'X' || lpad(CAST(uid AS VARCHAR), CAST(greatest(5, length(CAST(uid AS VARCHAR))) AS INT), '0'), 'R' || CAST(uid % 7 AS VARCHAR), floor(lat * 100 + 0.5e0) / 100e0, floor(lon * 100 + 0.5e0) / 100e0, CASE uid % 3 WHEN 0 THEN 'NDB' WHEN 1 THEN 'VOR' ELSE 'DME' END FROM nav_points WHERE uid % 4 = 0", "nav_points"))
 def navdata_points(spark: SparkSession, d: str) -> DataFrame:
     """Fixes and navaids through simulator files, merged by ident and region."""
     path = scratch(spark, "navdata")
     u = F.col("uid")
-    p = D.nav_points(spark, d).select("uid", "lat", "lon", F.concat(F.lit("X"), F.lpad(u.cast("string"), 5, "0")).alias("ident"), F.concat(F.lit("R"), (u % 7).cast("string")).alias("region"))
+    p = D.nav_points(spark, d).select("uid", "lat", "lon", F.concat(F.lit("X"), F.lpad(u.cast("string"), F.greatest(F.lit(5), F.length(u.cast("string"))), F.lit("0"))).alias("ident"), F.concat(F.lit("R"), (u % 7).cast("string")).alias("region"))
     p.where("uid % 4 <> 0").select(F.format_string(" %.2f  %.2f %s ENRT %s", "lat", "lon", "ident", "region").alias("value")).write.text(f"{path}/fix")
     code = F.when(u % 3 == 0, 2).when(u % 3 == 1, 3).otherwise(12)
     p.where("uid % 4 = 0").select(F.format_string("%d %.2f %.2f 0 11000 100 0 %s ENRT %s", code, F.col("lat"), F.col("lon"), F.col("ident"), F.col("region")).alias("value")).write.text(f"{path}/nav")
