@@ -145,10 +145,13 @@ def lifetime_summary(spark: SparkSession, d: str) -> DataFrame:
     return j.agg(F.count("*").alias("journeys"), F.sum("n_points").alias("points"), geo.quantise(F.sum("length_m"), 0).alias("length_m"), modes.alias("modes"), F.array_join(F.array_sort(F.collect_set("country")), ",").alias("countries"))
 
 
-@query(sql(f"WITH {_SUMMARY} SELECT year, journey // 1000 AS block, count(*) AS journeys, string_agg(CAST(journey AS VARCHAR), ',' ORDER BY journey) AS ids, {q('sum(length_m)', 0)} AS length_m FROM c GROUP BY 1, 2", "steps", "nations"))
+@query(sql(f"WITH {_SUMMARY} SELECT year, count(*) AS journeys, string_agg(CAST(journey AS VARCHAR), ',' ORDER BY journey) AS ids, {q('CAST(sum(CAST(floor(length_m * 10 + 0.5e0) AS BIGINT)) AS DOUBLE) / 10e0', 0)} AS length_m FROM c GROUP BY year", "steps", "nations"))
 def time_machine(spark: SparkSession, d: str) -> DataFrame:
-    """Journeys of each year, listed in blocks of a thousand numbers, so that no row grows with the table."""
-    return journey_table(spark, d).groupBy("year", F.floor(F.col("journey") / 1000).alias("block")).agg(F.count("*").alias("journeys"), F.array_join(F.array_sort(F.collect_list("journey")).cast("array<string>"), ",").alias("ids"), geo.quantise(F.sum("length_m"), 0).alias("length_m"))
+    """Journeys of each year, listed by blocks of a thousand numbers first; lengths are added up in whole tenths of a metre."""
+    tenths = F.floor(F.col("length_m") * 10 + 0.5)
+    blocks = journey_table(spark, d).groupBy("year", F.floor(F.col("journey") / 1000).alias("block")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("journey")).cast("array<string>"), ",").alias("ids"), F.sum(tenths).alias("tenths"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "ids"))), lambda s: s.ids), ",")
+    return blocks.groupBy("year").agg(F.sum("n").alias("journeys"), ids.alias("ids"), geo.quantise(F.sum("tenths") / 10, 0).alias("length_m"))
 
 
 _REGION = "CASE " + " ".join(f"WHEN lat BETWEEN {s} AND {n} AND lon BETWEEN {w} AND {e} THEN '{r}'" for r, s, n, w, e in geo.REGION_BOXES) + " ELSE 'world' END"
