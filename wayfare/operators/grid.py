@@ -11,12 +11,19 @@ from ..functions import geo
 from .tables import materialize
 
 
+def _met(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a join b by cells, in all shuffle partitions and without a broadcast: small files become many pairs, so their sizes say nothing."""
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.repartition(n, *keys).join(b.repartition(n, *keys).hint("merge"), keys, how)
+
+
 def distance_join(left: DataFrame, right: DataFrame, nm: float, lat: str = "lat", lon: str = "lon", how: str = "inner") -> DataFrame:
     """Pairs of rows within nm nautical miles, with dist_nm; or the rows of left with a partner (how='left_semi').
 
     Columns of right other than its coordinates must not clash with left's. Both sides get cells of a
     height just over the radius; the right side is put in its own and the neighbouring ones. Columns of
     cells wrap around the antimeridian and widen with latitude, up to a single one at the poles.
+    Neither side is broadcast, since a small file may become many rows of cells.
     """
     height = nm / 60.0 * 1.0005 + 1e-9
 
@@ -39,31 +46,40 @@ def distance_join(left: DataFrame, right: DataFrame, nm: float, lat: str = "lat"
     if how == "left_semi":
         m, o = mine.alias("m"), other.alias("o")
         on = (F.col("m.__row") == F.col("o.__row")) & (F.col("m.__col") == F.col("o.__col")) & (geo.haversine_nm(F.col(f"m.{lat}"), F.col(f"m.{lon}"), F.col("o.__lat"), F.col("o.__lon")) <= nm)
-        return m.join(o, on, "left_semi").drop("__row", "__col")
-    joined = mine.join(other, ["__row", "__col"]).withColumn("dist_nm", d).where(F.col("dist_nm") <= nm)
+        return m.join(o.hint("merge"), on, "left_semi").drop("__row", "__col")
+    joined = _met(mine, other, ["__row", "__col"]).withColumn("dist_nm", d).where(F.col("dist_nm") <= nm)
     return joined.drop("__row", "__col", "__lat", "__lon")
 
 
-def cell_size(places: DataFrame, k: int) -> float:
-    """Height in degrees of cells that hold about k places on average over the box of all places, a whole part of 180."""
+def cell_size(places: DataFrame, k: int, metres: float = 0.0) -> float:
+    """Height in degrees of cells that hold about k places on average over the box of all places and are at least so many metres high, a whole part of 180."""
     box = places.agg(F.count("*").alias("n"), F.min("plat").alias("s"), F.max("plat").alias("n_"), F.min("plon").alias("w"), F.max("plon").alias("e")).first()
     area = max((box.n_ or 0) - (box.s or 0), 1.0) * max((box.e or 0) - (box.w or 0), 1.0)
-    rows = math.ceil(180.0 / min(15.0, max(0.02, math.sqrt(k * area / max(box.n, 1)))))
+    rows = math.ceil(180.0 / min(15.0, max(0.02, math.degrees(metres / geo.EARTH_M), math.sqrt(k * area / max(box.n, 1)))))
     while 180.0 / (180.0 / rows) != rows or 360.0 / (180.0 / rows) != 2 * rows:  # the cells' numbers must come out whole
         rows += 1
     return 180.0 / rows
 
 
-def _in_rings(points: DataFrame, places: DataFrame, within: list[str], degrees: float, rings: int) -> DataFrame:
-    """Pairs of points and places (plat, plon) whose cells are at most so many rings apart, with dist_m; within: columns that both share and that must agree."""
+def _in_rings(points: DataFrame, places: DataFrame, within: list[str], degrees: float, rings: int, spread: str) -> DataFrame:
+    """Pairs of points and places (plat, plon) whose cells are at most so many rings apart, with dist_m; within: columns that both share and that must agree.
+
+    spread: the side ('points' or 'places') that is put in all cells around its own. It is many rows of
+    a file that may be small, so it is never broadcast.
+    """
     rows, cols = round(180 / degrees), round(360 / degrees)
-    p = points.withColumn("__r", geo.cell_row(F.col("lat"), degrees)).withColumn("__c", geo.cell_col(F.col("lon"), degrees))
     span = F.sequence(F.lit(-rings), F.lit(rings))
-    p = p.withColumn("__row", F.explode(F.transform(span, lambda x: F.col("__r") + x))).where(f"__row BETWEEN 0 AND {rows - 1}")
-    p = p.withColumn("__col", F.explode(F.array_distinct(F.transform(span, lambda x: F.pmod(F.col("__c") + x, F.lit(cols))))))
-    q = places.withColumn("__row", geo.cell_row(F.col("plat"), degrees)).withColumn("__col", geo.cell_col(F.col("plon"), degrees))
+
+    def celled(df: DataFrame, lat: str, lon: str, around: bool) -> DataFrame:
+        row, col = geo.cell_row(F.col(lat), degrees), geo.cell_col(F.col(lon), degrees)
+        if not around:
+            return df.withColumn("__row", row).withColumn("__col", col)
+        df = df.withColumn("__row", F.explode(F.transform(span, lambda x: row + x))).where(f"__row BETWEEN 0 AND {rows - 1}")
+        return df.withColumn("__col", F.explode(F.array_distinct(F.transform(span, lambda x: F.pmod(col + x, F.lit(cols))))))
+
+    p, q = celled(points, "lat", "lon", spread == "points"), celled(places, "plat", "plon", spread == "places")
     d = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    return p.join(q, [*within, "__row", "__col"]).withColumn("dist_m", d).drop("__r", "__c", "__row", "__col")
+    return _met(p, q, [*within, "__row", "__col"]).withColumn("dist_m", d).drop("__row", "__col")
 
 
 def _by_rings(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, score: Column, slack: float, within: list[str], degrees: float | None) -> DataFrame:
@@ -72,15 +88,19 @@ def _by_rings(points: DataFrame, places: DataFrame, key: str, place_key: str, k:
     A score must be at least the distance less slack. A ring of r cells around a point reaches r *
     degrees in latitude at least, and in longitude so many metres as that spans at the farthest latitude
     of the ring; points whose k-th score is not below what the ring proves go on to a larger one, so few
-    are left after the first rounds. Each round is written to the shared folder.
+    are left after the first rounds. Cells are at least as high as the slack, or no first ring would
+    prove anything. The side of fewer rows is put in all cells of a ring: the pairs of a point are then
+    mostly in one task, which passes on k of them. Each round is written to the shared folder.
     """
-    degrees = degrees or (5.0 if within else cell_size(places, k))
+    places = materialize(places, "places")
+    degrees = degrees or (5.0 if within else cell_size(places, k, slack))
     left, done, rings, most = points, None, 1, round(360 / degrees)
+    n_places, n_left = places.count(), points.count()
     metre = math.pi / 180 * geo.EARTH_M
     while True:
         last_round = 2 * rings + 1 >= most
         w = Window.partitionBy(key).orderBy("score", place_key)
-        found = _in_rings(left, places, within, degrees, rings).withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found = _in_rings(left, places, within, degrees, rings, "points" if n_left < n_places else "places").withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         edge = F.least(F.lit(90.0), F.abs(F.col("lat")) + (rings + 1) * degrees)
         proof = F.lit(rings * degrees * metre) * F.cos(F.radians(edge)) * 0.99 - slack
         whole = Window.partitionBy(key)
@@ -91,8 +111,9 @@ def _by_rings(points: DataFrame, places: DataFrame, key: str, place_key: str, k:
         done = settled if done is None else done.unionByName(settled)
         if last_round:
             return done
-        left = materialize(left.join(settled.select(key).distinct(), key, "left_anti"), "left")
-        if left.isEmpty():
+        left = materialize(left.join(settled.select(key).distinct().hint("merge"), key, "left_anti"), "left")
+        n_left = left.count()
+        if not n_left:
             return done
         rings = min(rings * 3, most // 2)
 
@@ -104,6 +125,10 @@ def nearest_scored(points: DataFrame, places: DataFrame, key: str, place_key: st
     the distance less a bonus by kind and importance, so no bonus is above the sum of the largest two.
     """
     score = geo.quantise(geo.proximity_score(F.col("dist_m"), F.col("kind"), F.col("importance")), 2)
+    # of the places at one spot, those of clearly less bonus than n others are never named
+    spot, alone = Window.partitionBy("plat", "plon"), geo.proximity_score(F.lit(0.0), F.col("kind"), F.col("importance"))
+    places = places.withColumn("__alone", alone).withColumn("__nth", F.row_number().over(spot.orderBy("__alone")))
+    places = places.withColumn("__most", F.max(F.when(F.col("__nth") <= n, F.col("__alone"))).over(spot)).where("coalesce(__alone <= __most + 0.02, true)").drop("__alone", "__nth", "__most")
     found = _by_rings(points, places, key, place_key, n, score, geo.MOST_BONUS_M, [], degrees)
     b = geo.bearing(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     return found.withColumn("direction", geo.window_direction(F.col("heading"), b))
@@ -111,6 +136,9 @@ def nearest_scored(points: DataFrame, places: DataFrame, key: str, place_key: st
 
 def knn_exact(points: DataFrame, places: DataFrame, key: str, place_key: str, k: int, within: list[str] | None = None, degrees: float | None = None) -> DataFrame:
     """The k nearest places of each point: (key, place_key, dist_m, rank), among those that share the columns of within."""
+    # of the places at one spot, only the first k count
+    spot = Window.partitionBy(*(within or []), "plat", "plon").orderBy(place_key)
+    places = places.withColumn("__nth", F.row_number().over(spot)).where(F.col("__nth") <= k).drop("__nth")
     found = _by_rings(points, places, key, place_key, k, geo.quantise(F.col("dist_m"), 2), 0.0, within or [], degrees)
     return found.select(*(within or []), key, place_key, F.col("score").alias("dist_m"), "rank")
 
@@ -118,7 +146,8 @@ def knn_exact(points: DataFrame, places: DataFrame, key: str, place_key: str, k:
 def route_places(samples: DataFrame, places: DataFrame, key: str, place_key: str, metres: float, degrees: float = 5.0) -> DataFrame:
     """(key, place_key) of the places within so many metres of any sampled point of a route, among those in the 5 x 5 cells around it.
 
-    A sample meets only those of the cells that its radius reaches.
+    A sample meets only those of the cells that its radius reaches. A route's samples in reach of a cell
+    are one row, so samples should be few for each route; then a route and a place meet once.
     """
     s = samples.select(key, "lat", "lon").distinct()
     span = F.sequence(F.lit(-2), F.lit(2))
@@ -135,9 +164,33 @@ def route_places(samples: DataFrame, places: DataFrame, key: str, place_key: str
     # the nearest point of a meridian that lies so many degrees off
     aside = F.least(F.lit(90.0), gap(F.col("lon"), F.col("__col"), -180.0))
     s = s.where(F.asin(F.sin(F.radians(aside)) * F.cos(F.radians("lat"))) <= reach)
-    p = places.withColumn("__row", geo.cell_row(F.col("plat"), degrees)).withColumn("__col", geo.cell_col(F.col("plon"), degrees))
-    near = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= metres
-    return s.join(p, ["__row", "__col"]).where(near).select(key, place_key).distinct()
+    s = s.groupBy(key, "__row", "__col").agg(F.collect_list(F.struct("lat", "lon")).alias("__samples"))
+    # places at one spot go together, a hundred in a row at most
+    spots = places.withColumn("__nth", F.row_number().over(Window.partitionBy("plat", "plon").orderBy(place_key)))
+    spots = spots.groupBy("plat", "plon", F.floor(F.col("__nth") / 100)).agg(F.collect_list(place_key).alias("__keys")).select("plat", "plon", "__keys")
+    p = spots.withColumn("__row", geo.cell_row(F.col("plat"), degrees)).withColumn("__col", geo.cell_col(F.col("plon"), degrees))
+    near = F.exists("__samples", lambda x: geo.haversine_m(x.lat, x.lon, F.col("plat"), F.col("plon")) <= metres)
+    return _met(s, p, ["__row", "__col"]).where(near).select(key, F.explode("__keys").alias(place_key))
+
+
+def ring_nearest(points: DataFrame, places: DataFrame, key: str, place_key: str, measure: Column, degrees: float = 5.0, rings: int = 2) -> DataFrame:
+    """(key, place_key, ring, measure) of the place of least measure (ties by place key) in the first ring of plain cells that holds any.
+
+    Which ring that is follows from the cells alone, which are few; points meet only the places of its
+    cells, and of places at one spot only the first. Cells don't wrap.
+    """
+    cell = lambda lat, lon: (F.floor(F.col(lat) / degrees).alias("r"), F.floor(F.col(lon) / degrees).alias("c"))
+    p = points.select(key, "lat", "lon", *cell("lat", "lon"))
+    s = places.groupBy("plat", "plon").agg(F.min(place_key).alias(place_key)).select("*", *cell("plat", "plon"))
+    span = F.sequence(F.lit(-rings), F.lit(rings))
+    around = p.select("r", "c").distinct().withColumn("dr", F.explode(span)).withColumn("dc", F.explode(span))
+    around = around.select("r", "c", (F.col("r") + F.col("dr")).alias("pr"), (F.col("c") + F.col("dc")).alias("pc"), F.greatest(F.abs("dr"), F.abs("dc")).cast("bigint").alias("ring"))
+    held = around.join(s.select(F.col("r").alias("pr"), F.col("c").alias("pc")).distinct(), ["pr", "pc"])
+    first = held.withColumn("least", F.min("ring").over(Window.partitionBy("r", "c"))).where("ring = least").drop("least")
+    # at most 25 rows for each of the 2,592 cells of the globe
+    pairs = _met(p.join(F.broadcast(first), ["r", "c"]).drop("r", "c"), s.withColumnsRenamed({"r": "pr", "c": "pc"}), ["pr", "pc"])
+    best = pairs.groupBy(key).agg(F.min(F.struct(measure.alias("measure"), F.col(place_key), "ring")).alias("s"))
+    return best.select(key, f"s.{place_key}", "s.ring", "s.measure")
 
 
 def cells_of(features: DataFrame, feature_key: str, degrees: float = 5.0) -> DataFrame:

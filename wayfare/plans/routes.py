@@ -137,14 +137,9 @@ ring AS (SELECT airport, min_by(v, (ring, m, v)) AS vertex FROM (SELECT airport,
 
 def ring_connectors(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
     """(airport, vertex): the nearest point of the first ring of plain 5-degree cells, up to two rings, that holds any."""
-    span = F.sequence(F.lit(-2), F.lit(2))
-    a = airports(spark, d).withColumn("cell", geo.cell_open(F.col("lat"), F.col("lon"))).withColumn("dr", F.explode(span)).withColumn("dc", F.explode(span))
-    a = a.select("airport", "lat", "lon", (F.col("cell.row") + F.col("dr")).alias("r"), (F.col("cell.col") + F.col("dc")).alias("c"), F.greatest(F.abs("dr"), F.abs("dc")).alias("ring"))
-    p = points(spark, d).join(edges.select(F.col("src").alias("uid")).distinct(), "uid", "left_semi").withColumn("cell", geo.cell_open(F.col("lat"), F.col("lon")))
-    p = p.select(F.col("uid").alias("vertex"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.col("cell.row").alias("r"), F.col("cell.col").alias("c"))
+    p = points(spark, d).join(edges.select(F.col("src").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("vertex"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     m = _hundredths(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")))
-    best = a.join(p, ["r", "c"]).groupBy("airport").agg(F.min(F.struct("ring", m.alias("m"), "vertex")).alias("s"))
-    return best.select("airport", "s.vertex")
+    return grid.ring_nearest(airports(spark, d), p, "airport", "vertex", m).select("airport", "vertex")
 
 
 @query(sql(f"""WITH {_SQL}, {_COMPONENTS.split('near AS')[0].rstrip().rstrip(',')}, {_RING},

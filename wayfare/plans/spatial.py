@@ -52,13 +52,9 @@ x AS (SELECT ord, place, greatest(abs(pr - r), abs(pc - c)) AS ring, {q(D.hav_m(
 y AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY ring, m, place) AS n FROM x) SELECT ord, place, ring, m AS dist_m FROM y WHERE n = 1""", "points", "nav_points"))
 def ring_search_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The best place of the first ring of plain 5-degree cells that holds any, up to two rings; not always the nearest."""
-    p = D.points(spark, d).select("ord", "lat", "lon").withColumn("cell", geo.cell_open(F.col("lat"), F.col("lon")))
-    span = F.sequence(F.lit(-2), F.lit(2))
-    p = p.withColumn("dr", F.explode(span)).withColumn("dc", F.explode(span)).select("ord", "lat", "lon", (F.col("cell.row") + F.col("dr")).alias("r"), (F.col("cell.col") + F.col("dc")).alias("c"), F.greatest(F.abs("dr"), F.abs("dc")).cast("bigint").alias("ring"))
-    s = places(spark, d).withColumn("cell", geo.cell_open(F.col("plat"), F.col("plon"))).select("place", "plat", "plon", F.col("cell.row").alias("r"), F.col("cell.col").alias("c"))
     m = geo.quantise(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), 2)
-    best = p.join(s, ["r", "c"]).groupBy("ord").agg(F.min(F.struct("ring", m.alias("dist_m"), "place")).alias("s"))
-    return best.select("ord", "s.place", "s.ring", "s.dist_m")
+    best = grid.ring_nearest(D.points(spark, d).select("ord", "lat", "lon"), places(spark, d), "ord", "place", m)
+    return best.withColumnRenamed("measure", "dist_m")
 
 
 @query(sql(f"""WITH {_PLACES}, r AS (SELECT journey, lat, lon, row_number() OVER (PARTITION BY journey ORDER BY ts, ord) - 1 AS pos, count(*) OVER (PARTITION BY journey) AS n FROM points),
