@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wayfare import catalog
 from wayfare.functions import geo
 from wayfare.operators import grid
 
@@ -35,3 +36,8 @@ def test_places_at_one_spot(spark):
     for n in (1, 3):
         got = {(r.ord, r.rank): r.place for r in grid.nearest_scored(p, q, "ord", "place", n).collect()}
         assert got == {(o, i + 1): place for o, found in every.items() for i, (_, place) in enumerate(sorted(found)[:n])}
+
+
+def test_texts_in_many_tasks(spark):
+    df = catalog.QUERIES["coordinate_dialects"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

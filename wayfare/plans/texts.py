@@ -77,7 +77,8 @@ def _units(axis: int, parts: int | str) -> str:
 @query(" UNION ALL ".join(f"SELECT p_partkey, '{w}' AS way, CAST(i AS INT) AS pos, {q(f'(CASE WHEN i = 0 THEN 1 ELSE -1 END * {_units(90, v[3])}) / {v[3]}e0', 6)} AS lat, {q(f'{_units(180, v[3])} / {v[3]}e0', 6)} AS lon FROM part, (VALUES (0), (1)) t(i)" for w, v in _WAYS.items()))
 def coordinate_dialects(spark: SparkSession, d: str) -> DataFrame:
     """Two places a text, written in every way among levels, routes and distances, and found again."""
-    p = D.table(spark, d, "part")
+    # a small file is one task to the reader, and each of its rows becomes many long texts
+    p = D.table(spark, d, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     ways = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("way", "look", "front", "between", "parts"), (w, *v), strict=True))) for w, v in _WAYS.items()))
     rows = p.select("p_partkey", F.inline(ways)).withColumns({"lat": F.expr(_units(90, "parts")), "lon": F.expr(_units(180, "parts"))})
     rows = rows.withColumns({"n": _written(F.col("lat"), 2, "NS"), "s": _written(-F.col("lat"), 2, "NS"), "e": _written(F.col("lon"), 3, "EW")})
