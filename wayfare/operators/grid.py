@@ -146,8 +146,7 @@ def knn_exact(points: DataFrame, places: DataFrame, key: str, place_key: str, k:
 def route_places(samples: DataFrame, places: DataFrame, key: str, place_key: str, metres: float, degrees: float = 5.0) -> DataFrame:
     """(key, place_key) of the places within so many metres of any sampled point of a route, among those in the 5 x 5 cells around it.
 
-    A sample meets only those of the cells that its radius reaches. A route's samples in reach of a cell
-    are one row, so samples should be few for each route; then a route and a place meet once.
+    A sample meets only those of the cells that its radius reaches.
     """
     s = samples.select(key, "lat", "lon").distinct()
     span = F.sequence(F.lit(-2), F.lit(2))
@@ -164,13 +163,9 @@ def route_places(samples: DataFrame, places: DataFrame, key: str, place_key: str
     # the nearest point of a meridian that lies so many degrees off
     aside = F.least(F.lit(90.0), gap(F.col("lon"), F.col("__col"), -180.0))
     s = s.where(F.asin(F.sin(F.radians(aside)) * F.cos(F.radians("lat"))) <= reach)
-    s = s.groupBy(key, "__row", "__col").agg(F.collect_list(F.struct("lat", "lon")).alias("__samples"))
-    # places at one spot go together, a hundred in a row at most
-    spots = places.withColumn("__nth", F.row_number().over(Window.partitionBy("plat", "plon").orderBy(place_key)))
-    spots = spots.groupBy("plat", "plon", F.floor(F.col("__nth") / 100)).agg(F.collect_list(place_key).alias("__keys")).select("plat", "plon", "__keys")
-    p = spots.withColumn("__row", geo.cell_row(F.col("plat"), degrees)).withColumn("__col", geo.cell_col(F.col("plon"), degrees))
-    near = F.exists("__samples", lambda x: geo.haversine_m(x.lat, x.lon, F.col("plat"), F.col("plon")) <= metres)
-    return _met(s, p, ["__row", "__col"]).where(near).select(key, F.explode("__keys").alias(place_key))
+    p = places.withColumn("__row", geo.cell_row(F.col("plat"), degrees)).withColumn("__col", geo.cell_col(F.col("plon"), degrees))
+    near = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= metres
+    return _met(s, p, ["__row", "__col"]).where(near).select(key, place_key).distinct()
 
 
 def ring_nearest(points: DataFrame, places: DataFrame, key: str, place_key: str, measure: Column, degrees: float = 5.0, rings: int = 2) -> DataFrame:
