@@ -21,9 +21,10 @@ def lines(spark: SparkSession, path: str, pattern: str, encoding: str = "UTF-8",
     header's own shape.
     """
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("encoding", encoding).text(path)
-    rows = read.select(F.input_file_name().alias("file"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("v"))
+    alone = lambda x: F.explode(F.array(x))  # noqa: E731  worked out once: filters behind a projection would hold a copy for each time that they name it
+    rows = read.select(F.input_file_name().alias("file"), alone(F.trim(F.regexp_replace("value", r"\s+", " "))).alias("v"))
     head = F.col("v").rlike("^[IA]") if header_skip else F.col("v").rlike(r"^[IA]$|^\d+ [Vv]ersion")
-    return rows.where(~head & (F.col("v") != "") & (F.col("v") != "99")).select("file", F.split("v", " ").alias("p"))
+    return rows.where(~head & (F.col("v") != "") & (F.col("v") != "99")).select("file", alone(F.split("v", " ")).alias("p"))
 
 
 def header(spark: SparkSession, path: str) -> DataFrame:
