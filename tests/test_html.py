@@ -39,3 +39,14 @@ def test_many_rows(spark, monkeypatch):
     rows = html.table_rows(spark.createDataFrame([("d", text), ("e", None), ("f", "<table><tr><td>x</table>")], "document string, html string"), ["document"])
     got = rows.selectExpr("document", "row", "row_class", "cells[0] AS c").collect()
     assert [(r.row, r.c) for r in got] == [(i, str(i)) for i in range(45_001)] and {(r.document, r.row_class) for r in got} == {("d", "c")}
+
+
+def test_places_by_their_digits(spark):
+    from pyspark.sql import functions as F
+
+    from wayfare.functions import text
+
+    xs = ["001122N 0112233E", "895959S 1795959W", "900000N 1800000E", "900001S 1800001W", "990000N 1990000E", "001122n 0112233e", "001122N  0112233E", "001122N0112233E", "001122.5N 0112233.25W", "001122N 0112233E\n", " 001122N 0112233E", "0112233E 001122N", "001199N 0118899W", "1°2'3\"N 4°5'6\"W", "nil", "", None]
+    df = spark.createDataFrame([(x,) for x in xs], "x string").select("x", F.struct(*(c.alias(n) for n, c in zip(("lat", "lon"), text.coordinate_pair(F.col("x")), strict=True))).alias("want"), text.coordinate_place(F.col("x")).alias("got"))
+    for r in df.collect():
+        assert (r.got or (None, None)) == tuple(r.want), r.x
