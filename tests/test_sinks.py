@@ -62,3 +62,24 @@ def test_gpx_and_kml(spark):
     assert len(root.findall(".//g:trkpt", ns)) == 2 and root.find(".//g:metadata/g:name", ns).text == "A & <B>" and root.find(".//g:wpt/g:name", ns).text == "x>y"
     line = ET.fromstring(documents.kml(p, titles).first().kml).find(".//{http://www.opengis.net/kml/2.2}coordinates").text
     assert line == "121.00000,25.00000,40.0 121.10000,25.10000,0.0"
+
+
+def test_lines_of_files_keep_their_ids(spark, tmp_path):
+    """Several files a part, more lines than an Arrow batch holds, parts behind each other in a task."""
+    n = {"points": 25_000, "airways": 11}
+    lines = spark.createDataFrame([(p, i, json.dumps([str(i)] * packs.SHAPES[p])) for p, k in n.items() for i in range(k)], "part string, idx long, json string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a file for each range
+    try:
+        manifest = {r.part: (r.n, r.sha256) for r in packs.write_pack(lines.repartition(3), str(tmp_path / "pack")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(list((tmp_path / "pack" / "part=points").glob("*.gz"))) > 1
+    got = packs.read_pack(spark, str(tmp_path / "pack"))
+    assert {r.part: r["count"] for r in got.groupBy("part").count().collect()} == n
+    assert got.where("fields[0] <> idx").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("BroadcastExchange")[0]  # a place takes no sort of all lines
+    for p, k in n.items():
+        block = lambda i: hashlib.sha256("".join(hashlib.sha256(json.dumps([str(j)] * packs.SHAPES[p]).encode()).hexdigest() for j in range(i, min(i + 4096, k))).encode()).hexdigest()  # noqa: B023, E731
+        assert manifest[p] == (k, hashlib.sha256("".join(block(i) for i in range(0, k, 4096)).encode()).hexdigest())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import materialize
+from .tables import drop_table, materialize
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
@@ -76,15 +76,19 @@ def every_kth(df: DataFrame, keys: list[str], order: list[str], most: int) -> Da
 def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """Rows numbered from 0 in a total order, without gathering them in one task.
 
-    Rows are range-partitioned by the order; a partition's offset is the number of rows in those before.
-    The partitions are written down, since ranges are sampled anew each time that they are computed.
+    Rows are range-partitioned by the order and sorted; a row's number is its place in its partition and
+    the number of rows in those before. The partitions are written down with these places, since ranges
+    are sampled anew each time that they are computed; the rows are written before, so that sampling
+    doesn't compute them once more.
     """
-    spread = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    rows = materialize(df, "rows")
+    place = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
+    spread = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place), "ranges")
+    drop_table(rows)
+    spread = spread.withColumns({"__part": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND((1 << 33) - 1)})
     sizes = spread.groupBy("__part").count()
     before = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
-    within = Window.partitionBy("__part").orderBy(*order)
-    numbered = spread.withColumn("__rn", F.row_number().over(within))
-    return numbered.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__rn") - 1).drop("__part", "__before", "__rn")
+    return spread.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__place")).drop("__at", "__part", "__place", "__before")
 
 
 def fill_missing(target: DataFrame, sources: DataFrame, key: str, columns: list[str], priority: str = "priority") -> DataFrame:

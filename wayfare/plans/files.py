@@ -268,9 +268,10 @@ def pack_file(spark: SparkSession, d: str) -> DataFrame:
     sources = spark.createDataFrame([("src0", "public", True), ("src1", "public", True), ("src2", "private", True)], "source_id string, status string, bundle boolean")
     packs.write_pack(packs.pack_rows(_canonical(spark, d), sources, None), path)
     got = packs.read_pack(spark, path)
-    points = got.where("part = 'points'").select("part", "idx", F.lit(None).cast("long").alias("b"), F.col("fields")[0].alias("label"))
-    segments = got.where("part = 'segments'").select("part", F.col("fields")[0].cast("long"), F.col("fields")[1].cast("long"), F.lit(""))
-    return points.toDF("part", "a", "b", "label").union(segments)
+    # one pass over the lines for both parts
+    is_point, field = F.col("part") == "points", lambda i: F.col("fields")[i]
+    a, b = F.when(is_point, F.col("idx")).otherwise(field(0).cast("long")), F.when(~is_point, field(1).cast("long"))
+    return got.where("part IN ('points', 'segments')").select("part", a.alias("a"), b.alias("b"), F.when(is_point, field(0)).otherwise("").alias("label"))
 
 
 @query(sql("SELECT journey, count(*) AS n, md5(string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ts, ord)) AS digest FROM points GROUP BY journey", "points"))

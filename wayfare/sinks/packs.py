@@ -8,12 +8,14 @@ import io
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators.rows import dense_index, last_wins, upsert
+from ..operators.tables import materialize
 from ..sources.canonical import Tables
 
 
@@ -40,7 +42,8 @@ def pack_rows(tables: Tables, sources: DataFrame, countries: list[str] | None, p
     airways = dense_index(mine(tables.airways).distinct(), ["designator", "uid"])
     airports = dense_index(mine(tables.airports).withColumn("code", F.coalesce("iata", "icao", F.lit(""))), ["code", "uid"])
     ids = points.select("uid", "idx")
-    s = tables.segments.join(airways.select(F.col("uid").alias("airway_uid"), F.col("idx").alias("w")), "airway_uid").join(ids.toDF("from_uid", "a"), "from_uid").join(ids.toDF("to_uid", "b"), "to_uid")
+    ends = tables.segments.join(ids.toDF("from_uid", "a"), "from_uid").join(ids.toDF("to_uid", "b"), "to_uid")
+    s = ends.join(airways.select(F.col("uid").alias("airway_uid"), F.col("idx").alias("w")), "airway_uid")
     segments = dense_index(s.select("w", "sequence", "uid", "a", "b", F.coalesce("distance_nm", F.lit(0.0)).alias("nm"), F.coalesce("direction", F.lit("")).alias("direction")), ["w", "sequence", "uid"])
     six = lambda c: geo.quantise(F.col(c), 6)
     parts = [
@@ -59,7 +62,7 @@ def pack_rows(tables: Tables, sources: DataFrame, countries: list[str] | None, p
 def part_digests(lines: DataFrame) -> DataFrame:
     """(part, n, bytes, sha256) of pack_rows lines: the digest of a part is that of its blocks' digests in order."""
     block = F.floor(F.col("idx") / 4096)
-    blocks = lines.groupBy("part", block.alias("block")).agg(F.count("*").alias("n"), F.sum(F.octet_length("json") + 1).alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.sha2("json", 256).alias("d")))), lambda s: s.d), ""), 256).alias("d"))
+    blocks = lines.groupBy("part", block.alias("block")).agg(F.count("*").alias("n"), F.sum(F.octet_length("json") + 1).alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "json"))), lambda s: F.sha2(s.json, 256)), ""), 256).alias("d"))
     return blocks.groupBy("part").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda s: s.d), ""), 256).alias("sha256"))
 
 
@@ -67,7 +70,9 @@ def write_pack(lines: DataFrame, path: str) -> DataFrame:
     """Write pack_rows as gzipped JSON lines, a folder for each part in order of ids; returns the manifest (part, n, bytes, sha256).
 
     The digest of a part is that of its lines' digests in order, so it is found without gathering the lines.
+    The lines are read three times (ranges, files, digests), so they are written down first.
     """
+    lines = materialize(lines, "pack-lines")
     lines.repartitionByRange("part", "idx").sortWithinPartitions("part", "idx").select("part", F.col("json").alias("value")).write.partitionBy("part").option("compression", "gzip").mode("overwrite").text(path)
     manifest = part_digests(lines)
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}-manifest")
@@ -147,16 +152,31 @@ def read_pack(spark: SparkSession, path: str) -> DataFrame:
     """(part, idx, fields) of a pack that write_pack has written, the fields as text; a line of another shape is an error.
 
     Lines are in order of their ids within and across the files of a part, so their places are the ids.
+    A gzipped file is one task's, line by line, so a line's place is counted as it is read.
     """
-    lines = spark.read.schema("value string, part string").text(path)
+    lines = spark.read.schema("value string, part string").text(path).select("part", F.input_file_name().alias("file"), "value")
+    sizes = lines.groupBy("part", "file").agg(F.count("*").alias("n"))
+    before = sizes.select("part", "file", (F.sum("n").over(Window.partitionBy("part").orderBy("file")) - F.col("n")).alias("before"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            parts, firsts = b.column(0).dictionary_encode().indices.to_numpy(), b.column(1).to_numpy()
+            starts = [0, *(np.flatnonzero((parts[1:] != parts[:-1]) | (firsts[1:] != firsts[:-1])) + 1)]
+            idx = np.empty(b.num_rows, np.int64)
+            for start, end in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                file = (b.column(0)[start].as_py(), firsts[start])
+                place = place if file == last else 0
+                idx[start:end] = firsts[start] + place + np.arange(end - start)
+                last, place = file, place + end - start
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(idx), b.column(2)], names=["part", "idx", "value"])
+
+    rows = lines.join(F.broadcast(before), ["part", "file"]).select("part", "before", "value").mapInArrow(run, "part string, idx long, value string")
     fields = F.from_json("value", "array<string>")
     size = F.create_map(*(F.lit(x) for kv in SHAPES.items() for x in kv))[F.col("part")]
-    checked = F.when(F.size(fields) == size, fields).otherwise(F.raise_error(F.concat(F.lit("no line of a pack: "), "value")))
-    rows = lines.select("part", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), checked.alias("fields"))
-    sizes = rows.groupBy("part", "file").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("part").orderBy("file")) - F.col("n")).drop("n")
-    place = F.row_number().over(Window.partitionBy("part", "file").orderBy("at")) - 1
-    return rows.withColumn("place", place).join(F.broadcast(before), ["part", "file"]).select("part", (F.col("before") + F.col("place")).alias("idx"), "fields")
+    return rows.select("part", "idx", F.when(F.size(fields) == size, fields).otherwise(F.raise_error(F.concat(F.lit("no line of a pack: "), "value"))).alias("fields"))
 
 
 def write_report(rows: DataFrame, path: str) -> None:
