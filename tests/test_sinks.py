@@ -83,3 +83,12 @@ def test_lines_of_files_keep_their_ids(spark, tmp_path):
     for p, k in n.items():
         block = lambda i: hashlib.sha256("".join(hashlib.sha256(json.dumps([str(j)] * packs.SHAPES[p]).encode()).hexdigest() for j in range(i, min(i + 4096, k))).encode()).hexdigest()  # noqa: B023, E731
         assert manifest[p] == (k, hashlib.sha256("".join(block(i) for i in range(0, k, 4096)).encode()).hexdigest())
+
+
+def test_ids_take_one_sort(spark):
+    """Dense ids come from places in a range that is written sorted: no window sorts the rows again."""
+    from wayfare.operators.rows import dense_index
+
+    rows = dense_index(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5), ["k"])
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert rows.where("k <> idx").count() == 0 and rows.count() == 1000

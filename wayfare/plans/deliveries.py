@@ -49,6 +49,7 @@ def public_pack_files(spark: SparkSession, d: str) -> DataFrame:
     about = public_pack.About("airgraph", "1", "src0", "public", "GPL-2.0-or-later", "GNU General Public License version 2", "open navigation data", notices={"NOTICE.txt": "Derived from open data.\n"})
     sources = spark.createDataFrame([("src0", "public", True), ("src1", "public", True)], "source_id string, status string, bundle boolean")
     t = _canonical(spark, d)
+    t = t._replace(segments=materialize(t.segments, "pack-segments"))  # two packs are made of them
     lines = packs.pack_rows(t, sources.where("source_id = 'src0'"), None)
     public_pack.publish(materialize(lines, "pack-lines"), root, about, "2024-01-01T00:00:00Z")
     try:
