@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .grid import _met
 
 #: Nautical miles under which a segment has no length, and over which it is suspect.
 ZERO_NM, LONG_NM = 0.01, 700.0
@@ -22,15 +23,19 @@ def point_issues(points: DataFrame) -> DataFrame:
 
 def airway_issues(airways: DataFrame, segments: DataFrame) -> DataFrame:
     used = segments.select(F.col("airway_uid").alias("uid"), F.lit(True).alias("__used")).distinct()
-    rows = airways.join(used, "uid", "left")
+    rows = _met(airways, used, ["uid"], "left")
     return _issues(rows, F.col("uid"), [("error", "airway-empty-designator", F.trim(F.coalesce("designator", F.lit(""))) == ""), ("error", "airway-no-segments", F.col("__used").isNull())])
 
 
 def segment_issues(segments: DataFrame, points: DataFrame) -> DataFrame:
-    """Segments are checked against their two end points; without one of them, their length is not."""
+    """Segments are checked against their two end points; without one of them, their length is not.
+
+    All shuffle partitions take part in the joins, so a task sorts its share of the rows and not as many
+    as fit a partition of some size, and no table of points is held whole.
+    """
     ends = points.select("uid", "lat", "lon")
     a, b = ends.toDF("from_uid", "a_lat", "a_lon"), ends.toDF("to_uid", "b_lat", "b_lon")
-    rows = segments.join(a, "from_uid", "left").join(b, "to_uid", "left")
+    rows = _met(_met(segments, a, ["from_uid"], "left"), b, ["to_uid"], "left")
     d = geo.haversine_nm(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     missing = F.col("a_lat").isNull() | F.col("b_lat").isNull()
     return _issues(rows, F.col("uid"), [("error", "segment-same-point", F.col("from_uid") == F.col("to_uid")), ("error", "segment-missing-point", missing), ("error", "segment-zero-distance", ~missing & (d <= ZERO_NM)), ("warning", "segment-long-distance", ~missing & (d > LONG_NM))])
