@@ -26,3 +26,16 @@ def large(tmp_path_factory):
 @pytest.mark.parametrize("name", ["built_source", "chart_publishers", "content_signature", "exchange_files", "fixed_width_points", "navdata_points", "piped_points", "publication_by_classes", "publication_by_rows"])
 def test_equals_sql(spark, large, name):
     assert differences(catalog.QUERIES[name](spark, large), connect(large), catalog.ORACLE_SQL[name]) == []
+
+
+@pytest.fixture(scope="module")
+def far(tmp_path_factory):
+    """A folder of tables whose orders have thirteen digits, over several pages of charts."""
+    d = str(tmp_path_factory.mktemp("far"))
+    con = connect(SF)
+    con.execute(f"COPY (SELECT l_orderkey * 7 + 1000000000000 AS l_orderkey, lineitem.* EXCLUDE (l_orderkey) FROM lineitem WHERE l_orderkey % 3 = 0) TO '{d}/lineitem.parquet'")
+    return d
+
+
+def test_pages_of_charts_keep_their_names(spark, far):
+    assert differences(catalog.QUERIES["chart_publishers"](spark, far), connect(far), catalog.ORACLE_SQL["chart_publishers"]) == []
