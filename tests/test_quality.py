@@ -1,3 +1,5 @@
+from compare import connect, differences
+from wayfare import catalog
 from wayfare.operators import quality
 
 
@@ -11,3 +13,12 @@ def test_joins_take_all_partitions(spark):
     assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan and "REPARTITION_BY_NUM" in plan
     got = {(r.code, r.entity) for r in found.collect() if r.severity == "error"}
     assert got == {("airway-no-segments", "2"), ("segment-missing-point", "1-x")}
+
+
+def test_counts_join_in_all_partitions(spark):
+    """The counted issues come from the same joins."""
+    sf = "/root/testdata/sf0.001"
+    found = catalog.QUERIES["quality_severity_counts"](spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all(any(f"hashpartitioning({k}#" in line and "REPARTITION_BY_NUM" in line for line in plan.split("\n")) for k in ("from_uid", "to_uid"))
+    assert differences(found, connect(sf), catalog.ORACLE_SQL["quality_severity_counts"]) == []
