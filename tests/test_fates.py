@@ -47,3 +47,19 @@ def test_chart_places(spark):
     for publisher, place in text.items():
         df = spark.createDataFrame([("enr_3_1", f"A1\nALPHA {place}\nBRAVO {place.replace('10', '11', 1)}\n")], "document string, text string")
         assert [(r["sequence"], r.distance_nm) for r in charts.tables(df, publisher).segments.collect()] == [(1, 60.04)], publisher
+
+
+def test_rows_are_searched_once(spark):
+    """What a row's text tells is written down before windows, points, airways and segments read it, and rows are fated once."""
+    pages = spark.createDataFrame([("enr_3_1", ROUTES), ("enr_4_4", POINTS)], "document string, html string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert not any(x in plan(publications.fates(pages, p)) for p in ("uk", "hongkong", "india") for x in ("regexp", "rlike"))
+    t = publications.tables(pages, "uk")
+    assert "regexp_extract" not in plan(t.segments) and plan(t.points).count("window [") == 1
+
+
+def test_heads_end_what_was_waiting(spark):
+    """A head takes up no name or distance, and neither goes on into the next route."""
+    html = "".join(f"<tr>{''.join(f'<td>{c}</td>' for c in r)}</tr>" for r in [("A1",), ("ALPHA", "100000N 0200000E"), ("7 NM",), ("BRAVO {x}",), ("T1;NIL",), ("B2",), ("", "110000N 0200000E"), ("ECHO", "120000N 0200000E"), ("  9 \n NM",), ("FOX", "130000N 0200000E")])
+    rows = publications.fates(spark.createDataFrame([("enr_3_1", f"<table>{html}</table>")], "document string, html string"), "uk").orderBy("row")
+    assert [r.fate for r in rows.collect()] == ["route", "stop", "distance", "name", "name", "route", "route-ident-missing", "stop", "distance", "stop"]
