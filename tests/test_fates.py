@@ -1,5 +1,8 @@
 """Every row of a document has one fate, and dropped rows are issues."""
 
+import pytest
+
+from wayfare import catalog
 from wayfare.sources import charts, fixed_width, publications
 
 
@@ -63,3 +66,9 @@ def test_heads_end_what_was_waiting(spark):
     html = "".join(f"<tr>{''.join(f'<td>{c}</td>' for c in r)}</tr>" for r in [("A1",), ("ALPHA", "100000N 0200000E"), ("7 NM",), ("BRAVO {x}",), ("T1;NIL",), ("B2",), ("", "110000N 0200000E"), ("ECHO", "120000N 0200000E"), ("  9 \n NM",), ("FOX", "130000N 0200000E")])
     rows = publications.fates(spark.createDataFrame([("enr_3_1", f"<table>{html}</table>")], "document string, html string"), "uk").orderBy("row")
     assert [r.fate for r in rows.collect()] == ["route", "stop", "distance", "name", "name", "route", "route-ident-missing", "stop", "distance", "stop"]
+
+
+@pytest.mark.parametrize("name", ["built_source"])
+def test_queries_search_rows_once(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_extract" not in plan and "rlike" not in plan
