@@ -70,3 +70,51 @@ def test_paths_equal_a_heap_search(spark):
 def test_paths_of_no_queries(spark):
     edges = spark.createDataFrame([(1, 2, 1)], "src long, dst long, w long")
     assert graph.shortest_paths(edges, _ends(spark, []), _ends(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("name, kind", [("x", "long"), ("y", "double"), ("z", "string")])
+def test_ways_between_places_equal_a_heap_search(spark, monkeypatch, name, kind):
+    """Components searched in one task, in several and in rounds; ties, weights of zero, places off a component, with themselves, unknown and null."""
+    monkeypatch.setattr(graph, "ALONE", 30)
+    monkeypatch.setattr(graph, "PAIRS", 25)
+    monkeypatch.setattr(graph, "GOALS", 3)
+    rnd = random.Random(3)
+    label = (lambda v: f"v{v:03}") if kind == "string" else (lambda v: v)
+    weight = float if kind == "double" else int
+    out = {}
+    for low, high in ((0, 12), (20, 48), (60, 110)):
+        for a in range(low, high - 1):
+            for b in (a + 1, rnd.randrange(low, high)):
+                if a != b:
+                    w = weight(rnd.choice([0, 0, 1, 2, 5]))
+                    out.setdefault(label(a), {})[label(b)] = out.setdefault(label(b), {})[label(a)] = w
+    parts = {label(v): label(low) for low, high in ((0, 12), (20, 48), (60, 110)) for v in range(low, high)}
+    near = {(f"p{p}", label(low)): (label(rnd.randrange(low, high)), weight(rnd.randrange(4))) for p in range(14) for low, high in ((0, 12), (20, 48), (60, 110)) if rnd.random() < 0.6}
+    asked = [(f"p{rnd.randrange(15)}", f"p{rnd.randrange(15)}") for _ in range(120)] + [("p1", None), (None, "p1")]
+    v, w = ("string", "long") if kind == "string" else ("long", kind)
+    edges = spark.createDataFrame([(a, b, x) for a, m in out.items() for b, x in m.items()], f"src {v}, dst {v}, w {w}")
+    members = spark.createDataFrame(list(parts.items()), f"vertex {v}, component {v}")
+    connectors = spark.createDataFrame([(p, c, u, x) for (p, c), (u, x) in near.items()], f"place string, component {v}, vertex {v}, cost {w}")
+    want = {}
+    for (p, c), (u, x) in near.items():
+        d = lengths(out, u)
+        for a, b in set(asked):
+            if a == p and (b, c) in near:
+                end, y = near[b, c]
+                want[a, b] = min(want.get((a, b), 10**9), x + d[end] + y)
+    ask = spark.createDataFrame(asked, "origin string, goal string")
+    got = graph.paths_between(edges, members, connectors, ask).collect()
+    assert len(got) == len(want) and {(r.origin, r.goal): r.dist for r in got} == want
+    for r in got:
+        (first,), (last,) = ([x for (p, _), (u, x) in near.items() if (p, u) == at] for at in ((r.origin, r.path[0]), (r.goal, r.path[-1])))
+        assert first + sum(out[a][b] for a, b in zip(r.path, r.path[1:])) + last == r.dist
+    assert {(r.origin, r.goal): r.dist for r in graph.paths_between(edges, members, connectors, ask, paths=False).collect()} == want
+
+
+def test_nearest_of_components(spark):
+    rows = [(q, c, v, v * 7 % 5) for q in range(4) for c in range(3) for v in range(-4, 9)]
+    df = spark.createDataFrame(rows, "query long, component long, vertex long, cost long")
+    want = {(q, c): min((k, v) for p, d, v, k in rows if (p, d) == (q, c)) for q in range(4) for c in range(3)}
+    for high in (8, 2**61):  # one number holds both, or doesn't
+        got = graph.nearest_of_components(df, -4, high, 10).collect()
+        assert {(r["query"], r["component"]): (r["cost"], r["vertex"]) for r in got} == want and len(got) == 12

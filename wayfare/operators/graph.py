@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .tables import drop_table, materialize
 
 #: Edges by which a round of a path search extends its frontier.
 HOPS = 6
 
+#: A component of at most so many vertices has all its distances worked out in one task, for at most about so many pairs of places at once.
+ALONE, PAIRS = 512, 200_000
+
+#: Goals of one place that travel together.
+GOALS = 1000
+
 #: A graph of at most so many edges and vertices is broadcast to the searches; they then need one shuffle a round.
 LOCAL_WAYS = 1_000_000
 
@@ -64,7 +74,8 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_ho
     """(query, dist, path, goal) of the lightest path of each query from any of its starts to any of its goals.
 
     edges: (src, dst, w), weights not negative; starts and goals: (query, vertex, cost), the cost of the
-    connector to the graph; they are read in each round, so they should be tables. Queries that start at
+    connector to the graph; they are read in each round, so they should be tables. With a column component
+    in both, starts meet only goals of their component. Queries that start at
     one vertex share its search, so there are never more searches than vertices, and all of them are
     relaxed together: a round extends the vertices that got better in the last one by HOPS edges, drops
     ways no better than what any query of the search still needs, and writes only vertices that got
@@ -75,9 +86,10 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_ho
     """
     key, state = ["source", "vertex"], ["dist", "hops", "new", "fresh", "anchor", "stretch"]
     lightest = F.min(F.struct(*state)).alias("s")
-    first = starts.groupBy("query", F.col("vertex").alias("source")).agg(F.min("cost").alias("first"))
-    ends = goals.groupBy("query", F.col("vertex").alias("goal")).agg(F.min("cost").alias("last"))
-    asked = materialize(first.join(ends, "query").withColumn("least", F.min("last").over(Window.partitionBy("query"))), "asked")
+    meet = ["query", *(c for c in ("component",) if c in starts.columns and c in goals.columns)]
+    first = starts.groupBy(*meet, F.col("vertex").alias("source")).agg(F.min("cost").alias("first"))
+    ends = goals.groupBy(*meet, F.col("vertex").alias("goal")).agg(F.min("cost").alias("last"))
+    asked = materialize(first.join(ends, meet).drop("component").withColumn("least", F.min("last").over(Window.partitionBy("query"))), "asked")
     begin = asked.select("source").distinct().select("source", F.col("source").alias("vertex"), F.lit(0).cast(edges.schema["w"].dataType).alias("dist"), F.lit(0).alias("hops"))
     begin = begin.select("*", F.lit(True).alias("new"), F.lit(True).alias("fresh"), F.col("source").alias("anchor"), F.slice(F.array("source"), 1, 0).alias("stretch"))
     written = [materialize(begin, "paths")]
@@ -138,6 +150,115 @@ def _walked(tree: DataFrame, wanted: DataFrame) -> DataFrame:
             return done
 
 
+def _distances(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, paths: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Distances between all n vertices, and with paths the vertex before each goal on its way (of equal ways one of fewest edges)."""
+    far = np.inf if w.dtype.kind == "f" else np.int64(2**61)
+    d = np.full((n, n), far, w.dtype)
+    np.minimum.at(d, (src, dst), w)
+    np.fill_diagonal(d, 0)
+    if not paths:
+        for k in range(n):
+            np.minimum(d, d[:, k, None] + d[None, k], out=d)
+        return d, None
+    near = d < far
+    hops, before = near.astype(np.int32), np.where(near, np.arange(n)[:, None], -1)
+    np.fill_diagonal(hops, 0)
+    for k in range(n):
+        via, steps = d[:, k, None] + d[None, k], hops[:, k, None] + hops[None, k]
+        better = (via < d) | ((via == d) & (steps < hops) & (via < far))
+        d, hops, before = np.where(better, via, d), np.where(better, steps, hops), np.where(better, before[None, k], before)
+    return d, before
+
+
+def _component_paths(t: pa.Table, number: type, paths: bool) -> tuple[pa.Array, pa.Array, np.ndarray, list | None]:
+    """Origins, goals, lengths (and paths) of the pairs of places in one component: rows of edges (kind 0), connectors (1) and origins with goals (2)."""
+    of = lambda k: t.filter(pc.equal(t["kind"], k)).combine_chunks()
+    plain = lambda rows, c: rows[c].to_numpy()
+    edges, near, asked = of(0), of(1), of(2)
+    vertices, ends = np.unique(np.concatenate([plain(edges, "src"), plain(edges, "dst")]), return_inverse=True)
+    src, dst = ends.reshape(2, -1)
+    d, before = _distances(len(vertices), src, dst, plain(edges, "w").astype(number), paths)
+    at = np.argsort(plain(near, "place"), kind="stable")
+    places, vertex, cost = plain(near, "place")[at], np.searchsorted(vertices, plain(near, "src")[at]), plain(near, "w")[at].astype(number)
+    goals = asked["goals"].combine_chunks()
+    origin, goal = asked["place"].take(pc.list_parent_indices(goals)), pc.list_flatten(goals)
+    o, g = np.searchsorted(places, origin.to_numpy()), np.minimum(np.searchsorted(places, goal.to_numpy(zero_copy_only=False)), len(places) - 1)
+    way = d[vertex[o], vertex[g]]
+    kept = np.flatnonzero((places[g] == goal.to_numpy(zero_copy_only=False)) & (way < (np.inf if number is np.float64 else 2**61)))
+    o, g, way = o[kept], g[kept], way[kept]
+    found = None
+    if paths:
+        found = []
+        for a, b in zip(vertex[o].tolist(), vertex[g].tolist(), strict=True):
+            path = [b]
+            while path[-1] != a:
+                path.append(before[a, path[-1]])
+                if len(path) > len(vertices):
+                    raise RuntimeError("a path does not end")
+            found.append(vertices[path[::-1]])
+    return origin.take(pa.array(kept)), goal.take(pa.array(kept)), cost[o] + way + cost[g], found
+
+
+def paths_between(edges: DataFrame, members: DataFrame, connectors: DataFrame, asked: DataFrame, paths: bool = True) -> DataFrame:
+    """(origin, goal, dist[, path]) of the lightest way between each two places of asked (origin, goal), over any component that both have a connector to.
+
+    edges: (src, dst, w), weights not negative; members: (vertex, component) of all vertices; connectors:
+    (place, component, vertex, cost), one for each place and component. All should be tables. A component
+    of at most ALONE vertices has its distances worked out in one task, or in several if over PAIRS pairs
+    of places meet in it; larger ones are searched by shortest_paths. Paths are only put together in the
+    component that is best, the least of equals. Pairs without a way are missing.
+    """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = all(isinstance(t, IntegralType) for t in (edges.schema["w"].dataType, connectors.schema["cost"].dataType))
+    number, sql = (np.int64, "long") if whole else (np.float64, "double")
+    kinds = {c: f.dataType.simpleString() for c, f in (("place", connectors.schema["place"]), ("vertex", edges.schema["src"]), ("component", members.schema["component"]))}
+    pairs = materialize(asked.select("origin", "goal").where("origin IS NOT NULL AND goal IS NOT NULL").distinct(), "pairs")
+    sizes = materialize(members.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+
+    def alone(pairs: DataFrame, by: list[str], paths: bool) -> DataFrame:
+        """Ways within small components; by: what pairs share with connectors besides their origin."""
+        near = connectors.withColumnRenamed("place", "origin")
+        load = near.join(pairs.groupBy("origin", *by).count(), ["origin", *by]).groupBy("component").agg(F.sum("count").alias("load"))
+        parts = sizes.where(F.col("size") <= ALONE).join(load, "component").select("component", F.ceil(F.col("load") / PAIRS).cast("int").alias("parts"))
+        each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+        blocks = pairs.withColumn("__n", F.count("*").over(Window.partitionBy("origin", *by))).withColumn("block", F.pmod(F.xxhash64("goal"), F.ceil(F.col("__n") / GOALS)))
+        blocks = blocks.groupBy("origin", *by, "block").agg(F.collect_list("goal").alias("goals"))
+        null = lambda kind: F.lit(None).cast(kind)
+        shape = lambda kind, place, src, dst, w, goals: [F.lit(kind).alias("kind"), place.alias("place"), src.alias("src"), dst.alias("dst"), w.cast(sql).alias("w"), goals.alias("goals")]
+        at, vertex, listed = null(kinds["place"]), null(kinds["vertex"]), null(f"array<{kinds['place']}>")
+        rows = edges.join(members.withColumnRenamed("vertex", "src"), "src").join(parts, "component").select("component", each, *shape(0, at, F.col("src"), F.col("dst"), F.col("w"), listed))
+        rows = rows.unionByName(connectors.join(parts, "component").select("component", each, *shape(1, F.col("place"), F.col("vertex"), vertex, F.col("cost"), listed)))
+        part = F.pmod(F.xxhash64("origin", "block"), F.col("parts").cast("long")).cast("int").alias("part")
+        rows = rows.unionByName(near.join(blocks, ["origin", *by]).join(parts, "component").select("component", part, *shape(2, F.col("origin"), vertex, vertex, null(sql), F.col("goals"))))
+
+        def run(key: tuple, t: pa.Table) -> pa.Table:
+            origin, goal, dist, found = _component_paths(t, number, paths)
+            out = {"origin": origin, "goal": goal, "dist": pa.array(dist), "component": pa.repeat(key[0], len(dist))}
+            return pa.table(out | ({"path": pa.array([x.tolist() for x in found], pa.list_(t.schema.field("src").type))} if paths else {}))
+
+        # so many tasks whatever the size of the rows, for their work is in the distances
+        grouped = rows.repartition(n, "component", "part").groupBy("component", "part")
+        return grouped.applyInArrow(run, f"origin {kinds['place']}, goal {kinds['place']}, dist {sql}, component {kinds['component']}" + (f", path array<{kinds['vertex']}>" if paths else ""))
+
+    least = lambda df: df.groupBy("origin", "goal").agg(F.min(F.struct("dist", "component", *(["path"] if "path" in df.columns else []))).alias("s"))
+    if paths:
+        best = materialize(least(alone(pairs, [], False)).select("origin", "goal", "s.component"), "best")
+        found = alone(best, ["component"], True)
+    else:
+        found = alone(pairs, [], False).select("origin", "goal", "dist")
+    large = sizes.where(F.col("size") > ALONE)
+    if not large.isEmpty():
+        near = connectors.join(large, "component")
+        asks = pairs.select(F.struct("origin", "goal").alias("query"), "origin", "goal")
+        starts, goals = (materialize(asks.join(near, F.col(c) == F.col("place")).select("query", "component", "vertex", "cost"), c) for c in ("origin", "goal"))
+        far = shortest_paths(edges.join(members.withColumnRenamed("vertex", "src").join(large, "component"), "src", "left_semi"), starts, goals, paths=paths)
+        far = far.select("query.origin", "query.goal", F.col("dist").cast(sql).alias("dist"), *([F.lit(None).cast(kinds["component"]).alias("component"), "path"] if paths else []))
+        found = found.unionByName(far)
+    if not paths:
+        return found.groupBy("origin", "goal").agg(F.min("dist").alias("dist"))
+    return least(found).select("origin", "goal", "s.dist", "s.path")
+
+
 def nearest_per_component(candidates: DataFrame, members: DataFrame) -> DataFrame:
     """The nearest connector of each query in each component: candidates (query, vertex, cost), ties by vertex."""
     named = candidates.join(members, "vertex")
@@ -145,6 +266,20 @@ def nearest_per_component(candidates: DataFrame, members: DataFrame) -> DataFram
     return best.select("query", "component", "s.vertex", "s.cost")
 
 
+def nearest_of_components(candidates: DataFrame, low: int, high: int, most: int) -> DataFrame:
+    """The nearest connector of each query in each component, ties by vertex: candidates (query, component, vertex, cost), vertices from low to high and whole costs from 0 to most.
+
+    Candidates are many times their results. Cost and vertex are put in one number where it holds them,
+    since the least number is kept in a hash table and the least of two columns is found by sorting.
+    """
+    span = high - low + 1
+    if (most + 1) * span >= 2**62:
+        best = candidates.groupBy("query", "component").agg(F.min(F.struct("cost", "vertex")).alias("s"))
+        return best.select("query", "component", "s.vertex", "s.cost")
+    best = candidates.groupBy("query", "component").agg(F.min(F.col("cost") * span + (F.col("vertex") - low)).alias("s"))
+    return best.select("query", "component", (F.expr(f"s % {span}L") + low).alias("vertex"), F.expr(f"s div {span}L").alias("cost"))
+
+
 def remap(points: DataFrame, segments: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Points and segments of the given vertices with dense new ids from 0, in the order of the old ones."""
     from .rows import dense_index

@@ -75,36 +75,45 @@ dist(q, v, d) USING KEY (q, v) AS (SELECT query, vertex, cost FROM starts UNION
 found AS (SELECT query, min(d + cost) AS hundredths FROM dist JOIN goals ON q = query AND v = vertex GROUP BY query)"""
 
 
-def connectors(spark: SparkSession, d: str, edges: DataFrame) -> DataFrame:
+def connectors(spark: SparkSession, d: str, members: DataFrame) -> DataFrame:
     """(airport, component, vertex, cost): the nearest point of each component within 450 NM."""
-    near = grid.distance_join(airports(spark, d), points(spark, d).withColumnRenamed("uid", "vertex"), 450.0)
-    near = near.select(F.col("airport").alias("query"), "vertex", _hundredths(F.col("dist_nm")).alias("cost"))
-    return graph.nearest_per_component(near, graph.components(edges)).withColumnRenamed("query", "airport")
+    low, high = members.agg(F.min("vertex"), F.max("vertex")).first()
+    # points know their components before they meet airports, for the pairs are many more
+    p = points(spark, d).withColumnRenamed("uid", "vertex").join(members, "vertex")
+    near = grid.distance_join(airports(spark, d), p, 450.0)
+    near = near.select(F.col("airport").alias("query"), "component", "vertex", _hundredths(F.col("dist_nm")).alias("cost"))
+    return graph.nearest_of_components(near, low or 0, high or 0, 45_001).withColumnRenamed("query", "airport")
 
 
-def _search(spark: SparkSession, d: str, paths: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _members(edges: DataFrame) -> DataFrame:
+    return materialize(graph.components(edges), "members")
+
+
+def _search(spark: SparkSession, d: str, paths: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, connectors (place, component, vertex, cost) and the ways (origin, goal, dist[, path]) between airports that any request asks for."""
     edges = materialize(graph.undirected(segments(spark, d), missing=100), "edges")
-    near = materialize(connectors(spark, d, edges), "connectors").select("airport", "vertex", "cost")
-    asked = requests(spark, d).where("region <> 'nowhere'")
-    starts, goals = (materialize(asked.join(near, F.col(c) == F.col("airport")).select("query", "vertex", "cost"), c) for c in ("origin", "goal"))
-    return edges, starts, goals, graph.shortest_paths(edges, starts, goals, paths=paths)
+    members = _members(edges)
+    near = materialize(connectors(spark, d, members).withColumnRenamed("airport", "place"), "connectors")
+    return edges, near, graph.paths_between(edges, members, near, requests(spark, d).where("region <> 'nowhere'"), paths=paths)
 
 
 @query(sql(f"WITH {_SQL}, {_COMPONENTS} SELECT airport, vertex, cost FROM conn", recursive=True))
 def airport_connectors(spark: SparkSession, d: str) -> DataFrame:
     """The nearest airway point of each airport in each component of the graph."""
-    return connectors(spark, d, materialize(graph.undirected(segments(spark, d), missing=100), "edges")).select("airport", "vertex", "cost")
+    edges = materialize(graph.undirected(segments(spark, d), missing=100), "edges")
+    return connectors(spark, d, _members(edges)).select("airport", "vertex", "cost")
 
 
 @query(sql(f"WITH {_SQL}, {_COMPONENTS}, {_PATHS} SELECT query, hundredths / 100e0 AS nm, hundredths / 100e0 AS walked_nm FROM found", recursive=True))
 def shortest_path_batch(spark: SparkSession, d: str) -> DataFrame:
     """The lightest airway path of each request, and the length of walking it from point to point, connectors included."""
-    edges, starts, goals, found = _search(spark, d, True)
-    found = materialize(found, "found")
-    step = found.select("query", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("src"), F.slice("path", 2, F.size("path")).alias("dst"))).alias("s")).select("query", "s.*")
-    walked = step.join(edges, ["src", "dst"]).groupBy("query").agg(F.sum("w").alias("walked"))
-    first, last = (x.select("query", "vertex", F.col("cost").alias(n)) for x, n in ((starts, "first"), (goals, "last")))
-    j = found.withColumn("start", F.col("path")[0]).join(first.withColumnRenamed("vertex", "start"), ["query", "start"]).join(last.withColumnRenamed("vertex", "goal"), ["query", "goal"]).join(walked, "query", "left")
+    edges, near, found = _search(spark, d, True)
+    found, ends = materialize(found, "found"), ["origin", "goal"]
+    step = found.select(*ends, F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("src"), F.slice("path", 2, F.size("path")).alias("dst"))).alias("s")).select(*ends, "s.*")
+    walked = step.join(edges, ["src", "dst"]).groupBy(*ends).agg(F.sum("w").alias("walked"))
+    first, last = (near.select(F.col("place").alias(place), F.col("vertex").alias(at), F.col("cost").alias(n)) for place, at, n in (("origin", "start", "first"), ("goal", "stop", "last")))
+    j = found.select(*ends, "dist", F.col("path")[0].alias("start"), F.element_at("path", -1).alias("stop")).join(first, ["origin", "start"]).join(last, ["goal", "stop"]).join(walked, ends, "left")
+    j = requests(spark, d).where("region <> 'nowhere'").join(j, ends)
     return j.select("query", (F.col("dist") / 100).alias("nm"), ((F.col("first") + F.col("last") + F.coalesce("walked", F.lit(0))) / 100).alias("walked_nm"))
 
 
@@ -116,12 +125,13 @@ SELECT query, CASE WHEN hundredths IS NULL THEN 'great_circle_fallback' ELSE 'ai
   CASE WHEN hundredths IS NOT NULL THEN NULL WHEN alat IS NULL OR blat IS NULL THEN 'airport_not_found' WHEN region = 'nowhere' THEN 'airway_graph_empty' WHEN NOT linked THEN 'no_connector_points' ELSE 'airway_path_not_found' END AS fallback_reason FROM j""", recursive=True))
 def route_with_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Airway route of each request, or the great circle with the reason for it; an unknown airport has no length."""
-    _, starts, goals, found = _search(spark, d, False)
+    _, near, found = _search(spark, d, False)
     a = airports(spark, d)
     j = requests(spark, d).join(a.toDF("origin", "alat", "alon"), "origin", "left").join(a.toDF("goal", "blat", "blon"), "goal", "left")
-    j = j.join(found.select("query", "dist"), "query", "left")
-    for x, name in ((starts, "has_start"), (goals, "has_goal")):
-        j = j.join(x.select("query").distinct().withColumn(name, F.lit(True)), "query", "left")
+    j = j.join(found, ["origin", "goal"], "left").withColumn("dist", F.when(F.col("region") != "nowhere", F.col("dist")))
+    linked = near.select("place").distinct()
+    for end, name in (("origin", "has_start"), ("goal", "has_goal")):
+        j = j.join(linked.select(F.col("place").alias(end), F.lit(True).alias(name)), end, "left")
     unknown = F.col("alat").isNull() | F.col("blat").isNull()
     reason = (
         F.when(F.col("dist").isNotNull(), F.lit(None).cast("string")).when(unknown, "airport_not_found").when(F.col("region") == "nowhere", "airway_graph_empty")
