@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,29 +147,105 @@ def knn_exact(points: DataFrame, places: DataFrame, key: str, place_key: str, k:
     return found.select(*(within or []), key, place_key, F.col("score").alias("dist_m"), "rank")
 
 
+#: Places and samples that meet at once in a task, and the distances worked out together.
+_PLACES_AT_ONCE, _SAMPLES_AT_ONCE, _PAIRS_AT_ONCE = 4_000, 200_000, 2_000_000
+
+
+def _spots(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Points of the unit sphere."""
+    a, b = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], axis=1)
+
+
+def _metres(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """As geo.haversine_m."""
+    a, b, c, d = map(np.radians, (a, b, c, d))
+    up, aside = np.sin((c - a) / 2), np.sin((d - b) / 2)
+    h = up * up + np.cos(a) * np.cos(c) * aside * aside
+    return 2 * geo.EARTH_M * np.arctan2(np.sqrt(h), np.sqrt(np.abs(1 - h)))
+
+
+def _met_in_cell(t: pa.Table, metres: float) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Routes and places of a cell, each pair once, of which a sample and the place lie within so many metres: rows of samples (key) and of places (place).
+
+    A dot product tells most pairs; those about at the limit are measured.
+    """
+    of = lambda held: t.filter(pc.equal(t["held"], held)).combine_chunks()
+    places, samples = of(True), of(False)
+    # places at one spot are measured once
+    spot, same = np.unique(np.stack([places["lat"].to_numpy(), places["lon"].to_numpy()], axis=1), axis=0, return_inverse=True)
+    names = samples["key"].combine_chunks().dictionary_encode(null_encoding="encode")
+    lats, lons = samples["lats"].combine_chunks(), samples["lons"].combine_chunks()
+    codes = names.indices.to_numpy()[pc.list_parent_indices(lats).to_numpy()]
+    order = np.argsort(codes, kind="stable")
+    codes, lat, lon = codes[order], pc.list_flatten(lats).to_numpy()[order], pc.list_flatten(lons).to_numpy()[order]
+    at, there = _spots(lat, lon), _spots(spot[:, 0], spot[:, 1]).T
+    limit = math.cos(metres / geo.EARTH_M)
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, int)
+    ends = np.r_[starts[1:], len(codes)]
+    step, first = max(1, _PAIRS_AT_ONCE // max(1, len(spot))), 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + step, side="right")))
+        rows = slice(starts[first], ends[last - 1])
+        dots = at[rows] @ there
+        near = dots > limit
+        i, j = np.nonzero(np.abs(dots - limit) < 1e-12)
+        near[i, j] = _metres(lat[rows][i], lon[rows][i], spot[j, 0], spot[j, 1]) <= metres
+        hit = np.logical_or.reduceat(near, starts[first:last] - starts[first], axis=0)
+        route, place = np.nonzero(hit[:, same.ravel()])
+        yield names.dictionary.take(pa.array(codes[starts[first:last]][route])), places["place"].take(pa.array(place)).combine_chunks()
+        first = last
+
+
 def route_places(samples: DataFrame, places: DataFrame, key: str, place_key: str, metres: float, degrees: float = 5.0) -> DataFrame:
     """(key, place_key) of the places within so many metres of any sampled point of a route, among those in the 5 x 5 cells around it.
 
-    A sample meets only those of the cells that its radius reaches.
+    Samples should be few for each route, as every_kth takes them: those in one cell travel together, to the
+    cells that their radius reaches and that hold places. All samples of a route that meet places are in
+    one group with them, so each pair is found once; a cell of many places or samples is several groups.
     """
-    s = samples.select(key, "lat", "lon").distinct()
     span = F.sequence(F.lit(-2), F.lit(2))
     reach = metres / geo.EARTH_M * 1.001
+    somewhere = (F.abs("lat") < float("inf")) & (F.abs("lon") < float("inf"))
 
-    def gap(at: Column, number: Column, least: float) -> Column:
-        """Degrees from a coordinate to a row or column of cells."""
+    def gap(side: str, number: Column, least: float) -> Column:
+        """Degrees from the samples' coordinates to a row or column of cells."""
         low = number * degrees + least
-        return F.greatest(F.lit(0.0), low - at, at - low - degrees)
-
-    s = s.withColumn("__row", F.explode(F.transform(span, lambda x: geo.cell_row(F.col("lat"), degrees) + x)))
-    s = s.where(F.radians(gap(F.col("lat"), F.col("__row"), -90.0)) <= reach)
-    s = s.withColumn("__col", F.explode(F.transform(span, lambda x: geo.cell_col(F.col("lon"), degrees) + x)))
+        return F.greatest(F.lit(0.0), low - F.col(f"most_{side}"), F.col(f"least_{side}") - low - degrees)
+
+    cell = ["__row", "__col"]
+    p = places.select(F.col(place_key).alias("place"), F.col("plat").cast("double").alias("lat"), F.col("plon").cast("double").alias("lon")).where(somewhere)
+    p = p.withColumns({"__row": geo.cell_row(F.col("lat"), degrees), "__col": geo.cell_col(F.col("lon"), degrees)})
+    s = samples.select(F.col(key).alias("key"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where(somewhere)
+    s = s.groupBy("key", geo.cell_row(F.col("lat"), degrees).alias("r"), geo.cell_col(F.col("lon"), degrees).alias("c"))
+    s = s.agg(F.collect_list("lat").alias("lats"), F.collect_list("lon").alias("lons"), *(F.min(x).alias(f"least_{x}") for x in ("lat", "lon")), *(F.max(x).alias(f"most_{x}") for x in ("lat", "lon")))
+    s = materialize(s, "samples")
+    s = s.withColumn("__row", F.explode(F.transform(span, lambda x: F.col("r") + x))).where(F.radians(gap("lat", F.col("__row"), -90.0)) <= reach)
     # the nearest point of a meridian that lies so many degrees off
-    aside = F.least(F.lit(90.0), gap(F.col("lon"), F.col("__col"), -180.0))
-    s = s.where(F.asin(F.sin(F.radians(aside)) * F.cos(F.radians("lat"))) <= reach)
-    p = places.withColumn("__row", geo.cell_row(F.col("plat"), degrees)).withColumn("__col", geo.cell_col(F.col("plon"), degrees))
-    near = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= metres
-    return _met(s, p, ["__row", "__col"]).where(near).select(key, place_key).distinct()
+    s = s.withColumn("__col", F.explode(F.transform(span, lambda x: F.col("c") + x)))
+    aside, pole = F.least(F.lit(90.0), gap("lon", F.col("__col"), -180.0)), F.greatest(F.abs("least_lat"), F.abs("most_lat"))
+    s = s.where(F.asin(F.sin(F.radians(aside)) * F.cos(F.radians(pole))) <= reach)
+    parts = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    held = p.groupBy(*cell).agg(F.count("*").alias("n")).join(s.groupBy(*cell).agg(F.sum(F.size("lats")).alias("m")).hint("merge"), cell)
+    held = materialize(held.select(*cell, parts("n", _PLACES_AT_ONCE).alias("blocks"), parts("m", _SAMPLES_AT_ONCE).alias("shares")), "cells")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n).cast("long")).cast("int")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    known = [none(s, c) for c in ("key", "lats", "lons")]
+    q = p.join(held.hint("merge"), cell).select(*cell, dealt("place", "blocks").alias("block"), each("shares").alias("share"), F.lit(True).alias("held"), *known, "place", "lat", "lon")
+    # one row for each cell of the globe that is in reach
+    s = s.join(F.broadcast(held), cell).select(*cell, each("blocks").alias("block"), dealt("key", "shares").alias("share"), F.lit(False).alias("held"), "key", "lats", "lons", *(none(p, c) for c in ("place", "lat", "lon")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for route, place in _met_in_cell(pa.Table.from_batches(batches), metres):
+            yield pa.RecordBatch.from_arrays([route, place], names=[key, place_key])
+
+    group = [*cell, "block", "share"]
+    n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = [f"`{name}` {df.schema[c].dataType.simpleString()}" for name, df, c in ((key, s, "key"), (place_key, p, "place"))]
+    found = q.unionByName(s).repartition(n, *group).groupBy(*group).applyInArrow(run, ", ".join(kinds))
+    twice = p.groupBy("place").count().where("count > 1")
+    return found if twice.isEmpty() else found.distinct()
 
 
 def ring_nearest(points: DataFrame, places: DataFrame, key: str, place_key: str, measure: Column, degrees: float = 5.0, rings: int = 2) -> DataFrame:
