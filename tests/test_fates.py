@@ -68,7 +68,7 @@ def test_heads_end_what_was_waiting(spark):
     assert [r.fate for r in rows.collect()] == ["route", "stop", "distance", "name", "name", "route", "route-ident-missing", "stop", "distance", "stop"]
 
 
-@pytest.mark.parametrize("name", ["built_source"])
+@pytest.mark.parametrize("name", ["built_source", "publication_by_classes", "publication_fates"])
 def test_queries_search_rows_once(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp_extract" not in plan and "rlike" not in plan
