@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from wayfare import catalog
 from wayfare.operators import graph
 
 
@@ -118,3 +119,10 @@ def test_nearest_of_components(spark):
     for high in (8, 2**61):  # one number holds both, or doesn't
         got = graph.nearest_of_components(df, -4, high, 10).collect()
         assert {(r["query"], r["component"]): (r["cost"], r["vertex"]) for r in got} == want and len(got) == 12
+
+
+@pytest.mark.parametrize("name", ["route_with_fallback"])
+def test_requests_meet_connectors_of_one_component(spark, monkeypatch, name):
+    """Small components are never searched by requests, which would meet all pairs of their ends' connectors."""
+    monkeypatch.setattr(graph, "shortest_paths", None)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").where("method = 'airway_graph'").count() > 0
