@@ -72,3 +72,11 @@ def test_heads_end_what_was_waiting(spark):
 def test_queries_search_rows_once(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp_extract" not in plan and "rlike" not in plan
+
+
+def test_chart_points_are_found_once(spark):
+    """Points are written down before stops, airways and legs read them, and joins carry no text of the chart."""
+    t = charts.tables(spark.createDataFrame([("enr_3_1", "A1\nALPHA 100000N 0200000E\n10 NM\nBRAVO 110000N 0210000E\n")], "document string, text string"), "cuba")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan(t.points) and "row_number" not in plan(t.points)
+    assert "gap#" not in plan(t.segments).split("Join")[0] and [r.distance_nm for r in t.segments.collect()] == [10.0]
